@@ -147,15 +147,20 @@ def features(data: np.ndarray, offsets: np.ndarray, stats: np.ndarray) -> np.nda
     return np.hstack([x, np.ones((n, 1), np.float32)])
 
 
-def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 400, rate: float = 10.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer for soft labels ``p``."""
+def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 200, rate: float = 10.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer for soft labels ``p``, by gradient descent with momentum."""
     w = np.zeros(x.shape[1], np.float32)
     if not len(p):
         w[-1] = 1.0
         return w
-    for i in range(rounds):
-        gap = (1 / (1 + np.exp(-(x @ w))) - p.astype(np.float32)) / len(p)
-        w -= rate / (1 + i / 200) * (x.T @ gap + decay * w)
+    used = np.flatnonzero(x.any(axis=0))
+    x, p = np.ascontiguousarray(x[:, used]), p.astype(np.float32)
+    part, speed = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32)
+    for _ in range(rounds):
+        gap = (1 / (1 + np.exp(-(x @ part))) - p) / len(p)
+        speed = np.float32(0.8) * speed - np.float32(rate / 2) * (gap @ x + np.float32(decay) * part)
+        part += speed
+    w[used] = part
     return w
 
 
