@@ -2,12 +2,13 @@
 
 Candidates are dealt into blocks of bounded size and queries likewise; every
 (query block, candidate block) pair is one bounded group. Within it each
-dimension is a list sorted by value. A query reads its lists from the end that
-helps it most, all to the same depth, and keeps a lower and an upper bound of
-every row's score: what has been read, plus the worst or the last-read value of
-each list that hasn't shown the row. Reading stops once rows outside cannot
-reach the k-th lower bound, or once deeper reading no longer rules out rows; the
-scores of the rest are then resolved exactly. Block results meet per query.
+dimension is a list sorted by value. The queries of a block read the lists
+together: each from the end that helps it most, all to the same depth. What has
+been read, plus the worst or the last-read value of each list that hasn't shown
+the row, bounds a row's score from below and above. Reading goes on, twice as
+deep each time, until no row outside can reach the k-th lower bound, or until
+deeper reading has stopped ruling out rows; then the scores of the rest are
+resolved exactly. Block results meet per query.
 """
 
 from __future__ import annotations
@@ -26,70 +27,85 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+#: Queries that read together; their bounds for a whole block are held at once.
+TOGETHER = 64
+#: Reading goes on while it rules out at least this share of the rows that were left.
+WORTHWHILE = 0.1
+
+
 class SortedLists:
-    """One list per dimension over the rows of a block, ascending by value."""
+    """One list per dimension over the rows of a block, by value; ``rank`` is a row's place from below."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
-
-    def survivors(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows that may be among the k best: a superset of them, in row order."""
-        n, dims = self.vectors.shape
+        self.vectors, self._depth = vectors, 0
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, order, axis=0)
+        self.rank = np.empty(vectors.shape, np.int32)
+        np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=np.int32)[:, None], axis=0)
+
+    def _read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per row and list (from above, from below): the value if shown by that depth, and whether still hidden."""
+        if self._depth != depth:
+            shown = np.hstack([self.rank >= len(self.rank) - depth, self.rank < depth])
+            self._shown = np.where(shown, np.hstack([self.vectors, self.vectors]), 0), (~shown).astype(self.vectors.dtype)
+            self._depth = depth
+        return self._shown
+
+    def survivors(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """A mask (query, row) of the rows that may be among a query's ``k`` best."""
+        n = len(self.vectors)
+        left = np.ones((len(queries), n), bool)
         if n <= k:
-            return np.arange(n)
-        down = query > 0
-        used = np.flatnonzero(query)
-        worst = np.where(down, self.values[0], self.values[-1]) * query
-        low_all, read = worst.sum(), 0
-        low, gained, high_cut = np.full(n, low_all), np.zeros(n), np.zeros(n)
-        before = n
-        depth = max(k, n // 32)
-        seen_dims = np.zeros(n)
-        while True:
-            depth = min(depth, n)
-            rows = np.concatenate([self.order[n - depth : n - read, d] if down[d] else self.order[read:depth, d] for d in used] or [np.zeros(0, np.int64)])
-            got = np.concatenate([query[d] * (self.values[n - depth : n - read, d] if down[d] else self.values[read:depth, d]) for d in used] or [np.zeros(0)])
-            gained += np.bincount(rows, got, n)
-            low += np.bincount(rows, got - np.repeat(worst[used], depth - read), n)
-            # Which lists have shown a row doesn't change; what each still allows falls with depth.
-            mask_rows = self._shown(used, down, depth)
-            last = np.where(down, self.values[n - depth], self.values[depth - 1]) * query
-            high_cut = np.bincount(mask_rows, np.repeat(last[used], depth), n)
-            high = gained + last.sum() - high_cut
-            bound = np.partition(low, n - k)[n - k]
-            left = np.flatnonzero(high >= bound)
-            seen_dims = np.bincount(mask_rows, minlength=n)
-            outside = (seen_dims[left] == 0).any()
-            if depth == n or len(left) <= 4 * k or (not outside and len(left) > 0.9 * before) or len(left) > 0.9 * n and depth >= n // 16:
-                return left
-            before, read, depth = len(left), depth, depth * 2
-
-    def _shown(self, used: np.ndarray, down: np.ndarray, depth: int) -> np.ndarray:
-        n = len(self.order)
-        return np.concatenate([self.order[n - depth :, d] if down[d] else self.order[:depth, d] for d in used] or [np.zeros(0, np.int64)])
-
-
-def _exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products; Python integers where doubles could round."""
-    largest = np.abs(vectors).max(initial=0.0) * np.abs(query).max(initial=0.0) * max(1, len(query))
-    if largest < 2**53:
-        return (vectors @ query).astype(np.int64)
-    whole = [[int(x) for x in v] for v in vectors]
+            return left
+        split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])  # read from above, from below
+        worst = split * np.hstack([self.values[0], self.values[-1]])
+        going, depth = np.arange(len(queries)), max(k, n // 32)
+        while len(going) and depth < n:
+            read, hidden = self._read(depth)
+            last = split[going] * np.hstack([self.values[n - depth], self.values[depth - 1]])
+            gained = split[going] @ read.T
+            low, high = gained + worst[going] @ hidden.T, gained + last @ hidden.T
+            bound = np.partition(low, n - k, axis=1)[:, n - k]
+            before = left[going].sum(axis=1)
+            left[going] &= high >= bound[:, None]
+            after = left[going].sum(axis=1)
+            going = going[(after > 4 * k) & (before - after >= WORTHWHILE * before)]
+            depth *= 2
+        return left
+
+
+def _held(vectors: np.ndarray, queries: np.ndarray):
+    """Both in the narrowest type in which all sums of integer products are exact; None if doubles could round."""
+    largest = np.abs(vectors).max(initial=0.0) * np.abs(queries).max(initial=0.0) * max(1, vectors.shape[1])
+    kind = np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else None
+    return kind and (vectors.astype(kind), queries.astype(kind))
+
+
+def _long_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores through Python's integers, held within 64 bits."""
     q = [int(x) for x in query]
-    return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, q, strict=True)))) for v in whole], np.int64)
+    return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(map(int, v), q, strict=True)))) for v in vectors], np.int64)
 
 
 def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """(query_id, vec_id, score) of each query's k best rows of the block, its own left out."""
-    lists = SortedLists(vectors)
-    for qid, q in zip(query_ids.tolist(), queries, strict=True):
-        rows = lists.survivors(q, k + int((ids == qid).sum()))
-        rows = rows[ids[rows] != qid]
-        scores = _exact(vectors[rows] if len(rows) < len(vectors) else vectors, q)
-        best = np.lexsort((ids[rows], -scores))[:k]
-        yield qid, ids[rows][best], scores[best]
+    """(query_id, vec_ids, scores) of each query's k best rows of the block, its own left out."""
+    exact = _held(vectors, queries)
+    lists = SortedLists(exact[0]) if exact else None
+    for a in range(0, len(queries), TOGETHER):
+        names = query_ids[a : a + TOGETHER]
+        own = ids[None, :] == names[:, None]
+        if exact:
+            part = exact[1][a : a + TOGETHER]
+            left = lists.survivors(part, k + int(own.sum(axis=1).max(initial=0))) & ~own
+            scores = part @ exact[0].T
+        for i, name in enumerate(names.tolist()):
+            rows = np.flatnonzero(left[i] if exact else ~own[i])
+            got = scores[i, rows].astype(np.int64) if exact else _long_scores(vectors[rows], queries[a + i])
+            if len(rows) > k:
+                near = np.flatnonzero(got >= np.partition(got, len(got) - k)[len(got) - k])
+                rows, got = rows[near], got[near]
+            best = np.lexsort((ids[rows], -got))[:k]
+            yield name, ids[rows][best], got[best]
 
 
 def _block(k: int, scale: float):
