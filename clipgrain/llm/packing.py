@@ -25,7 +25,7 @@ from clipgrain.llm.textops import bytes_of, slices, word_bounds, word_hashes
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words that a worker's memory of encodings holds before it starts afresh.
+#: Words that a worker's memory of encodings holds before it starts afresh; those of the slice at hand are always held.
 KNOWN_WORDS = 1_500_000
 
 ID_TYPES = {True: np.dtype("<u2"), False: np.dtype("<u4")}
@@ -60,8 +60,6 @@ class WordEncoder:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > KNOWN_WORDS:
-            self._forget()
         plain = np.array([MARK not in w for w in words], bool)
         ids, count = self._encode_plain([w for w in words if MARK not in w])
         rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if MARK in w], add_special_tokens=False)]
@@ -87,15 +85,14 @@ class WordEncoder:
     def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = word_hashes(data, starts, ends, lower=False)
         distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        for _ in range(2):  # a second time if learning has made the memory start afresh
-            slot = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-            new = self.hashes[slot] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-            if not new.any():
-                break
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if len(self.hashes) + new.sum() > KNOWN_WORDS:
+            self._forget()
+            new[:] = True
+        if new.any():
             raw = data.tobytes()
             self._learn(distinct[new], [raw[a:b].decode("utf-8") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-        else:
-            slot = np.searchsorted(self.hashes, distinct)
+        slot = np.searchsorted(self.hashes, distinct)
         return slot[inverse]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
