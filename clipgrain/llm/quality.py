@@ -25,6 +25,10 @@ BUCKETS = 4096
 #: A text stays when its score reaches this.
 THRESHOLD = 0.5
 SLICE_BYTES = 1 << 18
+#: A labeller votes bad on no more than this share of the good texts; its thresholds are chosen so.
+FALSE_ALARMS = 0.003
+#: Weight, relative to the votes, of the prior that a labeller finds a quarter of the bad texts: rare defects stay defects.
+PRIOR = 0.3
 #: Texts under this length show less of what they are, and weigh less.
 SHORT_BYTES = 100
 
@@ -117,7 +121,8 @@ class LabelModel:
             cries = np.empty_like(start)
             for c, weight in enumerate((counts * (1 - p), counts * p)):
                 bad, all_votes = (weight[:, None] * (vote == 1)).sum(axis=0), (weight[:, None] * (vote > 0)).sum(axis=0)
-                cries[c] = np.clip((bad + start[c]) / (all_votes + 1), 1e-6, 1 - 1e-6)
+                prior = 1 if c else 1 + PRIOR * all_votes
+                cries[c] = np.clip((bad + prior * start[c]) / (all_votes + prior), 1e-6, FALSE_ALARMS if c else 1 - 1e-6)
             model = cls(float((counts @ p + 0.85) / (counts.sum() + 1)), cries)
             if np.abs(cries - before).max() < 1e-9:
                 break
