@@ -60,7 +60,8 @@ def pitch(x: np.ndarray, rate: int, floor: float = 75.0, ceiling: float = 600.0,
     best = score.argmax(axis=1) + low + 1
     at = np.arange(len(norm))
     a, b, c = norm[at, best - 1], norm[at, best], norm[at, best + 1]
-    shift = np.where(np.abs(a - 2 * b + c) > 1e-12, 0.5 * (a - c) / (a - 2 * b + c), 0)
+    bend = a - 2 * b + c
+    shift = np.where(np.abs(bend) > 1e-12, 0.5 * (a - c) / np.where(np.abs(bend) > 1e-12, bend, 1), 0)
     loud = np.sqrt(energy[:, 0] / size) > 0.03 * max(np.abs(x).max(initial=0), 1e-9)
     voiced = (b > 0.45) & loud & (score.max(axis=1) > -1)
     return (at * hop + size / 2) / rate, np.where(voiced, rate / (best + shift), 0.0)
