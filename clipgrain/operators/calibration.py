@@ -34,11 +34,47 @@ def stratified_sample(clips: DataFrame, per_bucket: int, seed: int, name: str =
     return clips.withColumn("draw", order).where(F.col("draw") <= per_bucket)
 
 
+#: Bins by which the values of one group are dealt out before any of them are ranked.
+BINS = 1024
+
+
+def exact_percentiles(rows: DataFrame, value: str, keys: tuple[str, ...], shares: dict[str, float]) -> DataFrame:
+    """``keys`` and one column per entry of ``shares``: percentiles with linear interpolation.
+
+    A group may hold any number of rows, so none is gathered: values are counted in
+    bins between the group's extremes, which says in which bins the wanted ranks lie,
+    and only the rows of those bins are ranked, bin by bin.
+    """
+    x = F.col(value)
+    rows = rows.where(x.isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], *keys, x.alias("x"))
+    names = [f"_{k}" for k in keys]
+    ends = rows.groupBy(*names).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total"))
+    bin_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
+    binned = rows.join(ends, names).withColumn("bin", bin_of)
+    bins = binned.groupBy(*names, "bin", "total").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
+    bins = bins.withColumn("past", F.sum("size").over(Window.partitionBy(*names).orderBy("bin")))
+    asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])
+    at = (F.col("total") - 1) * F.col("ask.p")
+    wanted = bins.withColumn("ask", F.explode(asked)).withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))).where((F.col("rank") < F.col("past")) & (F.col("rank") >= F.col("past") - F.col("size")))
+    wanted = wanted.select(*names, "bin", F.col("ask.name").alias("name"), "rank", (F.col("rank") - F.floor(at)).alias("upper"), (at - F.floor(at)).alias("part"), (F.col("past") - F.col("size")).alias("before"), "low", "high")
+    alike = wanted.where("low = high").select(*names, "name", "upper", "part", F.col("low").alias("v"))
+    mixed = wanted.where("low < high")
+    ranked = binned.join(mixed.select(*names, "bin").distinct(), [*names, "bin"]).select(*names, "bin", "x", (F.row_number().over(Window.partitionBy(*names, "bin").orderBy("x")) - 1).alias("nth"))
+    found = mixed.withColumn("nth", F.col("rank") - F.col("before")).join(ranked, [*names, "bin", "nth"]).select(*names, "name", "upper", "part", F.col("x").alias("v"))
+    both = alike.unionByName(found)
+    at_rank = lambda n, u: F.max(F.when((F.col("name") == n) & (F.col("upper") == u), F.col("v")))
+    part = lambda n: F.max(F.when(F.col("name") == n, F.col("part")))
+    return both.groupBy(*names).agg(*[(at_rank(n, 0) + (F.coalesce(at_rank(n, 1), at_rank(n, 0)) - at_rank(n, 0)) * part(n)).alias(n) for n in shares])
+
+
 def summary(rows: DataFrame, value: str, keys: tuple[str, ...]) -> DataFrame:
     """n, mean, median, linear percentiles, extremes and the population deviation of each group."""
     x = F.col(value)
-    agg = rows.where(x.isNotNull()).groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, [0.1, 0.25, 0.5, 0.75, 0.9]).alias("p"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("stdev"))
-    return agg.select(*keys, "n", "mean", F.col("p")[2].alias("median"), F.col("p")[0].alias("p10"), F.col("p")[1].alias("p25"), F.col("p")[3].alias("p75"), F.col("p")[4].alias("p90"), "min", "max", "stdev")
+    names = [f"_{k}" for k in keys]
+    agg = rows.where(x.isNotNull()).groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.stddev_pop(x).alias("stdev"))
+    named = agg.select("*", *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys])
+    p = exact_percentiles(rows, value, keys, {"median": 0.5, "p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    return named.join(p, names).select(*keys, "n", "mean", "median", "p10", "p25", "p75", "p90", "min", "max", "stdev")
 
 
 def hz_class(std: Column) -> Column:

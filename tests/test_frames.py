@@ -180,3 +180,14 @@ def test_streams(spark, tmp_path):
     batch = {(r[0], r[1]): r[2] for r in window_counts(events).collect()}
     assert {(r[0], r[1]): r[2] for r in spark.table("windows").collect()} == batch
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_exact_percentiles(spark, monkeypatch):
+    monkeypatch.setattr(calibration, "BINS", 7)
+    rng = np.random.default_rng(0)
+    groups = {"a": rng.normal(size=501).round(2).tolist(), "b": [3.0] * 40, "c": [1.0], "d": [1.0, 2.0], None: rng.exponential(size=60).tolist()}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double").repartition(4)
+    got = {r["g"]: r for r in calibration.summary(df, "v", ("g",)).collect()}
+    for g, vs in groups.items():
+        for name, p in (("p10", 10), ("p25", 25), ("median", 50), ("p75", 75), ("p90", 90)):
+            assert got[g][name] == pytest.approx(np.percentile(vs, p)), (g, name)
