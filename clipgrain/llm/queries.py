@@ -129,10 +129,37 @@ def _sql_warc() -> str:
     FROM m LEFT JOIN two USING (page_id) WHERE two.digest IS DISTINCT FROM m.digest"""
 
 
+def _sql_ngram_join(n: int, num: int, den: int) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(n))
+    return f"""
+    WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= {n} THEN list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: {shingle})) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+    n AS (SELECT doc_id, len(g) AS n FROM s), e AS (SELECT doc_id, unnest(g) AS x FROM s),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE {den} * k >= {num} * (p.n + q.n - k)),
+    u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+    SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id FROM n LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = n.doc_id"""
+
+
+def _sql_suffix_dedup(length: int) -> str:
+    return f"""
+    WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    v AS (SELECT doc_id, o, row_number() OVER (PARTITION BY y ORDER BY doc_id, o) AS nth FROM (SELECT doc_id, o, substr(x, 2 * o + 1, {2 * length}) AS y FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {length - 1})) AS o FROM h))),
+    i AS (SELECT doc_id, o, CASE WHEN o <= lag(o) OVER w + {length} THEN 0 ELSE 1 END AS new FROM v WHERE nth > 1 WINDOW w AS (PARTITION BY doc_id ORDER BY o)),
+    g AS (SELECT doc_id, o, sum(new) OVER (PARTITION BY doc_id ORDER BY o) AS g FROM i),
+    p AS (SELECT doc_id, min(o) AS s, max(o) + {length} AS e FROM g GROUP BY doc_id, g),
+    q AS (SELECT p.doc_id, s, e, substr(x, 2 * coalesce(lag(e) OVER w, 0) + 1, 2 * (s - coalesce(lag(e) OVER w, 0))) AS piece FROM p JOIN h USING (doc_id) WINDOW w AS (PARTITION BY p.doc_id ORDER BY s)),
+    k AS (SELECT doc_id, string_agg(piece, '' ORDER BY s) AS k, max(e) AS e, count(*) AS n, sum(e - s) AS r FROM q GROUP BY doc_id)
+    SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)})" for h, p, v in URL_RULES)
     return {
         "op2_warc_fixity": _sql_warc(),
+        "op3_ngram_join": _sql_ngram_join(3, 90, 100),
+        "op4_suffix_dedup": _sql_suffix_dedup(100),
         "op5_license_scan": _sql_license_scan(),
         "op6_exact_dedup": f"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS t FROM documents)
