@@ -14,9 +14,13 @@ long lists: a segment of nothing but such shingles is left out, unless a set has
 more of those than the margin in m allows. Both sets of a linked pair then agree
 on which to list, so no link is lost.
 
-Lists are scanned as stars: every member is compared with one pivot, and only
-members that are still in another component than the rest of their list go on to
-further pivots. Comparisons are exact, on the shingles of both texts.
+Scanning the lists gives clusters, within which all linked pairs lie. Every member
+of a cluster is compared with one pivot, its smallest. Two members differ exactly
+by the symmetric difference of their differences from the pivot, so the rest is a
+join of those differences: by prefix filter, with shingles that the pivot lacks
+coming first, as hardly any two members share them. Only pairs in different
+components that meet there are compared. Comparisons are exact, on the shingles
+of both texts.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ from clipgrain.llm.graph import connected_components
 from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 
 #: Shingles in so many sets (as far as tasks counted them) are heavy; of more than so many, the heaviest are.
-HEAVY_AT, MOST_HEAVY = 64, 1 << 17
+HEAVY_AT, MOST_HEAVY = 3, 1 << 19
 #: Shingles a task counts at once, and from how many sets on it reports one.
-COUNT_AT_ONCE, REPORT_FROM = 2_000_000, 4
+COUNT_AT_ONCE, REPORT_FROM = 2_000_000, 2
 #: Sizes that may be small, and the cost of a list entry relative to that of a subset (it may have to be compared).
 LARGEST_SMALL, LIST_COST = 40, 4
 #: Class hashes a task remembers, to list a class once for all its copies there.
@@ -239,76 +243,110 @@ def _set_rows(words: int):
     return run
 
 
-def _compared(num: int, den: int):
-    """Rows sorted by (a, salt, b): the pivot's own set first (b null), then its partners."""
+def _difference_keys(pivot: np.ndarray, member: np.ndarray, num: int, den: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The difference of a member from its pivot as (role, token) rows, and its size h.
+
+    For members A and B with h(A) <= h(B) that differ in at most k shingles, the first
+    k // 2 + 1 of A's difference (role 2) and the first k + 1 of B's (role 1) share one,
+    unless h(A) + h(B) <= k; then both have the token 0.
+    """
+    at = np.minimum(np.searchsorted(pivot, member), len(pivot) - 1)
+    added = member[pivot[at] != member]
+    at = np.minimum(np.searchsorted(member, pivot), len(member) - 1)
+    removed = pivot[member[at] != pivot]
+    tokens = np.concatenate([added, removed])
+    if len(heavy):  # shingles that many sets share come last
+        often = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+        tokens = np.concatenate([tokens[~often], tokens[often]])
+    n, h = len(member), len(tokens)
+    most = (den - num) * (n + den * n // num) // (den + num)  # by which any partner may differ
+    unlinked_from = (den - num) * (-(-num * n // den) + len(pivot)) // (den + num) + 1
+    small, large = tokens[: most // 2 + 1], tokens[: most + 1]
+    zero = np.zeros(1, np.uint64)
+    if h <= most:
+        large = np.append(large, zero)
+    if h + max(h, unlinked_from) <= most:
+        small = np.append(small, zero)
+    return np.repeat([1, 2], [len(large), len(small)]), np.concatenate([large, small]), h
+
+
+_STAR = "a long, b long, role int, token long, h int, n int"
+
+
+def _compared(num: int, den: int, shared):
+    """Rows sorted by (a, salt, b): the pivot's own set first (b null), then its partners.
+
+    Gives a row of role 0 for each link, and the difference of each partner where the
+    pivot has others (``crowd``).
+    """
 
     def run(batches):
-        name, pivot = None, None
+        name, pivot, heavy = None, None, shared.value
         for batch in batches:
-            linked = []
-            for a, salt, b, raw in zip(*(batch[c].to_pylist() for c in ("a", "salt", "b", "shingles")), strict=True):
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, salt, b, crowd, raw in zip(*(batch[c].to_pylist() for c in ("a", "salt", "b", "crowd", "shingles")), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if b is None:
                     name, pivot = (a, salt), s
                 elif name == (a, salt):
                     at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
                     both = int((pivot[at] == s).sum())
+                    roles, tokens, h = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
+                    if crowd:
+                        roles, tokens, h = _difference_keys(pivot, s, num, den, heavy)
                     if den * both >= num * (len(pivot) + len(s) - both):
-                        linked.append((a, b))
-            cols = list(zip(*linked, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["a", "b"])
+                        roles, tokens = np.append(roles, 0), np.append(tokens, U64(0))
+                    m = len(roles)
+                    out.append((np.full(m, a), np.full(m, b), roles, tokens.view(np.int64), np.full(m, h), np.full(m, len(s))))
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
+            columns = [np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "role", "token", "h", "n"])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar. A pivot with many partners is compared in several copies."""
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("copies"))
-    theirs = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b").join(sets.select(F.col("node").alias("b"), "shingles"), "b")
-    own = fan.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+def _star(pairs: DataFrame, sets: DataFrame, num: int, den: int, heavy, differences: bool) -> DataFrame:
+    """Compares the pairs (a, b), see ``_compared``. A pivot with many partners is compared in several copies."""
+    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), ((F.col("partners") > 1) & F.lit(differences)).alias("crowd"))
+    theirs = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", "crowd").join(sets.select(F.col("node").alias("b"), "shingles"), "b")
+    own = fan.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "crowd", "shingles")
     rows = own.unionByName(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compared(num, den), "a long, b long")
+    return rows.mapInArrow(_compared(num, den, heavy), _STAR)
 
 
-def _linked_classes(docs: DataFrame, classes: DataFrame, listed: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _linked_classes(docs: DataFrame, classes: DataFrame, listed: DataFrame, words: int, num: int, den: int, heavy) -> DataFrame:
     """``node, component`` of the classes that have a link, each named by its smallest doc_id."""
     block = Window.partitionBy("key")
-    lists = listed.select("key", "node", F.count(F.lit(1)).over(block).alias("size")).where("size > 1").select("key", "node")
+    lists = checkpoint(listed.select("key", "node", F.count(F.lit(1)).over(block).alias("size")).where("size > 1").select("key", "node"))
     reps = classes.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     # Different tasks may have listed copies of one class: from here on a class goes by its smallest doc_id.
-    lists = checkpoint(lists)
     met = lists.select("node").distinct().join(classes.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node").join(reps, ["h1", "h2", "n"]).groupBy("node").agg(F.min("rep").alias("rep"))
     members = lists.join(met, "node").select("key", F.col("rep").alias("node")).distinct()
-    members = members.withColumn("size", F.count(F.lit(1)).over(block)).withColumn("pivot", F.min("node").over(block)).where("size > 1")
-    members = checkpoint(members)
-    wanted = members.select("node").distinct().join(reps.withColumnRenamed("rep", "node"), "node").select("node", "h1", "h2")
+    stars = members.withColumn("pivot", F.min("node").over(block)).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # All linked pairs lie within what the lists connect; one pivot serves a whole cluster.
+    pairs = checkpoint(connected_components(stars).where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.withColumnRenamed("rep", "node"), "node").select("node", "h1", "h2")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select(F.col("node").alias("id")), "id").select(F.col("id").alias("doc_id"), "text")
     sets = texts.mapInArrow(_set_rows(words), "node long, h1 long, h2 long, shingles binary").join(wanted, ["node", "h1", "h2"], "left_semi")
     sets = checkpoint(sets.select("node", "shingles").dropDuplicates(["node"]))
-    sizes = sets.select("node", (F.octet_length("shingles") / 8).cast("int").alias("n"))
-
-    compared = checkpoint(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = checkpoint(_links(compared, sets, num, den))
-    found = connected_components(links)
-    # Lists of three or more whose members aren't all in one component go on, with twice as many pivots each time.
-    open_lists = members.where("size > 2").select("key", "node").join(sizes, "node")
-    low, many = 1, 1
-    while True:
-        placed = open_lists.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where(f"lo < hi and members > {low + 1}").select("key")
-        ranked = checkpoint(placed.join(apart, "key", "left_semi").withColumn("place", F.row_number().over(block.orderBy("node"))))
-        if ranked.isEmpty():
-            return found
-        pivots = ranked.where(F.col("place").between(low + 1, low + many)).select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"), F.col("place").alias("at"))
-        near = (F.col("n") * den >= F.col("an") * num) & (F.col("an") * den >= F.col("n") * num)
-        met = pivots.join(ranked, "key").where((F.col("place") > F.col("at")) & (F.col("ac") != F.col("component")) & near).select("a", F.col("node").alias("b")).distinct()
-        fresh = checkpoint(met.join(compared, ["a", "b"], "left_anti"))
-        more = checkpoint(_links(fresh, sets, num, den))
-        compared, links = compared.union(fresh), links.union(more)
-        if not more.isEmpty():
-            found = connected_components(links)
-        open_lists = ranked.select("key", "node", "n")
-        low, many = low + many, many * 2
+
+    compared = checkpoint(_star(pairs, sets, num, den, heavy, True))
+    links = compared.where("role = 0").select("a", "b")
+    found = checkpoint(connected_components(links))
+    placed = compared.where("role > 0").join(found.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("p"), "token", "role", "b", "h", "n", F.coalesce("component", "b").alias("c"))
+    # Clusters whose members are all in one component are done.
+    apart = placed.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("p")
+    placed = placed.join(apart, "p", "left_semi")
+    small = placed.where("role = 2").select("p", "token", *[F.col(c).alias(f"{c}1") for c in ("b", "h", "n", "c")])
+    large = placed.where("role = 1").select("p", "token", *[F.col(c).alias(f"{c}2") for c in ("b", "h", "n", "c")])
+    k = F.floor((F.col("n1") + F.col("n2")) * (den - num) / (den + num))
+    ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") < F.col("b2")))
+    near = (F.col("h2") - F.col("h1") <= k) & (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n1") * num)
+    close = (F.col("token") != 0) | (F.col("h1") + F.col("h2") <= k)
+    joined = small.join(large, ["p", "token"]).where((F.col("c1") != F.col("c2")) & ordered & near & close)
+    fresh = joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = checkpoint(_star(checkpoint(fresh), sets, num, den, heavy, False).select("a", "b"))
+    return found if more.isEmpty() else connected_components(links.union(more))
 
 
 def components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -334,7 +372,7 @@ def components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
     plan = Plan(num, den, choose_boundary(sizes, num, den))
     listed = texts.mapInArrow(_listed(words, plan, often), "key long, node long")
-    linked = _linked_classes(texts, classes, listed, words, num, den)
+    linked = _linked_classes(texts, classes, listed, words, num, den, often)
     reps = classes.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     named = reps.join(linked, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component_id"))
     out = classes.join(named, ["h1", "h2", "n"], "left")
