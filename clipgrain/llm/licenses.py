@@ -2,9 +2,8 @@
 
 A text is judged line by line and as a whole. Dice >= t needs 2/3 of a template's
 bigrams at t = 0.8, so of any larger third of them one must occur: each template
-gives such a set of its rarest bigrams, and units meet templates by an equi-join
-on those, with the size bounds in the join. A scan for the anchor words of those
-sets comes first. All of it is DataFrame functions.
+gives such a set of its longest bigrams, and units meet templates by an equi-join
+on those, with the size bounds in the join. A scan for those bigrams comes first. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -69,25 +68,41 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
 
 
 def _prepared(spark: SparkSession, templates: list[tuple[str, str]], threshold: float):
-    """Templates as (bigram, template, ...) rows for the join, and the anchor words."""
+    """Templates as (bigram, template, ...) rows for the join, and the bigrams to scan for."""
     sets = [_template_bigrams(t) for _, t in templates]
     if len(templates) > MAX_TEMPLATES or any(len(s) > MAX_TEMPLATE_WORDS for s in sets):
         raise ValueError("more or longer templates than the library may hold")
     often = Counter(b for s in sets for b in s)
-    word_often = Counter(w for s in sets for b in s for w in b.split())
     rows, anchors = [], set()
     for i, ((licence, _), have) in enumerate(zip(templates, sets, strict=True)):
         if not have:
             continue
         low, high = size_bounds(len(have), threshold)
-        need = len(have) - low + 1  # of so many bigrams one must occur
-        longest = lambda b: max(b.split(), key=lambda w: (len(w), -word_often[w], w))
-        rare = sorted(have, key=lambda b: (-len(longest(b)), often[b], b))[:need]
-        anchors |= {longest(b) for b in rare}
+        # Of so many bigrams one must occur; long ones are the least likely to occur elsewhere.
+        rare = sorted(have, key=lambda b: (-len(b), often[b], b))[: len(have) - low + 1]
+        anchors.update(rare)
         rows += [(b, i, licence, have, len(have), low, high) for b in rare]
     return spark.createDataFrame(rows, "bigram string, template int, license string, have array<string>, n int, low int, high int"), sorted(anchors)
 
 
+def _anchor_pattern(bigrams: list[str]) -> str:
+    """A regular expression that is met wherever one of ``bigrams`` occurs, in lower-cased text as it is.
+
+    It may also be met elsewhere, as ends of words and letters beyond ASCII aren't checked.
+
+    Common beginnings are shared, so that most positions of a text cost one comparison.
+    """
+
+    def tree(rest: list[str]) -> str:
+        if "" in rest:  # a shorter word covers the longer ones
+            return ""
+        heads = sorted({w[0] for w in rest})
+        parts = [("[^a-z0-9]+" if h == " " else re.escape(h)) + tree([w[1:] for w in rest if w[0] == h]) for h in heads]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"[^a-z0-9]{tree(bigrams)}"
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines, and whole texts, whose Dice coefficient with a template reaches ``threshold``.
 
@@ -98,10 +113,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     kept; an empty table gives no rows; other columns are ignored.
     """
     rows, anchors = _prepared(docs.sparkSession, TEMPLATES if templates is None else templates, threshold)
-    anchored = F.lower(F.col("text")).rlike("|".join(map(re.escape, anchors))) if anchors else F.lit(False)
+    if not anchors:
+        rows, anchors = rows.limit(0), ["\0"]
+    anchored = F.concat(F.lit(" "), F.lower(F.col("text"))).rlike(_anchor_pattern(anchors))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(anchored)
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(anchored).withColumn("line", F.col("line") + 1)
-    units = lines.unionByName(texts.select("doc_id", F.lit(0).alias("line"), "text"))
+    units = texts.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "text")).where(anchored)
     units = units.select("doc_id", "line", bigrams(normalised(F.col("text"))).alias("own")).withColumn("size", F.size("own"))
     most = rows.agg(F.max("high")).first()[0] or 0
     met = units.where(F.col("size").between(1, most)).select("*", F.explode("own").alias("bigram")).join(F.broadcast(rows), "bigram").where(F.col("size").between(F.col("low"), F.col("high")))
