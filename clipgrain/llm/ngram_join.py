@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint
+from clipgrain.llm.common import checkpoint, release
 from clipgrain.llm.graph import connected_components
 from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 
@@ -318,6 +318,7 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, listed: DataFrame, word
     """``node, component`` of the classes that have a link, each named by its smallest doc_id."""
     block = Window.partitionBy("key")
     lists = checkpoint(listed.select("key", "node", F.count(F.lit(1)).over(block).alias("size")).where("size > 1").select("key", "node"))
+    release(docs.sparkSession)  # the lists' shuffle is the largest of all
     reps = classes.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     # Different tasks may have listed copies of one class: from here on a class goes by its smallest doc_id.
     met = lists.select("node").distinct().join(classes.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node").join(reps, ["h1", "h2", "n"]).groupBy("node").agg(F.min("rep").alias("rep"))
@@ -329,6 +330,7 @@ def _linked_classes(docs: DataFrame, classes: DataFrame, listed: DataFrame, word
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select(F.col("node").alias("id")), "id").select(F.col("id").alias("doc_id"), "text")
     sets = texts.mapInArrow(_set_rows(words), "node long, h1 long, h2 long, shingles binary").join(wanted, ["node", "h1", "h2"], "left_semi")
     sets = checkpoint(sets.select("node", "shingles").dropDuplicates(["node"]))
+    release(docs.sparkSession)
 
     compared = checkpoint(_star(pairs, sets, num, den, heavy, True))
     links = compared.where("role = 0").select("a", "b")
