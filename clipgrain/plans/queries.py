@@ -133,10 +133,11 @@ def _response(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """First turns of conversations as transcripts, by glyph or by white space."""
-    rows = A.table(spark, d, "conversations").where("turn = 0 and text is not null")
-    rows = rows.select(F.col("conv_id").alias("clip_id"), F.when(F.col("conv_id") % 3 == 0, "espeak").otherwise("ipa").alias("format"), F.lower("text").alias("content"))
-    return alignment.transcript_tokens(rows, {s: i for i, (s, _, _, _) in enumerate(R.alphabet())})
+    """Every turn of a conversation as a transcript of its own, by glyph or by white space."""
+    rows = A.table(spark, d, "conversations").where("text is not null")
+    rows = rows.select(F.struct("conv_id", "turn").alias("clip_id"), F.when(F.col("conv_id") % 3 == 0, "espeak").otherwise("ipa").alias("format"), F.lower("text").alias("content"))
+    tokens = alignment.transcript_tokens(rows, {s: i for i, (s, _, _, _) in enumerate(R.alphabet())})
+    return tokens.select("clip_id.*", "position", "symbol", "phoneme", "vocab_idx")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
