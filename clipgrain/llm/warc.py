@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from clipgrain.llm.common import checkpoint
 
 FAN_OUT = 16
-#: Records of one archive; also how many leaves of the tree an archive has.
+#: Records of one archive at most.
 ARCHIVE_RECORDS = 16**3
 
 
@@ -39,12 +39,65 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
     return pages.select(archive.alias("archive"), key.alias("record_id"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
 
 
+def numbered(df: DataFrame, order: list[str], levels: dict[str, int] | None = None, place: str = "leaf") -> DataFrame:
+    """Adds ``place``, the row's number from 0 in ``order``; each level numbers, from 0, the rows that agree in so many first columns of it.
+
+    Rows are sorted by ranges and numbered range by range, behind the counts of the
+    ranges before. Rows equal in all of ``order`` are spread, so no key is bound to one task.
+    """
+    levels = levels or {}
+    sort = [*order, "_any"]
+    rows = checkpoint(df.withColumn("_any", F.rand(7)).repartitionByRange(*sort).withColumn("_range", F.spark_partition_id()))
+    keys = {c: F.struct(*order[:n]) for c, n in levels.items()}
+    ends = [x for c, k in keys.items() for x in (F.min(k).alias(f"{c}_low"), F.max(k).alias(f"{c}_high"))]
+    found = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), *ends)
+    # How many rows of a range belong to its last group, and how many rows of its first group lie in ranges before.
+    for c, k in keys.items():
+        last = rows.join(F.broadcast(found.select("_range", f"{c}_high")), "_range").where(k.eqNullSafe(F.col(f"{c}_high"))).groupBy("_range").agg(F.count(F.lit(1)).alias(f"{c}_n"))
+        found = found.join(last, "_range")
+    before, sums, carried, total = [], dict.fromkeys(keys, 0), dict.fromkeys(keys), 0
+    for r in sorted(found.collect(), key=lambda r: r["_range"]):
+        row = [r["_range"], total]
+        for c in keys:
+            row.append(sums[c] if carried[c] == r[f"{c}_low"] else 0)
+            whole = r[f"{c}_low"] == r[f"{c}_high"]
+            sums[c], carried[c] = r[f"{c}_n"] + (row[-1] if whole else 0), r[f"{c}_high"]
+        total += r["n"]
+        before.append(row)
+    ranges = df.sparkSession.createDataFrame(before, ", ".join(["_range int", "_before long", *[f"_{c} long" for c in keys]]))
+    low = found.select("_range", *[f"{c}_low" for c in keys])
+    within = Window.partitionBy("_range")
+    rows = rows.withColumn(place, F.row_number().over(within.orderBy(*sort)) - 1)
+    for c, n in levels.items():
+        rows = rows.withColumn(c, F.row_number().over(Window.partitionBy("_range", *order[:n]).orderBy(*sort[n:])) - 1)
+    rows = rows.join(F.broadcast(ranges), "_range")
+    if keys:
+        rows = rows.join(F.broadcast(low), "_range")
+    first = {c: F.col(c) + F.when(k.eqNullSafe(F.col(f"{c}_low")), F.col(f"_{c}")).otherwise(0) for c, k in keys.items()}
+    return rows.withColumns({place: F.col(place) + F.col("_before"), **first}).select(*df.columns, place, *keys)
+
+
+def _split(placed: DataFrame) -> DataFrame:
+    """Cuts archives of more than ARCHIVE_RECORDS records; what is cut off gets numbers behind the last archive."""
+    placed = checkpoint(placed.withColumn("_part", F.floor(F.col("ordinal") / ARCHIVE_RECORDS)))
+    parts = sorted(map(tuple, placed.where("_part > 0").select("bucket", "_part").distinct().collect()))
+    last = placed.agg(F.max("bucket")).first()[0] or 0
+    numbers = placed.sparkSession.createDataFrame([(*p, last + 1 + i) for i, p in enumerate(parts)], "bucket long, _part long, archive long")
+    rows = placed.drop("archive").join(F.broadcast(numbers), ["bucket", "_part"], "left")
+    rows = rows.withColumns({"archive": F.coalesce("archive", "bucket"), "ordinal": (F.col("ordinal") % ARCHIVE_RECORDS).cast("int")})
+    before = Window.partitionBy("archive").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("_part")
+
+
 def manifest(first: DataFrame) -> DataFrame:
-    """Adds ``ordinal`` and ``offset`` in record_id order within each archive, and the leaf number ``leaf``."""
-    order = Window.partitionBy("archive").orderBy("record_id", "digest")
-    placed = first.withColumn("ordinal", F.row_number().over(order) - 1)
-    placed = placed.withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    return placed.withColumn("leaf", F.col("archive") * ARCHIVE_RECORDS + F.col("ordinal"))
+    """Adds ``ordinal`` and ``offset`` in record_id order within each archive, and the leaf number ``leaf``.
+
+    Leaves are numbered through all archives without gaps. ``bucket`` is the archive
+    as given: one of more than ARCHIVE_RECORDS records is split into several. ``copy``
+    numbers equal records.
+    """
+    placed = numbered(first.withColumn("bucket", F.col("archive")), ["bucket", "record_id", "digest"], {"ordinal": 1, "copy": 3})
+    return _split(placed)
 
 
 def _parents(level: DataFrame) -> DataFrame:
@@ -67,18 +120,22 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     Returns one row per damaged record: ``archive, ordinal, offset, length`` (where it
     should be), ``record_id, kind`` (``payload``: other bytes of the same length,
     ``length``: other length, ``missing``, ``extra``), ``digest_first, digest_second,
-    leaf``. Defined cases: repeated records of one id are told apart by their order
-    of digest; extra records have no place and come after their archive's last
-    leaf; equal replicas, and empty ones, give no rows.
+    leaf``. Defined cases: repeated records of one id (or of none) first meet their
+    equals, and what is left is paired in order of digest; extra records have no
+    place and come after the manifest's last leaf; equal replicas, and empty ones,
+    give no rows.
     """
-    twins = Window.partitionBy("archive", "record_id").orderBy("digest")
-    one = checkpoint(manifest(first).withColumn("twin", F.row_number().over(twins)))
-    two = second.withColumn("twin", F.row_number().over(twins))
-    places = one.select("archive", "record_id", "twin", "leaf")
-    # Ids beyond the manifest are numbered behind the archive's own leaves.
-    two = two.join(places, ["archive", "record_id", "twin"], "left")
-    beyond = F.row_number().over(Window.partitionBy("archive", F.col("leaf").isNull()).orderBy("record_id", "twin")) + ARCHIVE_RECORDS // 2
-    two = checkpoint(two.withColumn("leaf", F.coalesce("leaf", F.col("archive") * ARCHIVE_RECORDS + beyond)))
+    key = ["bucket", "record_id"]
+    one = checkpoint(manifest(first))
+    two = numbered(second.withColumnRenamed("archive", "bucket"), [*key, "digest"], {"copy": 3}, "at").drop("at")
+    two = checkpoint(two.join(one.select(*key, "digest", "copy", "leaf"), [*key, "digest", "copy"], "left"))
+    alone = one.join(two.where("leaf is not null").select("leaf"), "leaf", "left_anti").select(*key, "digest", "leaf")
+    alone = numbered(alone, [*key, "digest"], {"twin": 2}, "at").select(*key, "twin", "leaf")
+    other = numbered(two.where("leaf is null").drop("leaf"), [*key, "digest"], {"twin": 2}, "at").drop("at")
+    other = checkpoint(other.join(alone, [*key, "twin"], "left").drop("twin"))
+    # Records beyond the manifest are numbered behind its last leaf.
+    extra = numbered(other.where("leaf is null").drop("leaf"), [*key, "digest"]).withColumn("leaf", F.col("leaf") + one.count())
+    two = checkpoint(two.where("leaf is not null").unionByName(other.where("leaf is not null")).unionByName(extra))
     last = one.select("leaf").union(two.select("leaf")).agg(F.max("leaf")).first()[0] or 0
     height = 1
     while FAN_OUT**height <= last:
@@ -90,10 +147,10 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
         both = a.withColumnRenamed("digest", "digest_first").join(b.withColumnRenamed("digest", "digest_second"), "leaf", "full_outer")
         found = both.where(~F.col("digest_first").eqNullSafe(F.col("digest_second")))
         differ = checkpoint(found.select(F.col("leaf").alias("up")))
-    lengths = two.select("leaf", F.col("length").alias("length_second"), F.col("record_id").alias("id_second"))
-    located = found.join(one.drop("digest", "twin"), "leaf", "left").join(lengths, "leaf", "left")
+    lengths = two.select("leaf", F.col("length").alias("length_second"), F.col("record_id").alias("id_second"), F.col("bucket").alias("bucket_second"))
+    located = found.join(one.drop("digest", "copy", "bucket"), "leaf", "left").join(lengths, "leaf", "left")
     kind = F.when(F.col("digest_second").isNull(), "missing").when(F.col("digest_first").isNull(), "extra").when(F.col("length") == F.col("length_second"), "payload").otherwise("length")
-    return located.select(F.coalesce("archive", F.floor(F.col("leaf") / ARCHIVE_RECORDS)).alias("archive"), "ordinal", "offset", "length", F.coalesce("record_id", "id_second").alias("record_id"), kind.alias("kind"), "digest_first", "digest_second", "leaf")
+    return located.select(F.coalesce("archive", "bucket_second").alias("archive"), "ordinal", "offset", "length", F.coalesce("record_id", "id_second").alias("record_id"), kind.alias("kind"), "digest_first", "digest_second", "leaf")
 
 
 def parse_warc(content: bytes) -> list[tuple[str, str, int, bytes]]:
