@@ -1,6 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A text is judged line by line and as a whole. Dice >= t needs 2/3 of a template's
+A text is judged line by line, as a whole, and by runs of words that a wrapped or
+embedded notice may take. Dice >= t needs 2/3 of a template's
 bigrams at t = 0.8, so of any larger third of them one must occur: each template
 gives such a set of its longest bigrams, and units meet templates by an equi-join
 on those, with the size bounds in the join. A scan for those bigrams comes first. All of it is DataFrame functions.
@@ -103,11 +104,44 @@ def _anchor_pattern(bigrams: list[str]) -> str:
     return f"[^a-z0-9]{tree(bigrams)}"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines, and whole texts, whose Dice coefficient with a template reaches ``threshold``.
+def _runs(texts: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """The best runs of words of each text, over line ends or within lines: ``doc_id, uid, first, last`` (lines) and the template.
+
+    A run begins and ends with a bigram of its template and has at most twice as many
+    bigrams as a set that can reach ``threshold``. Of runs that overlap the best is
+    kept, ties going to the earlier template, then to the earlier run.
+    """
+    words = F.flatten(F.transform(F.split("text", "\n"), lambda x, i: F.transform(F.split(normalised(x), " "), lambda w: F.struct(w.alias("w"), (i + 1).alias("line")))))
+    texts = texts.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.filter(words, lambda x: x["w"] != "").alias("words")).where(F.size("words") > 1)
+    texts = texts.select("doc_id", "uid", F.transform("words", lambda x: x["line"]).alias("lines"), F.transform("words", lambda x: x["w"]).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    texts = texts.select("doc_id", "uid", "lines", pairs.alias("pairs")).withColumn("own", F.array_distinct("pairs"))
+    # A run in reach needs as many bigrams of the template as the smallest set in reach has.
+    near = texts.join(F.broadcast(rows.drop("bigram").dropDuplicates(["template"])), F.size(F.array_intersect("own", "have")) >= F.col("low")).drop("own")
+    near = near.withColumn("marked", F.transform("pairs", lambda x: F.concat(F.when(F.array_contains("have", x), "+").otherwise("-"), x))).drop("pairs", "have")
+    starts = F.filter(F.transform("marked", lambda x, i: F.when(x.startswith("+"), i + 1)), lambda i: i.isNotNull())
+    runs = near.select("*", F.explode(starts).alias("start")).withColumn("run", F.slice("marked", F.col("start"), 2 * F.col("high"))).drop("marked")
+    # Bigrams by first occurrence: the k-th is where a run comes to k distinct ones.
+    runs = runs.withColumn("own", F.array_distinct("run"))
+    runs = runs.withColumn("hits", F.filter(F.transform("own", lambda x, i: F.when(x.startswith("+"), i + 1)), lambda i: i.isNotNull()))
+    runs = runs.withColumn("best", F.array_max(F.transform("hits", lambda k, m: F.struct((2.0 * (m + 1) / (k + F.col("n"))).alias("dice"), (-k).alias("size"))))).where(F.col("best.dice") >= threshold)
+    end = F.col("start") + F.array_position("run", F.element_at("own", -F.col("best.size"))).cast("int") - 1
+    line = lambda at: F.element_at("lines", at)
+    runs = runs.withColumn("end", end).select("doc_id", "uid", F.struct((-F.col("best.dice")).alias("least"), "template", "start", "end", line(F.col("start")).alias("first"), line(F.col("end") + 1).alias("last"), "license").alias("r"))
+    apart = lambda kept, r: ~F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"]))
+    found = runs.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("r")).alias("rs"))
+    found = found.withColumn("kept", F.aggregate("rs", F.slice("rs", 1, 1), lambda kept, r: F.when(apart(kept, r), F.concat(kept, F.array(r))).otherwise(kept)))
+    return found.select("doc_id", F.explode("kept").alias("r")).select("doc_id", "r.first", "r.last", "r.license", "r.template", (-F.col("r.least")).alias("dice"))
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """Lines and whole texts, and with ``runs`` runs of words, whose Dice coefficient with a template reaches ``threshold``.
 
     Returns ``doc_id, line`` (from 1; 0 is the whole text), ``license, template, dice``
-    of the best template, ties going to the earlier one. Defined cases: null or empty
+    of the best template, ties going to the earlier one. A run of words (see ``_runs``)
+    counts where no unit of lines says it already: not if it lies in one line that
+    has a row, or in a text that has one as a whole; its line is the one it begins
+    in, which can have rows of several runs. Defined cases: null or empty
     texts and units of fewer than two words match nothing; a text of one line is
     judged as line 1 and as a whole; repeated rows give one result; a null doc_id is
     kept; an empty table gives no rows; other columns are ignored.
@@ -124,4 +158,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     dice = F.lit(2.0) * F.size(F.array_intersect("own", "have")) / (F.col("size") + F.col("n"))
     scored = met.select("doc_id", "line", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("template")).alias("first"), "license"))
-    return scored.groupBy("doc_id", "line").agg(best.alias("b")).select("doc_id", "line", F.col("b.license").alias("license"), (-F.col("b.first")).alias("template"), F.round("b.dice", 6).alias("dice"))
+    units = scored.groupBy("doc_id", "line").agg(best.alias("b")).select("doc_id", "line", F.col("b.license").alias("license"), (-F.col("b.first")).alias("template"), F.round("b.dice", 6).alias("dice"))
+    if not runs:
+        return units
+    said = units.select(F.col("doc_id").alias("said_id"), F.col("line").alias("said_line"))
+    within = F.col("doc_id").eqNullSafe(F.col("said_id")) & ((F.col("said_line") == 0) | ((F.col("said_line") == F.col("first")) & (F.col("first") == F.col("last"))))
+    found = _runs(texts, rows, threshold).join(said, within, "left_anti")
+    return units.unionByName(found.select("doc_id", F.col("first").alias("line"), "license", "template", F.round("dice", 6).alias("dice")).distinct())

@@ -63,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_fixity": warc_fixity,
         "op3_ngram_join": ngram_join,
         "op4_suffix_dedup": suffix_dedup,
-        "op5_license_scan": lambda s, d: licenses.scan(table(s, d, "documents")),
+        "op5_license_scan": lambda s, d: licenses.scan(table(s, d, "documents"), runs=True),
         "op6_exact_dedup": lambda s, d: exact_dedup.group_exact(table(s, d, "documents")),
         "op7_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages"), s.createDataFrame(URL_RULES, "host string, path string, verdict string")),
         "op8_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer_path()),
