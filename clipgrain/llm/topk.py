@@ -87,6 +87,11 @@ def _long_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.array([max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(map(int, v), q, strict=True)))) for v in vectors], np.int64)
 
 
+def _scores(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of ``rows`` only."""
+    return queries @ (vectors if len(rows) == len(vectors) else vectors[rows]).T
+
+
 def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
     """(query_id, vec_ids, scores) of each query's k best rows of the block, its own left out."""
     exact = _held(vectors, queries)
@@ -97,10 +102,12 @@ def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
         if exact:
             part = exact[1][a : a + TOGETHER]
             left = lists.survivors(part, k + int(own.sum(axis=1).max(initial=0))) & ~own
-            scores = part @ exact[0].T
+            kept = np.flatnonzero(left.any(axis=0))
+            scores = _scores(part, exact[0], kept)
         for i, name in enumerate(names.tolist()):
-            rows = np.flatnonzero(left[i] if exact else ~own[i])
-            got = scores[i, rows].astype(np.int64) if exact else _long_scores(vectors[rows], queries[a + i])
+            at = np.flatnonzero(left[i, kept]) if exact else None
+            rows = kept[at] if exact else np.flatnonzero(~own[i])
+            got = scores[i, at].astype(np.int64) if exact else _long_scores(vectors[rows], queries[a + i])
             if len(rows) > k:
                 near = np.flatnonzero(got >= np.partition(got, len(got) - k)[len(got) - k])
                 rows, got = rows[near], got[near]
