@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgrain.llm.common import checkpoint
-from clipgrain.llm.textops import bytes_of, slices, word_bounds, word_hashes
+from clipgrain.llm.textops import bytes_of, equal_spans, slices, span_hashes, word_bounds
 
 SEQUENCE = 2048
 END_ID = 1
-#: Words that a worker's memory of encodings holds before it starts afresh; those of the slice at hand are always held.
-KNOWN_WORDS = 1_500_000
+#: Words, and their bytes, that a worker's memory of encodings holds before it starts afresh; those of the slice at hand are always held.
+KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 32 << 20
 
 ID_TYPES = {True: np.dtype("<u2"), False: np.dtype("<u4")}
 
@@ -34,14 +34,15 @@ ID_TYPES = {True: np.dtype("<u2"), False: np.dtype("<u4")}
 MARK = "7"
 
 _encoders: dict[str, WordEncoder] = {}
+_hashes = span_hashes
 
 
 class WordEncoder:
     """Ids of texts, from the encodings of their distinct white-space-separated words.
 
     For tokenizers whose pieces never hold white space the ids of a text are those
-    of its words in turn, so each distinct word is encoded once. The memory is
-    keyed by 64-bit word hashes.
+    of its words in turn, so each distinct word is encoded once. Words are found by
+    their hashes and then compared by their bytes.
     """
 
     def __init__(self, path: str):
@@ -54,23 +55,30 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        plain = np.array([MARK not in w for w in words], bool)
-        ids, count = self._encode_plain([w for w in words if MARK not in w])
-        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if MARK in w], add_special_tokens=False)]
-        counts = np.zeros(len(words), np.int64)
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.count, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
+        self.begin, self.text = _Grown(np.int64), _Grown(np.uint8)  # the words themselves
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        ids, first, counts = self._encode(words)
+        self.slots, self.hashes = (np.insert(x, np.searchsorted(self.hashes, hashes), y) for x, y in ((self.slots, self.first.size + np.arange(len(words))), (self.hashes, hashes)))
+        self.first.extend(self.flat.size + first)
+        self.count.extend(counts)
+        self.flat.extend(ids)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.begin.extend(self.text.size + np.cumsum(sizes) - sizes)
+        self.text.extend(np.frombuffer(b"".join(words), np.uint8))
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where those of each begin and how many they are."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = np.array([MARK not in w for w in texts], bool)
+        ids, count = self._encode_plain([w for w in texts if MARK not in w])
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in texts if MARK in w], add_special_tokens=False)]
+        counts, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         counts[plain], counts[~plain] = count, list(map(len, rest))
-        first = np.zeros(len(words), np.int64)
-        first[plain] = len(self.flat) + np.cumsum(count) - count
-        first[~plain] = len(self.flat) + len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
-        self.flat = np.concatenate([self.flat, ids, np.array([i for x in rest for i in x], np.uint32)])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.first, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.first, first), (self.count, counts)))
+        first[plain], first[~plain] = np.cumsum(count) - count, len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+        return np.concatenate([ids, np.array([i for x in rest for i in x], np.uint32)]), first, counts
 
     def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words without MARK, and how many each has: many words go in one call, with MARK between them."""
@@ -82,29 +90,42 @@ class WordEncoder:
         ends = np.flatnonzero(mark)
         return ids[~mark], np.diff(ends, prepend=-1) - 1
 
-    def _slots(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = word_hashes(data, starts, ends, lower=False)
-        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        new = ~np.isin(distinct, self.hashes, assume_unique=True)
-        if len(self.hashes) + new.sum() > KNOWN_WORDS:
-            self._forget()
-            new[:] = True
-        if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode("utf-8") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-        slot = np.searchsorted(self.hashes, distinct)
-        return slot[inverse]
-
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and where each text's ids begin (one more at the end)."""
         starts, ends, first = word_bounds(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        slot = self._slots(data, starts, ends)
-        n = self.count[slot]
+        distinct, at, inverse = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        new = ~np.isin(distinct, self.hashes, assume_unique=True)
+        if len(self.hashes) + new.sum() > KNOWN_WORDS or self.text.size > KNOWN_BYTES:
+            self._forget()
+            new[:] = True
+        if new.any():
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
+        slot = self.slots[np.searchsorted(self.hashes, distinct)][inverse]
+        begin = self.begin.values[slot]
+        past = np.append(self.begin.values[: self.begin.size], self.text.size)[slot + 1]
+        if equal_spans(data, starts, ends, self.text.values[: self.text.size], begin, past).all():
+            flat, begins, n = self.flat.values, self.first.values[slot], self.count.values[slot]
+        else:  # different words hash alike: encode every word of the slice by itself
+            flat, begins, n = self._encode([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         total = np.concatenate(([0], np.cumsum(n)))
-        where = np.repeat(self.first[slot] - total[:-1], n) + np.arange(total[-1])
-        return self.flat[where], total[first]
+        where = np.repeat(begins - total[:-1], n) + np.arange(total[-1])
+        return flat[where], total[first]
+
+
+class _Grown:
+    """An array that grows at its end; ``values`` has room to spare."""
+
+    def __init__(self, kind):
+        self.values, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.values):
+            self.values = np.concatenate([self.values[: self.size], np.zeros(self.size + len(more), self.values.dtype)])
+        self.values[self.size : self.size + len(more)] = more
+        self.size += len(more)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -139,7 +160,8 @@ def padded(length: int, sequence: int) -> int:
 
 def _cut(shared, sequence: int, keep_ids: bool):
     def run(batches):
-        offset, end = shared.value[TaskContext.get().partitionId()]
+        begins, end = shared.value
+        offset = begins.get(TaskContext.get().partitionId(), end)  # a partition without rows has none to place
         last = padded(end % sequence, sequence)
         for batch in batches:
             rows = []
@@ -168,15 +190,14 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, keep_ids: bo
 
     Defined cases: a null or empty text is the one id 1; a null doc_id stays null;
     repeated rows are each packed; a text longer than a sequence spans several; an
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows, and partitions may be empty; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     encoded = checkpoint(rows.mapInArrow(_tokenise(tokenizer), "doc_id long, ids binary, tokens long"))
     by_partition = encoded.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.col("tokens") + 1).alias("n"))
-    totals = {r["p"]: r["n"] for r in by_partition.collect()}
-    end, offset, begins = sum(totals.values()), 0, {}
-    for partition in range(max(totals, default=-1) + 1):
-        begins[partition] = (offset, end)
-        offset += totals.get(partition, 0)
-    shared = docs.sparkSession.sparkContext.broadcast(begins)
+    begins, end = {}, 0
+    for p, n in sorted(map(tuple, by_partition.collect())):  # one number a partition that has rows
+        begins[p] = end
+        end += n
+    shared = docs.sparkSession.sparkContext.broadcast((begins, end))
     return encoded.mapInArrow(_cut(shared, sequence, keep_ids), PIECE + (", ids array<int>" if keep_ids else ""))

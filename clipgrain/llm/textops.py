@@ -8,6 +8,8 @@ that every task and every retry gives the same values.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,8 +25,6 @@ _seed = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_VALUE = _seed.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Value of a byte once A-Z are lower-cased.
-_LOWER_VALUE = _BYTE_VALUE[_LOWER]
 _RATIO = 0x9E3779B97F4A7C15
 _RATIO_INV = pow(_RATIO, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -93,15 +93,57 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z lower-cased if asked."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_VALUE if lower else _BYTE_VALUE)[data] * powers(_RATIO, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_RATIO_INV, n + 1)[starts]
-    return mix64(h + (ends - starts).astype(np.uint64))
+#: Words up to this many bytes are hashed eight bytes at a time, longer ones by BLAKE2.
+LANE_WORD = 64
+_LANE_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as integers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: eight bytes at a time, with a non-linear step after each."""
+    sizes, lanes = ends - starts, _lanes(data)
+    h = mix64(sizes.astype(np.uint64) * U64(_RATIO))
+    live, at = np.arange(len(starts)), 0
+    while len(live):
+        rest = sizes[live] - at
+        h[live] = mix64((h[live] ^ (lanes[starts[live] + at] & _LANE_MASK[np.minimum(rest, 8)])) * U64(0xD6E8FEB86659FD93) + U64(at + 1))
+        at += 8
+        live = live[rest > 8]
+    return h
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, of any length."""
+    h = block_hashes(data, starts, np.minimum(ends, starts + LANE_WORD))
+    for i in np.flatnonzero(ends - starts > LANE_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, with A-Z lower-cased."""
+    return span_hashes(_LOWER[data], starts, ends)
+
+
+def equal_spans(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, starts_two: np.ndarray, ends_two: np.ndarray) -> np.ndarray:
+    """Whether the spans of one array are byte for byte those of another."""
+    sizes = ends - starts
+    same, a, b = sizes == ends_two - starts_two, _lanes(one), _lanes(two)
+    live, at = np.flatnonzero(same & (sizes <= LANE_WORD)), 0
+    while len(live):
+        rest = sizes[live] - at
+        same[live] &= ((a[starts[live] + at] ^ b[starts_two[live] + at]) & _LANE_MASK[np.clip(rest, 0, 8)]) == 0
+        at += 8
+        live = live[rest > 8]
+    for i in np.flatnonzero(same & (sizes > LANE_WORD)).tolist():
+        same[i] = np.array_equal(one[starts[i] : ends[i]], two[starts_two[i] : ends_two[i]])
+    return same
 
 
 _STEP = (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3))
@@ -126,8 +168,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
             s = np.sort(runs[a : b - n + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            short = h[a:b] * powers(_RATIO, b - a)
-            out.append(mix64(np.array([short.sum(dtype=np.uint64) + U64(b - a)], np.uint64)))
+            short = np.array([b - a], np.uint64)
+            for word in h[a:b]:
+                short = mix64(short * _STEP[0] + word)
+            out.append(short)
         else:
             out.append(np.zeros(0, np.uint64))
     return out
