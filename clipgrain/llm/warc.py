@@ -1,10 +1,11 @@
 """WARC records and a Merkle fixity audit of replicas.
 
 Records have a place (archive, ordinal) in the manifest of the first replica. A
-record's digest is a leaf; a node is the digest of up to sixteen children in
-offset order, up to one root for the whole collection. Two replicas are compared
-at the root, and only the children of nodes that differ are looked at on the
-next level, down to the damaged records.
+leaf is a record's digest with its place and length; a node hashes up to sixteen
+children in offset order, with the range of offsets they cover, up to one root for
+the whole collection. Each level of either tree is hashed once and kept. Two
+replicas are compared at the root, and on the next level only the children of nodes
+that differ are read, down to the damaged records.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint
+from clipgrain.llm.common import checkpoint, small
 
 FAN_OUT = 16
 #: Records of one archive at most.
@@ -80,10 +81,10 @@ def numbered(df: DataFrame, order: list[str], levels: dict[str, int] | None = No
 def _split(placed: DataFrame) -> DataFrame:
     """Cuts archives of more than ARCHIVE_RECORDS records; what is cut off gets numbers behind the last archive."""
     placed = checkpoint(placed.withColumn("_part", F.floor(F.col("ordinal") / ARCHIVE_RECORDS)))
-    parts = sorted(map(tuple, placed.where("_part > 0").select("bucket", "_part").distinct().collect()))
     last = placed.agg(F.max("bucket")).first()[0] or 0
-    numbers = placed.sparkSession.createDataFrame([(*p, last + 1 + i) for i, p in enumerate(parts)], "bucket long, _part long, archive long")
-    rows = placed.drop("archive").join(F.broadcast(numbers), ["bucket", "_part"], "left")
+    parts = numbered(placed.where("_part > 0").select("bucket", "_part").distinct(), ["bucket", "_part"], place="_nth")
+    numbers = checkpoint(parts.select("bucket", "_part", (F.col("_nth") + last + 1).alias("archive")))
+    rows = placed.drop("archive").join(small(numbers), ["bucket", "_part"], "left")
     rows = rows.withColumns({"archive": F.coalesce("archive", "bucket"), "ordinal": (F.col("ordinal") % ARCHIVE_RECORDS).cast("int")})
     before = Window.partitionBy("archive").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("_part")
@@ -101,37 +102,46 @@ def manifest(first: DataFrame) -> DataFrame:
 
 
 def _parents(level: DataFrame) -> DataFrame:
-    children = F.array_sort(F.collect_list(F.struct("leaf", "digest")))
-    joined = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["leaf"].cast("string"), c["digest"])), ",")
-    return level.groupBy(F.floor(F.col("leaf") / FAN_OUT).alias("leaf")).agg(F.sha2(joined, 256).alias("digest"))
+    """Nodes over up to FAN_OUT children each: the digest of all they hold, in order, and the range of offsets they cover."""
+    children = F.array_sort(F.collect_list(F.struct("leaf", "low", "high", "digest")))
+    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["leaf"].cast("string"), F.coalesce(c["low"].cast("string"), F.lit("-")), F.coalesce(c["high"].cast("string"), F.lit("-")), F.hex(c["digest"]))), ",")
+    return level.groupBy(F.floor(F.col("leaf") / FAN_OUT).alias("leaf")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def tree(leaves: DataFrame, height: int) -> list[DataFrame]:
-    """Levels of (leaf, digest) from the leaves up; the last has one root."""
-    levels = [leaves.select("leaf", "digest")]
+def tree(records: DataFrame, height: int) -> list[DataFrame]:
+    """Kept levels of (leaf, low, high, digest) from the leaves up; the last has one root."""
+    end = F.col("offset") + F.col("length")
+    levels = [records.select("leaf", F.col("offset").alias("low"), end.alias("high"), F.unhex("digest").alias("digest"))]
     for _ in range(height):
-        levels.append(_parents(levels[-1]))
+        levels.append(checkpoint(_parents(levels[-1])))
     return levels
 
 
+def _children(level: DataFrame, differ: DataFrame) -> DataFrame:
+    """The nodes of a level below nodes that differ."""
+    return level.withColumn("up", F.floor(F.col("leaf") / FAN_OUT)).join(small(differ), "up", "left_semi").drop("up")
+
+
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """Locate where the records of ``second`` differ from those of ``first`` (see ``records``).
 
     Returns one row per damaged record: ``archive, ordinal, offset, length`` (where it
     should be), ``record_id, kind`` (``payload``: other bytes of the same length,
     ``length``: other length, ``missing``, ``extra``), ``digest_first, digest_second,
-    leaf``. Defined cases: repeated records of one id (or of none) first meet their
-    equals, and what is left is paired in order of digest; extra records have no
-    place and come after the manifest's last leaf; equal replicas, and empty ones,
-    give no rows.
+    leaf``. Defined cases: ids may be negative, or null (record -1 of archive 0);
+    repeated records of one id (or of none) first meet their equals, and what is left
+    is paired in order of digest; extra records have no place and come after the
+    manifest's last leaf; a payload of any length is hashed whole, a null one as empty;
+    equal replicas, and empty ones, give no rows; other columns are ignored.
     """
     key = ["bucket", "record_id"]
+    first, second = (x.select("archive", "record_id", "length", "digest") for x in (first, second))
     one = checkpoint(manifest(first))
     two = numbered(second.withColumnRenamed("archive", "bucket"), [*key, "digest"], {"copy": 3}, "at").drop("at")
-    two = checkpoint(two.join(one.select(*key, "digest", "copy", "leaf"), [*key, "digest", "copy"], "left"))
-    alone = one.join(two.where("leaf is not null").select("leaf"), "leaf", "left_anti").select(*key, "digest", "leaf")
-    alone = numbered(alone, [*key, "digest"], {"twin": 2}, "at").select(*key, "twin", "leaf")
-    other = numbered(two.where("leaf is null").drop("leaf"), [*key, "digest"], {"twin": 2}, "at").drop("at")
+    two = checkpoint(two.join(one.select(*key, "digest", "copy", "leaf", "offset"), [*key, "digest", "copy"], "left"))
+    alone = one.join(two.where("leaf is not null").select("leaf"), "leaf", "left_anti").select(*key, "digest", "leaf", "offset")
+    alone = numbered(alone, [*key, "digest"], {"twin": 2}, "at").select(*key, "twin", "leaf", "offset")
+    other = numbered(two.where("leaf is null").drop("leaf", "offset"), [*key, "digest"], {"twin": 2}, "at").drop("at")
     other = checkpoint(other.join(alone, [*key, "twin"], "left").drop("twin"))
     # Records beyond the manifest are numbered behind its last leaf.
     extra = numbered(other.where("leaf is null").drop("leaf"), [*key, "digest"]).withColumn("leaf", F.col("leaf") + one.count())
@@ -140,17 +150,20 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     height = 1
     while FAN_OUT**height <= last:
         height += 1
-    differ = None
-    for a, b in zip(reversed(tree(one, height)), reversed(tree(two, height)), strict=True):
+    trees, differ = (tree(one, height), tree(two, height)), None
+    for a, b in zip(*map(reversed, trees), strict=True):
         if differ is not None:  # only branches below a difference
-            a, b = (x.withColumn("up", F.floor(F.col("leaf") / FAN_OUT)).join(differ, "up", "left_semi").drop("up") for x in (a, b))
-        both = a.withColumnRenamed("digest", "digest_first").join(b.withColumnRenamed("digest", "digest_second"), "leaf", "full_outer")
-        found = both.where(~F.col("digest_first").eqNullSafe(F.col("digest_second")))
-        differ = checkpoint(found.select(F.col("leaf").alias("up")))
-    lengths = two.select("leaf", F.col("length").alias("length_second"), F.col("record_id").alias("id_second"), F.col("bucket").alias("bucket_second"))
-    located = found.join(one.drop("digest", "copy", "bucket"), "leaf", "left").join(lengths, "leaf", "left")
+            a, b = _children(a, differ), _children(b, differ)
+        both = a.select("leaf", F.col("digest").alias("digest_first")).join(b.select("leaf", F.col("digest").alias("digest_second")), "leaf", "full_outer")
+        found = checkpoint(both.where(~F.col("digest_first").eqNullSafe(F.col("digest_second"))))
+        differ = found.select(F.col("leaf").alias("up"))
+    found = small(found)
+    located = one.select("archive", "ordinal", "offset", "length", "record_id", "leaf").join(found, "leaf", "right")
+    lengths = two.select("leaf", F.col("length").alias("length_second"), F.col("record_id").alias("id_second"), F.col("bucket").alias("bucket_second")).join(found.select("leaf"), "leaf", "left_semi")
+    located = located.join(lengths, "leaf", "left")
     kind = F.when(F.col("digest_second").isNull(), "missing").when(F.col("digest_first").isNull(), "extra").when(F.col("length") == F.col("length_second"), "payload").otherwise("length")
-    return located.select(F.coalesce("archive", "bucket_second").alias("archive"), "ordinal", "offset", "length", F.coalesce("record_id", "id_second").alias("record_id"), kind.alias("kind"), "digest_first", "digest_second", "leaf")
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("digest_first", "digest_second")]
+    return located.select(F.coalesce("archive", "bucket_second").alias("archive"), "ordinal", "offset", "length", F.coalesce("record_id", "id_second").alias("record_id"), kind.alias("kind"), *digests, "leaf")
 
 
 def parse_warc(content: bytes) -> list[tuple[str, str, int, bytes]]:

@@ -34,3 +34,45 @@ def test_places_are_unique_and_bounded(spark):
     for found in archives.values():
         assert [r["ordinal"] for r in found] == list(range(len(found))) and len(found) <= warc.ARCHIVE_RECORDS
         assert [r["offset"] for r in found] == [sum(x["length"] for x in found[:k]) for k in range(len(found))]
+
+
+def damaged(pages, other):
+    """Brute force: per archive and record id the records without an equal, paired in order of digest; extras are what is left."""
+    import hashlib
+
+    def record(page):
+        i, url, html = page
+        body = html or ""
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if i is None else i}>\r\nWARC-Target-URI: {url or ''}\r\nContent-Length: {len(body.encode())}\r\n\r\n"
+        raw = (head + body + "\r\n\r\n").encode()
+        return hashlib.sha256(raw).hexdigest(), len(raw)
+
+    mine, theirs, out = {}, {}, []
+    for held, rows in ((mine, pages), (theirs, other)):
+        for page in rows:
+            held.setdefault(-1 if page[0] is None else page[0], []).append(record(page))
+    for i in set(mine) | set(theirs):
+        a, b = Counter(mine.get(i, [])), Counter(theirs.get(i, []))
+        a, b = sorted((a - b).elements()), sorted((b - a).elements())
+        for k in range(max(len(a), len(b))):
+            x, y = a[k] if k < len(a) else None, b[k] if k < len(b) else None
+            out.append((i, "missing" if y is None else "extra" if x is None else "payload" if x[1] == y[1] else "length", x and x[0], y and y[0]))
+    return sorted(out, key=str)
+
+
+def test_against_brute_force_and_only_below_differences(spark, monkeypatch):
+    pages = [(i, f"http://h/{i}", f"page {i}") for i in range(-5000, 3000)] + [(None, None, None), (None, "u", "v" * 100_000)]
+    pages += [(77, "http://h/77", f"copy {k}") for k in range(4)] + [(88, None, "same")] * 3
+    gone = {("page -8",), ("page 2999",)}
+    other = [(i, u, "X" + h[1:] if h in ("page -4999", "copy 2") else h and h + "!" if h == "page 1023" else h) for i, u, h in pages if (h,) not in gone]
+    other += [(77, "http://h/77", f"more {k}") for k in range(5000)] + [(88, None, "same"), (-9000, None, None)]
+    read = []
+    children = warc._children
+    monkeypatch.setattr(warc, "_children", lambda level, differ: read.append((children(level, differ).count(), differ.count())) or children(level, differ))
+    clash = lambda rows: spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS archive", "2 AS leaf", "3 AS digest", "4 AS `offset`")
+    first, second = warc.records(clash(pages)), warc.records(clash(other))
+    got = [(r["record_id"], r["kind"], r["digest_first"], r["digest_second"]) for r in warc.audit(first.selectExpr("*", "1 AS leaf"), second.selectExpr("*", "2 AS bucket")).collect()]
+    assert sorted(got, key=str) == damaged(pages, other)
+    assert read and all(n <= warc.FAN_OUT * k for n, k in read)
+    read.clear()
+    assert warc.audit(first, first).collect() == [] and sum(n for n, _ in read) == 0
