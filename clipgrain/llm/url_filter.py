@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+from itertools import batched
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,20 +109,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
 
     Returns ``id_col, host, path, rule, verdict``. Defined cases: a null url or one
     without ``://`` has empty host and path, fits no rule and gets ``default``;
-    repeated rows are each judged; a rule with a null part is no rule; of equal
-    rules with both verdicts ``block`` holds; an empty rule table gives ``default``
-    everywhere; other columns of either table are ignored.
+    repeated rows are each judged; a url of any length is judged whole; a rule with a
+    null part is no rule; a rule may repeat, and of equal rules with both verdicts
+    ``block`` holds; an empty rule table gives ``default`` everywhere, and an empty table
+    of pages no rows; other columns of either table are ignored. Every
+    ``rules_per_sweep`` rules take a sweep of their own.
     """
     spark = pages.sparkSession
     parts = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     keyed = parts.select("id", "host", "path", F.reverse(F.split("host", r"\.")).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    clean = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna()
-    groups = -(-clean.count() * 5 // (4 * rules_per_sweep)) or 1
+    clean = rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     # The path and the id let a host with a third of all rows be cut into many ranges.
     swept = keyed.repartitionByRange("key", "path", "id").sortWithinPartitions("key", "path")
-    for g in range(groups):
-        held = clean.where(F.pmod(F.xxhash64("host", "path"), F.lit(groups)) == g).limit(2 * rules_per_sweep + 1).collect()
-        if len(held) > 2 * rules_per_sweep:
-            raise ValueError("rules repeat too often; give distinct rules")
+    for held in batched(clean.toLocalIterator(), rules_per_sweep):
         swept = swept.mapInArrow(_sweep(spark.sparkContext.broadcast([tuple(r) for r in held])), swept.schema)
     return swept.select(F.col("id").alias(id_col), "host", "path", "rule", "verdict")
