@@ -7,7 +7,9 @@ that share an anchor form one phrase. Equal windows have equal anchors, so only
 phrases with the same anchor can hold them.
 
 1. Phrases are shuffled by anchor, once per distinct phrase and slice of input. Of
-   equal phrases all but the first go whole; an anchor with one phrase is done.
+   equal phrases all but the first go whole; an anchor with one phrase is done. The
+   phrases of a large anchor are parted by further least k-grams of their windows,
+   which equal windows share too.
 2. Anchors with several phrases are indexed in shards: the first phrase of each
    anchor goes into a Burrows-Wheeler transform kept as runs, with text positions
    sampled at both ends of every run. All other phrases stream matching statistics
@@ -27,26 +29,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint
-from clipgrain.llm.textops import _BYTE_VALUE, _RATIO, _RATIO_INV, U64, bytes_of, mix64, powers, slices
+from clipgrain.llm.common import checkpoint, small
+from clipgrain.llm.textops import _BYTE_VALUE, _RATIO, _RATIO_INV, U64, block_hashes, bytes_of, mix64, powers, slices
 
 #: Bytes of phrases that one index holds, about.
 SHARD_BYTES = 900_000
+#: Bytes of phrases beyond which those of one anchor are parted.
+LARGE_ANCHOR = 450_000
 #: Bytes that are parsed at once; small enough for the caches.
 PARSE_BYTES = 1 << 18
 _PLACE_BITS = 16
 
 
+def _grams(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k bytes in a row."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * powers(_RATIO, n), out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * powers(_RATIO_INV, n + 1)[: n - k + 1])
+
+
+def _parted(data: np.ndarray, anchor: int, length: int, k: int, level: int):
+    """(anchor, start, windows) of the parts of a phrase whose windows agree in their ``level`` least k-grams, which name them."""
+    least = np.sort(np.lib.stride_tricks.sliding_window_view(_grams(data, k), length - k + 1), axis=1)[:, :level]
+    name = np.full(len(least), np.int64(anchor).view(np.uint64))
+    for column in least.T:
+        name = mix64(name + column)
+    first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
+    return zip(name[first].view(np.int64).tolist(), first.tolist(), np.diff(np.append(first, len(name))).tolist(), strict=True)
+
+
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """(text, start, windows, anchor, phrase) arrays of all phrases of a slice; hashes are 64-bit."""
+    """(text, start, windows, anchor, phrase) arrays of all phrases of a slice.
+
+    Anchors only say where equal windows meet. Phrases of an anchor are told apart by
+    64 bits of a non-linear hash of all their bytes.
+    """
     n, w = len(data), length - k + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers(_RATIO, n), out=sums[1:])
-    inverse = powers(_RATIO_INV, n + 1)
-    grams = mix64((sums[k:] - sums[:-k]) * inverse[: n - k + 1])
+    grams = _grams(data, k)
     least = (grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= w:
@@ -65,7 +88,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     low, at = starts[first], at[first]
     text = np.searchsorted(offsets, low, side="right") - 1
     high = low + count - 1 + length
-    phrase = mix64((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    phrase = block_hashes(data, low, high)
     return text, low - offsets[text], count, grams[at], phrase
 
 
@@ -364,19 +387,21 @@ def _compare_phrases(length: int):
     return run
 
 
-def _phrase_texts(length: int):
+def _phrase_texts(length: int, k: int):
+    """The bytes of each wanted phrase; those of a large anchor in parts, see ``_parted``."""
+
     def run(batches):
         for batch in batches:
             data, off = bytes_of(batch["text"])
-            out = [[], [], [], []]
+            out = []
             for doc, wanted, begin in zip(batch["doc_id"].to_pylist(), batch["wanted"].to_pylist(), off[:-1].tolist(), strict=True):
                 for w in wanted:
-                    start = w["place"] >> _PLACE_BITS
-                    out[0].append(w["anchor"])
-                    out[1].append(doc)
-                    out[2].append(start)
-                    out[3].append(data[begin + start : begin + start + (w["place"] & 0xFFFF) - 1 + length].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["anchor", "doc_id", "start", "bytes"])
+                    start, windows = w["place"] >> _PLACE_BITS, w["place"] & 0xFFFF
+                    text = data[begin + start : begin + start + windows - 1 + length]
+                    parts = _parted(text, w["anchor"], length, k, w["level"]) if w["level"] else [(w["anchor"], 0, windows)]
+                    out += [(anchor, doc, start + a, text[a : a + n - 1 + length].tobytes()) for anchor, a, n in parts]
+            cols = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "doc_id", "start", "bytes"])
 
     return run
 
@@ -448,8 +473,14 @@ def repeated_spans(texts: DataFrame, length: int, shard_bytes: int = SHARD_BYTES
     keyed = parsed.repartition(F.coalesce("anchor", F.xxhash64("doc_id", "place"))).sortWithinPartitions("anchor", "phrase", "doc_id", "place")
     compared = checkpoint(_split(keyed, length))
     spans = compared.where("anchor is null").select("doc_id", F.col("place").alias("first"), F.col("phrase").alias("past"))
-    wanted = compared.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
-    bodies = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_phrase_texts(length), "anchor long, doc_id long, start long, bytes binary")
+    several = compared.where("anchor is not null")
+    size = F.sum(F.col("place").bitwiseAND(0xFFFF) + length - 1)
+    # The larger an anchor, the more further grams part its phrases, so that no task gets them all.
+    level = F.least(F.lit(1) + F.ceil(F.log(4.0, F.col("size") / LARGE_ANCHOR)), F.lit(8)).cast("int")
+    large = checkpoint(several.groupBy("anchor").agg(size.alias("size")).where(F.col("size") > LARGE_ANCHOR).select("anchor", level.alias("level")))
+    several = several.join(small(large), "anchor", "left")
+    wanted = several.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", F.coalesce("level", F.lit(0)).alias("level"))).alias("wanted"))
+    bodies = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_phrase_texts(length, k), "anchor long, doc_id long, start long, bytes binary")
     sharded = bodies.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start")
     return spans.unionByName(sharded.mapInArrow(_index_shards(length, shard_bytes), "doc_id long, first long, past long"))
 
@@ -483,7 +514,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
 
     Returns ``doc_id, n_bytes, n_removed, n_spans`` (maximal removed runs),
     ``kept_sha256`` and, with ``with_text``, the remaining bytes as ``kept``. Defined
-    cases: a null text counts as empty; a text under ``length`` bytes stays whole; a
+    cases: a null text counts as empty; a text of any length is read whole, and one under
+    ``length`` bytes stays so; a
     row with a null doc_id takes no part and stays whole; of rows that repeat a
     doc_id one is taken (equal rows count once); an empty table gives no rows; other
     columns are ignored.
