@@ -11,6 +11,7 @@ from clipgrain.functions.kernels import forced_alignment
 from clipgrain.functions.text import lookup
 from clipgrain.functions.tokens import nfc, transcript_symbols
 from clipgrain.operators.decode import argmax, runs, top_k
+from clipgrain.operators.notation import forms
 from clipgrain.sources import reference_data as R
 
 
@@ -20,16 +21,12 @@ def transcript_tokens(transcripts: DataFrame, vocab: dict[str, int]) -> DataFram
     A symbol in the vocabulary is itself; else its ASCII spelling is looked up, the
     first entry that claims an IPA form winning. Without either the vocab_idx is null.
     """
-    spelled: dict[str, str] = {}
-    canonical = {symbol: ipa for symbol, ipa, _, _ in R.alphabet()}
-    for symbol, ipa, others, _ in R.alphabet():
-        for form in (ipa, *others):
-            spelled.setdefault(form, symbol)
+    spelled = forms(transcripts.sparkSession).groupBy("form").agg(F.min_by("ipa", "symbol").alias("ipa"), F.min("symbol").alias("ascii"))
     index = {k: str(v) for k, v in vocab.items()}
     rows = transcripts.select("clip_id", F.posexplode(transcript_symbols(F.col("format"), F.col("content"))).alias("position", "symbol")).where(~F.col("symbol").isin(*R.NON_PHONEMES))
-    rows = rows.withColumn("form", nfc(F.col("symbol"))).withColumn("ascii", lookup(spelled, F.col("form")))
+    rows = rows.withColumn("form", nfc(F.col("symbol"))).join(F.broadcast(spelled), "form", "left")
     direct, other = lookup(index, F.col("form")), lookup(index, F.col("ascii"))
-    phoneme = F.when(direct.isNotNull(), F.col("form")).when(other.isNotNull(), lookup(canonical, F.col("ascii")))
+    phoneme = F.when(direct.isNotNull(), F.col("form")).when(other.isNotNull(), F.col("ipa"))
     return rows.select("clip_id", "position", "symbol", phoneme.alias("phoneme"), F.coalesce(direct, other).cast("int").alias("vocab_idx"))
 
 
@@ -37,12 +34,13 @@ def span_means(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``mean``: the average of ``log_probs`` over each span's frames, entry by entry.
 
     ``spans``: ``clip_id, span, target, start_frame, end_frame``. Frames are few per
-    clip, so they meet their span by clip and frame number.
+    span, so their arrays are gathered and summed in place, without a row per entry.
     """
     at = spans.withColumn("frame_idx", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)))
-    cells = at.join(frames.select("clip_id", "frame_idx", "log_probs"), ["clip_id", "frame_idx"]).select(*spans.columns, F.posexplode("log_probs").alias("v", "x"))
-    means = cells.groupBy(*spans.columns, "v").agg(F.avg("x").alias("m"))
-    return means.groupBy(*spans.columns).agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "m"))), lambda p: p["m"]).alias("mean"))
+    rows = at.join(frames.select("clip_id", "frame_idx", "log_probs"), ["clip_id", "frame_idx"])
+    held = rows.groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "log_probs"))).alias("held"))
+    total = F.aggregate(F.slice("held", 2, F.size("held")), F.col("held")[0]["log_probs"], lambda acc, x: F.zip_with(acc, x["log_probs"], lambda a, b: a + b))
+    return held.select(*spans.columns, F.transform(total, lambda x: x / F.size("held")).alias("mean"))
 
 
 def classify_spans(spans: DataFrame) -> DataFrame:

@@ -15,5 +15,12 @@ def response(clips: DataFrame, **blocks: DataFrame) -> DataFrame:
     return out
 
 
+def flat(responses: DataFrame) -> DataFrame:
+    """The fields of all blocks side by side, each under its block's name."""
+    nested = [f.name for f in responses.schema.fields if f.dataType.typeName() == "struct"]
+    own = [c for c in responses.columns if c not in nested]
+    return responses.select(*own, *[F.col(f"{b}.{f.name}").alias(f"{b}_{f.name}") for b in nested for f in responses.schema[b].dataType.fields])
+
+
 def as_json(responses: DataFrame) -> DataFrame:
     return responses.select("clip_id", F.to_json(F.struct(*[c for c in responses.columns if c != "clip_id"])).alias("response"))

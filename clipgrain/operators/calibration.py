@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipgrain.functions.text import lookup
+from clipgrain.functions.text import lookup, number_or_null
 from clipgrain.sources import reference_data as R
 
 
@@ -34,23 +34,25 @@ def stratified_sample(clips: DataFrame, per_bucket: int, seed: int, name: str =
     return clips.withColumn("draw", order).where(F.col("draw") <= per_bucket)
 
 
-#: Bins by which the values of one group are dealt out before any of them are ranked.
-BINS = 1024
+#: Bins of about equally many values by which one group is dealt out before any of them are ranked.
+BINS = 64
 
 
 def exact_percentiles(rows: DataFrame, value: str, keys: tuple[str, ...], shares: dict[str, float]) -> DataFrame:
     """``keys`` and one column per entry of ``shares``: percentiles with linear interpolation.
 
     A group may hold any number of rows, so none is gathered: values are counted in
-    bins between the group's extremes, which says in which bins the wanted ranks lie,
-    and only the rows of those bins are ranked, bin by bin.
+    bins between approximate quantiles, whatever their spread, which says in which bins
+    the wanted ranks lie, and only the rows of those bins are ranked, bin by bin. A bin
+    of one value needs no ranking.
     """
     x = F.col(value)
     rows = rows.where(x.isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], *keys, x.alias("x"))
     names = [f"_{k}" for k in keys]
-    ends = rows.groupBy(*names).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total"))
-    bin_of = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
-    binned = rows.join(ends, names).withColumn("bin", bin_of)
+    ends = rows.groupBy(*names).agg(F.percentile_approx("x", [i / BINS for i in range(1, BINS)], 10_000).alias("edges"), F.count(F.lit(1)).alias("total"))
+    # A value that is an edge itself has a bin of its own, so that a frequent one is not ranked with others.
+    bin_of = F.size(F.filter("edges", lambda e: e < F.col("x"))) + F.size(F.filter("edges", lambda e: e <= F.col("x")))
+    binned = rows.join(ends, names).withColumn("bin", bin_of).drop("edges")
     bins = binned.groupBy(*names, "bin", "total").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("low"), F.max("x").alias("high"))
     bins = bins.withColumn("past", F.sum("size").over(Window.partitionBy(*names).orderBy("bin")))
     asked = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in shares.items()])
@@ -125,3 +127,21 @@ def report(summaries: list, cut, table: list, judged) -> str:
     lines += [f"| {r['bucket']} | {r['n']} | {r['hz_flat']} / {r['hz_moderate']} / {r['hz_expressive']} | {r['st_flat']} / {r['st_moderate']} / {r['st_expressive']} |" for r in table]
     lines += ["", f"In target: {judged['flat_pct']:.0f} % flat, {judged['expressive_pct']:.0f} % expressive. Cross-tail: {judged['flat_cross_pct']:.0f} % and {judged['expressive_cross_pct']:.0f} %. The cut-offs are {judged['verdict']}."]
     return "\n".join(lines) + "\n"
+
+
+RESULT_FIELDS = "filename string, actor string, gender string, emotion string, intensity string, bucket string, duration_s string, voiced_fraction string, f0_std_hz string, f0_std_semitones string, f0_range_hz_max_min string, f0_range_semitones_p10_p90 string, phonemes_total_tokens string, notes string"
+_NUMBERS = ("duration_s", "voiced_fraction", "f0_std_hz", "f0_std_semitones", "f0_range_hz_max_min", "f0_range_semitones_p10_p90")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of earlier runs from CSV with a header; numbers that can't be read are null, and no rows at all are an error."""
+    rows = spark.read.csv(path, schema=RESULT_FIELDS, header=True)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in {path}")
+    return rows.withColumns({c: number_or_null(F.col(c)) for c in _NUMBERS} | {"phonemes_total_tokens": number_or_null(F.col("phonemes_total_tokens")).cast("long")})
+
+
+def append_results(rows: DataFrame, path: str) -> None:
+    """Adds rows to the CSV files of ``path``, in the order of RESULT_FIELDS; columns that ``rows`` lacks stay empty."""
+    names = [f.split()[0] for f in RESULT_FIELDS.split(", ")]
+    rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast("string").alias(n) for n in names]).write.mode("append").csv(path, header=True)

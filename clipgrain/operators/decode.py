@@ -33,6 +33,11 @@ def runs(frames: DataFrame, value: str, order: str = "frame_idx", keys: tuple[st
     return rows.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(order).alias("start_frame"), (F.max(order) + 1).alias("end_frame"))
 
 
+def label_of(token: Column, vocab: list[str]) -> Column:
+    """The symbol of an id; ``<vocab:id>`` for ids that the vocabulary lacks."""
+    return F.coalesce(F.try_element_at(F.array(*[F.lit(v) for v in vocab]), token + 1), F.format_string("<vocab:%d>", token))
+
+
 def occurrences(frames: DataFrame, vocab: list[str], blank: int = 0) -> DataFrame:
     """Greedy decoding of ``clip_id, frame_idx, log_probs, duration_s``: ``clip_id, seq, phoneme, start_s, end_s``.
 
@@ -41,8 +46,7 @@ def occurrences(frames: DataFrame, vocab: list[str], blank: int = 0) -> DataFram
     ids = frames.select("clip_id", "frame_idx", argmax(F.col("log_probs")).alias("token"))
     clips = frames.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.max("duration_s").alias("duration_s"))
     found = runs(ids, "token").where((F.col("token") != blank) & (F.col("token") >= 0)).join(clips, "clip_id").where("duration_s > 0")
-    label = F.try_element_at(F.array(*[F.lit(v) for v in vocab]), F.col("token") + 1)
-    found = found.withColumn("phoneme", label).where(F.col("phoneme").isNotNull() & ~F.col("phoneme").isin(*R.NON_PHONEMES))
+    found = found.withColumn("phoneme", label_of(F.col("token"), vocab)).where(~F.col("phoneme").isin(*R.NON_PHONEMES))
     per_frame = F.col("duration_s") / F.col("n")
     seq = F.row_number().over(Window.partitionBy("clip_id").orderBy("run"))
     return found.select("clip_id", seq.alias("seq"), "phoneme", (F.col("start_frame") * per_frame).alias("start_s"), (F.col("end_frame") * per_frame).alias("end_s"))

@@ -102,13 +102,11 @@ def all_profiles(inventory: DataFrame) -> DataFrame:
 
 def stretch_scores(inventory: DataFrame, expected: str = "expected_language") -> DataFrame:
     """One row per clip and probe of its expected language; none where there is no probe set."""
-    sets = F.create_map(
-        *[
-            x
-            for language, probes in R.PROBES.items()
-            for x in (F.lit(language), F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(label).alias("label"), F.lit(ipa).alias("ipa"), F.lit(n).alias("expected_count"), symbols(accept.split()).alias("accept"), symbols(near.split()).alias("approximate")) for i, (label, ipa, n, accept, near) in enumerate(probes)]))
-        ]
-    )
+    asked: dict[str, list] = {}
+    for i, p in R.by_language(R.PROBES):
+        probe = F.struct(F.lit(i).alias("ord"), F.lit(p.label).alias("label"), F.lit(p.ipa).alias("ipa"), F.lit(p.expected).alias("expected_count"), symbols(list(p.accepted)).alias("accept"), symbols(list(p.approximate)).alias("approximate"))
+        asked.setdefault(p.language, []).append(probe)
+    sets = F.create_map(*[x for language, probes in asked.items() for x in (F.lit(language), F.array(*probes))])
     key = F.when(F.col(expected) != "", lookup(R.PROBE_ALIASES, F.lower(strip(F.col(expected)))))
     rows = inventory.withColumn("probe_set", key).withColumn("p", F.explode(F.try_element_at(sets, F.col("probe_set"))))
     n, near = count_of(F.col("counts"), F.col("p.accept")), count_of(F.col("counts"), F.col("p.approximate"))

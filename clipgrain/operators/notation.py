@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipgrain.functions.text import lookup
 from clipgrain.sources import reference_data as R
 
 
@@ -12,18 +16,42 @@ def strip_slashes(token: Column) -> Column:
     return F.regexp_replace(token, "^/+|/+$", "")
 
 
-def reverse_index(alphabet: list[tuple[str, str, list[str], bool]] | None = None) -> list[tuple[str, list[str]]]:
-    """(ipa form, symbols that stand for it), alternates without their slashes."""
-    index: dict[str, set[str]] = {}
-    for symbol, ipa, others, _ in R.alphabet() if alphabet is None else alphabet:
-        for form in (ipa, *(o.strip("/") for o in others)):
-            index.setdefault(form, set()).add(symbol)
-    return sorted((form, sorted(symbols)) for form, symbols in index.items())
+def to_ipa(symbol: Column) -> Column:
+    """IPA of a symbol: by the whole symbol, or with the notation's rules applied from the longest on."""
+    rules = sorted(R.NOTATION, key=lambda n: -len(n.symbol))
+    rewritten = reduce(lambda text, n: F.replace(text, F.lit(n.symbol), F.lit(n.ipa)), rules, symbol)
+    return F.coalesce(lookup({n.symbol: n.ipa for n in R.NOTATION}, symbol), F.replace(rewritten, F.lit(":"), F.lit("ː")))
+
+
+def alternates(ipa: Column) -> Column:
+    """Other spellings of a sound: in slashes, affricates with a tie bar, known equivalents with and without slashes."""
+    none = F.array().cast("array<string>")
+    slashed = lambda x: F.concat(F.lit("/"), x, F.lit("/"))
+    tied = F.concat(F.substring(ipa, 1, 1), F.lit("\u0361"), F.substring(ipa, 2, 1 << 20))
+    barred = F.when(ipa.isin(*R.AFFRICATES), F.array(tied, slashed(tied))).when(F.substring(ipa, 1, 2).isin(*R.AFFRICATES), F.array(tied)).otherwise(none)
+    equal = F.create_map(*[x for k, others in R.EQUIVALENCES.items() for x in (F.lit(k), F.array(*map(F.lit, others)))])
+    others = F.flatten(F.transform(F.coalesce(F.try_element_at(equal, ipa), none), lambda x: F.array(x, slashed(x))))
+    return F.array_distinct(F.concat(F.array(slashed(ipa)), barred, others))
+
+
+def alphabet(spark: SparkSession) -> DataFrame:
+    """``symbol, ipa, ipa_alternates, uncertain, version`` of the fixed symbols."""
+    rows = spark.createDataFrame([(n.symbol, n.uncertain) for n in R.alphabet()], "symbol string, uncertain boolean")
+    rows = rows.withColumn("ipa", to_ipa(F.col("symbol")))
+    return rows.select("symbol", "ipa", alternates(F.col("ipa")).alias("ipa_alternates"), "uncertain", F.lit(R.ALPHABET_VERSION).alias("version"))
+
+
+def forms(spark: SparkSession, symbols: DataFrame | None = None) -> DataFrame:
+    """``symbol, ipa, form``: every spelling, with slashes and without, that stands for a symbol."""
+    rows = alphabet(spark) if symbols is None else symbols
+    spellings = F.concat(F.array("ipa"), "ipa_alternates", F.transform("ipa_alternates", strip_slashes))
+    return rows.select("symbol", "ipa", F.explode(F.array_distinct(spellings)).alias("form"))
 
 
-def drift(tokens: DataFrame, alphabet: list[tuple[str, str, list[str], bool]] | None = None) -> DataFrame:
+def drift(tokens: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Adds ``ipa, matches, category`` to rows with a ``token``: direct, notation-only or phonological."""
-    table = F.broadcast(tokens.sparkSession.createDataFrame(reverse_index(alphabet), "ipa string, matches array<string>"))
+    known = forms(tokens.sparkSession, symbols).groupBy(F.col("form").alias("ipa")).agg(F.sort_array(F.collect_set("symbol")).alias("matches"))
+    table = F.broadcast(known)
     rows = tokens.withColumn("ipa", strip_slashes(F.col("token"))).join(table, "ipa", "left")
     category = F.when(F.col("matches").isNull(), "phonological").when(F.array_contains("matches", F.col("ipa")), "direct").otherwise("notation-only")
     return rows.withColumn("category", category)
@@ -50,3 +78,28 @@ def read_phoneme_lists(spark, path: str) -> DataFrame:
     found = lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("language"), F.regexp_extract("value", pattern, 2).alias("body"), "at")
     last = found.groupBy("language").agg(F.max_by("body", "at").alias("body"))
     return last.select("language", F.posexplode(F.expr("regexp_extract_all(body, '\"([^\"]+)\"', 1)")).alias("ord", "token"))
+
+
+def symbols_of(tokens: DataFrame, key: str = "clip_id") -> DataFrame:
+    """``key, symbols, n_symbols``: the distinct symbols of each clip or file in code-point order."""
+    return tokens.groupBy(key).agg(F.sort_array(F.collect_set("symbol")).alias("symbols")).withColumn("n_symbols", F.size("symbols"))
+
+
+def read_vocab(spark: SparkSession, path: str, fallback: list[str] | None = None) -> DataFrame:
+    """``symbol, idx`` of a JSON object of symbols and ids; where there is no such file, ``fallback`` or the fixed alphabet in order."""
+    try:
+        body = spark.read.text(path, wholetext=True)
+        found = body.select(F.explode(F.from_json("value", "map<string,int>")).alias("symbol", "idx"))
+        if not found.isEmpty():
+            return found
+    except AnalysisException:
+        pass
+    return spark.createDataFrame(list(enumerate(fallback or [n.symbol for n in R.alphabet()])), "idx int, symbol string").select("symbol", "idx")
+
+
+def write_artefacts(spark: SparkSession, folder: str, tokens: DataFrame) -> None:
+    """The alphabet, the drift of ``tokens`` (``language, token``) by category, and its gaps, each as JSON lines."""
+    found = drift(tokens)
+    alphabet(spark).write.mode("overwrite").json(f"{folder}/alphabet")
+    found.groupBy("category", "token").agg(F.sort_array(F.collect_set("language")).alias("languages")).write.mode("overwrite").json(f"{folder}/catalogue")
+    languages_of(found, "phonological").write.mode("overwrite").json(f"{folder}/gaps")

@@ -29,6 +29,11 @@ def f0_stats(pitch: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFram
     return agg.select(*keys, *[enough(F.col(c)).alias(c) for c in ("mean_hz", "min_hz", "max_hz", "std_hz", "std_semitones")], enough(F.col("p")[1] - F.col("p")[0]).alias("range_semitones_p10_p90"), F.coalesce("voiced_fraction", F.lit(0.0)).alias("voiced_fraction"))
 
 
+def f0_range(pitch: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
+    """``keys, range_hz_max_min``: the span of voiced pitch, null under five voiced frames."""
+    return f0_stats(pitch, keys).select(*keys, (F.col("max_hz") - F.col("min_hz")).alias("range_hz_max_min"))
+
+
 def formant_means(tracks: DataFrame) -> DataFrame:
     """Mean of each formant over the frames where it is defined."""
     return tracks.groupBy("clip_id").agg(*[F.avg(finite(F.col(c))).alias(f"{c}_mean_hz") for c in ("f1", "f2", "f3")])
@@ -57,7 +62,7 @@ def syllable_rate(intensity: DataFrame, durations: DataFrame | None = None, min_
     start = F.struct(F.lit(0).alias("accepted"), F.lit(0.0).cast("double").alias("last"), F.lit(float("inf")).alias("low"))
 
     def step_over(acc, i):
-        here, is_peak = level(i), F.array_contains("peaks", i)
+        here, is_peak = level(i), F.coalesce(peak(i), F.lit(False))
         counts = is_peak & ((acc["accepted"] == 0) | (acc["last"] - acc["low"] >= min_dip))
         return F.struct((acc["accepted"] + counts.cast("int")).alias("accepted"), F.when(counts, here).otherwise(acc["last"]).alias("last"), F.when(counts, here).otherwise(F.least(acc["low"], here)).alias("low"))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipgrain.operators.prosody import f0_stats, syllable_rate
 from clipgrain.sources import reference_data as R
 
 
@@ -16,22 +17,39 @@ def source_clip(purpose: Column) -> Column:
 def sample_levels(samples: DataFrame, top_db: float = R.SNR_TOP_DB) -> DataFrame:
     """From ``clip_id, x`` samples with a ``voiced`` flag: clipping and SNR of each clip, with a note where there is none.
 
-    Samples are scaled by the peak only where it is above one.
+    Samples are scaled by the peak only where it is above one. One shuffle by clip
+    serves both the peak and the levels; ``n`` samples and the ``voiced_fraction`` come along.
     """
-    peak = F.max(F.abs("x"))
-    scale = samples.groupBy("clip_id").agg(peak.alias("peak"))
+    peak = F.max(F.abs("x")).over(Window.partitionBy("clip_id"))
     x = F.when(F.col("peak") > 1, F.col("x") / F.col("peak")).otherwise(F.col("x"))
-    rows = samples.join(scale, "clip_id").select("clip_id", "peak", "voiced", x.alias("x"))
+    rows = samples.withColumn("peak", peak).select("clip_id", "peak", "voiced", x.alias("x"))
     agg = rows.groupBy("clip_id").agg(
         F.max("peak").alias("peak"),
         (F.avg((F.abs("x") >= R.CLIPPING_AT).cast("double")) * 100.0).alias("clipping_pct"),
         F.sqrt(F.avg(F.when(F.col("voiced"), F.col("x") * F.col("x")))).alias("signal_rms"),
         F.sqrt(F.avg(F.when(~F.col("voiced"), F.col("x") * F.col("x")))).alias("noise_rms"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("voiced").cast("double")).alias("voiced_fraction"),
     )
     note = F.when(F.col("signal_rms").isNull(), "No voiced regions detected; SNR not estimable.").when(F.col("noise_rms").isNull(), "No silent regions detected; SNR not estimable.").when(F.col("signal_rms") == 0, "Signal energy is zero; SNR not estimable.")
     ratio = F.lit(20.0) * F.log10(F.try_divide("signal_rms", "noise_rms"))
     snr = F.when(note.isNull(), F.when(F.col("noise_rms") == 0, F.lit(R.SNR_MAX_DB)).otherwise(F.least(ratio, F.lit(R.SNR_MAX_DB))))
-    return agg.select("clip_id", "peak", "clipping_pct", "signal_rms", "noise_rms", snr.alias("snr_db"), note.alias("snr_note"))
+    return agg.select("clip_id", "peak", "clipping_pct", "signal_rms", "noise_rms", snr.alias("snr_db"), note.alias("snr_note"), "n", "voiced_fraction")
+
+
+def baseline(clips: DataFrame, pitch: DataFrame, intensity: DataFrame, step: float = 0.01) -> DataFrame:
+    """What a clip's first five seconds say, for normalisation: one row per clip that lasts so long.
+
+    ``clips``: ``clip_id, duration_s, source_clip``; ``pitch``: ``clip_id, time_us, f0_hz``;
+    ``intensity``: ``clip_id, idx, db`` with a frame every ``step`` seconds. Times are
+    the clip's own. A measure that the window does not give is null.
+    """
+    long = clips.where(F.col("duration_s") >= R.BASELINE_S)
+    f0 = f0_stats(pitch.where(F.col("time_us") < int(R.BASELINE_S * 1e6))).select("clip_id", F.col("mean_hz").alias("f0_mean_hz"), F.col("std_semitones").alias("f0_std_semitones"))
+    rate = syllable_rate(intensity.where(F.col("idx") < int(round(R.BASELINE_S / step))), step=step).select("clip_id", F.col("rate_hz").alias("syllable_rate_hz"))
+    rows = long.join(f0, "clip_id", "left").join(rate, "clip_id", "left")
+    note = F.lit("First 5s of clip used as baseline; values for normalisation only.")
+    return rows.select("clip_id", "source_clip", F.lit(0).alias("window_start_ms"), F.lit(int(R.BASELINE_S * 1000)).alias("window_end_ms"), "f0_mean_hz", "f0_std_semitones", "syllable_rate_hz", note.alias("notes"))
 
 
 def notes(duration_s: Column, voiced_fraction: Column, clipping_pct: Column) -> Column:

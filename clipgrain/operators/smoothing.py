@@ -11,7 +11,7 @@ from clipgrain.sources import reference_data as R
 
 def ipa_counts(counts: DataFrame) -> DataFrame:
     """``clip_id, symbol, n`` under canonical IPA; symbols outside the alphabet keep their own name."""
-    names = {symbol: ipa for symbol, ipa, _, _ in R.alphabet() if symbol != ipa}
+    names = {n.symbol: n.ipa for n in R.alphabet() if n.symbol != n.ipa}
     return counts.select("clip_id", F.coalesce(lookup(names, F.col("symbol")), F.col("symbol")).alias("symbol"), F.col("n").cast("long").alias("n")).groupBy("clip_id", "symbol").agg(F.sum("n").alias("n"))
 
 
@@ -35,7 +35,7 @@ def smoothed_counts(counts: DataFrame) -> DataFrame:
 
 def evidence(counts: DataFrame) -> DataFrame:
     """``clip_id, target, raw_count, smoothed_count, evidence_from, interpretation`` of targets with any signal."""
-    direct = counts.where(F.col("symbol").isin(*R.CONFUSIONS)).select("clip_id", F.col("symbol").alias("target"), F.col("n").alias("direct"), F.lit(None).cast("struct<ord:int,from_symbol:string,raw_count:bigint,weight:double,contribution:double>").alias("e"))
+    direct = counts.where(F.col("symbol").isin(*{c.target for c in R.CONFUSIONS})).select("clip_id", F.col("symbol").alias("target"), F.col("n").alias("direct"), F.lit(None).cast("struct<ord:int,from_symbol:string,raw_count:bigint,weight:double,contribution:double>").alias("e"))
     indirect = contributions(counts).select("clip_id", "target", F.lit(0).cast("long").alias("direct"), F.struct("ord", "from_symbol", "raw_count", "weight", "contribution").alias("e"))
     rows = direct.where("direct > 0").unionByName(indirect).groupBy("clip_id", "target").agg(F.sum("direct").alias("raw_count"), F.array_sort(F.collect_list("e")).alias("evidence_from"))
     rows = rows.withColumn("smoothed_count", F.col("raw_count") + F.aggregate("evidence_from", F.lit(0.0), lambda acc, e: acc + e["contribution"]))

@@ -9,16 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipgrain.functions.text import lookup
 from clipgrain.sources import reference_data as R
 
 
 def stop_class(symbol: Column) -> Column:
     """The voicing class of a stop; null for other symbols."""
-    out = None
-    for name, variants in R.STOPS.items():
-        test = symbol.isin(*variants.split())
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+    return lookup({stop.symbol: stop.aspiration for stop in R.STOPS}, symbol)
 
 
 def measurements(stops: DataFrame, pitch: DataFrame, forward_us: int = R.FORWARD_US, backward_us: int = R.BACKWARD_US, max_ms: float = R.VOT_MAX_MS) -> DataFrame:

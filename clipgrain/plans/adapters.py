@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from clipgrain.operators import inventory
 from clipgrain.operators.decode import log_softmax
 from clipgrain.operators.prosody import f0_stats
+from clipgrain.sources import reference_data as R
 
 #: Spellings that stand for a symbol, by language, applied in turn to lower-cased text.
 REWRITES: dict[str, list[tuple[str, str]]] = {
@@ -23,8 +24,9 @@ REWRITES: dict[str, list[tuple[str, str]]] = {
 BUCKET_OF_EVENT = {"click": "neutral", "view": "calm-normal", "purchase": "happy-strong", "signup": "angry-strong"}
 STOP_OF_EVENT = {"signup": "pʰ", "purchase": "b", "click": "t"}
 WINDOW_US = 6 * 3600 * 1_000_000
-FRAMES_PER_CLIP, LOGITS, SCALE, FRAME_S = 50, 8, 12.0, 0.02
-VOCAB = ["<pad>", "θ", "s", "f", "ð", "d", "t", "a"]
+FRAMES_PER_CLIP, LOGITS, SCALE, FRAME_S = 50, 64, 12.0, 0.02
+#: Symbols of the alphabet in order behind the blank; the last ids have none.
+VOCAB = ["<pad>", *(n.symbol for n in R.alphabet())][: LOGITS - 4]
 CLAIMS = ["English", " EN ", "en_GB", "Mandarin Chinese", "Chinese Mandarin", "Mandarin (Beijing)", "Brazilian Portuguese", "Portuguese (Brazil)", "Hindi (India)", "es-MX", "castilian", "klingon", "", "french", "Standard Arabic", "zh_CN", "(unknown)", "de-AT german", "  ", "korean_"]
 PURPOSES = ["diagnostic", "stretch", "counting", "free_speech", "other", "", "garbage"]
 
@@ -68,6 +70,16 @@ def intensity_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), "idx", F.col("value").alias("db"))
 
 
+#: Seconds from one event of a user to the next, as frames of a clip.
+CLIP_STEP_S = 0.25
+
+
+def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, idx, time_us, f0_hz, db``: events in turn as frames at times of the clip's own."""
+    rows = _events(spark, sf_dir)
+    return rows.select(F.col("user_id").alias("clip_id"), "idx", (F.col("idx") * int(CLIP_STEP_S * 1e6)).cast("long").alias("time_us"), F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.col("value")).alias("f0_hz"), F.col("value").alias("db"))
+
+
 def token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), F.col("idx").alias("frame_idx"), "event_type")
 
@@ -99,7 +111,7 @@ def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``clip_id, frame_idx, log_probs, duration_s`` from the first dimensions of the embeddings."""
+    """``clip_id, frame_idx, log_probs, duration_s``: each component of an embedding as the score of a symbol."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
     logits = F.transform(F.slice("embedding", 1, LOGITS), lambda x: x.cast("double") * SCALE)
     rows = rows.select(F.floor(F.col("vec_id") / FRAMES_PER_CLIP).alias("clip_id"), (F.col("vec_id") % FRAMES_PER_CLIP).cast("int").alias("frame_idx"), log_softmax(logits).alias("log_probs"))

@@ -54,7 +54,7 @@ _SCORED = f"""SELECT clip_id, profile, CASE WHEN s IS NULL THEN 'insufficient_si
 
 
 def _ipa() -> str:
-    names = values([(s, ipa) for s, ipa, _, _ in R.alphabet()], "a(symbol, ipa)")
+    names = values([(n.symbol, n.ipa) for n in R.alphabet()], "a(symbol, ipa)")
     near = values(R.confusion_rows(), "e(target, ord, from_symbol, weight)")
     return f"""WITH {_counts()}, ipa AS (SELECT clip_id, coalesce(a.ipa, counts.symbol) AS symbol, CAST(sum(n) AS BIGINT) AS n FROM counts LEFT JOIN (SELECT * FROM {names}) a ON a.symbol = counts.symbol GROUP BY ALL),
     near AS (SELECT target, ord, from_symbol, CAST(weight AS DOUBLE) AS weight FROM {near}),
@@ -92,7 +92,7 @@ def _summary(keys: str) -> str:
 
 def _vot() -> str:
     phonemes = values(list(A.STOP_OF_EVENT.items()), "p(event_type, phoneme)")
-    classes = values([(v, name) for name, vs in R.STOPS.items() for v in vs.split()], "c(phoneme, aspiration_class)")
+    classes = values([(s.symbol, s.aspiration) for s in R.STOPS], "c(phoneme, aspiration_class)")
     w = A.WINDOW_US
     return f"""WITH {_PITCH}, stops AS (SELECT clip_id, event_id AS stop_id, phoneme, aspiration_class, time_us AS t FROM pitch JOIN (SELECT * FROM {phonemes}) USING (event_type) JOIN (SELECT * FROM {classes}) USING (phoneme)),
     voiced AS (SELECT clip_id, time_us AS v FROM pitch WHERE f0 > 0 AND event_type NOT IN (SELECT event_type FROM {phonemes})),
@@ -128,20 +128,55 @@ def _levels() -> str:
 
 
 def _drift() -> str:
-    from clipgrain.operators.notation import reverse_index
-
-    index = values([(form, ", ".join(s), form in s) for form, s in reverse_index()], "i(ipa, matches, direct)")
-    return f"""WITH {_counts()}, t AS (SELECT DISTINCT lang AS language, '/' || symbol || '/' AS token FROM counts WHERE regexp_full_match(symbol, '[^0-9]')),
-    d AS (SELECT t.*, i.matches, CASE WHEN i.matches IS NULL THEN 'phonological' WHEN i.direct THEN 'direct' ELSE 'notation-only' END AS category FROM t LEFT JOIN (SELECT * FROM {index}) i ON i.ipa = regexp_replace(token, '^/+|/+$', '', 'g'))"""
+    symbols = values([(n.symbol, n.ipa) for n in R.alphabet()], "a(symbol, ipa)")
+    equal = values([(ipa, other) for ipa, others in R.EQUIVALENCES.items() for other in others], "e(ipa, other)")
+    return f"""WITH {_counts()}, al AS (SELECT * FROM {symbols}),
+    fo AS (SELECT symbol, ipa AS form FROM al UNION SELECT symbol, other FROM al JOIN {equal} USING (ipa)
+           UNION SELECT symbol, substr(ipa, 1, 1) || chr(865) || substr(ipa, 2) FROM al WHERE substr(ipa, 1, 2) IN ({", ".join(map(text, R.AFFRICATES))})),
+    i AS (SELECT form AS ipa, string_agg(symbol, ', ' ORDER BY symbol) AS matches, bool_or(symbol = form) AS direct FROM fo GROUP BY form),
+    t AS (SELECT DISTINCT lang AS language, '/' || symbol || '/' AS token FROM counts),
+    d AS (SELECT t.*, i.matches, CASE WHEN i.matches IS NULL THEN 'phonological' WHEN i.direct THEN 'direct' ELSE 'notation-only' END AS category FROM t LEFT JOIN i ON i.ipa = regexp_replace(token, '^/+|/+$', '', 'g'))"""
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _single()
+    sql["baseline_window"] = _baseline(sql)
+    return sql | {"analyze_response": _response(sql)}
+
+
+def _baseline(sql: dict[str, str]) -> str:
+    """Other queries over the first five seconds of each user's events."""
+    frames = int(R.BASELINE_S / A.CLIP_STEP_S)
+    first = f"FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {frames})"
+    f0, rate = (sql[name].replace("FROM events", first) for name in ("f0_stats", "syllable_rate"))
+    return f"""SELECT clip_id, CASE WHEN clip_id % 2 = 0 THEN 'diagnostic' ELSE 'unspecified' END AS source_clip, 0 AS window_start_ms, {int(R.BASELINE_S * 1000)} AS window_end_ms, mean_hz AS f0_mean_hz, std_semitones AS f0_std_semitones, rate_hz AS syllable_rate_hz,
+        'First 5s of clip used as baseline; values for normalisation only.' AS notes
+        FROM (SELECT user_id AS clip_id, count(*) AS n FROM events GROUP BY ALL) LEFT JOIN ({f0}) USING (clip_id) LEFT JOIN ({rate.replace("* 0.01", f"* {A.CLIP_STEP_S}")}) USING (clip_id) WHERE n >= {frames}"""
+
+
+def _response(sql: dict[str, str]) -> str:
+    """The blocks of a response side by side."""
+    blocks = {
+        "language_match": ("language_match_claimed", "profile verdict score positive_hits positive_total negative_clean negative_total"),
+        "f0": ("f0_stats", "mean_hz min_hz max_hz std_hz std_semitones range_semitones_p10_p90 voiced_fraction"),
+        "formants": ("formant_means", "f1_mean_hz f2_mean_hz f3_mean_hz"),
+        "syllables": ("syllable_rate", "peaks accepted rate_hz"),
+        "vot": ("vot_class_means", "n_measured aspirated_voiceless_mean_ms plain_voiceless_mean_ms voiced_mean_ms"),
+        "levels": ("snr_rms", "signal_rms noise_rms snr_db snr_note"),
+        "baseline": ("baseline_window", "source_clip window_start_ms window_end_ms f0_mean_hz f0_std_semitones syllable_rate_hz notes"),
+    }
+    fields = ", ".join(f"{b}.{f} AS {b}_{f}" for b, (_, names) in blocks.items() for f in names.split())
+    joins = " ".join(f"LEFT JOIN ({sql[query]}) {b} ON {b}.clip_id = d.doc_id" for b, (query, _) in blocks.items())
+    return f"SELECT d.doc_id AS clip_id, round(n_chars / 15.0, 6) AS duration_s, {fields} FROM documents d {joins}"
+
+
+def _single() -> dict[str, str]:
     claimed = "SELECT clip_id, total, profile FROM inv JOIN names ON names.name = inv.lang"
     every = "SELECT clip_id, total, profile FROM inv, (SELECT DISTINCT profile FROM names)"
     claims = "[" + ", ".join(map(text, A.CLAIMS)) + "]"
     purposes = "[" + ", ".join(map(text, A.PURPOSES)) + ", NULL]"
-    probes = [(lang, i, label, n) for lang, ps in R.PROBES.items() for i, (label, _, n, _, _) in enumerate(ps)]
-    parts = [(lang, i, kind, v) for lang, ps in R.PROBES.items() for i, (_, _, _, a, b) in enumerate(ps) for kind, vs in (("accept", a), ("near", b)) for v in vs.split()]
+    probes = [(p.language, i, p.label, p.expected) for i, p in R.by_language(R.PROBES)]
+    parts = [(p.language, i, kind, v) for i, p in R.by_language(R.PROBES) for kind, vs in (("accept", p.accepted), ("near", p.approximate)) for v in vs]
     vocab = "[" + ", ".join(map(text, A.VOCAB)) + "]"
     st, hz = ("st_class", "hz_class")
     cross = ", ".join(f"count(*) FILTER ({c} = '{k}') AS {c[:2]}_{k}" for c in (hz, st) for k in ("flat", "moderate", "expressive"))
@@ -193,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "frame_log_softmax": f"WITH {_frames()} SELECT clip_id, frame_idx, CAST(v AS INTEGER) AS v, round(x, 6) AS log_prob FROM cell",
         "frame_top3": f"WITH {_frames()} SELECT clip_id, frame_idx, CAST(place - 1 AS INTEGER) AS place, CAST(v AS INTEGER) AS idx, round(exp(x), 6) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY x DESC, v) AS place FROM cell) WHERE place <= 3",
         "ctc_occurrences": f"""WITH {_frames()}, ids AS (SELECT clip_id, frame_idx, CAST(list_position(lp, list_max(lp)) - 1 AS INTEGER) AS token FROM fr), {_runs("ids", "token")}, n AS (SELECT clip_id, count(*) AS n FROM fr GROUP BY ALL),
-            o AS (SELECT rr.clip_id, row_number() OVER (PARTITION BY rr.clip_id ORDER BY run) AS seq, {vocab}[token + 1] AS phoneme, start_frame * ({A.FRAMES_PER_CLIP * A.FRAME_S} / n) AS s, end_frame * ({A.FRAMES_PER_CLIP * A.FRAME_S} / n) AS e FROM rr JOIN n USING (clip_id) WHERE token <> 0)
+            o AS (SELECT rr.clip_id, row_number() OVER (PARTITION BY rr.clip_id ORDER BY run) AS seq, coalesce({vocab}[token + 1], '<vocab:' || token || '>') AS phoneme, start_frame * ({A.FRAMES_PER_CLIP * A.FRAME_S} / n) AS s, end_frame * ({A.FRAMES_PER_CLIP * A.FRAME_S} / n) AS e FROM rr JOIN n USING (clip_id) WHERE token <> 0)
             SELECT clip_id, CAST(seq AS INTEGER) AS seq, phoneme, round(s, 6) AS start_s, round(e, 6) AS end_s FROM o""",
         "event_type_runs": f"WITH ids AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, event_type FROM events), {_runs('ids', 'event_type')} SELECT clip_id, CAST(run AS BIGINT) AS run, event_type, CAST(start_frame AS INTEGER) AS start_frame, CAST(end_frame AS INTEGER) AS end_frame FROM rr",
         "span_classification": f"{_spans()} SELECT clip_id, span, target, round(avg_log_prob, 6) AS avg_log_prob, CAST(top1 AS INTEGER) AS top1, match FROM cl",
@@ -220,5 +255,7 @@ def oracle_sql() -> dict[str, str]:
         "drift_gaps": f"{_drift()} SELECT token, string_agg(DISTINCT language, ', ' ORDER BY language) AS languages FROM d WHERE category = 'phonological' GROUP BY ALL",
         "quality_notes": f"""{_levels()} SELECT clip_id, concat_ws(' | ', CASE WHEN dur < 0.3 THEN 'clip is very short (<0.3s); results may be unreliable' END, CASE WHEN vf - 0.5 < 0.05 THEN 'very little voiced audio detected; pitch may be unreliable' END,
             CASE WHEN clip >= {R.CLIPPING_NOTE_PCT} THEN printf('Audio significantly affected by clipping (%.2f%%).', clip) END, CASE WHEN dur < {R.BASELINE_S} THEN 'Clip too short (<5s) for baseline calibration.' END) AS notes FROM g""",
+        "f0_range": f"WITH {_PITCH}, f AS ({_f0('clip_id')}) SELECT clip_id, {_five('max_hz - min_hz', 'range_hz_max_min')} FROM f",
+        "symbols_per_clip": f"WITH {_counts()} SELECT clip_id, string_agg(symbol, ' ' ORDER BY symbol) AS symbols, CAST(count(*) AS INTEGER) AS n_symbols FROM (SELECT DISTINCT clip_id, symbol FROM tok) GROUP BY ALL",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     }

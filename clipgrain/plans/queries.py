@@ -72,7 +72,7 @@ def _top3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snr(spark: SparkSession, d: str) -> DataFrame:
-    return quality.sample_levels(A.samples(spark, d)).drop("clipping_pct", "peak")
+    return quality.sample_levels(A.samples(spark, d)).select("clip_id", "signal_rms", "noise_rms", "snr_db", "snr_note")
 
 
 def _clipping(spark: SparkSession, d: str) -> DataFrame:
@@ -114,29 +114,49 @@ def _numbers(spark: SparkSession, d: str) -> DataFrame:
 
 def _drift(spark: SparkSession, d: str) -> DataFrame:
     """The notation audit of each language's own symbols, as its documents use them."""
-    rows = A.counts(spark, d).select(F.col("claimed_language").alias("language"), F.concat(F.lit("/"), F.col("symbol"), F.lit("/")).alias("token")).where("symbol rlike '^[^0-9]$'").distinct()
+    rows = A.counts(spark, d).select(F.col("claimed_language").alias("language"), F.concat(F.lit("/"), F.col("symbol"), F.lit("/")).alias("token")).distinct()
     return notation.drift(rows)
 
 
 def _quality_notes(spark: SparkSession, d: str) -> DataFrame:
-    levels = quality.sample_levels(A.samples(spark, d)).select("clip_id", "clipping_pct")
-    sizes = A.samples(spark, d).groupBy("clip_id").agg((F.count(F.lit(1)) * 0.1).alias("duration_s"), F.avg(F.col("voiced").cast("double")).alias("voiced_fraction"))
-    rows = sizes.join(levels, "clip_id")
+    rows = quality.sample_levels(A.samples(spark, d)).withColumn("duration_s", F.col("n") * 0.1)
     return rows.select("clip_id", F.array_join(quality.notes(F.col("duration_s"), F.col("voiced_fraction") - 0.5, F.col("clipping_pct")), " | ").alias("notes"))
 
 
 def _response(spark: SparkSession, d: str) -> DataFrame:
     clips = A.table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), (F.col("n_chars") / 15.0).alias("duration_s"))
     match = _match(spark, d)
-    blocks = {"phonemes": match.select("clip_id", "counts", "total_tokens"), "language_match": match.select("clip_id", *_SCORE, "notes"), "f0": prosody.f0_stats(A.pitch_frames(spark, d))}
-    return analyze.as_json(analyze.response(clips, **blocks))
+    blocks = {
+        "language_match": match.select("clip_id", *_SCORE),
+        "f0": prosody.f0_stats(A.pitch_frames(spark, d)),
+        "formants": prosody.formant_means(A.formant_frames(spark, d)),
+        "syllables": prosody.syllable_rate(A.intensity_frames(spark, d)),
+        "vot": vot.class_means(_vot(spark, d)),
+        "levels": _snr(spark, d),
+        "baseline": _baseline(spark, d),
+    }
+    return analyze.response(clips, **blocks)
+
+
+def _response_json(spark: SparkSession, d: str) -> DataFrame:
+    """The nested response, with the inventory and the notes of the language match."""
+    match = _match(spark, d)
+    return analyze.as_json(analyze.response(_response(spark, d), phonemes=match.select("clip_id", "counts", "total_tokens", "notes")))
+
+
+def _baseline(spark: SparkSession, d: str) -> DataFrame:
+    """The events of a user in turn as frames of a quarter of a second."""
+    frames = A.clip_frames(spark, d)
+    clips = frames.groupBy("clip_id").agg((F.count(F.lit(1)) * A.CLIP_STEP_S).alias("duration_s"))
+    clips = clips.withColumn("source_clip", quality.source_clip(F.when(F.col("clip_id") % 2 == 0, "diagnostic").otherwise("other")))
+    return quality.baseline(clips, frames, frames, A.CLIP_STEP_S)
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Every turn of a conversation as a transcript of its own, by glyph or by white space."""
     rows = A.table(spark, d, "conversations").where("text is not null")
     rows = rows.select(F.struct("conv_id", "turn").alias("clip_id"), F.when(F.col("conv_id") % 3 == 0, "espeak").otherwise("ipa").alias("format"), F.lower("text").alias("content"))
-    tokens = alignment.transcript_tokens(rows, {s: i for i, (s, _, _, _) in enumerate(R.alphabet())})
+    tokens = alignment.transcript_tokens(rows, {n.symbol: i for i, n in enumerate(R.alphabet())})
     return tokens.select("clip_id.*", "position", "symbol", "phoneme", "vocab_idx")
 
 
@@ -188,7 +208,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_detail": lambda s, d: _drift(s, d).select("language", "token", "category", F.array_join("matches", ", ").alias("matches")),
         "drift_gaps": lambda s, d: notation.languages_of(_drift(s, d), "phonological"),
         "quality_notes": _quality_notes,
-        "analyze_response": _response,
+        "analyze_response": lambda s, d: analyze.flat(_response(s, d)),
+        "analyze_response_json": _response_json,
+        "baseline_window": _baseline,
+        "f0_range": lambda s, d: prosody.f0_range(A.pitch_frames(s, d)),
+        "symbols_per_clip": lambda s, d: notation.symbols_of(A.tokens(s, d)).select("clip_id", F.array_join("symbols", " ").alias("symbols"), "n_symbols"),
         "event_windows": lambda s, d: window_counts(A.table(s, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")),
     }
     return {name: (lambda s, d, f=f: rounded(f(s, d))) for name, f in q.items()}

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 MEASURES = "path string, duration_s double, error string, pitch array<struct<time_us:bigint,f0_hz:double>>, intensity array<double>, formants array<array<double>>, clipped double, voiced_share double"
 
 
-def read_clips(spark: SparkSession, path: str, pattern: str = "*.wav") -> DataFrame:
+#: Endings of clip files.
+ENDINGS = "*.{wav,mp3,m4a,flac,ogg,webm}"
+
+
+def read_clips(spark: SparkSession, path: str, pattern: str = ENDINGS) -> DataFrame:
     """``path, content`` of all files below ``path`` whose names match."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 

@@ -65,8 +65,7 @@ def test_stretch_statuses(spark):
 
 
 def test_fixed_tables():
-    assert len(R.CONFUSIONS) == 38 and len(R.confusion_rows()) == 75
+    assert len({c.target for c in R.CONFUSIONS}) == 38 and len(R.confusion_rows()) == 75
     rows = R.marker_rows()
     assert sum(r[1] == "positive" for r in rows) == 45 and sum(r[1] == "negative" for r in rows) == 74 and sum(r[5] for r in rows) == 5
     assert sum(len(r[6]) for r in rows if r[1] == "positive") == 98 and sum(len(r[6]) for r in rows if r[1] == "negative") == 154
-    assert R.to_ipa("tS") == "tʃ" and R.to_ipa("ts.") == "tʂ" and "ʈʂ" in R.ipa_alternates("tʂ")
