@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipgrain.shipping import ship
 
 
+#: Rows of a batch that goes to Python; texts make batches of the default size large.
+BATCH_ROWS = "2000"
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the sources to the executors, and have batches to Python small where nothing else is set."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, through Spark's own reader."""
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests on one machine)."""
+    """The folder named in spark.checkpoint.dir; where none is set, a temporary one, and on a cluster an error."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="clipgrain-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -34,10 +46,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Have shuffle files deleted that nothing refers to any more; Spark's cleaner follows the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Rows, of a few numbers each, that are sent to all executors at most.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a kept table of a few numbers a row, marked for broadcast if it is found to have SMALL_ROWS at most."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken or f"{name}2" in taken:
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, mark: Column, gone: DataFrame, repeats: bool) -> DataFrame:
+    """The rows of ``docs`` that ``gone`` (doc_id, mark) doesn't name, all columns.
+
+    ``mark`` tells rows of one doc_id apart. ``repeats``: of the rows with a doc_id
+    that agree in it and in the mark, only one stays.
+    """
+    doc, own = unused(docs, "doc"), unused(docs, "mark")
+    named = checkpoint(gone.distinct().select(F.col("doc_id").alias(doc), F.col("mark").alias(f"{own}2")))
+    marked = docs.withColumn(own, mark)
+    kept = marked.join(small(named), marked["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (marked[own] == F.col(f"{own}2")), "left_anti")
+    if repeats:
+        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", own]))
+    return kept.drop(own)
 
 
 def ascii_lower(column):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import SPACES, checkpoint
+from clipgrain.llm.common import SPACES, checkpoint, small
 
 SEED = 7
 #: Draws are spread over this many blocks, each of which holds every source by its weight.
@@ -66,20 +66,19 @@ def temperature(shares: DataFrame, target_entropy: float | None = None, max_repe
     return round(int(max(found, default=1.0) * 1e6 + 1e-3) / 1e6, 6)
 
 
-def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, tokens: Column | None = None, seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
-    """Draw rows of ``docs`` (doc_id, source, text) so that sources have temperature weights.
+def _placed(docs: DataFrame, tokens: Column | None) -> list[Column]:
+    """``key`` of a row's source, its ``tokens``, and the ``name`` that orders it: its doc_id, or a hash of its text."""
+    cost = words(F.col("text")) if tokens is None else F.greatest(tokens.cast("long"), F.lit(1))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")))))
+    return [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), cost.alias("tokens"), name.alias("name")]
 
-    ``budget`` counts tokens; by default it is the smallest that uses every document
-    at least once. ``tokens`` is the cost of a row (default: its words).
 
-    Returns one row per draw: ``doc_id, source, tokens, epoch`` (which pass over its
-    source) and ``block`` (where in the mix). Defined cases: a null source is a source
-    of its own; a null or empty text costs one token; a null doc_id is drawn like any
-    other; rows that repeat are drawn each; an empty table gives no rows; other
-    columns are ignored.
-    """
-    cost = words(F.col("text")) if tokens is None else F.greatest(tokens.cast("long"), F.lit(1))
-    rows = checkpoint(docs.select("doc_id", "source", cost.alias("tokens"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key")))
+def _order(seed: int, epoch: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("name")))
+
+
+def _plan(rows: DataFrame, target_entropy: float | None, max_repetition: float | None, budget: int | None, seed: int) -> DataFrame:
+    """Per source ``key``: how many whole ``passes``, how often it is read (``times``), and the last row of its last pass (``cut``)."""
     sums = checkpoint(rows.groupBy("key").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("n")))
     total, largest = sums.agg(F.sum("have"), F.max("n")).first()
     exponent = temperature(sums.select((F.col("have") / F.lit(total)).alias("share")), target_entropy, max_repetition) if total else 1.0
@@ -87,38 +86,51 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     z, least = powered.agg(F.sum("power"), F.max(F.col("have") / F.col("power"))).first() if total else (1.0, 1.0)
     share = F.col("power") / F.lit(z)
     quota = F.floor(share * F.lit(budget)) if budget is not None else F.greatest(F.col("have"), F.round(F.col("power") * F.lit(least)).cast("long"))
-    plan = powered.select("key", "have", quota.alias("quota")).select("key", F.expr("quota div have").alias("passes"), F.expr("quota % have").alias("rest"), (F.col("quota") / F.col("have")).alias("times"))
+    plan = checkpoint(powered.select("key", "have", quota.alias("quota")).select("key", F.expr("quota div have").alias("passes"), F.expr("quota % have").alias("rest"), (F.col("quota") / F.col("have")).alias("times")))
 
     # Hex digits of the permutation key that part a source into buckets of about BUCKET_ROWS.
     digits = 1
     while (largest or 0) > BUCKET_ROWS * 16**digits:
         digits += 1
-    order = lambda epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    planned = rows.join(F.broadcast(plan) if sums.count() <= 10_000 else plan, "key").withColumn("order", order(F.col("passes"))).withColumn("bucket", F.substring("order", 1, digits))
+    planned = rows.join(small(plan.where("rest > 0")), "key").withColumn("order", _order(seed, F.col("passes"))).withColumn("bucket", F.substring("order", 1, digits))
     # Prefix sums of the last pass in two levels: over the buckets of a source, then within the bucket where the budget ends.
-    bucket_sums = planned.where("rest > 0").groupBy("key", "bucket").agg(F.sum("tokens").alias("size"))
-    before = bucket_sums.select("key", "bucket", (F.sum("size").over(Window.partitionBy("key").orderBy("bucket")) - F.col("size")).alias("before"), "size")
-    placed = planned.join(before, ["key", "bucket"], "left")
-    within = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (F.col("rest") > F.col("before")) & (F.col("rest") < F.col("before") + F.col("size"))
-    edge = placed.where(inside).withColumn("upto", F.col("before") + F.sum("tokens").over(within))
-    others = placed.where(F.coalesce(~inside, F.lit(True))).withColumn("upto", F.when(F.col("rest") >= F.col("before") + F.col("size"), F.col("rest")))
-    last = F.coalesce((F.col("upto") <= F.col("rest")) & (F.col("rest") > 0), F.lit(False)).cast("long")
-    draws = edge.unionByName(others).withColumn("copies", F.col("passes") + last).where("copies > 0")
-    draws = draws.select("doc_id", "source", "tokens", "times", F.explode(F.expr("sequence(0L, copies - 1)")).alias("epoch"))
-    progress = (F.col("epoch") + F.conv(F.substring(order(F.col("epoch")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)) / F.col("times")
+    sizes = planned.groupBy("key", "bucket").agg(F.sum("tokens").alias("size"), F.max(F.struct("order", "name", "tokens")).alias("last"), F.first("rest").alias("rest"))
+    upto = F.sum("size").over(Window.partitionBy("key").orderBy("bucket"))
+    buckets = checkpoint(sizes.withColumn("upto", upto))
+    edge = buckets.where("rest < upto and rest > upto - size").select("key", "bucket", (F.col("upto") - F.col("size")).alias("before"))
+    within = F.col("before") + F.sum("tokens").over(Window.partitionBy("key", "bucket").orderBy("order", "name", "tokens"))
+    inside = planned.join(small(checkpoint(edge)), ["key", "bucket"]).withColumn("upto", within).where("upto <= rest").select("key", F.struct("order", "name", "tokens").alias("last"))
+    ends = buckets.where("upto <= rest").select("key", "last").union(inside).groupBy("key").agg(F.max("last").alias("cut"))
+    return checkpoint(plan.join(ends, "key", "left").select("key", "passes", "times", "cut"))
+
+
+def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """``rows`` once per draw, with its ``epoch`` and the ``times`` of its source."""
+    last = F.coalesce(F.struct(_order(seed, F.col("passes")).alias("order"), "name", "tokens") <= F.col("cut"), F.lit(False)).cast("long")
+    copies = rows.join(small(plan), "key").withColumn("copies", F.col("passes") + last).where("copies > 0")
+    return copies.withColumn("epoch", F.explode(F.expr("sequence(0L, copies - 1)")))
+
+
+def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, tokens: Column | None = None, seed: int = SEED, blocks: int = BLOCKS) -> DataFrame:
+    """Draw rows of ``docs`` (doc_id, source, text) so that sources have temperature weights.
+
+    ``budget`` counts tokens; by default it is the smallest that uses every document
+    at least once. ``tokens`` is the cost of a row (default: its words).
+
+    Returns one row per draw: ``doc_id, source, tokens, epoch`` (which pass over its
+    source) and ``block`` (where in the mix). Defined cases: a null source is a source
+    of its own; a null or empty text costs one token; a text of any length is counted
+    whole; a null doc_id is drawn like any other, in an order set by its text; rows that
+    repeat are drawn each, and those that agree in id (or text) and tokens are in the
+    last pass all or none; an empty table gives no rows; other columns are ignored.
+    """
+    rows = checkpoint(docs.select("doc_id", "source", *_placed(docs, tokens)))
+    draws = _drawn(rows, _plan(rows, target_entropy, max_repetition, budget, seed), seed)
+    progress = (F.col("epoch") + F.conv(F.substring(_order(seed, F.col("epoch")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)) / F.col("times")
     return draws.select("doc_id", "source", "tokens", F.col("epoch").cast("int").alias("epoch"), F.least(F.floor(progress * blocks), F.lit(blocks - 1)).cast("int").alias("block"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` once per draw, all columns; options as for ``mix``."""
-    draws = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_draws"))
-    joined = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("_id")))
-    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    copies = F.col("_draws")
-    if not repeats.isEmpty():  # rows that share an id share its draws
-        each = Window.partitionBy("doc_id")
-        joined = joined.withColumn("_rows", F.count(F.lit(1)).over(each)).withColumn("_nth", F.row_number().over(each.orderBy("text")))
-        copies = F.expr("_draws div _rows + if(_nth <= _draws % _rows, 1, 0)")
-    columns = [joined[c] for c in docs.columns]
-    return joined.withColumn("_copies", copies).where("_copies > 0").select(*columns, F.explode(F.expr("sequence(1L, _copies)")).alias("_copy")).select(*docs.columns)
+def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` once per draw, all columns; options and defined cases as for ``mix``."""
+    plan = _plan(checkpoint(docs.select(*_placed(docs, None))), target_entropy, max_repetition, budget, seed)
+    return _drawn(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_placed(docs, None)), plan, seed).select("row.*")

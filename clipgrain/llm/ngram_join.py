@@ -14,13 +14,18 @@ long lists: a segment of nothing but such shingles is left out, unless a set has
 more of those than the margin in m allows. Both sets of a linked pair then agree
 on which to list, so no link is lost.
 
-Scanning the lists gives clusters, within which all linked pairs lie. Every member
-of a cluster is compared with one pivot, its smallest. Two members differ exactly
-by the symmetric difference of their differences from the pivot, so the rest is a
-join of those differences: by prefix filter, with shingles that the pivot lacks
-coming first, as hardly any two members share them. Only pairs in different
-components that meet there are compared. Comparisons are exact, on the shingles
-of both texts.
+Scanning a list links all its sets to the smallest one, first within each task and
+then across tasks, so a long list is one entry a task. That gives clusters, within
+which all linked pairs lie. Every member of a cluster is compared with one pivot.
+Two members differ exactly by the symmetric difference of their differences from
+the pivot. If those are small enough together, the two are linked for sure, and one
+member, that with the least difference, stands for all such pairs. Members that are
+still by themselves go through lists, clusters and pivots of their own, with their
+differences as sets: by prefix filter, with shingles that the pivot lacks coming
+first, as hardly any two members share them. Each level strips what its pivot has, and
+so a passage that many texts share. Members by themselves that may still be linked to
+one of the pivot's component meet it in a join of those prefixes; members of one
+component never meet. Links are decided on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -28,26 +33,29 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint, release
+from clipgrain.llm.common import checkpoint, small, without
 from clipgrain.llm.graph import connected_components
 from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 
 #: Shingles in so many sets (as far as tasks counted them) are heavy; of more than so many, the heaviest are.
 HEAVY_AT, MOST_HEAVY = 3, 1 << 19
 #: Shingles a task counts at once, and from how many sets on it reports one.
-COUNT_AT_ONCE, REPORT_FROM = 2_000_000, 2
+COUNT_AT_ONCE, REPORT_FROM = 1_000_000, 2
 #: Sizes that may be small, and the cost of a list entry relative to that of a subset (it may have to be compared).
 LARGEST_SMALL, LIST_COST = 40, 4
-#: Class hashes a task remembers, to list a class once for all its copies there.
-SEEN = 1 << 20
+#: Class hashes a task remembers, to list a class once for all its copies there, and list entries it joins at once.
+SEEN, ENTRIES_AT_ONCE = 1 << 18, 1 << 18
 #: Partners that one copy of a pivot is compared with.
 PARTNERS = 1000
+#: Levels of clusters within clusters at least, and the share of members that must find a partner for a further one; then those by themselves are joined with each other.
+LEVELS, WORTH = 2, 0.25
 _SALT = U64(0x5851F42D4C957F2D)
 _K = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -85,7 +93,7 @@ class Plan:
             for _ in range(4):  # room for the segments that stay empty by chance
                 m = differ + 1 + margin
                 empty = m * math.exp(-low / m)
-                margin = math.ceil(empty + 2 * math.sqrt(empty)) if empty > 0.01 else 0
+                margin = math.ceil(empty + 4 * math.sqrt(empty)) if empty > 0.01 else 0
             self.shapes.append((differ + 1 + margin, margin))
             self.starts.append(high)
         return int(np.searchsorted(self.starts, size, side="right")) - 1
@@ -116,7 +124,7 @@ def keys_of(a: np.ndarray, plan: Plan, heavy: np.ndarray) -> np.ndarray:
         total = mixed.sum(dtype=np.uint64)
         for c in sorted(plan.subset_sizes(size)):
             left_out = np.array(list(itertools.combinations(range(size), size - c)), np.int64).reshape(math.comb(size, c), size - c)
-            out.append(mix64(total - mixed[left_out].sum(axis=1, dtype=np.uint64) + U64(c) * _K[2]))
+            out.append(mix64(total - mixed[left_out].sum(axis=1, dtype=np.uint64) + mix64(np.array([c], np.uint64))))
     in_ranges = plan.ranges(size)
     if len(in_ranges):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed)))
@@ -128,7 +136,7 @@ def keys_of(a: np.ndarray, plan: Plan, heavy: np.ndarray) -> np.ndarray:
             m, margin = plan.shapes[i]
             bounds = np.concatenate(([0], np.searchsorted(a, plan.segment_edges(m)), [size]))
             filled, without_light = np.diff(bounds) > 0, np.diff(lights[bounds]) == 0
-            key = mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.arange(m, dtype=np.uint64) * _K[0] + U64(i + 1) * _K[1])
+            key = mix64(sums[bounds[1:]] - sums[bounds[:-1]] + np.arange(m, dtype=np.uint64) * _K[0] + mix64(np.array([i + 1], np.uint64)))
             if without_light.sum() <= margin:
                 key = key[~without_light]
             elif (~filled).sum() <= margin:
@@ -158,15 +166,15 @@ def _sets(batch: pa.RecordBatch, words: int):
         yield from enumerate(shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], words), a)
 
 
-def _class_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set."""
-    one, two = mix64(s + _K[1]).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ _K[2])) if len(s) else U64(0)
-    return int(one.astype(np.int64)), int(U64(two).astype(np.int64))
+def _class_hash(s: np.ndarray, seed: int) -> tuple[int, int]:
+    """128 bits that name a set; the first 64 of them are its node."""
+    one, two = mix64(s + _K[1] * U64(2 * seed + 1)).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix64(s ^ _K[2])) if len(s) else U64(0)
+    return int(mix64(np.array([one]))[0].astype(np.int64)), int(U64(two).astype(np.int64))
 
 
-def _classes(words: int):
+def _classes(words: int, seed: int):
     """Per text its class and size (kind 0); per often-met shingle of this task its count (kind 1)."""
-    names = ["kind", "doc_id", "h1", "h2", "n"]
+    names = ["kind", "doc_id", "mark", "h1", "h2", "n"]
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -179,12 +187,12 @@ def _classes(words: int):
             often = counts >= REPORT_FROM
             n = int(often.sum())
             zero = pa.array(np.zeros(n, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero, pa.array(values[often].view(np.int64)), zero, pa.array(counts[often].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero, zero, pa.array(values[often].view(np.int64)), zero, pa.array(counts[often].astype(np.int64))], names)
 
         for batch in batches:
             rows = []
             for _, s in _sets(batch, words):
-                h = _class_hash(s)
+                h = _class_hash(s, seed)
                 rows.append((*h, len(s)))
                 if h not in seen:
                     if len(seen) < SEEN:
@@ -195,160 +203,312 @@ def _classes(words: int):
                         yield counted()
                         amount = 0
             h1, h2, n = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch["doc_id"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch["doc_id"], batch["mark"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64())], names)
         yield counted()
 
     return run
 
 
-def _listed(words: int, plan: Plan, heavy):
-    """(key, node) of each class that the task meets; the node is the first text of the class there."""
+_ENTRY = "key long, node long, star boolean"
 
-    def run(batches):
+
+def _entries(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """List entries, one a key: further nodes of a key become stars (key: the smallest node, node: another)."""
+    order = np.argsort(keys, kind="stable")
+    k, v = keys[order], nodes[order]
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+    hub = np.minimum.reduceat(v, first) if len(k) else v
+    many = np.repeat(hub, np.diff(np.append(first, len(k))))
+    stars = np.unique(np.column_stack((many[v != many], v[v != many])), axis=0)
+    at = np.sort(order[first])  # in the order of the sets, which compresses better
+    nodes = nodes.copy()
+    nodes[order[first]] = hub
+    star = np.zeros(len(at) + len(stars), bool)
+    star[len(at) :] = True
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], stars[:, 0]])), pa.array(np.concatenate([nodes[at], stars[:, 1]])), pa.array(star)], ["key", "node", "star"])
+
+
+def _gathered(parts):
+    """Entries of (keys, node) pairs, so many at once."""
+    keys, nodes, size = [], [], 0
+    for k, node in parts:
+        keys.append(k.view(np.int64))
+        nodes.append(np.full(len(k), node, np.int64))
+        size += len(k)
+        if size >= ENTRIES_AT_ONCE:
+            yield _entries(np.concatenate(keys), np.concatenate(nodes))
+            keys, nodes, size = [], [], 0
+    if size:
+        yield _entries(np.concatenate(keys), np.concatenate(nodes))
+
+
+def _listed(words: int, seed: int, plan: Plan, heavy):
+    """List entries of each class that the task meets."""
+
+    def parts(batches):
         often, seen = heavy.value, set()
         for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            keys, nodes, counts, size = [], [], [], 0
+            known = batch["doc_id"].is_valid().to_pylist()
             for row, s in _sets(batch, words):
-                h = _class_hash(s)
-                if ids[row] is None or h in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(h)
-                k = keys_of(s, plan, often)
-                keys.append(k)
-                nodes.append(ids[row])
-                counts.append(len(k))
-                size += len(k)
-                if size > 200_000:
-                    yield _key_rows(keys, nodes, counts)
-                    keys, nodes, counts, size = [], [], [], 0
-            yield _key_rows(keys, nodes, counts)
-
-    return run
+                h = _class_hash(s, seed)
+                if known[row] and h not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(h)
+                    yield keys_of(s, plan, often), h[0]
 
+    return lambda batches: _gathered(parts(batches))
 
-def _key_rows(keys, nodes, counts) -> pa.RecordBatch:
-    k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), counts))], ["key", "node"])
 
+def _difference_lists(num: int, den: int):
+    """List entries of differences, for members of clusters: a cluster and a token are a key."""
 
-def _set_rows(words: int):
-    def run(batches):
+    def parts(batches):
         for batch in batches:
-            rows = [(*_class_hash(s), s.tobytes()) for _, s in _sets(batch, words)]
-            h1, h2, sets = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sets, pa.binary())], ["node", "h1", "h2", "shingles"])
+            for p, b, n, raw in zip(*(batch[c].to_pylist() for c in ("a", "b", "n", "tokens")), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)[: _most(n, num, den) + 1]
+                yield mix64(tokens + mix64(np.array([p], np.int64).view(np.uint64))), b
 
-    return run
+    return lambda batches: _gathered(parts(batches))
 
 
-def _difference_keys(pivot: np.ndarray, member: np.ndarray, num: int, den: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The difference of a member from its pivot as (role, token) rows, and its size h.
+def _scan(batches):
+    """Rows sorted by (key, node): links the nodes of each key to its first; stars pass through."""
+    key = hub = None
+    for batch in batches:
+        k, v, star = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "star"))
+        a, b, k, v = k[star], v[star], k[~star], v[~star]
+        if len(k):
+            new = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
+            hubs = np.concatenate(([0 if hub is None else hub], v[new]))[np.cumsum(new)]
+            key, hub = k[-1], hubs[-1]
+            a, b = np.concatenate([a, hubs[hubs != v]]), np.concatenate([b, v[hubs != v]])
+        found = np.unique(np.column_stack((a, b)), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
-    For members A and B with h(A) <= h(B) that differ in at most k shingles, the first
-    k // 2 + 1 of A's difference (role 2) and the first k + 1 of B's (role 1) share one,
-    unless h(A) + h(B) <= k; then both have the token 0.
-    """
+
+def _clusters(entries: DataFrame) -> DataFrame:
+    """``a, b``: the members b of each cluster that the lists connect, but for its smallest, a."""
+    dealt = entries.repartition(F.when(F.col("star"), F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
+    met = connected_components(dealt.mapInArrow(_scan, "a long, b long"))
+    return checkpoint(met.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _most(n: int, num: int, den: int) -> int:
+    """By how many shingles any partner of a set of ``n`` may differ from it."""
+    return (den - num) * (n + den * n // num) // (den + num)
+
+
+def _difference(pivot: np.ndarray, member: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The shingles by which a member differs from its pivot: what the pivot lacks, what it has, then those that many sets share."""
     at = np.minimum(np.searchsorted(pivot, member), len(pivot) - 1)
     added = member[pivot[at] != member]
     at = np.minimum(np.searchsorted(member, pivot), len(member) - 1)
-    removed = pivot[member[at] != pivot]
-    tokens = np.concatenate([added, removed])
-    if len(heavy):  # shingles that many sets share come last
+    tokens = np.concatenate([added, pivot[member[at] != pivot]])
+    if len(heavy):
         often = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
         tokens = np.concatenate([tokens[~often], tokens[often]])
-    n, h = len(member), len(tokens)
-    most = (den - num) * (n + den * n // num) // (den + num)  # by which any partner may differ
-    unlinked_from = (den - num) * (-(-num * n // den) + len(pivot)) // (den + num) + 1
-    small, large = tokens[: most // 2 + 1], tokens[: most + 1]
-    zero = np.zeros(1, np.uint64)
-    if h <= most:
-        large = np.append(large, zero)
-    if h + max(h, unlinked_from) <= most:
-        small = np.append(small, zero)
-    return np.repeat([1, 2], [len(large), len(small)]), np.concatenate([large, small]), h
+    return tokens
+
+
+def _placed_sets(words: int, seed: int):
+    """The set of each class that is compared; a pivot's comes once per copy, with b null."""
+    names = ["a", "salt", "b", "crowd", "shingles"]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            places = list(zip(*(batch[c].to_pylist() for c in ("a", "salt", "b", "copies", "crowd")), strict=True))
+            for row, s in _sets(batch, words):
+                a, salt, b, copies, crowd = places[row]
+                if _class_hash(s, seed)[0] == (a if b is None else b):  # rows that share a doc_id may hold other texts
+                    rows += [(a, i, b, crowd, s.tobytes()) for i in (range(copies) if b is None else (salt,))]
+            cols = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names)
+
+    return run
+
+
+def _sketch(s: np.ndarray) -> list[int]:
+    """1024 bits, each the parity of the shingles that fall on it: two sets differ by at least as many shingles as their sketches by bits."""
+    falls = np.bincount((mix64(s ^ _SALT) >> U64(54)).astype(np.int64), minlength=1024)
+    return np.packbits((falls & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-_STAR = "a long, b long, role int, token long, h int, n int"
+_COMPARED = "a long, b long, linked boolean, h int, n int, pivot_n int, crowd boolean, tokens binary, sketch array<bigint>"
 
 
 def _compared(num: int, den: int, shared):
     """Rows sorted by (a, salt, b): the pivot's own set first (b null), then its partners.
 
-    Gives a row of role 0 for each link, and the difference of each partner where the
-    pivot has others (``crowd``).
+    Tells of each partner whether it is linked, by how many shingles it differs and,
+    where the pivot has others (``crowd``), the first of these that matter.
     """
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in _COMPARED.split(", ")]
 
     def run(batches):
-        name, pivot, heavy = None, None, shared.value
+        name, pivot, last, heavy = None, None, None, shared.value
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
+            out = []
             for a, salt, b, crowd, raw in zip(*(batch[c].to_pylist() for c in ("a", "salt", "b", "crowd", "shingles")), strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 if b is None:
-                    name, pivot = (a, salt), s
-                elif name == (a, salt):
-                    at = np.minimum(np.searchsorted(pivot, s), len(pivot) - 1)
-                    both = int((pivot[at] == s).sum())
-                    roles, tokens, h = np.zeros(0, np.int64), np.zeros(0, np.uint64), 0
-                    if crowd:
-                        roles, tokens, h = _difference_keys(pivot, s, num, den, heavy)
-                    if den * both >= num * (len(pivot) + len(s) - both):
-                        roles, tokens = np.append(roles, 0), np.append(tokens, U64(0))
-                    m = len(roles)
-                    out.append((np.full(m, a), np.full(m, b), roles, tokens.view(np.int64), np.full(m, h), np.full(m, len(s))))
-            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
-            columns = [np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "role", "token", "h", "n"])
+                    name, pivot, last = (a, salt), s, None
+                elif name == (a, salt) and b != last:  # rows that repeat both doc_id and text bring a set twice
+                    last = b
+                    tokens = _difference(pivot, s, heavy)
+                    h, total = len(tokens), len(s) + len(pivot)
+                    linked = h * (den + num) <= total * (den - num)
+                    out.append((a, b, linked, h, len(s), len(pivot), crowd, tokens[: _most(len(s), num, den) + 1].tobytes() if crowd else b"", _sketch(tokens) if crowd else []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 9, kinds, strict=True)], names)
+
+    return run
+
+
+@dataclass
+class _Join:
+    """What the steps of one join share."""
+
+    texts: DataFrame
+    reps: DataFrame  # node, rep: the smallest doc_id of each class
+    words: int
+    seed: int
+    num: int
+    den: int
+    heavy: object
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Compares the pairs (a, b), see ``_compared``. A pivot with many partners is compared in several copies."""
+        fan = checkpoint(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.col("partners") > 1).alias("crowd")))
+        members = pairs.join(small(fan), "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", F.lit(None).cast("int").alias("copies"), "crowd", F.col("b").alias("node"))
+        pivots = fan.select("a", F.lit(0).alias("salt"), F.lit(None).cast("long").alias("b"), "copies", "crowd", F.col("a").alias("node"))
+        places = checkpoint(members.unionByName(pivots).join(self.reps, "node").drop("node"))
+        sets = self.texts.join(small(places), self.texts["doc_id"] == places["rep"]).drop("rep", "doc_id", "mark").mapInArrow(_placed_sets(self.words, self.seed), "a long, salt int, b long, crowd boolean, shingles binary")
+        dealt = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        return checkpoint(dealt.mapInArrow(_compared(self.num, self.den, self.heavy), _COMPARED))
+
+    def starred(self, compared: DataFrame) -> DataFrame:
+        """Adds ``c``, the component so far, and ``apart``: whether the cluster has a member out of the pivot's component.
+
+        With u = (den + num) h - (den - num) n, members x and y are linked for sure if
+        u(x) + u(y) <= 0. All such pairs are linked with the member of least u, and it
+        with the pivot, so they are one component.
+        """
+        u = F.col("h") * (self.den + self.num) - F.col("n") * (self.den - self.num)
+        least = compared.where("crowd").groupBy("a").agg(F.least(F.min(u), F.min(-F.col("pivot_n") * (self.den - self.num))).alias("least"), F.max(u).alias("most"))
+        joined = compared.join(small(checkpoint(least)), "a", "left")
+        sure = F.coalesce(u + F.col("least") <= 0, F.col("linked"))
+        return checkpoint(joined.withColumns({"c": F.when(sure, F.col("a")).otherwise(F.col("b")), "apart": F.coalesce(F.col("most") + F.col("least") > 0, F.lit(False))}).drop("least", "most", "linked", "pivot_n"))
+
+    def meeting(self, fewer: DataFrame, more: DataFrame) -> DataFrame:
+        """Pairs ``a, b`` of members of one cluster whose prefixes meet, the first with no larger difference than the second."""
+        rows = lambda x: x.select("a", "b", "h", "n", "tokens", "sketch").mapInArrow(_roles(self.num, self.den), _ROLE)
+        names = [f"s{i}" for i in range(4)]
+        one = rows(fewer).where("role = 2").select("p", "token", *[F.col(x).alias(f"{x}1") for x in ("b", "h", "n", *names)])
+        two = rows(more).where("role = 1").select("p", "token", *[F.col(x).alias(f"{x}2") for x in ("b", "h", "n", *names)])
+        least = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names])
+        close = least * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
+        near = (F.col("h2") - F.col("h1")) * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
+        sizes = (F.col("n1") * self.den >= F.col("n2") * self.num) & (F.col("n2") * self.den >= F.col("n1") * self.num)
+        ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") != F.col("b2")))
+        joined = one.join(two, ["p", "token"]).where(ordered & near & sizes & close)
+        pairs = checkpoint(joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct())
+        # Whole sketches rule out most of what their folded ones let through.
+        known = checkpoint(fewer.select("b", "n", "sketch").union(more.select("b", "n", "sketch")).dropDuplicates(["b"]))
+        side = lambda name, i: small(known).select(F.col("b").alias(name), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"sketch{i}"))
+        apart = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        near = apart * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
+        return pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(near).select("a", "b")
+
+    def bordering(self, placed: DataFrame) -> list[DataFrame]:
+        """Links ``a, b`` between members by themselves and those of the pivot's component.
+
+        Differences of linked members have sizes that differ by no more than the members
+        may, which leaves few of those by themselves. They are first compared with the
+        member closest to the pivot, which is linked to nearly all that any other is.
+        """
+        low = F.col("h") * (self.den + self.num) - F.col("n") * (self.den - self.num)
+        high = F.col("h") * (self.den + self.num) + F.col("n") * (self.den - self.num)
+        main = placed.where("apart and c <> b")
+        reach = checkpoint(main.groupBy("a").agg(F.max(high).alias("reach"), F.min(F.struct("h", "b"))["b"].alias("closest")))
+        alone = checkpoint(placed.where("apart and c = b").join(small(reach), "a").where(low <= F.col("reach")))
+        if alone.isEmpty():
+            return []
+        links = [self.compared(checkpoint(alone.select(F.col("closest").alias("a"), "b"))).where("linked").select("a", "b")]
+        alone = checkpoint(alone.join(small(links[0]).select("b"), "b", "left_anti"))
+        if alone.isEmpty():
+            return links
+        least = checkpoint(alone.groupBy("a").agg(F.min(low).alias("least")))
+        main = checkpoint(main.join(small(least), "a").where(high >= F.col("least")))
+        pairs = checkpoint(self.meeting(alone, main).union(self.meeting(main, alone)).distinct())
+        return [*links, self.compared(pairs).where("linked").select("a", "b")]
+
+    def components(self, entries: DataFrame) -> DataFrame:
+        """``node, component`` of the classes that have a link."""
+        links: list[DataFrame] = []
+
+        for level in itertools.count(1):
+            placed = self.starred(self.compared(_clusters(entries)))
+            links.append(placed.where("c <> b").select(F.col("c").alias("a"), "b"))
+            links += self.bordering(placed)
+            alone = placed.where("apart and c = b").select("a", "b", "h", "n", "tokens", "sketch")
+            members, found, left = placed.agg(F.count(F.lit(1)), F.count_if(F.expr("c <> b")), F.count_if(F.expr("apart and c = b"))).first()
+            if not left:
+                break
+            if level >= LEVELS and found < WORTH * members:
+                links.append(self.compared(checkpoint(self.meeting(alone, alone))).where("linked").select("a", "b"))
+                break
+            entries = alone.select("a", "b", "n", "tokens").mapInArrow(_difference_lists(self.num, self.den), _ENTRY)
+        return connected_components(reduce(DataFrame.union, links))
+
+
+_ROLE = "p long, token long, role int, b long, h int, n int, s0 long, s1 long, s2 long, s3 long"
+
+
+def _roles(num: int, den: int):
+    """Prefixes of differences as (token, role) rows.
+
+    For members A and B with h(A) <= h(B) that differ in at most k shingles, and
+    h(A) + h(B) > k, the first k // 2 + 1 of A's difference (role 2) and the first
+    k + 1 of B's (role 1) share one.
+    """
+    names = [c.split()[0] for c in _ROLE.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for p, b, h, n, raw, sketch in zip(*(batch[x].to_pylist() for x in ("a", "b", "h", "n", "tokens", "sketch")), strict=True):
+                tokens, most = np.frombuffer(raw, np.int64), _most(n, num, den)
+                large, few = tokens[: most + 1], tokens[: most // 2 + 1]
+                m = len(large) + len(few)
+                out.append((np.full(m, p), np.concatenate([large, few]), np.repeat([1, 2], [len(large), len(few)]), np.full(m, b), np.full(m, h), np.full(m, n), *(np.full(m, x) for x in np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(4, 4)))))
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
 
     return run
 
 
-def _star(pairs: DataFrame, sets: DataFrame, num: int, den: int, heavy, differences: bool) -> DataFrame:
-    """Compares the pairs (a, b), see ``_compared``. A pivot with many partners is compared in several copies."""
-    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), ((F.col("partners") > 1) & F.lit(differences)).alias("crowd"))
-    theirs = pairs.join(fan, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", "crowd").join(sets.select(F.col("node").alias("b"), "shingles"), "b")
-    own = fan.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "crowd", "shingles")
-    rows = own.unionByName(theirs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compared(num, den, heavy), _STAR)
-
-
-def _linked_classes(docs: DataFrame, classes: DataFrame, listed: DataFrame, words: int, num: int, den: int, heavy) -> DataFrame:
-    """``node, component`` of the classes that have a link, each named by its smallest doc_id."""
-    block = Window.partitionBy("key")
-    lists = checkpoint(listed.select("key", "node", F.count(F.lit(1)).over(block).alias("size")).where("size > 1").select("key", "node"))
-    release(docs.sparkSession)  # the lists' shuffle is the largest of all
-    reps = classes.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    # Different tasks may have listed copies of one class: from here on a class goes by its smallest doc_id.
-    met = lists.select("node").distinct().join(classes.where("doc_id is not null").withColumnRenamed("doc_id", "node"), "node").join(reps, ["h1", "h2", "n"]).groupBy("node").agg(F.min("rep").alias("rep"))
-    members = lists.join(met, "node").select("key", F.col("rep").alias("node")).distinct()
-    stars = members.withColumn("pivot", F.min("node").over(block)).where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    # All linked pairs lie within what the lists connect; one pivot serves a whole cluster.
-    pairs = checkpoint(connected_components(stars).where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.withColumnRenamed("rep", "node"), "node").select("node", "h1", "h2")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.select(F.col("node").alias("id")), "id").select(F.col("id").alias("doc_id"), "text")
-    sets = texts.mapInArrow(_set_rows(words), "node long, h1 long, h2 long, shingles binary").join(wanted, ["node", "h1", "h2"], "left_semi")
-    sets = checkpoint(sets.select("node", "shingles").dropDuplicates(["node"]))
-    release(docs.sparkSession)
-
-    compared = checkpoint(_star(pairs, sets, num, den, heavy, True))
-    links = compared.where("role = 0").select("a", "b")
-    found = checkpoint(connected_components(links))
-    placed = compared.where("role > 0").join(found.select(F.col("node").alias("b"), "component"), "b", "left").select(F.col("a").alias("p"), "token", "role", "b", "h", "n", F.coalesce("component", "b").alias("c"))
-    # Clusters whose members are all in one component are done.
-    apart = placed.groupBy("p").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("p")
-    placed = placed.join(apart, "p", "left_semi")
-    small = placed.where("role = 2").select("p", "token", *[F.col(c).alias(f"{c}1") for c in ("b", "h", "n", "c")])
-    large = placed.where("role = 1").select("p", "token", *[F.col(c).alias(f"{c}2") for c in ("b", "h", "n", "c")])
-    k = F.floor((F.col("n1") + F.col("n2")) * (den - num) / (den + num))
-    ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") < F.col("b2")))
-    near = (F.col("h2") - F.col("h1") <= k) & (F.col("n1") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n1") * num)
-    close = (F.col("token") != 0) | (F.col("h1") + F.col("h2") <= k)
-    joined = small.join(large, ["p", "token"]).where((F.col("c1") != F.col("c2")) & ordered & near & close)
-    fresh = joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = checkpoint(_star(checkpoint(fresh), sets, num, den, heavy, False).select("a", "b"))
-    return found if more.isEmpty() else connected_components(links.union(more))
+def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Per row ``doc_id, mark`` (a hash of its text), ``n, c`` (its component, null if it links with nothing) and ``component_id``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    for seed in range(16):
+        met = checkpoint(texts.mapInArrow(_classes(words, seed), "kind int, doc_id long, mark long, h1 long, h2 long, n long"))
+        classes = met.where("kind = 0").select("doc_id", "mark", F.col("h1").alias("node"), "h2", "n")
+        reps = checkpoint(classes.where("doc_id is not null and n > 0").groupBy("node", "h2", "n").agg(F.min("doc_id").alias("rep")))
+        if reps.groupBy("node").count().where("count > 1").isEmpty():
+            break  # else two classes share a node, and another seed tells them apart
+    reps = reps.select("node", "rep")
+    heavy = met.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "h1").limit(MOST_HEAVY).select("h1").toPandas()["h1"]
+    often = docs.sparkSession.sparkContext.broadcast(np.sort(heavy.to_numpy(np.int64).view(np.uint64)))
+    sizes = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
+    plan = Plan(num, den, choose_boundary(sizes, num, den))
+    join = _Join(texts, reps, words, seed, num, den, often)
+    linked = checkpoint(join.components(texts.mapInArrow(_listed(words, seed, plan, often), _ENTRY)).join(reps, "node"))
+    least = checkpoint(linked.groupBy("component").agg(F.min("rep").alias("least")))
+    linked = linked.join(small(least), "component").select("node", "component", "least")
+    named = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.coalesce("least", "rep").alias("least"))
+    has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return classes.join(named, "node", "left").select("doc_id", "mark", "n", F.when(has, F.col("c")).alias("c"), F.when(has, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -362,27 +522,22 @@ def components(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     links, its own included) for every row. Defined cases: a null text, or one
     without words, has no shingles and links with nothing; a null doc_id gets its
     n_shingles and no component_id, and links nothing; rows that repeat a doc_id are
-    each judged by their own text; an empty table gives no rows; other columns are
-    ignored. Shingles are compared by 64-bit hashes, classes by 128 bits.
+    each judged by their own text; a text of any length is judged whole; a similarity
+    of just num/den links; an empty table gives no rows; other columns are ignored.
+    Shingles are compared by 64-bit hashes, classes by 128 bits.
     """
-    num, den = similarity
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = checkpoint(texts.mapInArrow(_classes(words), "kind int, doc_id long, h1 long, h2 long, n long"))
-    classes = met.where("kind = 0").drop("kind")
-    heavy = met.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "h1").limit(MOST_HEAVY).select("h1").toPandas()["h1"]
-    often = docs.sparkSession.sparkContext.broadcast(np.sort(heavy.to_numpy(np.int64).view(np.uint64)))
-    sizes = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
-    plan = Plan(num, den, choose_boundary(sizes, num, den))
-    listed = texts.mapInArrow(_listed(words, plan, often), "key long, node long")
-    linked = _linked_classes(texts, classes, listed, words, num, den, often)
-    reps = classes.where("doc_id is not null and n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    named = reps.join(linked, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component_id"))
-    out = classes.join(named, ["h1", "h2", "n"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _judged(docs, words, *similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each component the text with the smallest doc_id."""
-    stays = components(docs, words, similarity).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of ``docs`` that stay, all columns: of each component the row with the smallest doc_id.
+
+    Rows without a doc_id, and those without words, stay. Of rows that repeat both
+    doc_id and text one stays; of different texts of a component that share the
+    smallest doc_id, the one of least hash.
+    """
+    judged = checkpoint(_judged(docs, words, *similarity).where("doc_id is not null"))
+    groups = judged.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("c", "first")
+    gone = judged.join(small(checkpoint(groups)), "c").where(F.struct("doc_id", "mark") != F.col("first"))
+    repeats = not judged.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
+    return without(docs, F.xxhash64("text"), gone.select("doc_id", "mark"), repeats)

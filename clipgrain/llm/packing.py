@@ -55,9 +55,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.count, self.flat = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
-        self.begin, self.text = _Grown(np.int64), _Grown(np.uint8)  # the words themselves
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.count, self.flat = _Grown(np.int32), _Grown(np.int32), _Grown(np.uint32)
+        self.begin, self.text = _Grown(np.int32), _Grown(np.uint8)  # the words themselves
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         ids, first, counts = self._encode(words)
@@ -123,7 +123,7 @@ class _Grown:
 
     def extend(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.values):
-            self.values = np.concatenate([self.values[: self.size], np.zeros(self.size + len(more), self.values.dtype)])
+            self.values = np.concatenate([self.values[: self.size], np.zeros(self.size // 2 + len(more), self.values.dtype)])
         self.values[self.size : self.size + len(more)] = more
         self.size += len(more)
 

@@ -24,7 +24,8 @@ TRAIN_ROWS = 4096
 BUCKETS = 4096
 #: A text stays when its score reaches this.
 THRESHOLD = 0.5
-SLICE_BYTES = 1 << 18
+#: Texts that are judged at once: bytes, and rows, each of which has a row of features.
+SLICE_BYTES, SLICE_ROWS = 1 << 18, 256
 #: Before any vote the label model expects this much, with the weight of so many texts: the share of good texts, and each labeller's votes for bad on bad and on good texts.
 PRIOR_GOOD, PRIOR_CRIES, PRIOR_WEIGHT = 0.8, (0.5, 0.05), 2.0
 #: Texts under this length show less of what they are, and weigh less.
@@ -195,8 +196,10 @@ def fit_scorer(x: np.ndarray, p: np.ndarray, rounds: int = 200, rate: float = 10
 
 def _parts(batch):
     data, off = bytes_of(batch["text"])
-    for a, b in slices(off, SLICE_BYTES):
-        yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+    for low, high in slices(off, SLICE_BYTES):
+        for a in range(low, high, SLICE_ROWS):
+            b = min(high, a + SLICE_ROWS)
+            yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
 def _patterns(batches):
@@ -271,7 +274,7 @@ def keep_good(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     def run(batches):
         _, w = shared.value
         for batch in batches:
-            kept = [_scores(data, off, *statistics(data, off)[:1], w) >= THRESHOLD for _, _, data, off in _parts(batch)]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
+            for a, b, data, off in _parts(batch):
+                yield batch.slice(a, b - a).filter(pa.array(_scores(data, off, *statistics(data, off)[:1], w) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

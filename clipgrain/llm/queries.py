@@ -89,8 +89,7 @@ def _sql_license_scan() -> str:
                (SELECT *, string_split({normal.format("body")}, ' ') AS w FROM (VALUES {templates}) v(template, license, body))),
     lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
     units AS (SELECT * FROM lines UNION ALL SELECT doc_id, 0, text FROM documents),
-    near AS (SELECT * FROM units WHERE regexp_matches(lower(body), 'licen|rights|software|permission|warrant')),
-    own AS (SELECT doc_id, line, {pairs.format("w")} AS own FROM (SELECT doc_id, line, string_split({normal.format("body")}, ' ') AS w FROM near)),
+    own AS (SELECT doc_id, line, {pairs.format("w")} AS own FROM (SELECT doc_id, line, string_split({normal.format("body")}, ' ') AS w FROM units)),
     scored AS (SELECT doc_id, line, license, template, 2.0 * len(list_intersect(own, have)) / (len(own) + len(have)) AS dice FROM own, t WHERE len(own) > 0)
     SELECT doc_id, CAST(line AS INTEGER) AS line, license, template, round(dice, 6) AS dice FROM scored WHERE dice >= {licenses.THRESHOLD}
     QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, template) = 1"""
@@ -98,17 +97,17 @@ def _sql_license_scan() -> str:
 
 def _sql_mix(limit: float) -> str:
     key = "coalesce('s' || source, 'n')"
-    order = f"md5('{mixing.SEED}:' || {{}} || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))"
+    order = f"md5('{mixing.SEED}:' || {{}} || ':' || name)"
     return f"""
-    WITH r AS (SELECT doc_id, source, {key} AS key, CAST(greatest(len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')), 1) AS BIGINT) AS tokens FROM documents),
+    WITH r AS (SELECT doc_id, source, {key} AS key, coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, ''))) AS name, CAST(greatest(len(list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')), 1) AS BIGINT) AS tokens FROM documents),
     s AS (SELECT key, CAST(sum(tokens) AS BIGINT) AS have, CAST(sum(sum(tokens)) OVER () AS DOUBLE) AS total FROM r GROUP BY key),
     a AS (SELECT CASE WHEN max(have) = min(have) THEN 0.0 ELSE greatest(0.0, floor((1 - ln({limit}) / ln(CAST(max(have) AS DOUBLE) / min(have))) * 1e6 + 1e-3) / 1e6) END AS a FROM s),
     p AS (SELECT key, have, pow(have / total, a.a) AS power FROM s, a),
     q AS (SELECT key, have, greatest(have, CAST(round(power * (SELECT max(have / power) FROM p)) AS BIGINT)) AS quota FROM p),
     plan AS (SELECT key, quota // have AS passes, quota % have AS rest, CAST(quota AS DOUBLE) / have AS times FROM q),
     o AS (SELECT r.*, passes, rest, times, {order.format("passes")} AS ord FROM r JOIN plan USING (key)),
-    c AS (SELECT *, CASE WHEN rest > 0 AND sum(tokens) OVER (PARTITION BY key ORDER BY ord, doc_id, tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS extra FROM o),
-    d AS (SELECT doc_id, source, tokens, times, unnest(range(0, CAST(passes + extra AS BIGINT))) AS epoch FROM c)
+    c AS (SELECT *, CASE WHEN rest > 0 AND sum(tokens) OVER (PARTITION BY key ORDER BY ord, name, tokens) <= rest THEN 1 ELSE 0 END AS extra FROM o),
+    d AS (SELECT doc_id, source, name, tokens, times, unnest(range(0, CAST(passes + extra AS BIGINT))) AS epoch FROM c)
     SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch,
            CAST(least(floor((epoch + CAST(('0x' || substr({order.format("epoch")}, 1, 8)) AS BIGINT) / 4294967296.0) / times * {mixing.BLOCKS}), {mixing.BLOCKS - 1}) AS INTEGER) AS block FROM d"""
 
