@@ -7,34 +7,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from clipgrain.llm import exact_dedup, mixing, ngram_join, packing, quality
-from clipgrain.llm.common import shared_folder, table
+from clipgrain.llm.common import ready, shared_folder, table
 from clipgrain.llm.queries import MAX_REPETITION, tokenizer_path
-from clipgrain.shipping import ship
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return ngram_join.keep_one(docs, words=5, similarity=(80, 100))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; those of small sources are drawn up to MAX_REPETITION times as often."""
-    ship(spark)
+    ready(spark)
     return mixing.mixed_documents(docs, max_repetition=MAX_REPETITION)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, tokenizer_path())
 
 
