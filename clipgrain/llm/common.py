@@ -11,7 +11,7 @@ from clipgrain.shipping import ship
 
 
 #: Rows of a batch that goes to Python; texts make batches of the default size large.
-BATCH_ROWS = "2000"
+BATCH_ROWS = "1000"
 
 
 def ready(spark: SparkSession) -> None:

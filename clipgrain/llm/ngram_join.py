@@ -47,11 +47,11 @@ from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 #: Shingles in so many sets (as far as tasks counted them) are heavy; of more than so many, the heaviest are.
 HEAVY_AT, MOST_HEAVY = 3, 1 << 19
 #: Shingles a task counts at once, and from how many sets on it reports one.
-COUNT_AT_ONCE, REPORT_FROM = 1_000_000, 2
+COUNT_AT_ONCE, REPORT_FROM = 500_000, 2
 #: Sizes that may be small, and the cost of a list entry relative to that of a subset (it may have to be compared).
 LARGEST_SMALL, LIST_COST = 40, 4
 #: Class hashes a task remembers, to list a class once for all its copies there, and list entries it joins at once.
-SEEN, ENTRIES_AT_ONCE = 1 << 18, 1 << 18
+SEEN, ENTRIES_AT_ONCE = 1 << 17, 1 << 17
 #: Partners that one copy of a pivot is compared with.
 PARTNERS = 1000
 #: Levels of clusters within clusters at least, and the share of members that must find a partner for a further one; then those by themselves are joined with each other.

@@ -26,7 +26,7 @@ from clipgrain.llm.textops import bytes_of, equal_spans, slices, span_hashes, wo
 SEQUENCE = 2048
 END_ID = 1
 #: Words, and their bytes, that a worker's memory of encodings holds before it starts afresh; those of the slice at hand are always held.
-KNOWN_WORDS, KNOWN_BYTES = 1_000_000, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 500_000, 16 << 20
 
 ID_TYPES = {True: np.dtype("<u2"), False: np.dtype("<u4")}
 
