@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgrain.llm import exact_dedup, licenses, mixing, packing, topk, url_filter, warc
+from clipgrain.llm import best_fit, collocations, exact_dedup, licenses, merkle_manifest, mixing, packing, topk, url_filter, warc
 from clipgrain.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -69,6 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer_path()),
         "op9_exact_topk": lambda s, d: topk.top_k(table(s, d, "embeddings"), F.col("vec_id") % 20 == 0),
         "op10_source_mixing": lambda s, d: mixing.mix(table(s, d, "documents"), max_repetition=MAX_REPETITION),
+        "op11_merkle_manifest": lambda s, d: merkle_manifest.proofs(table(s, d, "documents"), merkle_manifest.lowered_text()).drop("lang"),
+        "op12_best_fit": lambda s, d: best_fit.pack(table(s, d, "documents"), tokenizer_path()),
+        "op13_collocations": lambda s, d: collocations.collocations(table(s, d, "documents")),
         "pipeline": pipeline,
     }
 
@@ -153,6 +156,61 @@ def _sql_suffix_dedup(length: int) -> str:
     SELECT h.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, '') || substr(x, 2 * coalesce(e, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
 
 
+def _sql_levels(name: str, nodes: str, levels: int) -> str:
+    """Nodes (g, r, h) hashed level by level: each level as (g, r, h, many, before, after)."""
+    parts, source = [], nodes
+    for k in range(levels + 1):
+        near = "ROWS BETWEEN {} {} {}".format
+        parts.append(f"""{name}{k} AS (SELECT g, r, h, count(*) OVER (PARTITION BY g) > 1 AS many, coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 8 ORDER BY r {near("UNBOUNDED PRECEDING", "AND", "1 PRECEDING")}), '') AS before,
+            coalesce(string_agg(h, '') OVER (PARTITION BY g, r // 8 ORDER BY r {near("1 FOLLOWING", "AND", "UNBOUNDED FOLLOWING")}), '') AS after FROM ({source}))""")
+        source = f"SELECT g, r // 8 AS r, CASE WHEN bool_or(many) THEN sha256(string_agg(h, '' ORDER BY r)) ELSE max(h) END AS h FROM {name}{k} GROUP BY ALL"
+    return ", ".join(parts)
+
+
+def _sql_manifest(levels: int = 7, tops: int = 3) -> str:
+    """The trees unrolled: enough levels for 8**levels documents a language and 8**tops languages."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END".format
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {field(text)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    digits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295)"
+    steps = [*[f"a{k}" for k in range(levels)], *[f"t{k}" for k in range(tops)]]
+    joins = " ".join(f"JOIN a{k} ON a{k}.g = l.g AND a{k}.r = l.r // {8**k}" for k in range(levels + 1)) + " JOIN place p ON p.g = l.g " + " ".join(f"JOIN t{k} ON t{k}.r = p.r // {8**k}" for k in range(tops + 1))
+    columns = ", ".join(f"{s}.many AS m{i}, {s}.before AS b{i}, {s}.after AS e{i}" for i, s in enumerate(steps))
+    folds, last = [], "claimed"
+    for i in range(len(steps)):
+        folds.append(f"f{i} AS (SELECT *, CASE WHEN m{i} THEN sha256(b{i} || {last} || e{i}) ELSE {last} END AS c{i} FROM {'paths' if not i else f'f{i - 1}'})")
+        last = f"c{i}"
+    proof = " || ".join(f"CASE WHEN m{i} THEN b{i} || e{i} ELSE '' END" for i in range(len(steps)))
+    return f"""
+    WITH l0 AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE 's' || lang END AS g, {leaf("text")} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS claimed FROM documents),
+    l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS r FROM l0), {_sql_levels("a", "SELECT g, r, h FROM l", levels)},
+    place AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS r FROM a{levels}), {_sql_levels("t", "SELECT 0 AS g, r, h FROM place", tops)},
+    paths AS (SELECT doc_id, l.h AS leaf, claimed, p.h AS subroot, t{tops}.h AS root, {columns} FROM l {joins}), {", ".join(folds)}
+    SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, {last} AS folded_root, {last} = root AS verified FROM f{len(steps) - 1}"""
+
+
+def _sql_collocations() -> str:
+    words = "list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '')"
+    phrase = "array_to_string(list_slice(w, i, i + {} - 1), ' ')".format
+    a, b = collocations.SCALE, collocations.COVERED
+    score = f"CAST(CAST({a} AS HUGEINT) * a * a // (CAST({{}} AS HUGEINT) * {{}}) AS BIGINT)".format
+    return f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+    w AS (SELECT lang, {words} AS w FROM p), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    x AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {phrase("k")})) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+    f AS (SELECT lang, k, phrase, count(*) AS a FROM x GROUP BY ALL HAVING count(*) >= {collocations.LEAST}),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    two AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r FROM c JOIN f l ON l.lang = c.lang AND l.k = 1 AND l.phrase = w[1] JOIN f r ON r.lang = c.lang AND r.k = 1 AND r.phrase = w[2] WHERE c.k = 2),
+    three AS (SELECT c.lang, c.phrase, c.a, w[1] || ' ' || w[2] AS head, w[2] || ' ' || w[3] AS tail, l1.a AS l1, r1.a AS r1, l2.a AS l2, r2.a AS r2 FROM c
+        JOIN f l1 ON l1.lang = c.lang AND l1.k = 1 AND l1.phrase = w[1] JOIN f r1 ON r1.lang = c.lang AND r1.k = 2 AND r1.phrase = w[2] || ' ' || w[3]
+        JOIN f l2 ON l2.lang = c.lang AND l2.k = 2 AND l2.phrase = w[1] || ' ' || w[2] JOIN f r2 ON r2.lang = c.lang AND r2.k = 1 AND r2.phrase = w[3] WHERE c.k = 3),
+    cover AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, head AS phrase, a FROM three UNION ALL SELECT lang, tail, a FROM three) GROUP BY ALL),
+    s AS (SELECT two.lang, two.phrase, two.a, l, r, {score("l", "r").replace("* a * a", "* two.a * two.a")} AS score FROM two LEFT JOIN cover USING (lang, phrase) WHERE cover.a IS NULL OR 100 * cover.a < {b} * two.a
+        UNION ALL SELECT lang, phrase, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2) FROM (SELECT *, {score("l1", "r1")} AS s1, {score("l2", "r2")} AS s2 FROM three))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN total USING (lang) QUALIFY rank <= {collocations.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)})" for h, p, v in URL_RULES)
     return {
@@ -178,4 +236,6 @@ def oracle_sql() -> dict[str, str]:
                    c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20""",
         "op10_source_mixing": _sql_mix(MAX_REPETITION),
+        "op11_merkle_manifest": _sql_manifest(),
+        "op13_collocations": _sql_collocations(),
     }
