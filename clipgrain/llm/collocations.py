@@ -1,23 +1,31 @@
 """Phrase collocations by marginalising the longest windows.
 
-Every word begins one window of LONGEST words, padded where its piece ends, so an
-occurrence of a shorter phrase is a window's prefix. Windows are lead columns of the
-piece's words, and only they are counted; ROLLUP sums their counts to those of all
-shorter prefixes, down to single words and the language's total. No text is gone
-through again for another length, and a hot prefix is summed before it is shuffled.
-
-What can't be part of a phrase that occurs often enough is left out right after the
-rollup; the parts of a phrase occur at least as often as the phrase itself.
+Every word begins one window of ``longest`` words, padded where its piece ends, so an
+occurrence of a shorter phrase is a window's prefix. Windows are lead columns of a
+chunk's words (ids, shifted by one place each), and only they are counted: a task
+counts those of a chunk of texts and writes them in order, so that they compress.
+All counts of shorter phrases are sums of window counts. ROLLUP sums them to words and
+to the language's total from two columns of that table. A window's head, all but its
+last word, is summed where its windows meet, so distinct heads are not shuffled again.
+
+Windows meet by their head. Each chunk names the heads that hold a large share of its
+windows; the HOT_HEADS with most windows are spread over SALTS tasks by the last word
+and their parts added up, so a head that is not spread holds a bounded share of rows.
+What can't be part of a phrase that occurs often enough is left out after the sums;
+the parts of a phrase occur at least as often as the phrase itself.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import ascii_lower, checkpoint
+from clipgrain.llm.common import checkpoint, written
+from clipgrain.llm.textops import _LOWER, bytes_of, equal_spans, mix64, slices, span_hashes, word_bounds
 
 LONGEST = 3
 LEAST = 10
@@ -25,34 +33,123 @@ TOP = 2000
 #: A phrase goes if one that holds it occurs at least this share of its times, in percent.
 COVERED = 50
 SCALE = 1_000_000
-PIECE_ENDS = "[.,;:!?\\n\\x0B\\f\\r]+"
-WORD_ENDS = "[ \\t]+"
-PAD = ""
+#: Bytes of text whose windows are counted together, or one longer text.
+CHUNK_BYTES = 16 << 20
+#: Heads that are spread, and over how many tasks each. A chunk names heads with over 1 / HOT_HEADS of its windows.
+HOT_HEADS, SALTS = 4096, 64
 #: First picks of the top rows are made in so many parts of a language.
 PARTS = 64
+OUT_ROWS = 1 << 16
+
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".,;:!?\n\x0b\f\r")] = True
+_PARTING = _ENDS.copy()
+_PARTING[list(b" \t")] = True
+
+
+def _names(longest: int) -> list[str]:
+    return [f"w{i}" for i in range(1, longest + 1)]
+
+
+def _word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An id from 1 for each word's language and bytes, and the first word of each id; words are found by hash and compared by their bytes."""
+    hashes = span_hashes(data, starts, ends) ^ mix64(langs.astype(np.uint64) + np.uint64(1))
+    _, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    if not ((langs[at][ids] == langs).all() and equal_spans(data, starts, ends, data, starts[at][ids], ends[at][ids]).all()):
+        raw, known = data.tobytes(), {}  # different words hash alike
+        ids = np.array([known.setdefault((lang, raw[a:b]), len(known)) for lang, a, b in zip(langs.tolist(), starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        _, at = np.unique(ids, return_index=True)
+    return ids + 1, at
+
+
+def _distinct(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of ids below ``base``, in order, and how often each occurs."""
+    if base ** len(columns) < 2**63:
+        key = reduce(lambda k, c: k * base + c, columns)
+        key, n = np.unique(key, return_counts=True)
+        return [key // base**i % base for i in range(len(columns) - 1, -1, -1)], n
+    order = np.lexsort(columns[::-1])
+    rows = [c[order] for c in columns]
+    first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in rows], axis=0))))
+    return [c[first] for c in rows], np.diff(np.append(first, len(order)))
+
+
+def _count(langs: pa.Array, texts: pa.Array, longest: int):
+    """Batches of the counted windows of some texts: ``lang, w1 .. wN, n, hot``."""
+    data, off = bytes_of(texts)
+    data = _LOWER[data]
+    starts, ends, first = word_bounds(data, off, _PARTING)
+    if not len(starts):
+        return
+    codes = langs.dictionary_encode()
+    texts_of = np.repeat(np.arange(len(off) - 1), np.diff(first))
+    lang = codes.indices.to_numpy(zero_copy_only=False)[texts_of]
+    ids, at = _word_ids(data, starts, ends, lang)
+    passed = np.concatenate(([0], np.cumsum(_ENDS[data], dtype=np.int32)))
+    goes_on = np.append((texts_of[1:] == texts_of[:-1]) & (passed[starts[1:]] == passed[ends[:-1]]), False)
+    columns, live = [ids], np.ones(len(ids), bool)
+    for i in range(1, longest):
+        live = live & np.append(goes_on[i - 1 :], np.zeros(i - 1, bool))
+        columns.append(np.where(live, np.append(ids[i:], np.zeros(i, ids.dtype)), 0))
+    raw = data.tobytes()
+    words = pa.array([b"", *(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True))]).cast(pa.string())
+    lang = np.concatenate(([0], lang[at]))
+    columns, n = _distinct(columns, len(at) + 1)
+    fresh = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0))))
+    held = np.diff(np.append(fresh, len(n)))
+    hot = np.zeros(len(n), np.int64)
+    hot[fresh] = np.where(held * HOT_HEADS > len(n), held, 0)
+    for a in range(0, len(n), OUT_ROWS):
+        part = slice(a, a + OUT_ROWS)
+        arrays = [codes.dictionary.take(pa.array(lang[columns[0][part]])), *(words.take(pa.array(c[part])) for c in columns), pa.array(n[part]), pa.array(hot[part])]
+        yield pa.RecordBatch.from_arrays(arrays, ["lang", *_names(longest), "n", "hot"])
 
 
 def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``lang, w1 .. wN``: the window that each word of a piece begins, padded with empty words."""
-    names = [f"w{i}" for i in range(1, longest + 1)]
-    pieces = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(ascii_lower(F.col("text")), PIECE_ENDS)).alias("piece"))
-    # Blanks at either end would give empty words.
-    words = pieces.select("lang", F.split(F.regexp_replace("piece", f"^{WORD_ENDS}|{WORD_ENDS}\\z", ""), WORD_ENDS).alias("w")).where(F.col("w")[0] != "")
-    leads = [F.slice("w", i + 1, F.size("w")) for i in range(1, longest)]
-    rows = words.select("lang", F.inline(F.arrays_zip(F.col("w"), *[x.alias(n) for x, n in zip(leads, names[1:], strict=True)])).alias(*names))
-    return rows.select("lang", *[F.coalesce(c, F.lit(PAD)).alias(c) for c in names])
+    """``lang, w1 .. wN, n, hot``: the padded windows of each chunk of texts and how often they occur there.
+
+    ``hot`` is, on the first window of a head with many windows, how many.
+    """
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            _, off = bytes_of(batch["text"])
+            for a, b in slices(off, CHUNK_BYTES):
+                if held and size + off[b] - off[a] > CHUNK_BYTES:
+                    yield from _count(*(pa.concat_arrays(c) for c in zip(*held, strict=True)), longest)
+                    held, size = [], 0
+                held.append((batch["lang"].slice(a, b - a), batch["text"].slice(a, b - a)))
+                size += off[b] - off[a]
+        if held:
+            yield from _count(*(pa.concat_arrays(c) for c in zip(*held, strict=True)), longest)
+
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    return rows.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in _names(longest))}, n long, hot long")
 
 
 def prefix_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """``lang, words, w1 .. wN, n``: occurrences of all phrases of up to ``longest`` words that occur ``least`` times, and (words 0) of all words of a language."""
-    names = [f"w{i}" for i in range(1, longest + 1)]
-    counted = windows(docs, longest).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
-    rolled = counted.rollup("lang", *names).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
-    # The grouping id has a bit set for each column summed away: 2**k - 1 for a prefix that lacks k words.
-    words = reduce(lambda rest, k: rest.when(F.col("g") == 2 ** (longest - k) - 1, k), range(1, longest + 1), F.when(F.col("g") == 2**longest - 1, 0))
-    last = F.when(F.col("words") > 0, F.element_at(F.array(*names), F.greatest("words", F.lit(1))))
-    rows = rolled.withColumn("words", words.cast("int")).where("words is not null")
-    return rows.where((F.col("words") == 0) | ((F.col("n") >= least) & (last != PAD))).select("lang", "words", *names, "n")
+    names = _names(longest)
+    head, last = ["lang", *names[:-1]], names[-1]
+    with written(windows(docs, longest)) as rows:
+        spread = rows.where("hot > 0").groupBy(*head).agg(F.sum("hot").alias("rows")).orderBy(F.col("rows").desc(), *head).limit(HOT_HEADS)
+        spread = docs.sparkSession.createDataFrame(spread.select(*head, F.lit(True).alias("spread")).collect(), ", ".join(f"{c} string" for c in head) + ", spread boolean")
+        salt = F.when(F.col("spread"), F.pmod(F.xxhash64(last), F.lit(SALTS)).cast("int") + 1).otherwise(0)
+        met = rows.join(F.broadcast(spread), head, "left").select(*head, last, "n", salt.alias("salt")).repartition(*head, "salt")
+        counted = met.groupBy(*head, "salt", last).agg(F.sum("n").alias("n"))  # the shuffle above serves both groupings
+        often = F.collect_list(F.when((F.col("n") >= least) & (F.col(last) != ""), F.struct(last, "n")))
+        heads = checkpoint(counted.groupBy(*head, "salt").agg(F.sum("n").alias("n"), often.alias("often")).where((F.col("n") >= least) | (F.col("salt") > 0)))
+        rolled = rows.rollup("lang", *names[: longest - 2]).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+        # The grouping id has a bit set for each column summed away: 2**k - 1 for a prefix that lacks k words.
+        words = reduce(lambda rest, k: rest.when(F.col("g") == 2 ** (longest - 2 - k) - 1, k), range(1, longest - 1), F.when(F.col("g") == 2 ** (longest - 2) - 1, 0))
+        rolled = checkpoint(rolled.withColumn("words", words).where((F.col("words") == 0) | ((F.col("words") > 0) & (F.col("n") >= least))))
+    whole = heads.select(*head, F.inline("often").alias(last, "n")).withColumn("words", F.lit(longest))
+    parts = heads.groupBy(*head).agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("words", F.lit(longest - 1))
+    found = [whole, parts, rolled.drop("g")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).select("lang", "words", *names, "n")
+    ends = reduce(lambda rest, k: rest.when(F.col("words") == k, F.col(names[k - 1]) != ""), range(2, longest + 1), F.when(F.col("words") < 2, True))
+    return rows.where(ends)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -75,10 +172,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
 
     Defined cases: null and empty texts have no words; a null language is ``und``, like
     one of that name; repeated rows count again; a text of any length is gone through
-    whole, piece by piece; ties are broken by the phrase's bytes; an empty table gives
-    no rows; other columns are ignored.
+    whole; ties are broken by the phrase's bytes; an empty table gives no rows; other
+    columns are ignored.
     """
-    names = [f"w{i}" for i in range(1, longest + 1)]
+    names = _names(longest)
     table = checkpoint(prefix_counts(docs, longest, least))
     total = table.where("words = 0").select("lang", F.col("n").alias("total"))
     scored = []

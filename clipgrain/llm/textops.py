@@ -79,9 +79,9 @@ def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         a = min(b, n)
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words of a slice, and the first word of each text (one more at the end)."""
-    word = ~SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of a slice, and the first word of each text (one more at the end); ``parting``: which bytes are no part of words."""
+    word = ~parting[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = offsets[:-1][offsets[:-1] < offsets[1:]]
