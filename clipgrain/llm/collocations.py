@@ -2,25 +2,31 @@
 
 Every word begins one window of ``longest`` words, padded where its piece ends, so an
 occurrence of a shorter phrase is a window's prefix. Windows are lead columns of a
-chunk's words (ids, shifted by one place each), and only they are counted: a task
-counts those of a chunk of texts and writes them in order, so that they compress.
-All counts of shorter phrases are sums of window counts. ROLLUP sums them to words and
-to the language's total from two columns of that table. A window's head, all but its
-last word, is summed where its windows meet, so distinct heads are not shuffled again.
-
-Windows meet by their head. Each chunk names the heads that hold a large share of its
-windows; the HOT_HEADS with most windows are spread over SALTS tasks by the last word
-and their parts added up, so a head that is not spread holds a bounded share of rows.
+chunk's words (ids, shifted by one place each), and only they are counted. All counts
+of shorter phrases are sums of window counts: those of heads (all but a window's last
+word) are made where a head's windows meet, and Spark's ROLLUP sums what each task
+finds for shorter prefixes down to words and the language's total.
+
+A task counts the windows of a chunk of texts, puts them in order and sends them in
+compressed blocks, one for each bucket of heads, as most windows occur once and a row
+each would be many times larger. A head that holds a large share of a chunk's windows
+sends only its sum to its bucket, and its windows to buckets of their own. The bucket
+then passes on what other chunks sent it of that head, and both meet in a last sum, so
+that no bucket gets more than a bounded share of any chunk for one head.
+
 What can't be part of a phrase that occurs often enough is left out after the sums;
 the parts of a phrase occur at least as often as the phrase itself.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +41,15 @@ COVERED = 50
 SCALE = 1_000_000
 #: Bytes of text whose windows are counted together, or one longer text.
 CHUNK_BYTES = 16 << 20
-#: Heads that are spread, and over how many tasks each. A chunk names heads with over 1 / HOT_HEADS of its windows.
-HOT_HEADS, SALTS = 4096, 64
+#: A head is spread that has over one in so many of a chunk's windows, and over HOT_WINDOWS.
+HOT_SHARE, HOT_WINDOWS = 4096, 256
 #: First picks of the top rows are made in so many parts of a language.
 PARTS = 64
 OUT_ROWS = 1 << 16
+#: What a block holds: windows by head, sums of spread heads, windows of spread heads.
+WINDOWS, SUMS, SPREAD = 0, 1, 2
+#: What a row of the counts is, besides the number of a phrase's words.
+_SHORTER, _SPREAD = -1, -2
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\f\r")] = True
@@ -51,40 +61,79 @@ def _names(longest: int) -> list[str]:
     return [f"w{i}" for i in range(1, longest + 1)]
 
 
-def _word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An id from 1 for each word's language and bytes, and the first word of each id; words are found by hash and compared by their bytes."""
-    hashes = span_hashes(data, starts, ends) ^ mix64(langs.astype(np.uint64) + np.uint64(1))
+def _word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An id from 1 for each word's language and bytes, the first word of each id, and a hash of each id's content.
+
+    ``salts`` has a hash of each language. Words are found by hash and compared by their bytes.
+    """
+    hashes = span_hashes(data, starts, ends) ^ salts[langs]
     _, at, ids = np.unique(hashes, return_index=True, return_inverse=True)
     if not ((langs[at][ids] == langs).all() and equal_spans(data, starts, ends, data, starts[at][ids], ends[at][ids]).all()):
         raw, known = data.tobytes(), {}  # different words hash alike
         ids = np.array([known.setdefault((lang, raw[a:b]), len(known)) for lang, a, b in zip(langs.tolist(), starts.tolist(), ends.tolist(), strict=True)], np.int64)
         _, at = np.unique(ids, return_index=True)
-    return ids + 1, at
+    return ids + 1, at, hashes[at]
 
 
-def _distinct(columns: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns of ids below ``base``, in order, and how often each occurs."""
+def _summed(columns: list[np.ndarray], n: np.ndarray, base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of ids below ``base``, in order, and the sum of ``n`` over each."""
+    if not len(n):
+        return columns, n
     if base ** len(columns) < 2**63:
         key = reduce(lambda k, c: k * base + c, columns)
-        key, n = np.unique(key, return_counts=True)
-        return [key // base**i % base for i in range(len(columns) - 1, -1, -1)], n
-    order = np.lexsort(columns[::-1])
-    rows = [c[order] for c in columns]
-    first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in rows], axis=0))))
-    return [c[first] for c in rows], np.diff(np.append(first, len(order)))
+        order = np.argsort(key, kind="stable")
+        rows, key = [c[order] for c in columns], key[order]
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    else:
+        order = np.lexsort(columns[::-1])
+        rows = [c[order] for c in columns]
+        fresh = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in rows], axis=0)))
+    first = np.flatnonzero(fresh)
+    return [c[first] for c in rows], np.add.reduceat(n[order], first)
+
+
+def _runs_of(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a new row begins in sorted columns."""
+    return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _encode(words: list[bytes], columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows of ids (0 is the pad) as a block with the words they use; sorted rows compress best."""
+    used = np.unique(np.concatenate(columns))
+    used = used[used > 0]
+    local = [np.where(c > 0, np.searchsorted(used, c) + 1, 0) for c in columns]
+    own = [words[i] for i in used.tolist()]
+    numbers = np.concatenate([np.diff(local[0], prepend=0).astype("<i4").view("<u4"), *(c.astype("<u4") for c in local[1:])])
+    parts = [np.fromiter(map(len, own), "<u4", len(own)).tobytes(), b"".join(own), np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()]
+    return zstandard.compress(np.array([len(own), len(columns), len(n)], "<u4").tobytes() + b"".join(parts))
+
+
+def _decode(block: bytes | pa.Buffer) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    raw = zstandard.decompress(block)
+    own, width, rows = np.frombuffer(raw, "<u4", 3).tolist()
+    sizes, at = np.frombuffer(raw, "<u4", own, 12), 12 + 4 * own
+    ends = at + np.cumsum(sizes, dtype=np.int64)
+    words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    at = int(ends[-1]) if own else at
+    planes = lambda size, many, start: np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * many, start).reshape(size, many).T).reshape(-1)
+    numbers = planes(4, width * rows, at).view("<u4").reshape(width, rows)
+    columns = [np.cumsum(numbers[0].view("<i4"), dtype=np.int64), *(c.astype(np.int64) for c in numbers[1:])]
+    return words, columns, planes(8, rows, at + 4 * width * rows).view("<u8").astype(np.int64)
 
 
-def _count(langs: pa.Array, texts: pa.Array, longest: int):
-    """Batches of the counted windows of some texts: ``lang, w1 .. wN, n, hot``."""
+def _count(langs: pa.Array, texts: pa.Array, longest: int, buckets: int, hot: tuple[int, int] = (HOT_SHARE, HOT_WINDOWS)):
+    """``bucket, kind, block`` of the counted windows of some texts; ``hot`` says when a head is spread. A word's entry in a block is its bytes, a line end and its language."""
     data, off = bytes_of(texts)
     data = _LOWER[data]
     starts, ends, first = word_bounds(data, off, _PARTING)
     if not len(starts):
         return
     codes = langs.dictionary_encode()
+    names = [x.encode() for x in codes.dictionary.to_pylist()]
+    salts = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in names], np.uint64)
     texts_of = np.repeat(np.arange(len(off) - 1), np.diff(first))
     lang = codes.indices.to_numpy(zero_copy_only=False)[texts_of]
-    ids, at = _word_ids(data, starts, ends, lang)
+    ids, at, hashes = _word_ids(data, starts, ends, lang, salts)
     passed = np.concatenate(([0], np.cumsum(_ENDS[data], dtype=np.int32)))
     goes_on = np.append((texts_of[1:] == texts_of[:-1]) & (passed[starts[1:]] == passed[ends[:-1]]), False)
     columns, live = [ids], np.ones(len(ids), bool)
@@ -92,64 +141,115 @@ def _count(langs: pa.Array, texts: pa.Array, longest: int):
         live = live & np.append(goes_on[i - 1 :], np.zeros(i - 1, bool))
         columns.append(np.where(live, np.append(ids[i:], np.zeros(i, ids.dtype)), 0))
     raw = data.tobytes()
-    words = pa.array([b"", *(raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True))]).cast(pa.string())
-    lang = np.concatenate(([0], lang[at]))
-    columns, n = _distinct(columns, len(at) + 1)
-    fresh = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0))))
+    words = [b"", *(raw[a:b] + b"\n" + names[k] for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), lang[at].tolist(), strict=True))]
+    columns, n = _summed(columns, np.ones(len(ids), np.int64), len(words))
+    hashes = np.concatenate((np.zeros(1, np.uint64), hashes))
+    fold = lambda part: reduce(lambda h, c: mix64(h * np.uint64(0xD6E8FEB86659FD93) + hashes[c]), part, np.zeros(len(part[0]), np.uint64)) % np.uint64(buckets)
+    fresh = _runs_of(columns[:-1])
     held = np.diff(np.append(fresh, len(n)))
-    hot = np.zeros(len(n), np.int64)
-    hot[fresh] = np.where(held * HOT_HEADS > len(n), held, 0)
-    for a in range(0, len(n), OUT_ROWS):
-        part = slice(a, a + OUT_ROWS)
-        arrays = [codes.dictionary.take(pa.array(lang[columns[0][part]])), *(words.take(pa.array(c[part])) for c in columns), pa.array(n[part]), pa.array(hot[part])]
-        yield pa.RecordBatch.from_arrays(arrays, ["lang", *_names(longest), "n", "hot"])
+    spread = np.repeat((held * hot[0] > len(n)) & (held > hot[1]), held)
+    sums, many = _summed([c[spread] for c in columns[:-1]], n[spread], len(words))
+    for kind, part, counts in ((WINDOWS, [c[~spread] for c in columns], n[~spread]), (SUMS, sums, many), (SPREAD, [c[spread] for c in columns], n[spread])):
+        if not len(counts):
+            continue
+        bucket = fold(part[:-1] if kind == WINDOWS else part)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.append(np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) > 0))), len(order))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rows = order[a:b]
+            yield int(bucket[rows[0]]), kind, _encode(words, [c[rows] for c in part], counts[rows])
 
 
-def windows(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``lang, w1 .. wN, n, hot``: the padded windows of each chunk of texts and how often they occur there.
-
-    ``hot`` is, on the first window of a head with many windows, how many.
-    """
+def blocks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """``bucket, kind, block``: the padded windows of each chunk of texts with their counts, as many buckets as shuffles have partitions."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot, limit = (HOT_SHARE, HOT_WINDOWS), CHUNK_BYTES
 
     def run(batches):
+        def sent(held):
+            for bucket, kind, block in _count(*(pa.concat_arrays(c) for c in zip(*held, strict=True)), longest, buckets, hot):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([block], pa.binary())], ["bucket", "kind", "block"])
+
         held, size = [], 0
         for batch in batches:
             _, off = bytes_of(batch["text"])
-            for a, b in slices(off, CHUNK_BYTES):
-                if held and size + off[b] - off[a] > CHUNK_BYTES:
-                    yield from _count(*(pa.concat_arrays(c) for c in zip(*held, strict=True)), longest)
+            for a, b in slices(off, limit):
+                if held and size + off[b] - off[a] > limit:
+                    yield from sent(held)
                     held, size = [], 0
                 held.append((batch["lang"].slice(a, b - a), batch["text"].slice(a, b - a)))
                 size += off[b] - off[a]
         if held:
-            yield from _count(*(pa.concat_arrays(c) for c in zip(*held, strict=True)), longest)
+            yield from sent(held)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    return rows.mapInArrow(run, f"lang string, {', '.join(f'{c} string' for c in _names(longest))}, n long, hot long")
+    return rows.mapInArrow(run, "bucket int, kind int, block binary")
+
+
+def _merge(longest: int, least: int):
+    """The rows of a bucket's blocks: frequent windows and heads, sums of shorter prefixes, and all windows of spread heads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries: list[bytes] = []
+        parts: dict[int, list] = {WINDOWS: [], SUMS: [], SPREAD: []}
+        for batch in batches:
+            for kind, block in zip(batch["kind"].to_pylist(), batch["block"], strict=True):
+                words, columns, n = _decode(block.as_buffer())
+                parts[kind].append((len(entries), columns, n))
+                entries += words
+        found = pa.array(entries, pa.binary()).dictionary_encode()
+        known = np.concatenate(([0], found.indices.to_numpy().astype(np.int64) + 1))
+        base = len(found.dictionary) + 1
+        merged = {}
+        for kind, held in parts.items():
+            width = longest - (kind == SUMS)
+            columns = [np.concatenate([np.where(c[i] > 0, known[c[i] + start * (c[i] > 0)], 0) for start, c, _ in held]) if held else np.zeros(0, np.int64) for i in range(width)]
+            merged[kind] = _summed(columns, np.concatenate([n for *_, n in held]) if held else np.zeros(0, np.int64), base)
+        (windows, n), (sums, many), (spread, spread_n) = (merged[k] for k in (WINDOWS, SUMS, SPREAD))
+        # Heads in order with their sums, and which of them are spread somewhere.
+        both = [np.concatenate(c) for c in zip(windows[:-1], sums, strict=True)]
+        heads, total = _summed(both, np.concatenate((n, many)), base)
+        _, marks = _summed(both, np.concatenate((np.zeros(len(n), np.int64), np.ones(len(many), np.int64))), base)
+        own = _summed(both, np.concatenate((np.ones(len(n), np.int64), np.zeros(len(many), np.int64))), base)[1]
+        passed_on = np.repeat(marks > 0, own) if len(n) else np.zeros(0, bool)
+        often, frequent = ~passed_on & (n >= least) & (windows[-1] > 0), (total >= least) & (heads[-1] > 0)
+        shorter, shorter_n = _summed(heads[: max(1, longest - 2)], total, base)
+        out = [(longest, [c[often] for c in windows], n[often]), (longest - 1, [c[frequent] for c in heads], total[frequent]), (_SHORTER, shorter, shorter_n), (_SPREAD, [c[passed_on] for c in windows], n[passed_on]), (_SPREAD, spread, spread_n)]
+        for words, columns, counts in out:
+            for a in range(0, len(counts), OUT_ROWS):
+                yield _rows(found.dictionary, words, [c[a : a + OUT_ROWS] for c in columns], counts[a : a + OUT_ROWS], longest)
+
+    return run
+
+
+def _rows(entries: pa.Array, words: int, columns: list[np.ndarray], n: np.ndarray, longest: int) -> pa.RecordBatch:
+    """Rows ``words, lang, w1 .. wN, n`` of ids over a dictionary of entries; columns that are left out are null."""
+    used = np.unique(np.concatenate(columns))
+    used = used[used > 0]
+    pairs = [x.as_py().split(b"\n", 1) for x in entries.take(pa.array(used - 1))]
+    texts, langs = pa.array([b"", *(w for w, _ in pairs)]).cast(pa.string()), pa.array([b"", *(g for _, g in pairs)]).cast(pa.string())
+    local = [pa.array(np.where(c > 0, np.searchsorted(used, c) + 1, 0)) for c in columns]
+    own = [texts.take(c) for c in local] + [pa.nulls(len(n), pa.string())] * (longest - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), words, np.int32)), langs.take(local[0]), *own, pa.array(n)], ["words", "lang", *_names(longest), "n"])
 
 
 def prefix_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """``lang, words, w1 .. wN, n``: occurrences of all phrases of up to ``longest`` words that occur ``least`` times, and (words 0) of all words of a language."""
+    """``lang, words, w1 .. wN, n``: occurrences of all phrases of up to ``longest`` words that occur ``least`` times, and (words 0) of all words of a language. Kept."""
     names = _names(longest)
-    head, last = ["lang", *names[:-1]], names[-1]
-    with written(windows(docs, longest)) as rows:
-        spread = rows.where("hot > 0").groupBy(*head).agg(F.sum("hot").alias("rows")).orderBy(F.col("rows").desc(), *head).limit(HOT_HEADS)
-        spread = docs.sparkSession.createDataFrame(spread.select(*head, F.lit(True).alias("spread")).collect(), ", ".join(f"{c} string" for c in head) + ", spread boolean")
-        salt = F.when(F.col("spread"), F.pmod(F.xxhash64(last), F.lit(SALTS)).cast("int") + 1).otherwise(0)
-        met = rows.join(F.broadcast(spread), head, "left").select(*head, last, "n", salt.alias("salt")).repartition(*head, "salt")
-        counted = met.groupBy(*head, "salt", last).agg(F.sum("n").alias("n"))  # the shuffle above serves both groupings
-        often = F.collect_list(F.when((F.col("n") >= least) & (F.col(last) != ""), F.struct(last, "n")))
-        heads = checkpoint(counted.groupBy(*head, "salt").agg(F.sum("n").alias("n"), often.alias("often")).where((F.col("n") >= least) | (F.col("salt") > 0)))
-        rolled = rows.rollup("lang", *names[: longest - 2]).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
+    schema = f"words int, lang string, {', '.join(f'{c} string' for c in names)}, n long"
+    with written(blocks(docs, longest).groupBy("bucket").applyInArrow(_merge(longest, least), schema)) as rows:
+        long = rows.where(F.col("words") >= longest - 1)
+        spread = rows.where(F.col("words") == _SPREAD).groupBy("lang", *names).agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col(names[-1]) != ""))
+        shorter = names[: longest - 2]
+        rolled = rows.where(F.col("words") == _SHORTER).rollup("lang", *shorter).agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
         # The grouping id has a bit set for each column summed away: 2**k - 1 for a prefix that lacks k words.
         words = reduce(lambda rest, k: rest.when(F.col("g") == 2 ** (longest - 2 - k) - 1, k), range(1, longest - 1), F.when(F.col("g") == 2 ** (longest - 2) - 1, 0))
-        rolled = checkpoint(rolled.withColumn("words", words).where((F.col("words") == 0) | ((F.col("words") > 0) & (F.col("n") >= least))))
-    whole = heads.select(*head, F.inline("often").alias(last, "n")).withColumn("words", F.lit(longest))
-    parts = heads.groupBy(*head).agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("words", F.lit(longest - 1))
-    found = [whole, parts, rolled.drop("g")]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).select("lang", "words", *names, "n")
-    ends = reduce(lambda rest, k: rest.when(F.col("words") == k, F.col(names[k - 1]) != ""), range(2, longest + 1), F.when(F.col("words") < 2, True))
-    return rows.where(ends)
+        rolled = rolled.withColumn("words", words)
+        for k, name in enumerate(shorter, 1):
+            rolled = rolled.where(~F.col("words").eqNullSafe(k) | (F.col(name) != ""))
+        rolled = rolled.where((F.col("words") == 0) | ((F.col("words") > 0) & (F.col("n") >= least)))
+        found = [long, spread.withColumn("words", F.lit(longest)), rolled.drop("g")]
+        return checkpoint(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).select("lang", "words", *names, "n"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -176,7 +276,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
     columns are ignored.
     """
     names = _names(longest)
-    table = checkpoint(prefix_counts(docs, longest, least))
+    table = prefix_counts(docs, longest, least)
     total = table.where("words = 0").select("lang", F.col("n").alias("total"))
     scored = []
     for k in range(2, longest + 1):

@@ -61,35 +61,54 @@ def test_products_beyond_64_bits(spark):
     assert all(r["s"] == 10**6 * r["a"] ** 2 // (r["l"] * r["r"]) for r in df.collect())
 
 
-def test_only_longest_windows_are_counted(spark):
-    rows = C.windows(spark.createDataFrame([(1, "a b c d. e", "en", "s", 1)], SCHEMA)).collect()
-    assert sorted(tuple(r)[:5] for r in rows) == [("en", "a", "b", "c", 1), ("en", "b", "c", "d", 1), ("en", "c", "d", "", 1), ("en", "d", "", "", 1), ("en", "e", "", "", 1)]
+def counted(texts, langs, longest=3, buckets=5, **k):
+    """What the blocks of some texts hold: kind -> {(lang, words): n}."""
+    import pyarrow as pa
+
+    found = {}
+    for _, kind, block in C._count(pa.array(langs), pa.array(texts, pa.string()), longest, buckets, **k):
+        entries, columns, n = C._decode(block)
+        entries = [b"\n", *entries]
+        for *ids, m in zip(*columns, n, strict=True):
+            words = tuple(entries[i].split(b"\n")[0].decode() for i in ids)
+            found.setdefault(kind, Counter())[(entries[ids[0]].split(b"\n", 1)[1].decode(), words)] += int(m)
+    return found
+
+
+def test_only_longest_windows_are_counted():
+    assert counted(["a b c d. e"], ["en"]) == {C.WINDOWS: {("en", w): 1 for w in (("a", "b", "c"), ("b", "c", "d"), ("c", "d", ""), ("d", "", ""), ("e", "", ""))}}
+    assert counted([None, "", " ; "], ["en"] * 3) == {}
 
 
-@pytest.mark.parametrize("heads", [0, 3])
-def test_heads_that_are_spread_or_not(spark, monkeypatch, heads):
-    monkeypatch.setattr(C, "HOT_HEADS", heads)
-    rows = [(i, f"in the x{i % 90} in the y{i % 7} of it.", g, "s", 1) for i in range(900) for g in ("en", None)]
-    assert rows_of(spark.createDataFrame(rows, SCHEMA).repartition(6), least=5) == expected([(r[2], r[1]) for r in rows], least=5)
+def test_heads_are_spread_within_a_chunk():
+    texts = [f"in the x{i}" for i in range(40)] + ["on a hill"]
+    got = counted(texts, ["en"] * 41, hot=(4, 10))
+    assert got[C.SUMS] == {("en", ("in", "the")): 40} and len(got[C.SPREAD]) == 40 and ("en", ("on", "a", "hill")) in got[C.WINDOWS]
+
+
+@pytest.mark.parametrize("windows", [0, 8, 10**9])
+def test_heads_that_are_spread_or_not(spark, monkeypatch, windows):
+    monkeypatch.setattr(C, "HOT_WINDOWS", windows)
+    monkeypatch.setattr(C, "CHUNK_BYTES", 2000)
+    rows = [(i, f"in the x{i % 90} in the y{i % 7} of it. in the z", g, "s", 1) for i in range(900) for g in ("en", None)]
+    assert rows_of(spark.createDataFrame(rows, SCHEMA).repartition(3), least=5) == expected([(r[2], r[1]) for r in rows], least=5)
 
 
 def test_words_that_hash_alike(monkeypatch):
     import numpy as np
-    import pyarrow as pa
 
-    texts, langs = pa.array(["a b a b c", None, "b a. c"]), pa.array(["x", "x", "y"])
-    whole = [b.to_pydict() for b in C._count(langs, texts, 3)]
+    texts, langs = ["a b a b c", None, "b a. c", "a"], ["x", "x", "y", "x\ny"]
+    whole = counted(texts, langs)
     monkeypatch.setattr(C, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    again = [b.to_pydict() for b in C._count(langs, texts, 3)]
-    key = lambda parts: sorted(zip(*(parts[0][c] for c in ("lang", "w1", "w2", "w3", "n")), strict=True))
-    assert key(whole) == key(again) and ("x", "a", "b", "a", 1) in key(whole) and ("y", "c", "", "", 1) in key(whole)
+    assert counted(texts, langs) == whole and whole[C.WINDOWS]["x\ny", ("a", "", "")] == 1
 
 
-def test_many_distinct_words(monkeypatch):
+def test_many_distinct_words():
     import numpy as np
 
     r = np.random.default_rng(1)
-    columns = [r.integers(0, 9, 300) for _ in range(4)]
-    small, n = C._distinct(columns, 9)
-    large, m = C._distinct(columns, 1 << 20)
-    assert all((a == b).all() for a, b in zip(small, large, strict=True)) and (n == m).all()
+    columns, n = [r.integers(0, 9, 300) for _ in range(4)], r.integers(1, 5, 300)
+    small, large = C._summed(columns, n, 9), C._summed(columns, n, 1 << 20)
+    assert all((a == b).all() for a, b in zip(small[0], large[0], strict=True)) and (small[1] == large[1]).all() and small[1].sum() == n.sum()
+    words, again, m = C._decode(C._encode([b"", *(str(i).encode() for i in range(8))], small[0], small[1]))
+    assert (m == small[1]).all() and all([words[i - 1] if i else b"" for i in a] == [str(i - 1).encode() if i else b"" for i in b] for a, b in zip(again, small[0], strict=True))
