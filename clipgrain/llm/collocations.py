@@ -40,7 +40,9 @@ TOP = 2000
 COVERED = 50
 SCALE = 1_000_000
 #: Bytes of text whose windows are counted together, or one longer text.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
+#: Windows of a bucket that are summed at once.
+SUMMED_AT_ONCE = 1 << 18
 #: A head is spread that has over one in so many of a chunk's windows, and over HOT_WINDOWS.
 HOT_SHARE, HOT_WINDOWS = 4096, 256
 #: First picks of the top rows are made in so many parts of a language.
@@ -97,28 +99,28 @@ def _runs_of(columns: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if len(columns[0]) else np.zeros(0, np.int64)
 
 
-def _encode(words: list[bytes], columns: list[np.ndarray], n: np.ndarray) -> bytes:
-    """Rows of ids (0 is the pad) as a block with the words they use; sorted rows compress best."""
+def _encode(words: pa.Array, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Rows of ids (0 is the pad) as a block with the words they use; words and rows in order compress best."""
     used = np.unique(np.concatenate(columns))
     used = used[used > 0]
     local = [np.where(c > 0, np.searchsorted(used, c) + 1, 0) for c in columns]
-    own = [words[i] for i in used.tolist()]
+    texts, off = bytes_of(words.take(pa.array(used)))
     numbers = np.concatenate([np.diff(local[0], prepend=0).astype("<i4").view("<u4"), *(c.astype("<u4") for c in local[1:])])
-    parts = [np.fromiter(map(len, own), "<u4", len(own)).tobytes(), b"".join(own), np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes(), np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()]
-    return zstandard.compress(np.array([len(own), len(columns), len(n)], "<u4").tobytes() + b"".join(parts))
+    planes = lambda x, size: np.ascontiguousarray(x.view(np.uint8).reshape(-1, size).T).tobytes()
+    head = np.array([len(used), len(columns), len(n), len(texts)], "<u4").tobytes()
+    return zstandard.compress(b"".join([head, planes(np.diff(off).astype("<u4"), 4), texts.tobytes(), planes(numbers, 4), planes(n.astype("<u8"), 8)]))
 
 
-def _decode(block: bytes | pa.Buffer) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def _decode(block: bytes | pa.Buffer) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
     raw = zstandard.decompress(block)
-    own, width, rows = np.frombuffer(raw, "<u4", 3).tolist()
-    sizes, at = np.frombuffer(raw, "<u4", own, 12), 12 + 4 * own
-    ends = at + np.cumsum(sizes, dtype=np.int64)
-    words = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-    at = int(ends[-1]) if own else at
-    planes = lambda size, many, start: np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * many, start).reshape(size, many).T).reshape(-1)
-    numbers = planes(4, width * rows, at).view("<u4").reshape(width, rows)
-    columns = [np.cumsum(numbers[0].view("<i4"), dtype=np.int64), *(c.astype(np.int64) for c in numbers[1:])]
-    return words, columns, planes(8, rows, at + 4 * width * rows).view("<u8").astype(np.int64)
+    own, width, rows, size = np.frombuffer(raw, "<u4", 4).tolist()
+    planes = lambda wide, many, start: np.ascontiguousarray(np.frombuffer(raw, np.uint8, wide * many, start).reshape(wide, many).T).reshape(-1)
+    at = 16 + 4 * own
+    off = np.concatenate(([0], np.cumsum(planes(4, own, 16).view("<u4")))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), own, [None, pa.py_buffer(off), pa.py_buffer(raw[at : at + size])])
+    numbers = planes(4, width * rows, at + size).view("<u4").reshape(width, rows)
+    columns = [np.cumsum(numbers[0].view("<i4"), dtype=np.int32), *(c.astype(np.int32) for c in numbers[1:])]
+    return words, columns, planes(8, rows, at + size + 4 * width * rows).view("<i8")
 
 
 def _count(langs: pa.Array, texts: pa.Array, longest: int, buckets: int, hot: tuple[int, int] = (HOT_SHARE, HOT_WINDOWS)):
@@ -141,7 +143,12 @@ def _count(langs: pa.Array, texts: pa.Array, longest: int, buckets: int, hot: tu
         live = live & np.append(goes_on[i - 1 :], np.zeros(i - 1, bool))
         columns.append(np.where(live, np.append(ids[i:], np.zeros(i, ids.dtype)), 0))
     raw = data.tobytes()
-    words = [b"", *(raw[a:b] + b"\n" + names[k] for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), lang[at].tolist(), strict=True))]
+    words = [raw[a:b] + b"\n" + names[k] for a, b, k in zip(starts[at].tolist(), ends[at].tolist(), lang[at].tolist(), strict=True)]
+    order = np.argsort(np.array(words, object))
+    place = np.zeros(len(words) + 1, np.int64)
+    place[order + 1] = np.arange(1, len(words) + 1)
+    columns = [place[c] for c in columns]
+    words, hashes = pa.array([b"", *(words[i] for i in order.tolist())], pa.binary()), hashes[order]
     columns, n = _summed(columns, np.ones(len(ids), np.int64), len(words))
     hashes = np.concatenate((np.zeros(1, np.uint64), hashes))
     fold = lambda part: reduce(lambda h, c: mix64(h * np.uint64(0xD6E8FEB86659FD93) + hashes[c]), part, np.zeros(len(part[0]), np.uint64)) % np.uint64(buckets)
@@ -190,38 +197,52 @@ def _merge(longest: int, least: int):
     """The rows of a bucket's blocks: frequent windows and heads, sums of shorter prefixes, and all windows of spread heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: list[bytes] = []
-        parts: dict[int, list] = {WINDOWS: [], SUMS: [], SPREAD: []}
+        entries, parts, at = [], {WINDOWS: [], SUMS: [], SPREAD: []}, 0
         for batch in batches:
             for kind, block in zip(batch["kind"].to_pylist(), batch["block"], strict=True):
                 words, columns, n = _decode(block.as_buffer())
-                parts[kind].append((len(entries), columns, n))
-                entries += words
-        found = pa.array(entries, pa.binary()).dictionary_encode()
-        known = np.concatenate(([0], found.indices.to_numpy().astype(np.int64) + 1))
+                parts[kind].append((at, columns, n))
+                entries.append(words)
+                at += len(words)
+        found = pa.chunked_array(entries).combine_chunks().dictionary_encode()
+        entries.clear()
+        known = np.concatenate(([0], found.indices.to_numpy() + 1)).astype(np.int32)
         base = len(found.dictionary) + 1
-        merged = {}
+        whole = {}
         for kind, held in parts.items():
             width = longest - (kind == SUMS)
-            columns = [np.concatenate([np.where(c[i] > 0, known[c[i] + start * (c[i] > 0)], 0) for start, c, _ in held]) if held else np.zeros(0, np.int64) for i in range(width)]
-            merged[kind] = _summed(columns, np.concatenate([n for *_, n in held]) if held else np.zeros(0, np.int64), base)
-        (windows, n), (sums, many), (spread, spread_n) = (merged[k] for k in (WINDOWS, SUMS, SPREAD))
-        # Heads in order with their sums, and which of them are spread somewhere.
-        both = [np.concatenate(c) for c in zip(windows[:-1], sums, strict=True)]
-        heads, total = _summed(both, np.concatenate((n, many)), base)
-        _, marks = _summed(both, np.concatenate((np.zeros(len(n), np.int64), np.ones(len(many), np.int64))), base)
-        own = _summed(both, np.concatenate((np.ones(len(n), np.int64), np.zeros(len(many), np.int64))), base)[1]
-        passed_on = np.repeat(marks > 0, own) if len(n) else np.zeros(0, bool)
-        often, frequent = ~passed_on & (n >= least) & (windows[-1] > 0), (total >= least) & (heads[-1] > 0)
-        shorter, shorter_n = _summed(heads[: max(1, longest - 2)], total, base)
-        out = [(longest, [c[often] for c in windows], n[often]), (longest - 1, [c[frequent] for c in heads], total[frequent]), (_SHORTER, shorter, shorter_n), (_SPREAD, [c[passed_on] for c in windows], n[passed_on]), (_SPREAD, spread, spread_n)]
-        for words, columns, counts in out:
-            for a in range(0, len(counts), OUT_ROWS):
-                yield _rows(found.dictionary, words, [c[a : a + OUT_ROWS] for c in columns], counts[a : a + OUT_ROWS], longest)
+            columns = [np.concatenate([known[np.where(c[i] > 0, c[i] + start, 0)] for start, c, _ in held]) if held else np.zeros(0, np.int32) for i in range(width)]
+            whole[kind] = columns, np.concatenate([n for *_, n in held]) if held else np.zeros(0, np.int64)
+            held.clear()
+        turns = -(-sum(len(n) for _, n in whole.values()) // SUMMED_AT_ONCE)
+        for turn in range(turns):  # all rows of a head have their turn together
+            own = {}
+            for kind, (columns, n) in whole.items():
+                now = reduce(lambda h, c: (h * 31 + c) % 1_000_003, columns[: longest - 1], np.zeros(len(n), np.int64)) % turns == turn
+                own[kind] = _summed([c[now].astype(np.int64) for c in columns], n[now], base)
+            for words, columns, counts in _sums(own, longest, least, base):
+                for a in range(0, len(counts), OUT_ROWS):
+                    yield _rows(found.dictionary, words, [c[a : a + OUT_ROWS] for c in columns], counts[a : a + OUT_ROWS], longest)
 
     return run
 
 
+def _sums(own: dict, longest: int, least: int, base: int):
+    """(kind of row, columns, sums) of some heads, with all their windows and sums."""
+    (windows, n), (sums, many), (spread, spread_n) = (own[k] for k in (WINDOWS, SUMS, SPREAD))
+    both, none, some = [np.concatenate(c) for c in zip(windows[:-1], sums, strict=True)], np.zeros, np.ones
+    heads, total = _summed(both, np.concatenate((n, many)), base)
+    _, held = _summed(both, np.concatenate((some(len(n), np.int64), none(len(many), np.int64))), base)
+    _, marks = _summed(both, np.concatenate((none(len(n), np.int64), some(len(many), np.int64))), base)
+    passed_on = np.repeat(marks > 0, held)  # other chunks spread their windows
+    often, frequent = ~passed_on & (n >= least) & (windows[-1] > 0), (total >= least) & (heads[-1] > 0)
+    yield longest, [c[often] for c in windows], n[often]
+    yield longest - 1, [c[frequent] for c in heads], total[frequent]
+    yield _SHORTER, *_summed(heads[: max(1, longest - 2)], total, base)
+    yield _SPREAD, [c[passed_on] for c in windows], n[passed_on]
+    yield _SPREAD, spread, spread_n
+
+
 def _rows(entries: pa.Array, words: int, columns: list[np.ndarray], n: np.ndarray, longest: int) -> pa.RecordBatch:
     """Rows ``words, lang, w1 .. wN, n`` of ids over a dictionary of entries; columns that are left out are null."""
     used = np.unique(np.concatenate(columns))
