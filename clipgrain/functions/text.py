@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +18,11 @@ def lookup(table: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for each row, however often ``body`` names it (also within lambdas)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def finite(column: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)

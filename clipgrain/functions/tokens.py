@@ -1,4 +1,4 @@
-"""Transcript symbols: a small per-row tokenizer behind one Arrow UDF."""
+"""Transcript symbols as expressions; only Unicode composition needs Python."""
 
 from __future__ import annotations
 
@@ -9,27 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Marks that stay with the symbol before them, and glyphs that join t, d, ʈ or ɖ.
-HELD = frozenset("ːˑʰʷʲˤˠ̥̪̩͡")
-JOINING = frozenset("ʃʒɕʑɲŋɭʈɖʂʐ")
-STOPS = frozenset("tdʈɖ")
-
-
-def ipa_symbols(content: str) -> list[str]:
-    """Base glyphs with their marks; slashes, dots and stress marks are dropped."""
-    text = unicodedata.normalize("NFC", content).strip().translate({ord("/"): " ", ord("."): " ", ord("ˈ"): None, ord("ˌ"): None})
-    found: list[str] = []
-    fresh = True
-    for ch in text:
-        if ch.isspace():
-            fresh = True
-            continue
-        held = ch in HELD or unicodedata.category(ch)[0] == "M"
-        if not fresh and (held or (ch in JOINING and found[-1] in STOPS)):
-            found[-1] += ch
-        else:
-            found.append(ch)
-        fresh = False
-    return found
+HELD = "ːˑʰʷʲˤˠ̥̪̩͡"
+JOINING = "ʃʒɕʑɲŋɭʈɖʂʐ"
+STOPS = "tdʈɖ"
+FORMATS = ("ipa", "espeak", "orthography_with_dictionary")
+
+#: A glyph with its marks; a bare stop takes one glyph that joins it first.
+SYMBOL = f"[{STOPS}][{JOINING}][{HELD}\\p{{M}}]*|[^\\s][{HELD}\\p{{M}}]*"
 
 
 def nfc(column: Column) -> Column:
@@ -40,15 +26,22 @@ def nfc(column: Column) -> Column:
     return run(column)
 
 
+def ipa_symbols(composed: Column) -> Column:
+    """Base glyphs with their marks, of text that ``nfc`` has composed; slashes, dots and stress marks are dropped."""
+    text = F.translate(F.coalesce(composed, F.lit("")), "/.ˈˌ", "  ")
+    return F.regexp_extract_all(text, F.lit(f"(?U){SYMBOL}"), F.lit(0))
+
+
+def espeak_symbols(content: Column) -> Column:
+    return F.filter(F.split(F.coalesce(content, F.lit("")), r"(?U)\s+"), lambda s: s != "")
+
+
 def transcript_symbols(fmt: Column, content: Column) -> Column:
     """Symbols of a transcript by its format: ``ipa`` by glyph, ``espeak`` by white space; none for others."""
+    kind = format_of(fmt)
+    none = F.array().cast("array<string>")
+    return F.when(kind == "ipa", ipa_symbols(nfc(content))).when(kind == "espeak", espeak_symbols(content)).otherwise(none)
 
-    @F.pandas_udf("array<string>")
-    def run(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        def one(kind, text):
-            kind = (kind or "").strip().lower()
-            return ipa_symbols(text or "") if kind == "ipa" else (text or "").split() if kind == "espeak" else []
-
-        return pd.Series([one(k, t) for k, t in zip(kinds, texts, strict=True)])
 
-    return run(fmt, content)
+def format_of(fmt: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(fmt, F.lit(""))))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgrain.functions.kernels import forced_alignment
-from clipgrain.functions.text import lookup
-from clipgrain.functions.tokens import nfc, transcript_symbols
+from clipgrain.functions.text import held, lookup
+from clipgrain.functions.tokens import FORMATS, format_of, nfc, transcript_symbols
 from clipgrain.operators.decode import argmax, runs, top_k
 from clipgrain.operators.notation import forms
 from clipgrain.sources import reference_data as R
@@ -30,6 +30,27 @@ def transcript_tokens(transcripts: DataFrame, vocab: dict[str, int]) -> DataFram
     return rows.select("clip_id", "position", "symbol", phoneme.alias("phoneme"), F.coalesce(direct, other).cast("int").alias("vocab_idx"))
 
 
+def warnings(transcripts: DataFrame, tokens: DataFrame, frames: DataFrame) -> DataFrame:
+    """``clip_id, n_tokens, warnings``: what kept a transcript, or some of its positions, from being aligned; one row a transcript.
+
+    ``tokens`` is ``transcript_tokens`` of them, ``frames`` has ``clip_id, n_frames``. First
+    comes an unknown format, then each symbol without an entry in the vocabulary, in
+    order, then what holds for the whole: no token at all, or more tokens than frames.
+    Symbols without an entry stay as rows until they are folded into their clip's list.
+    """
+    lost = F.when(F.col("vocab_idx").isNull(), F.struct("position", "symbol"))
+    folded = tokens.groupBy("clip_id").agg(F.count("vocab_idx").alias("n"), F.array_sort(F.collect_list(lost)).alias("lost"))
+    rows = transcripts.select("clip_id", "format").join(folded, "clip_id", "left").join(frames.select("clip_id", "n_frames"), "clip_id", "left")
+    rows = rows.withColumns({"n_tokens": F.coalesce("n", F.lit(0)), "known": format_of(F.col("format")).isin(*FORMATS)})
+    each = F.transform("lost", lambda p: F.format_string("Phoneme /%s/ at position %d has no model vocabulary mapping; alignment skipped for this position.", p["symbol"], p["position"]))
+    said = F.concat(
+        F.array(F.when(~F.col("known"), F.format_string("Unknown transcript format '%s'; expected one of ipa, espeak, orthography_with_dictionary. Alignment skipped.", F.coalesce("format", F.lit(""))))),
+        F.coalesce(each, F.array().cast("array<string>")),
+        F.array(F.when(F.col("n_tokens") == 0, "Transcript produced no alignable tokens; alignment skipped.").when(F.col("n_tokens") > F.col("n_frames"), F.format_string("Transcript (%d phonemes) is longer than the audio (%d frames); alignment skipped.", "n_tokens", "n_frames"))),
+    )
+    return rows.select("clip_id", "n_tokens", F.array_compact(said).alias("warnings"))
+
+
 def span_means(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """Adds ``mean``: the average of ``log_probs`` over each span's frames, entry by entry.
 
@@ -38,9 +59,18 @@ def span_means(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """
     at = spans.withColumn("frame_idx", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)))
     rows = at.join(frames.select("clip_id", "frame_idx", "log_probs"), ["clip_id", "frame_idx"])
-    held = rows.groupBy(*spans.columns).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "log_probs"))).alias("held"))
-    total = F.aggregate(F.slice("held", 2, F.size("held")), F.col("held")[0]["log_probs"], lambda acc, x: F.zip_with(acc, x["log_probs"], lambda a, b: a + b))
-    return held.select(*spans.columns, F.transform(total, lambda x: x / F.size("held")).alias("mean"))
+    gathered = rows.groupBy(*spans.columns).agg(_in_order().alias("rows"))
+    return gathered.select(*spans.columns, _mean_of(F.col("rows")).alias("mean"))
+
+
+def _in_order() -> Column:
+    """The score arrays of a group's frames, by frame."""
+    return F.array_sort(F.collect_list(F.struct("frame_idx", "log_probs")))
+
+
+def _mean_of(rows: Column) -> Column:
+    total = F.aggregate(F.slice(rows, 2, F.size(rows)), rows[0]["log_probs"], lambda acc, x: F.zip_with(acc, x["log_probs"], lambda a, b: a + b))
+    return held(F.size(rows), lambda n: F.transform(total, lambda x: x / n))
 
 
 def classify_spans(spans: DataFrame) -> DataFrame:
@@ -72,9 +102,10 @@ def alignment_quality(positions: DataFrame) -> DataFrame:
 
 
 def aligned_paths(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
-    """``clip_id, frame_idx, token`` of the best path; clips whose targets don't fit give no rows.
+    """``clip_id, frame_idx, token, log_probs, duration_s`` of the best path; clips whose targets don't fit give no rows.
 
-    One clip is one bounded group: its frames and its targets.
+    One clip is one bounded group: its frames and its targets. The scores come back
+    with the path, so that ``frames`` is read once.
     """
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -85,27 +116,23 @@ def aligned_paths(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataF
             path = forced_alignment(scores, right["vocab_idx"].to_pylist(), blank)
         if path is None:
             left, path = left.slice(0, 0), np.zeros(0, np.int64)
-        return pa.table({"clip_id": left["clip_id"].cast(pa.int64()), "frame_idx": left["frame_idx"].cast(pa.int32()), "token": pa.array(path.astype(np.int32))})
+        return pa.table({"clip_id": left["clip_id"].cast(pa.int64()), "frame_idx": left["frame_idx"].cast(pa.int32()), "token": pa.array(path.astype(np.int32)), "log_probs": left["log_probs"], "duration_s": left["duration_s"]})
 
     wanted = tokens.where("vocab_idx is not null").select("clip_id", "position", "vocab_idx")
-    return frames.select("clip_id", "frame_idx", "log_probs").groupBy("clip_id").cogroup(wanted.groupBy("clip_id")).applyInArrow(run, "clip_id long, frame_idx int, token int")
-
-
-def aligned_spans(paths: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
-    """``clip_id, span, target, start_frame, end_frame``: the runs of the path and the targets, matched by order."""
-    order = Window.partitionBy("clip_id")
-    found = runs(paths, "token").where(F.col("token") != blank).withColumn("span", F.row_number().over(order.orderBy("run")) - 1)
-    targets = tokens.where("vocab_idx is not null").withColumn("span", F.row_number().over(order.orderBy("position")) - 1)
-    return found.join(targets, ["clip_id", "span"]).select("clip_id", "span", F.col("vocab_idx").alias("target"), "start_frame", "end_frame")
+    rows = frames.select("clip_id", "frame_idx", "log_probs", "duration_s")
+    return rows.groupBy("clip_id").cogroup(wanted.groupBy("clip_id")).applyInArrow(run, "clip_id long, frame_idx int, token int, log_probs array<double>, duration_s double")
 
 
 def align(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
     """Positions of a forced alignment: span, frames, times in ms (half-even), averages and match.
 
-    ``frames`` has ``clip_id, frame_idx, log_probs, duration_s``.
+    ``frames`` has ``clip_id, frame_idx, log_probs, duration_s``; the runs of a clip's
+    path and its targets are matched by order.
     """
-    spans = aligned_spans(aligned_paths(frames, tokens, blank), tokens, blank)
-    rows = classify_spans(span_means(frames, spans))
-    clips = frames.groupBy("clip_id").agg((F.max("duration_s") * 1000.0 / F.count(F.lit(1))).alias("ms"))
+    clip = Window.partitionBy("clip_id")
+    paths = aligned_paths(frames, tokens, blank).withColumn("ms", F.max("duration_s").over(clip) * 1000.0 / F.count(F.lit(1)).over(clip))
+    found = runs(paths, "token", rows=_in_order(), ms=F.max("ms")).where(F.col("token") != blank).withColumn("span", F.row_number().over(clip.orderBy("run")) - 1)
+    targets = tokens.where("vocab_idx is not null").withColumn("span", F.row_number().over(clip.orderBy("position")) - 1)
+    spans = found.join(targets, ["clip_id", "span"]).select("clip_id", "span", F.col("vocab_idx").alias("target"), "start_frame", "end_frame", "ms", _mean_of(F.col("rows")).alias("mean"))
     at = lambda c: F.rint(F.col(c) * F.col("ms")).cast("long")
-    return rows.join(clips, "clip_id").select("clip_id", "span", "target", at("start_frame").alias("start_ms"), at("end_frame").alias("end_ms"), "avg_log_prob", "top1", "top3", "match")
+    return classify_spans(spans).select("clip_id", "span", "target", at("start_frame").alias("start_ms"), at("end_frame").alias("end_ms"), "avg_log_prob", "top1", "top3", "match")

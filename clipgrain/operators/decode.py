@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipgrain.functions.text import held
 from clipgrain.sources import reference_data as R
 
 
@@ -14,9 +15,9 @@ def argmax(scores: Column) -> Column:
 
 
 def log_softmax(logits: Column) -> Column:
-    most = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
-    return F.transform(logits, lambda x: x - most - F.ln(total))
+    """Log probabilities of one frame's scores; its maximum and its sum are made once, not once an entry."""
+    total = lambda v, most: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - most))
+    return held(logits, lambda v: held(F.array_max(v), lambda most: held(most + F.ln(total(v, most)), lambda all_: F.transform(v, lambda x: x - all_))))
 
 
 def top_k(scores: Column, k: int = 3) -> Column:
@@ -25,12 +26,12 @@ def top_k(scores: Column, k: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["idx"].alias("idx"), (-p["neg"]).alias("score")))
 
 
-def runs(frames: DataFrame, value: str, order: str = "frame_idx", keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """Maximal runs of equal values: ``keys, run, value, start_frame, end_frame`` (past the run)."""
+def runs(frames: DataFrame, value: str, order: str = "frame_idx", keys: tuple[str, ...] = ("clip_id",), **more: Column) -> DataFrame:
+    """Maximal runs of equal values: ``keys, run, value, start_frame, end_frame`` (past the run), and ``more`` aggregates of each run."""
     o = Window.partitionBy(*keys).orderBy(order)
     rows = frames.withColumn("_new", F.coalesce(~F.col(value).eqNullSafe(F.lag(value).over(o)), F.lit(True)) | (F.row_number().over(o) == 1))
     rows = rows.withColumn("run", F.sum(F.col("_new").cast("int")).over(o))
-    return rows.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(order).alias("start_frame"), (F.max(order) + 1).alias("end_frame"))
+    return rows.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min(order).alias("start_frame"), (F.max(order) + 1).alias("end_frame"), *[c.alias(name) for name, c in more.items()])
 
 
 def label_of(token: Column, vocab: list[str]) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipgrain.functions.text import lookup
+from clipgrain.functions.tokens import nfc
 from clipgrain.sources import reference_data as R
 
 
@@ -71,12 +71,43 @@ def stale(made: DataFrame, committed: DataFrame) -> bool:
     return not (made.exceptAll(committed).isEmpty() and committed.exceptAll(made).isEmpty())
 
 
-def read_phoneme_lists(spark, path: str) -> DataFrame:
-    """``language, ord, token`` from a text of ``name: ["/a/", "/b/"],`` lines; of repeated names the last holds."""
-    lines = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("at"))
+def described(symbol: Column, ipa: Column) -> Column:
+    """In words: the base glyphs, then in brackets the marks, then the tones, each in their order.
+
+    A symbol is taken apart from its end: tone markers, then marks and tie bars wherever
+    they stand; what is left are base glyphs. Marks that say the same are named once.
+    """
+    tones = F.regexp_extract(ipa, f"([{''.join(R.TONES)}]*)\\z", 1)
+    body = F.substring(ipa, F.lit(1), F.length(ipa) - F.length(tones))
+    bare = nfc(F.regexp_replace(body, f"[{''.join(R.MARKS)}\u0361]", ""))
+    each = lambda text, table: F.array_compact(F.transform(F.split(text, ""), lambda c: lookup(table, c)))
+    glyphs = F.filter(F.split(bare, ""), lambda c: c != "")
+    first = lookup(R.GLYPHS, F.substring(bare, 1, 1))
+    vowels = (F.size(glyphs) >= 2) & F.forall(glyphs, lambda c: F.coalesce(lookup(R.GLYPHS, c), F.lit("")).endswith("vowel"))
+    known = F.filter(F.slice(glyphs, 2, F.greatest(F.size(glyphs), F.lit(1))), lambda c: c.isin(*R.GLYPHS))
+    quote = F.when(ipa.contains("'") & ~ipa.contains('"'), '"').otherwise("'")
+    base = (
+        F.when(ipa.isin(*R.AFFRICATES), "Affricate")
+        .when(vowels, F.concat(F.lit("Diphthong/triphthong ("), F.array_join(glyphs, " + "), F.lit(")")))
+        .when(first.isNotNull(), F.array_join(F.concat(F.array(first), known), " + "))
+        .otherwise(F.coalesce(lookup(R.ODD_SYMBOLS, symbol), F.concat(F.lit("Uncategorised symbol ("), quote, ipa, quote, F.lit(")"))))
+    )
+    named = lambda notes: F.when(F.size(notes) > 0, F.concat(F.lit("("), F.array_join(notes, ", "), F.lit(")")))
+    return F.concat_ws(" ", base, named(F.array_distinct(each(body, R.MARKS))), named(each(tones, R.TONES)))
+
+
+def read_phoneme_lists(spark: SparkSession, path: str, opens: str = "const L1_PHONEMES", closes: str = "};", split_bytes: int = 1 << 20) -> DataFrame:
+    """``language, ord, token`` from the ``name: ["/a/", "/b/"],`` lines of a block of a text file; of repeated names the last holds.
+
+    The block runs from a line that begins with ``opens`` to the next that is
+    ``closes``; lines outside count for nothing, wherever the file was split.
+    """
+    from clipgrain.sources.blocks import block_lines
+
     pattern = r"^\s*([a-z_]+)\s*:\s*\[(.*)\]\s*,?\s*(?://.*)?$"
-    found = lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1).alias("language"), F.regexp_extract("value", pattern, 2).alias("body"), "at")
-    last = found.groupBy("language").agg(F.max_by("body", "at").alias("body"))
+    lines = block_lines(spark, path, opens, closes, split_bytes)
+    found = lines.where(F.col("line").rlike(pattern)).select(F.regexp_extract("line", pattern, 1).alias("language"), F.regexp_extract("line", pattern, 2).alias("body"), "offset")
+    last = found.groupBy("language").agg(F.max_by("body", "offset").alias("body"))
     return last.select("language", F.posexplode(F.expr("regexp_extract_all(body, '\"([^\"]+)\"', 1)")).alias("ord", "token"))
 
 
@@ -86,14 +117,16 @@ def symbols_of(tokens: DataFrame, key: str = "clip_id") -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, path: str, fallback: list[str] | None = None) -> DataFrame:
-    """``symbol, idx`` of a JSON object of symbols and ids; where there is no such file, ``fallback`` or the fixed alphabet in order."""
-    try:
-        body = spark.read.text(path, wholetext=True)
-        found = body.select(F.explode(F.from_json("value", "map<string,int>")).alias("symbol", "idx"))
-        if not found.isEmpty():
-            return found
-    except AnalysisException:
-        pass
+    """``symbol, idx`` of a JSON object of symbols and ids; where there is no such file, ``fallback`` or the fixed alphabet in order.
+
+    Only a missing file is made up for: one that can't be read, or holds no such object, is an error.
+    """
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
+        found = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,int>", {"mode": "FAILFAST"})).alias("symbol", "idx"))
+        if found.isEmpty():
+            raise ValueError(f"no symbols in {path}")
+        return found
     return spark.createDataFrame(list(enumerate(fallback or [n.symbol for n in R.alphabet()])), "idx int, symbol string").select("symbol", "idx")
 
 

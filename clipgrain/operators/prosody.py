@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipgrain.functions.text import finite
@@ -39,6 +39,31 @@ def formant_means(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("clip_id").agg(*[F.avg(finite(F.col(c))).alias(f"{c}_mean_hz") for c in ("f1", "f2", "f3")])
 
 
+def on_grid(track: DataFrame, clips: DataFrame, values: tuple[str, ...] = ("f1", "f2", "f3"), step_us: int = 10_000, max_gap_us: int = 50_000) -> DataFrame:
+    """``clip_id, t_idx, values``: a track read off at regular times, between its points by linear interpolation.
+
+    ``track``: ``clip_id, time_us, values``, one row a time; ``clips``: ``clip_id, duration_us``. The grid
+    begins at 0 and ends before the clip's duration. A value is null before its first
+    and after its last defined point, and between two that are more than ``max_gap_us``
+    apart. Each value has its own points: where one is undefined the others go on. Grid
+    and track lie in one window of the clip, so that nothing is joined by range.
+    """
+    grid = clips.where("duration_us > 0").select("clip_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("duration_us") - 1, F.lit(step_us).cast("long"))).alias("t_idx", "time_us"))
+    own = track.select("clip_id", "time_us", *[finite(F.col(c)).alias(c) for c in values])
+    rows = grid.unionByName(own, allowMissingColumns=True)
+    order = Window.partitionBy("clip_id").orderBy("time_us")
+    past, ahead = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    point = lambda c: F.when(F.col(c).isNotNull(), F.struct("time_us", F.col(c).alias("v")))
+    rows = rows.withColumns({f"_{side}_{c}": how(point(c), ignorenulls=True).over(w) for c in values for side, how, w in (("a", F.last, past), ("b", F.first, ahead))})
+
+    def between(c: str) -> Column:
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
+        gap = b["time_us"] - a["time_us"]
+        return F.when(gap == 0, a["v"]).when(gap <= max_gap_us, a["v"] + (b["v"] - a["v"]) * (F.col("time_us") - a["time_us"]) / gap)
+
+    return rows.where("t_idx is not null").select("clip_id", "t_idx", *[between(c).alias(c) for c in values])
+
+
 def syllable_peaks(intensity: DataFrame) -> DataFrame:
     """Frames that are strict local maxima above the clip's mean less 5 dB; the first and last frame are none."""
     w = Window.partitionBy("clip_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipgrain.operators.decode import runs
 from clipgrain.operators.prosody import f0_stats, syllable_rate
 from clipgrain.sources import reference_data as R
 
@@ -37,6 +38,43 @@ def sample_levels(samples: DataFrame, top_db: float = R.SNR_TOP_DB) -> DataFrame
     return agg.select("clip_id", "peak", "clipping_pct", "signal_rms", "noise_rms", snr.alias("snr_db"), note.alias("snr_note"), "n", "voiced_fraction")
 
 
+def voiced_intervals(samples: DataFrame, frame: int = 2048, hop: int = 512, top_db: float = R.SNR_TOP_DB) -> DataFrame:
+    """``clip_id, start, end``: half-open intervals of samples whose centred frames lie within ``top_db`` of the clip's loudest.
+
+    From ``clip_id, i, x`` with i from 0 without gaps. ``frame`` is a multiple of twice
+    ``hop``, so a frame's energy is a sum over neighbouring hops: samples are summed once,
+    and frames that overlap share those sums. A frame begins at every hop, the clip's end
+    included. One clip is one window; it holds one row a hop.
+    """
+    half = frame // (2 * hop)
+    clip = Window.partitionBy("clip_id")
+    hops = samples.groupBy("clip_id", F.expr(f"i div {hop}").alias("h")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count(F.lit(1)).alias("n"))
+    hops = hops.withColumns({"samples": F.sum("n").over(clip), "last": F.max("h").over(clip)})
+    ends = F.when((F.col("h") == F.col("last")) & (F.col("n") == hop), F.array(F.col("h"), F.col("h") + 1)).otherwise(F.array("h"))
+    rows = hops.select("clip_id", "h", "e", "samples", F.explode(ends).alias("t"))
+    energy = F.sum(F.when(F.col("t") == F.col("h"), F.col("e")).otherwise(0.0)).over(clip.orderBy("t").rangeBetween(-half, half - 1)) / frame
+    level = lambda e: F.lit(10.0) * F.log10(F.greatest(e, F.lit(R.SILENCE**2)))
+    rows = rows.withColumn("power", energy).withColumn("loud", level(F.col("power")) - level(F.max("power").over(clip)) > -top_db)
+    found = runs(rows, "loud", "t", samples=F.max("samples")).where("loud")
+    return found.select("clip_id", (F.col("start_frame") * hop).alias("start"), F.least(F.col("end_frame") * hop, F.col("samples")).alias("end")).where("start < end")
+
+
+def covered(samples: DataFrame, intervals: DataFrame, flag: str = "voiced") -> DataFrame:
+    """Adds ``flag``: whether ``i`` lies in one of the clip's half-open intervals, which may overlap.
+
+    A sweep: an interval counts up at its start and down at its end, so each clip is sorted once and nothing is joined by range.
+    """
+    mark = lambda at, d: intervals.select("clip_id", F.col(at).alias("i"), F.lit(d).alias("_d"), F.lit(False).alias("_own"))
+    rows = samples.withColumns({"_d": F.lit(0), "_own": F.lit(True)}).unionByName(mark("start", 1), allowMissingColumns=True).unionByName(mark("end", -1), allowMissingColumns=True)
+    open_ = F.sum("_d").over(Window.partitionBy("clip_id").orderBy("i").rangeBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(flag, open_ > 0).where("_own").drop("_d", "_own")
+
+
+def audio_levels(samples: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
+    """``sample_levels`` of ``clip_id, i, x`` with the mask that the samples' own energy gives."""
+    return sample_levels(covered(samples, voiced_intervals(samples, frame, hop)))
+
+
 def baseline(clips: DataFrame, pitch: DataFrame, intensity: DataFrame, step: float = 0.01) -> DataFrame:
     """What a clip's first five seconds say, for normalisation: one row per clip that lasts so long.
 

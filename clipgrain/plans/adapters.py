@@ -90,11 +90,15 @@ def formant_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), of("click").alias("f1"), of("view", "click").alias("f2"), of("purchase").alias("f3"))
 
 
+#: A stop begins so long before its release.
+STOP_LEAD_US = 45 * 60 * 1_000_000
+
+
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = pitch_frames(spark, sf_dir)
     phoneme = F.create_map(*[F.lit(x) for p in STOP_OF_EVENT.items() for x in p])
     rows = frames.where(F.col("event_type").isin(*STOP_OF_EVENT))
-    return rows.select("clip_id", F.col("event_id").alias("stop_id"), F.try_element_at(phoneme, F.col("event_type")).alias("phoneme"), F.col("time_us").alias("start_us"), F.col("time_us").alias("release_us"))
+    return rows.select("clip_id", F.col("event_id").alias("stop_id"), F.try_element_at(phoneme, F.col("event_type")).alias("phoneme"), (F.col("time_us") - STOP_LEAD_US).alias("start_us"), F.col("time_us").alias("release_us"))
 
 
 def voicing_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,3 +135,82 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("clip_id"), (F.col("l_discount") * 10).alias("x"), (F.col("l_quantity") > 10).alias("voiced"))
+
+
+#: Frames of a few samples, as the given clips have few.
+AUDIO_FRAME, AUDIO_HOP = 16, 4
+
+
+def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, i, x``: the events of a user in turn as samples, some kinds much quieter than others."""
+    quiet = F.when(F.col("event_type").isin("view", "error"), F.lit(0.001)).otherwise(1.0)
+    return _events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), F.col("idx").cast("long").alias("i"), (F.col("value") / 1000.0 * quiet).alias("x"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, request``: every turn as a request in JSON, each of a dozen kinds, most of them faulty."""
+    rows = table(spark, sf_dir, "conversations")
+    k = (F.col("conv_id") * 8 + F.col("turn")) % 12
+    script = F.to_json(F.struct(F.lit("ipa").alias("format"), F.coalesce("text", F.lit("")).alias("content")))
+    whole = F.concat(F.lit('{"audio_base64": "UklGRg==", "format": "wav", "clip_purpose": "counting", "transcript": '), script, F.lit("}"))
+    cases = {
+        1: F.lit('{"audio_base64": ""}'),
+        2: F.expr("substring({0}, 1, length({0}) div 2)".format("_whole")),
+        3: F.lit('{"format": "wav"}'),
+        4: F.lit('{"audio_base64": "AA==", "clip_purpose": "ad-hoc-monologue"}'),
+        5: F.lit('{"audio_base64": "AA==", "transcript": {"format": 5}}'),
+        6: F.lit('{"audio_base64": "AA==", "transcript": "plain words"}'),
+        7: F.lit('{"audio_base64": null, "format": null}'),
+        8: F.lit("[1, 2]"),
+        9: F.lit(None).cast("string"),
+        10: F.lit('{"audio_base64": "AA==", "claimed_language": "English", "clip_purpose": null, "transcript": null, "other": [1]}'),
+        11: F.lit('{"audio_base64": "AA==", "expected_language": 7, "clip_purpose": true}'),
+    }
+    request = F.col("_whole")
+    for at, text in cases.items():
+        request = F.when(k == at, text).otherwise(request)
+    return rows.withColumn("_whole", whole).select("conv_id", "turn", request.alias("request"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a conversation as a transcript of its own, in formats of which one is unknown."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null")
+    place = F.col("conv_id") + F.col("turn")
+    kind = F.when(place % 11 == 5, "x-sampa").when(F.col("conv_id") % 3 == 0, "espeak").when(F.col("turn") % 2 == 1, " IPA ").otherwise("ipa")
+    content = F.when((F.col("conv_id") * 8 + F.col("turn")) % 17 == 13, " ").otherwise(F.lower("text"))
+    return rows.select(F.struct("conv_id", "turn").alias("clip_id"), kind.alias("format"), content.alias("content"))
+
+
+#: What symbols are followed by where they are described.
+SYMBOL_ENDS = ["", "ː", "ʰ", "1", "ɜ", "\u0303" + "51", "ɪ", "\u0325" + "ʲ" + "\u030a", "t", ":"]
+
+
+def vocab() -> dict[str, int]:
+    return {n.symbol: i for i, n in enumerate(R.alphabet())}
+
+
+def grid_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, time_us, f1, f2, f3``: events in turn as points of a track, each kind defining some of the values."""
+    of = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("value"))
+    return _events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), (F.col("idx") * int(CLIP_STEP_S * 1e6)).cast("long").alias("time_us"), of("click").alias("f1"), of("view", "click").alias("f2"), of("purchase", "error", "signup").alias("f3"))
+
+
+#: Microseconds between the grid's times, and between two points that a value is drawn through at most.
+GRID_STEP_US, GRID_GAP_US = 100_000, 1_000_000
+
+
+def written_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples that were written as text, some of them unreadable."""
+    x = F.when(F.col("event_id") % 499 == 5, "n/a").when(F.col("event_id") % 701 == 7, "NaN").otherwise(F.col("value").cast("string"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), x.alias("x"), (F.col("event_type") != "error").alias("voiced"))
+
+
+def odd_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops that begin before their release, but for a few that end before they begin."""
+    lead = F.when(F.col("stop_id") % 397 == 3, -STOP_LEAD_US).otherwise(STOP_LEAD_US)
+    return stops(spark, sf_dir).withColumn("start_us", F.col("release_us") - lead)
+
+
+def odd_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as decoded tokens, some without a symbol."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.when(F.col("event_id") % 557 != 2, F.col("event_type")).alias("symbol"))

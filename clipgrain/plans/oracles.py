@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from clipgrain.functions import tokens
+from clipgrain.operators import requests as Q
 from clipgrain.plans import adapters as A
 from clipgrain.sources import reference_data as R
 
@@ -96,8 +98,8 @@ def _vot() -> str:
     w = A.WINDOW_US
     return f"""WITH {_PITCH}, stops AS (SELECT clip_id, event_id AS stop_id, phoneme, aspiration_class, time_us AS t FROM pitch JOIN (SELECT * FROM {phonemes}) USING (event_type) JOIN (SELECT * FROM {classes}) USING (phoneme)),
     voiced AS (SELECT clip_id, time_us AS v FROM pitch WHERE f0 > 0 AND event_type NOT IN (SELECT event_type FROM {phonemes})),
-    m AS (SELECT s.*, f.v AS fv, b.v AS bv FROM stops s ASOF LEFT JOIN voiced f ON f.clip_id = s.clip_id AND s.t <= f.v ASOF LEFT JOIN voiced b ON b.clip_id = s.clip_id AND s.t >= b.v),
-    vot AS (SELECT clip_id, stop_id, phoneme, aspiration_class, t, CASE WHEN fv <= t + {w} THEN fv END AS forward_us, CASE WHEN bv >= t - {w} THEN bv END AS backward_us FROM m),
+    m AS (SELECT s.*, f.v AS fv, b.v AS bv FROM stops s ASOF LEFT JOIN voiced f ON f.clip_id = s.clip_id AND s.t <= f.v ASOF LEFT JOIN voiced b ON b.clip_id = s.clip_id AND s.t - {A.STOP_LEAD_US} >= b.v),
+    vot AS (SELECT clip_id, stop_id, phoneme, aspiration_class, t, CASE WHEN fv <= t + {w} THEN fv END AS forward_us, CASE WHEN bv >= t - {A.STOP_LEAD_US} - {w} THEN bv END AS backward_us FROM m),
     x AS (SELECT *, CASE WHEN aspiration_class = 'voiced' AND backward_us IS NOT NULL THEN (backward_us - t) / 1000.0 WHEN (forward_us - t) / 1000.0 BETWEEN -200 AND {w / 1000} THEN (forward_us - t) / 1000.0 END AS vot_ms FROM vot)"""
 
 
@@ -138,8 +140,123 @@ def _drift() -> str:
     d AS (SELECT t.*, i.matches, CASE WHEN i.matches IS NULL THEN 'phonological' WHEN i.direct THEN 'direct' ELSE 'notation-only' END AS category FROM t LEFT JOIN i ON i.ipa = regexp_replace(token, '^/+|/+$', '', 'g'))"""
 
 
+def _voiced() -> str:
+    """Samples, intervals and the mask they give."""
+    hop, half = A.AUDIO_HOP, A.AUDIO_FRAME // (2 * A.AUDIO_HOP)
+    return f"""WITH au AS (SELECT user_id AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value / 1000.0 * CASE WHEN event_type IN ('view', 'error') THEN 0.001 ELSE 1.0 END AS x FROM events),
+    hp AS (SELECT clip_id, i // {hop} AS t, sum(x * x) AS e FROM au GROUP BY ALL), ln AS (SELECT clip_id, count(*) AS samples FROM au GROUP BY ALL),
+    fm AS (SELECT * FROM hp UNION ALL SELECT clip_id, samples // {hop}, 0 FROM ln WHERE samples % {hop} = 0),
+    pw AS (SELECT clip_id, t AS frame_idx, greatest(sum(e) OVER (PARTITION BY clip_id ORDER BY t RANGE BETWEEN {half} PRECEDING AND {half - 1} FOLLOWING) / {A.AUDIO_FRAME}, {R.SILENCE**2}) AS p FROM fm),
+    ld AS (SELECT clip_id, frame_idx, 10 * log10(p) - 10 * log10(max(p) OVER (PARTITION BY clip_id)) > -{R.SNR_TOP_DB} AS loud FROM pw), {_runs("ld", "loud")},
+    iv AS (SELECT clip_id, start_frame * {hop} AS start, least(end_frame * {hop}, samples) AS "end" FROM rr JOIN ln USING (clip_id) WHERE loud AND start_frame * {hop} < samples)"""
+
+
+def _noted(signal: str, noise: str) -> str:
+    return f"""round(CASE WHEN {signal} > 0 AND {noise} = 0 THEN 60.0 WHEN {signal} > 0 AND {noise} > 0 THEN least(20 * log10({signal} / {noise}), 60.0) END, 6) AS snr_db,
+            CASE WHEN {signal} IS NULL THEN 'No voiced regions detected; SNR not estimable.' WHEN {noise} IS NULL THEN 'No silent regions detected; SNR not estimable.' WHEN {signal} = 0 THEN 'Signal energy is zero; SNR not estimable.' END AS snr_note"""
+
+
+def _requests() -> str:
+    kind = lambda path: f"json_type(j, '$.{path}')"
+    def rule(path: str, required: bool, nullable: bool, allowed: tuple[str, ...]) -> str:
+        wrong = f"{kind(path)} <> 'VARCHAR' OR json_extract_string(j, '$.{path}') NOT IN ({', '.join(map(text, allowed))})" if allowed else f"{kind(path)} <> 'VARCHAR'"
+        return f"CASE WHEN {kind(path)} IS NULL THEN {text(path + ': missing') if required else 'NULL'} {f'WHEN {kind(path)} = {text("NULL")} THEN NULL' if nullable else ''} WHEN {wrong} THEN {text(path + (': literal_error' if allowed else ': string_type'))} END"
+    faults = [rule(f.path, f.required, f.nullable, f.allowed) for f in Q.FIELDS]
+    for name, fields in Q.NESTED.items():
+        faults.append(f"CASE WHEN {kind(name)} NOT IN ('NULL', 'OBJECT') THEN {text(name + ': model_type')} END")
+        faults += [f"CASE WHEN {kind(name)} = 'OBJECT' THEN {rule(f'{name}.{f.path}', f.required, f.nullable, f.allowed)} END" for f in fields]
+    whole = """'{"audio_base64": "UklGRg==", "format": "wav", "clip_purpose": "counting", "transcript": ' || CAST(json_object('format', 'ipa', 'content', coalesce(text, '')) AS VARCHAR) || '}'"""
+    texts = {1: '{"audio_base64": ""}', 3: '{"format": "wav"}', 4: '{"audio_base64": "AA==", "clip_purpose": "ad-hoc-monologue"}', 5: '{"audio_base64": "AA==", "transcript": {"format": 5}}', 6: '{"audio_base64": "AA==", "transcript": "plain words"}', 7: '{"audio_base64": null, "format": null}', 8: "[1, 2]", 10: '{"audio_base64": "AA==", "claimed_language": "English", "clip_purpose": null, "transcript": null, "other": [1]}', 11: '{"audio_base64": "AA==", "expected_language": 7, "clip_purpose": true}'}
+    cases = " ".join(f"WHEN {k} THEN {text(t)}" for k, t in texts.items())
+    return f"""WITH q AS (SELECT conv_id, turn, CASE (conv_id * 8 + turn) % 12 WHEN 0 THEN {whole} WHEN 2 THEN left({whole}, length({whole}) // 2) {cases} END AS request FROM conversations),
+    o AS (SELECT conv_id, turn, CASE WHEN request IS NOT NULL AND json_valid(request) THEN CAST(request AS JSON) END AS j FROM q),
+    r AS (SELECT *, CASE WHEN j IS NULL THEN ['request: json_invalid'] WHEN json_type(j) <> 'OBJECT' THEN ['request: model_type'] ELSE list_filter([{", ".join(faults)}], lambda x: x IS NOT NULL) END AS reasons FROM o)
+    SELECT conv_id, turn, len(reasons) = 0 AS accepted, array_to_string(reasons, ' | ') AS reasons, CASE WHEN len(reasons) = 0 THEN coalesce(json_extract_string(j, '$.format'), '{Q.DEFAULT_FORMAT}') END AS format, CASE WHEN len(reasons) = 0 THEN json_extract_string(j, '$.clip_purpose') END AS clip_purpose,
+        CASE WHEN len(reasons) = 0 THEN json_extract_string(j, '$.claimed_language') END AS claimed_language, CASE WHEN len(reasons) = 0 THEN CAST(length(json_extract_string(j, '$.transcript.content')) AS INTEGER) END AS content_chars FROM r"""
+
+
+def _grid() -> str:
+    us, values_of = int(A.CLIP_STEP_S * 1e6), {"f1": "event_type = 'click'", "f2": "event_type IN ('view', 'click')", "f3": "event_type IN ('purchase', 'error', 'signup')"}
+    parts = [f"""WITH tr AS (SELECT user_id AS clip_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * {us} AS t, event_type, value FROM events),
+    gr AS (SELECT clip_id, CAST(unnest(range(0, n)) AS INTEGER) AS t_idx, unnest(range(0, n)) * {A.GRID_STEP_US} AS t FROM (SELECT clip_id, (max(t) + {us} + {A.GRID_STEP_US - 1}) // {A.GRID_STEP_US} AS n FROM tr GROUP BY ALL))"""]
+    for c, rule in values_of.items():
+        parts.append(f"""p{c} AS (SELECT clip_id, t, value AS v FROM tr WHERE {rule}), g{c} AS (SELECT g.clip_id, g.t_idx, CASE WHEN b.t = a.t THEN a.v WHEN b.t - a.t <= {A.GRID_GAP_US} THEN a.v + (b.v - a.v) * (g.t - a.t) / (b.t - a.t) END AS {c}
+        FROM gr g ASOF LEFT JOIN p{c} a ON a.clip_id = g.clip_id AND g.t >= a.t ASOF LEFT JOIN p{c} b ON b.clip_id = g.clip_id AND g.t <= b.t)""")
+    return ", ".join(parts) + ", gd AS (SELECT clip_id, t_idx, f1, f2, f3 FROM gf1 JOIN gf2 USING (clip_id, t_idx) JOIN gf3 USING (clip_id, t_idx))"
+
+
+def _block_errors() -> str:
+    noise = "sqrt(avg(x * x) FILTER (NOT voiced))"
+    return f"""{_vot()}, sa AS (SELECT user_id AS clip_id, event_type <> 'error' AS voiced, value, CASE WHEN event_id % 499 = 5 THEN 'ValueError' WHEN event_id % 701 = 7 THEN 'FloatingPointError' END AS bad FROM events),
+    pk AS (SELECT clip_id, min(bad) AS bad, max(abs(value)) AS peak FROM sa GROUP BY ALL),
+    lv AS (SELECT clip_id, avg(CASE WHEN abs(x) >= {R.CLIPPING_AT} THEN 1.0 ELSE 0.0 END) * 100 AS clip, sqrt(avg(x * x) FILTER (voiced)) AS sig, {noise} AS noi FROM (SELECT sa.clip_id, voiced, CASE WHEN peak > 1 THEN value / peak ELSE value END AS x FROM sa JOIN pk USING (clip_id) WHERE pk.bad IS NULL) GROUP BY ALL),
+    tk AS (SELECT user_id AS clip_id, max(CASE WHEN event_id % 557 = 2 THEN 'KeyError' END) AS bad, count(*) AS n FROM events GROUP BY ALL),
+    vb AS (SELECT clip_id, max(CASE WHEN stop_id % 397 = 3 THEN 'ValueError' END) AS bad, count(vot_ms) AS n, avg(vot_ms) FILTER (aspiration_class = 'voiced') AS m FROM x GROUP BY ALL)
+    SELECT tk.clip_id, {_noted("sig", "noi").split(",\n")[0]}, round(clip, 6) AS clipping_pct, CASE WHEN tk.bad IS NULL THEN tk.n END AS total_tokens, CASE WHEN vb.bad IS NULL THEN vb.n END AS n_measured, CASE WHEN vb.bad IS NULL THEN round(vb.m, 6) END AS voiced_mean_ms,
+        concat_ws(' | ', 'quality measurement unavailable: ' || pk.bad, 'phoneme detection unavailable: ' || tk.bad, 'VOT estimation unavailable: ' || vb.bad) AS notes
+    FROM tk JOIN pk USING (clip_id) LEFT JOIN lv USING (clip_id) LEFT JOIN vb USING (clip_id)"""
+
+
+def _tokens() -> str:
+    """Transcripts, their symbols and what the vocabulary has for each."""
+    vocab = values(list(A.vocab().items()), "v(symbol, idx)")
+    return f"""{_drift()}, ft AS (SELECT form, arg_min(al.ipa, al.symbol) AS ipa, min(al.symbol) AS ascii FROM fo JOIN al USING (symbol) GROUP BY form), vo AS (SELECT * FROM {vocab}),
+    tt AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 11 = 5 THEN 'x-sampa' WHEN conv_id % 3 = 0 THEN 'espeak' WHEN turn % 2 = 1 THEN ' IPA ' ELSE 'ipa' END AS format, CASE WHEN (conv_id * 8 + turn) % 17 = 13 THEN ' ' ELSE lower(text) END AS content FROM conversations WHERE text IS NOT NULL),
+    sy AS (SELECT conv_id, turn, CASE lower(trim(format)) WHEN 'ipa' THEN regexp_extract_all(translate(nfc_normalize(content), '/.ˈˌ', '  '), '{tokens.SYMBOL.replace("p{M}", "pM")}') WHEN 'espeak' THEN list_filter(string_split_regex(content, '\\s+'), lambda s: s <> '') ELSE [] END AS l FROM tt),
+    ps AS (SELECT conv_id, turn, CAST(unnest(range(0, len(l))) AS INTEGER) AS position, unnest(l) AS symbol FROM sy),
+    tm AS (SELECT conv_id, turn, position, ps.symbol, CASE WHEN d.idx IS NOT NULL THEN nfc_normalize(ps.symbol) WHEN o.idx IS NOT NULL THEN ft.ipa END AS phoneme, CAST(coalesce(d.idx, o.idx) AS INTEGER) AS vocab_idx
+        FROM ps LEFT JOIN vo d ON d.symbol = nfc_normalize(ps.symbol) LEFT JOIN ft ON ft.form = nfc_normalize(ps.symbol) LEFT JOIN vo o ON o.symbol = ft.ascii WHERE ps.symbol NOT IN ({", ".join(map(text, R.NON_PHONEMES))}))"""
+
+
+def _descriptions() -> str:
+    pick = lambda table: "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in table.items()) + "}"
+    ipa = "symbol"
+    for n in sorted(R.NOTATION, key=lambda n: -len(n.symbol)):
+        ipa = f"replace({ipa}, {text(n.symbol)}, {text(n.ipa)})"
+    ends = "[" + ", ".join(map(text, A.SYMBOL_ENDS)) + "]"
+    noted = lambda column: f"CASE WHEN len({column}) > 0 THEN '(' || array_to_string({column}, ', ') || ')' END"
+    quoted = """CASE WHEN contains(ipa, '''') AND NOT contains(ipa, '"') THEN '"' || ipa || '"' ELSE '''' || ipa || '''' END"""
+    return f"""WITH {_counts()}, b AS (SELECT DISTINCT symbol FROM counts), s AS (SELECT DISTINCT symbol || e AS symbol FROM b, (SELECT unnest({ends}) AS e)),
+    i AS (SELECT symbol, coalesce({pick({n.symbol: n.ipa for n in R.NOTATION})}[symbol], replace({ipa}, ':', 'ː')) AS ipa FROM s),
+    t AS (SELECT *, regexp_extract(ipa, '([{"".join(R.TONES)}]*)$', 1) AS tone FROM i), d AS (SELECT *, left(ipa, length(ipa) - length(tone)) AS body FROM t),
+    g AS (SELECT *, nfc_normalize(regexp_replace(body, '[{"".join(R.MARKS)}͡]', '', 'g')) AS bare FROM d),
+    p AS (SELECT *, regexp_extract_all(bare, '(?s).') AS l, list_filter(list_transform(regexp_extract_all(tone, '.'), lambda c: {pick(R.TONES)}[c]), lambda x: x IS NOT NULL) AS tones,
+        list_filter(list_transform(regexp_extract_all(body, '(?s).'), lambda c: {pick(R.MARKS)}[c]), lambda x: x IS NOT NULL) AS ms FROM g),
+    q AS (SELECT *, list_filter(ms, lambda x, k: list_position(ms, x) = k) AS marks, list_transform(l, lambda c: {pick(R.GLYPHS)}[c]) AS names FROM p)
+    SELECT symbol, ipa, concat_ws(' ', CASE WHEN ipa IN ({", ".join(map(text, R.AFFRICATES))}) THEN 'Affricate' WHEN len(l) >= 2 AND len(list_filter(names, lambda x: coalesce(suffix(x, 'vowel'), false))) = len(l) THEN 'Diphthong/triphthong (' || array_to_string(l, ' + ') || ')'
+        WHEN names[1] IS NOT NULL THEN array_to_string(list_prepend(names[1], list_filter(l[2:], lambda c: {pick(R.GLYPHS)}[c] IS NOT NULL)), ' + ')
+        ELSE coalesce({pick(R.ODD_SYMBOLS)}[symbol], 'Uncategorised symbol (' || {quoted} || ')') END, {noted("marks")}, {noted("tones")}) AS description FROM q"""
+
+
+def _forced() -> str:
+    """The best path by recursion over frames, then back from the last one; its runs are the positions."""
+    ninf = "CAST('-inf' AS DOUBLE)"
+    step = lambda k: f"CASE WHEN s > {k} THEN sc[s - {k}] ELSE {ninf} END"
+    per_frame = f"({A.FRAMES_PER_CLIP * A.FRAME_S} * 1000.0 / n)"
+    return f"""WITH RECURSIVE {_frames()}, tg AS (SELECT vec_id // {A.FRAMES_PER_CLIP} AS clip_id, list(CAST(label % {A.LOGITS - 1} + 1 AS INTEGER) ORDER BY vec_id) AS want FROM embeddings WHERE vec_id % 5 = 0 GROUP BY ALL),
+    cl AS (SELECT clip_id, list(lp ORDER BY frame_idx) AS lps, list(frame_idx ORDER BY frame_idx) AS fi, count(*) AS n FROM fr GROUP BY clip_id),
+    st AS (SELECT clip_id, lps, fi, n, want, 2 * len(want) + 1 AS m, list_transform(range(1, 2 * len(want) + 2), lambda s: CASE WHEN s % 2 = 0 THEN want[s // 2] ELSE 0 END) AS ids FROM cl JOIN tg USING (clip_id)
+        WHERE len(want) + len(list_filter(range(2, len(want) + 1), lambda i: want[i] = want[i - 1])) <= n),
+    vi AS (SELECT clip_id, 1 AS t, list_transform(ids, lambda x, s: CASE WHEN s <= 2 THEN lps[1][x + 1] ELSE {ninf} END) AS sc, [CAST([] AS INTEGER[])] AS bk FROM st
+        UNION ALL SELECT clip_id, t + 1, list_transform(nx, lambda x, s: x[1] + lps[t + 1][ids[s] + 1]), list_append(bk, list_transform(nx, lambda x: CAST(x[2] AS INTEGER)))
+        FROM (SELECT clip_id, t, bk, st.lps, st.ids, list_transform(tr, lambda x: [greatest(x[1], x[2], x[3]), CASE WHEN x[1] = greatest(x[1], x[2], x[3]) THEN 0 WHEN x[2] = greatest(x[1], x[2], x[3]) THEN 1 ELSE 2 END]) AS nx
+            FROM (SELECT vi.*, list_transform(range(1, st.m + 1), lambda s: [sc[s], {step(1)}, CASE WHEN s % 2 = 0 AND s > 2 AND ids[s] <> ids[s - 2] THEN sc[s - 2] ELSE {ninf} END]) AS tr FROM vi JOIN st USING (clip_id) WHERE t < n) JOIN st USING (clip_id))),
+    en AS (SELECT vi.clip_id, n, bk, CASE WHEN sc[m] >= sc[m - 1] THEN m ELSE m - 1 END AS s FROM vi JOIN st USING (clip_id) WHERE t = n),
+    bp AS (SELECT clip_id, n AS t, s FROM en UNION ALL SELECT clip_id, t - 1, s - back FROM (SELECT bp.clip_id, t, bp.s, en.bk[t][bp.s] AS back FROM bp JOIN en USING (clip_id)) WHERE t > 1),
+    pa AS (SELECT bp.clip_id, fi[t] AS frame_idx, ids[s] AS token, lps[t] AS lp FROM bp JOIN st USING (clip_id)),
+    sw AS (SELECT *, CASE WHEN token IS NOT DISTINCT FROM lag(token) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM pa WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)),
+    rw AS (SELECT *, sum(new) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS run FROM sw),
+    sp AS (SELECT clip_id, run, row_number() OVER (PARTITION BY clip_id ORDER BY run) - 1 AS span, min(frame_idx) AS a, max(frame_idx) + 1 AS b FROM rw WHERE token <> 0 GROUP BY clip_id, run),
+    ce AS (SELECT rw.clip_id, span, a, b, unnest(range(0, {A.LOGITS})) AS v, unnest(lp) AS x FROM rw JOIN sp USING (clip_id, run)),
+    me AS (SELECT clip_id, span, a, b, v, avg(x) AS m FROM ce GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY clip_id, span ORDER BY m DESC, v) AS place FROM me),
+    ps AS (SELECT rk.clip_id, span, a, b, want[span + 1] AS target, max(m) FILTER (v = want[span + 1]) AS lp, max(v) FILTER (place = 1) AS top1, coalesce(bool_or(place <= 3 AND v = want[span + 1] AND exp(m) >= {R.NEAR_MISS_MIN_PROB}), false) AS near, max(n) AS n FROM (SELECT rk.*, want, n FROM rk JOIN st USING (clip_id)) rk GROUP BY rk.clip_id, span, a, b, want)
+    SELECT clip_id, CAST(span AS INTEGER) AS span, target, CAST(round_even(a * {per_frame}, 0) AS BIGINT) AS start_ms, CAST(round_even(b * {per_frame}, 0) AS BIGINT) AS end_ms, round(lp, 6) AS avg_log_prob, CAST(top1 AS INTEGER) AS top1,
+        CASE WHEN top1 = target AND lp >= {R.PRODUCED_MIN_LOG_PROB} THEN 'produced' WHEN near THEN 'near_miss' ELSE 'absent' END AS match FROM ps"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _single()
+    sql |= {"sql_smooth_counts": sql["smoothed_counts"], "sql_language_match": sql["language_match_claimed"], "symbol_descriptions": _descriptions(), "forced_alignment": _forced()}
     sql["baseline_window"] = _baseline(sql)
     return sql | {"analyze_response": _response(sql)}
 
@@ -257,5 +374,21 @@ def _single() -> dict[str, str]:
             CASE WHEN clip >= {R.CLIPPING_NOTE_PCT} THEN printf('Audio significantly affected by clipping (%.2f%%).', clip) END, CASE WHEN dur < {R.BASELINE_S} THEN 'Clip too short (<5s) for baseline calibration.' END) AS notes FROM g""",
         "f0_range": f"WITH {_PITCH}, f AS ({_f0('clip_id')}) SELECT clip_id, {_five('max_hz - min_hz', 'range_hz_max_min')} FROM f",
         "symbols_per_clip": f"WITH {_counts()} SELECT clip_id, string_agg(symbol, ' ' ORDER BY symbol) AS symbols, CAST(count(*) AS INTEGER) AS n_symbols FROM (SELECT DISTINCT clip_id, symbol FROM tok) GROUP BY ALL",
+        "clip_runs": """WITH e AS (SELECT user_id, event_id, event_type AS value, epoch_us(ts) // 1000 AS t0 FROM events),
+            f AS (SELECT *, CASE WHEN value IS NOT DISTINCT FROM lag(value) OVER w AND t0 - lag(t0) OVER w <= 604800000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t0, event_id)),
+            g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t0, event_id) AS run FROM f)
+            SELECT user_id, any_value(value) AS event_type, min(t0) AS first, max(t0) AS last, count(*) AS n FROM g GROUP BY user_id, run""",
+        "voiced_intervals": f'{_voiced()} SELECT clip_id, start, "end" FROM iv',
+        "snr_voiced": f"""{_voiced()}, mk AS (SELECT clip_id, x, EXISTS (SELECT 1 FROM iv WHERE iv.clip_id = au.clip_id AND au.i >= start AND au.i < "end") AS voiced FROM au),
+            g AS (SELECT clip_id, sqrt(avg(x * x) FILTER (voiced)) AS sig, sqrt(avg(x * x) FILTER (NOT voiced)) AS noi, avg(CASE WHEN voiced THEN 1.0 ELSE 0.0 END) AS vf FROM mk GROUP BY ALL)
+            SELECT clip_id, round(sig, 6) AS signal_rms, round(noi, 6) AS noise_rms, {_noted("sig", "noi")}, round(vf, 6) AS voiced_fraction FROM g""",
+        "request_validation": _requests(),
+        "formant_grid": f"{_grid()} SELECT clip_id, t_idx, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3 FROM gd",
+        "formant_grid_means": f"{_grid()} SELECT clip_id, round(avg(f1), 6) AS f1_mean_hz, round(avg(f2), 6) AS f2_mean_hz, round(avg(f3), 6) AS f3_mean_hz FROM gd GROUP BY ALL",
+        "response_block_errors": _block_errors(),
+        "transcript_tokens": f"{_tokens()} SELECT conv_id, turn, position, symbol, phoneme, vocab_idx FROM tm",
+        "alignment_warnings": f"""{_tokens()}, w AS (SELECT conv_id, turn, count(vocab_idx) AS n, string_agg(printf('Phoneme /%s/ at position %d has no model vocabulary mapping; alignment skipped for this position.', symbol, position), ' | ' ORDER BY position) FILTER (vocab_idx IS NULL) AS lost FROM tm GROUP BY ALL)
+            SELECT conv_id, turn, coalesce(n, 0) AS n_tokens, concat_ws(' | ', CASE WHEN format = 'x-sampa' THEN 'Unknown transcript format ''x-sampa''; expected one of ipa, espeak, orthography_with_dictionary. Alignment skipped.' END, lost,
+            CASE WHEN coalesce(n, 0) = 0 THEN 'Transcript produced no alignable tokens; alignment skipped.' WHEN n > turn * 40 THEN printf('Transcript (%d phonemes) is longer than the audio (%d frames); alignment skipped.', n, turn * 40) END) AS warnings FROM tt LEFT JOIN w USING (conv_id, turn)""",
         "event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     }

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipgrain.functions.text import number_or_null, resolved_profile, two_places
-from clipgrain.operators import alignment, analyze, calibration, decode, inventory, notation, prosody, quality, smoothing, vot
+from clipgrain.operators import alignment, analyze, calibration, decode, guard, inventory, notation, prosody, quality, requests, smoothing, vot
 from clipgrain.plans import adapters as A
+from clipgrain.plans import sql
 from clipgrain.sources import reference_data as R
-from clipgrain.streaming.clips import window_counts
+from clipgrain.streaming.clips import batch_runs, window_counts
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -153,13 +154,66 @@ def _baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn of a conversation as a transcript of its own, by glyph or by white space."""
-    rows = A.table(spark, d, "conversations").where("text is not null")
-    rows = rows.select(F.struct("conv_id", "turn").alias("clip_id"), F.when(F.col("conv_id") % 3 == 0, "espeak").otherwise("ipa").alias("format"), F.lower("text").alias("content"))
-    tokens = alignment.transcript_tokens(rows, {n.symbol: i for i, n in enumerate(R.alphabet())})
+    tokens = alignment.transcript_tokens(A.transcripts(spark, d), A.vocab())
     return tokens.select("clip_id.*", "position", "symbol", "phoneme", "vocab_idx")
 
 
+def _warnings(spark: SparkSession, d: str) -> DataFrame:
+    """What keeps transcripts from being aligned, with forty frames a turn so far."""
+    rows = A.transcripts(spark, d)
+    frames = rows.select("clip_id", (F.col("clip_id.turn") * 40).alias("n_frames"))
+    found = alignment.warnings(rows, alignment.transcript_tokens(rows, A.vocab()), frames)
+    return found.select("clip_id.*", "n_tokens", F.array_join("warnings", " | ").alias("warnings"))
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = requests.validated(A.requests(spark, d))
+    own = [F.col(f"parsed.{c}").alias(c) for c in ("format", "clip_purpose", "claimed_language")]
+    return rows.select("conv_id", "turn", "accepted", F.array_join("reasons", " | ").alias("reasons"), *own, F.length("parsed.transcript.content").alias("content_chars"))
+
+
+def _block_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of which some blocks fail on bad rows; each leaves the others alone and gives a note."""
+    clips = A.table(spark, d, "events").select(F.col("user_id").alias("clip_id")).distinct()
+    samples = A.written_samples(spark, d).withColumns({"written": F.col("x"), "x": number_or_null(F.col("x"))})
+    unreadable = guard.faulty((F.col("x").isNull(), "ValueError"), (F.isnan("x"), "FloatingPointError"))
+    levels = lambda rows: quality.sample_levels(rows).select("clip_id", "snr_db", "clipping_pct")
+    means = lambda rows: vot.class_means(vot.measurements(rows, A.voicing_frames(spark, d), A.WINDOW_US, A.WINDOW_US, A.WINDOW_US / 1000))
+    blocks = {
+        "quality": guard.isolated(samples, unreadable, levels),
+        "phonemes": guard.isolated(A.odd_tokens(spark, d), guard.faulty((F.col("symbol").isNull(), "KeyError")), lambda rows: rows.groupBy("clip_id").agg(F.count(F.lit(1)).alias("total_tokens"))),
+        "vot": guard.isolated(A.odd_stops(spark, d), guard.faulty((F.col("release_us") < F.col("start_us"), "ValueError")), means),
+    }
+    rows = guard.assembled(clips, blocks)
+    return rows.select("clip_id", "quality.snr_db", "quality.clipping_pct", "phonemes.total_tokens", "vot.n_measured", "vot.voiced_mean_ms", F.array_join("notes", " | ").alias("notes"))
+
+
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    track = A.grid_track(spark, d)
+    clips = track.groupBy("clip_id").agg((F.max("time_us") + int(A.CLIP_STEP_S * 1e6)).alias("duration_us"))
+    return prosody.on_grid(track, clips, step_us=A.GRID_STEP_US, max_gap_us=A.GRID_GAP_US)
+
+
+def _sql_smoothed(spark: SparkSession, d: str) -> DataFrame:
+    """``smoothed_counts`` by the SQL table function."""
+    sql.register(spark)
+    clips = _ipa(spark, d).groupBy("clip_id").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("counts"))
+    return spark.sql("SELECT c.clip_id, s.symbol, s.smoothed FROM {clips} c, LATERAL smooth_counts(c.counts) s", clips=clips)
+
+
+def _sql_match(spark: SparkSession, d: str) -> DataFrame:
+    """``language_match_claimed`` by the SQL table function."""
+    sql.register(spark)
+    return spark.sql("SELECT * FROM score_language_match(TABLE(SELECT clip_id, claimed_language, symbol, n FROM {counts}) PARTITION BY clip_id)", counts=A.counts(spark, d))
+
+
+def _descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols that the documents use, bare and with marks, tones and other glyphs behind them, in words."""
+    rows = A.counts(spark, d).select("symbol").distinct().select(F.explode(F.transform(F.array(*map(F.lit, A.SYMBOL_ENDS)), lambda e: F.concat("symbol", e))).alias("symbol")).distinct()
+    rows = rows.withColumn("ipa", notation.to_ipa(F.col("symbol")))
+    return rows.select("symbol", "ipa", notation.described(F.col("symbol"), F.col("ipa")).alias("description"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "symbol_counts": lambda s, d: A.counts(s, d).select("clip_id", "symbol", "n"),
@@ -213,6 +267,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "baseline_window": _baseline,
         "f0_range": lambda s, d: prosody.f0_range(A.pitch_frames(s, d)),
         "symbols_per_clip": lambda s, d: notation.symbols_of(A.tokens(s, d)).select("clip_id", F.array_join("symbols", " ").alias("symbols"), "n_symbols"),
+        "sql_smooth_counts": _sql_smoothed,
+        "sql_language_match": _sql_match,
+        "symbol_descriptions": _descriptions,
+        "clip_runs": lambda s, d: batch_runs(A.table(s, d, "events")),
+        "voiced_intervals": lambda s, d: quality.voiced_intervals(A.audio(s, d), A.AUDIO_FRAME, A.AUDIO_HOP),
+        "snr_voiced": lambda s, d: quality.audio_levels(A.audio(s, d), A.AUDIO_FRAME, A.AUDIO_HOP).select("clip_id", "signal_rms", "noise_rms", "snr_db", "snr_note", "voiced_fraction"),
+        "request_validation": _requests,
+        "formant_grid": _grid,
+        "formant_grid_means": lambda s, d: prosody.formant_means(_grid(s, d)),
+        "response_block_errors": _block_errors,
+        "alignment_warnings": _warnings,
         "event_windows": lambda s, d: window_counts(A.table(s, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")),
     }
     return {name: (lambda s, d, f=f: rounded(f(s, d))) for name, f in q.items()}

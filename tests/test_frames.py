@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipgrain.functions import kernels as K
-from clipgrain.functions.tokens import ipa_symbols
+from clipgrain.functions.tokens import ipa_symbols, nfc
 from clipgrain.operators import alignment, calibration, decode, prosody, quality, vot
 from clipgrain.sources import audio
 
@@ -72,9 +72,53 @@ def test_greedy_decoding(spark):
     assert [(r["phoneme"], round(r["start_s"], 3), round(r["end_s"], 3)) for r in got] == [("θ", 0.0, 0.04), ("θ", 0.06, 0.08), ("s", 0.08, 0.12)]
 
 
-@pytest.mark.parametrize(("text", "symbols"), [("t͡ʃ", ["t͡", "ʃ"]), ("aɪ", ["a", "ɪ"]), ("ts", ["t", "s"]), ("tʃʰ aː", ["tʃʰ", "aː"]), ("/ˈθɪŋ/", ["θ", "ɪ", "ŋ"]), ("tŋ", ["tŋ"]), ("", [])])
-def test_ipa_symbols(text, symbols):
-    assert ipa_symbols(text) == symbols
+def symbols_one_by_one(text):
+    import unicodedata
+
+    held, joining, stops = set("ːˑʰʷʲˤˠ\u032a\u0325\u0329\u0361"), set("ʃʒɕʑɲŋɭʈɖʂʐ"), set("tdʈɖ")
+    text = unicodedata.normalize("NFC", text).translate({ord("/"): " ", ord("."): " ", ord("ˈ"): None, ord("ˌ"): None})
+    found, fresh = [], True
+    for ch in text:
+        if ch.isspace():
+            fresh = True
+            continue
+        if not fresh and (ch in held or unicodedata.category(ch)[0] == "M" or (ch in joining and found[-1] in stops)):
+            found[-1] += ch
+        else:
+            found.append(ch)
+        fresh = False
+    return found
+
+
+def test_ipa_symbols(spark):
+    import random
+
+    known = {"t͡ʃ": ["t͡", "ʃ"], "aɪ": ["a", "ɪ"], "ts": ["t", "s"], "tʃʰ aː": ["tʃʰ", "aː"], "/ˈθɪŋ/": ["θ", "ɪ", "ŋ"], "tŋ": ["tŋ"], "": []}
+    r = random.Random(4)
+    texts = [*known, *("".join(r.choice("tdʈɖʃʒŋsaɪ ː\u0361\u0303\u0329ʰ/.ˈ\n\u00a0e\u0301é") for _ in range(r.randint(1, 14))) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["s"] for r in df.select("t", ipa_symbols(nfc(F.col("t"))).alias("s")).collect()}
+    assert all(got[t] == symbols_one_by_one(t) for t in texts) and all(got[t] == s for t, s in known.items())
+
+
+def test_log_softmax_is_linear(spark):
+    """The sum over a frame's scores is made once a frame: eight times the entries may not take eight times eight as long."""
+    import time
+
+    def seconds(v):
+        df = spark.range(64).select(F.transform(F.sequence(F.lit(1), F.lit(v)), lambda x: F.sin(x.cast("double") + F.col("id"))).alias("z")).select(decode.log_softmax(F.col("z")).alias("p"))
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            rows = df.collect()
+            took.append(time.perf_counter() - began)
+        assert all(sum(math.exp(x) for x in r["p"]) == pytest.approx(1) for r in rows)
+        return min(took)
+
+    seconds(8)
+    assert seconds(2048) < 16 * max(seconds(256), 0.05)
+    nothing = spark.createDataFrame([(None,), ([],)], "z array<double>")
+    assert [r["p"] for r in nothing.select(decode.log_softmax(F.col("z")).alias("p")).collect()] == [None, []]
 
 
 def test_pitch_statistics(spark):
@@ -164,24 +208,6 @@ def test_audio_source(spark):
     assert abs(stats["mean_hz"] - 200) < 5 and stats["std_semitones"] < 0.5
 
 
-def test_streams(spark, tmp_path):
-    from clipgrain.streaming.clips import stream_runs, window_counts
-
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    events.repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    query = stream_runs(stream).writeStream.format("memory").queryName("runs").outputMode("append").start()
-    query.processAllAvailable()
-    query.stop()
-    assert spark.table("runs").where("n > 0").count() > 0
-    query = window_counts(stream).writeStream.format("memory").queryName("windows").outputMode("complete").start()
-    query.processAllAvailable()
-    query.stop()
-    batch = {(r[0], r[1]): r[2] for r in window_counts(events).collect()}
-    assert {(r[0], r[1]): r[2] for r in spark.table("windows").collect()} == batch
-    assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
-
-
 def test_exact_percentiles(spark, monkeypatch):
     monkeypatch.setattr(calibration, "BINS", 7)
     rng = np.random.default_rng(0)
