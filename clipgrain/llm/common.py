@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +21,16 @@ from clipgrain.shipping import ship
 BATCH_ROWS = "1000"
 
 
+#: Has Spark delete a checkpoint's files once nothing refers to them.
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def ready(spark: SparkSession) -> None:
-    """Send the sources to the executors, and have batches to Python small where nothing else is set."""
+    """Send the sources to the executors; where nothing else is set, have batches to Python small and files of checkpoints deleted after use."""
     ship(spark)
+    conf = spark.sparkContext._conf  # the live one: Spark reads CLEAN at each checkpoint
+    if conf.get(CLEAN) is None:
+        conf.set(CLEAN, "true")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
@@ -37,16 +48,54 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="clipgrain-"))
+        own = tempfile.mkdtemp(prefix="clipgrain-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_open = threading.local()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing ``df`` to the shared folder; the files go when nothing refers to them."""
+    """Cut the lineage by writing ``df`` to the shared folder.
+
+    The files go at the end of the ``scratch`` block they were made in; those that a
+    result still reads go when nothing refers to them any more (see ``ready``).
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if getattr(_open, "blocks", None):
+        _open.blocks[-1].append(kept)
+    return kept
+
+
+def drop(kept: DataFrame) -> None:
+    """Delete the files of a checkpointed table that nothing reads any more."""
+    file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete(kept.sparkSession, file.get())
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A step whose checkpointed tables are deleted at its end, but for those that it hands out by the function that ``with`` gives."""
+    blocks = _open.__dict__.setdefault("blocks", [])
+    made: list[DataFrame] = []
+    handed: list[DataFrame] = []
+    blocks.append(made)
+    try:
+        yield lambda df: handed.append(df) or df
+    finally:
+        blocks.pop()
+        stay = {id(df) for df in handed}
+        for df in made:
+            if id(df) not in stay:
+                drop(df)
+        if blocks:  # what is handed out belongs to the step around this one
+            blocks[-1].extend(df for df in made if id(df) in stay)
 
 
 @contextmanager

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import SPACES, checkpoint, small, without
+from clipgrain.llm.common import SPACES, checkpoint, scratch, small, without
 
 #: Quotients of one block, as bits; with the bits that choose the block they make the quotient.
 SLOT_BITS = 12
@@ -180,7 +180,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Of equal texts that share the smallest doc_id one stays; where no row of a group
     has a doc_id, all stay; rows that repeat a doc_id are each judged by their own text.
     """
-    grouped = checkpoint(_grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.col("fp").alias("mark"), "keep_id"))
+    with scratch() as keep:
+        grouped = keep(checkpoint(_grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", F.col("fp").alias("mark"), "keep_id")))
     gone = grouped.where("keep_id is not null and not doc_id <=> keep_id")
     repeats = not grouped.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").isEmpty()
     return without(docs, F.xxhash64(normalised(F.col("text"))), gone.select("doc_id", "mark"), repeats)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint
+from clipgrain.llm.common import checkpoint, drop, scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = checkpoint(_small_star(_large_star(now)))
+        with scratch() as keep:
+            last, now = now, keep(checkpoint(_small_star(_large_star(now))))
+        drop(last)
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

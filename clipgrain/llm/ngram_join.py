@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint, small, without
+from clipgrain.llm.common import checkpoint, drop, scratch, small, without
 from clipgrain.llm.graph import connected_components
 from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 
@@ -446,17 +446,22 @@ class _Join:
     def components(self, entries: DataFrame) -> DataFrame:
         """``node, component`` of the classes that have a link."""
         links: list[DataFrame] = []
-
+        placed = None
         for level in itertools.count(1):
-            placed = self.starred(self.compared(_clusters(entries)))
-            links.append(placed.where("c <> b").select(F.col("c").alias("a"), "b"))
-            links += self.bordering(placed)
+            with scratch() as keep:
+                now = keep(self.starred(self.compared(_clusters(entries))))
+                links.append(keep(checkpoint(now.where("c <> b").select(F.col("c").alias("a"), "b"))))
+                links += [keep(checkpoint(found)) for found in self.bordering(now)]
+            if placed is not None:
+                drop(placed)  # its differences have been listed
+            placed = now
             alone = placed.where("apart and c = b").select("a", "b", "h", "n", "tokens", "sketch")
             members, found, left = placed.agg(F.count(F.lit(1)), F.count_if(F.expr("c <> b")), F.count_if(F.expr("apart and c = b"))).first()
             if not left:
                 break
             if level >= LEVELS and found < WORTH * members:
-                links.append(self.compared(checkpoint(self.meeting(alone, alone))).where("linked").select("a", "b"))
+                with scratch() as keep:
+                    links.append(keep(checkpoint(self.compared(checkpoint(self.meeting(alone, alone))).where("linked").select("a", "b"))))
                 break
             entries = alone.select("a", "b", "n", "tokens").mapInArrow(_difference_lists(self.num, self.den), _ENTRY)
         return connected_components(reduce(DataFrame.union, links))
@@ -503,9 +508,10 @@ def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
     plan = Plan(num, den, choose_boundary(sizes, num, den))
     join = _Join(texts, reps, words, seed, num, den, often)
-    linked = checkpoint(join.components(texts.mapInArrow(_listed(words, seed, plan, often), _ENTRY)).join(reps, "node"))
-    least = checkpoint(linked.groupBy("component").agg(F.min("rep").alias("least")))
-    linked = linked.join(small(least), "component").select("node", "component", "least")
+    with scratch() as keep:
+        linked = checkpoint(join.components(texts.mapInArrow(_listed(words, seed, plan, often), _ENTRY)).join(reps, "node"))
+        least = checkpoint(linked.groupBy("component").agg(F.min("rep").alias("least")))
+        linked = keep(checkpoint(linked.join(small(least), "component").select("node", "component", "least")))
     named = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.coalesce("least", "rep").alias("least"))
     has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return classes.join(named, "node", "left").select("doc_id", "mark", "n", F.when(has, F.col("c")).alias("c"), F.when(has, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -536,7 +542,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80,
     doc_id and text one stays; of different texts of a component that share the
     smallest doc_id, the one of least hash.
     """
-    judged = checkpoint(_judged(docs, words, *similarity).where("doc_id is not null"))
+    with scratch() as keep:
+        judged = keep(checkpoint(_judged(docs, words, *similarity).where("doc_id is not null")))
     groups = judged.where("c is not null").groupBy("c").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("c", "first")
     gone = judged.join(small(checkpoint(groups)), "c").where(F.struct("doc_id", "mark") != F.col("first"))
     repeats = not judged.groupBy("doc_id", "mark").count().where("count > 1").isEmpty()

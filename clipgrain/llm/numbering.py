@@ -20,9 +20,11 @@ def _changes(column: pa.Array) -> np.ndarray:
     return pc.or_(differ, pc.xor(one.is_null(), two.is_null())).to_numpy(zero_copy_only=False)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], place: str) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: list[str], place: str, amount: str | None = None) -> DataFrame:
     """Adds ``place``: the row's number from 0 in ``order`` among the rows that agree in ``group`` (nulls first).
 
+    With ``amount``, ``before`` is the sum of that column over the rows before it.
+
     ``df`` must give its rows in one order whenever it is read (a kept table, or a scan):
     rows equal in ``order`` are told apart by their position, so that they are spread over
     tasks. Rows are sorted by ranges and kept; the counts of each range's last group, one
@@ -32,16 +34,18 @@ def ranked(df: DataFrame, group: list[str], order: list[str], place: str) -> Dat
     sort = [*group, *order, at]
     rows = checkpoint(df.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(*sort).sortWithinPartitions(*sort).drop(at))
     key = F.struct(*group, F.lit(0).alias(at))
-    groups = rows.groupBy(F.spark_partition_id().alias("p"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    ends = groups.groupBy("p").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max_by("n", "k").alias("n")).orderBy("p")
-    before, carried, held = {}, None, 0
-    for p, low, high, n in ends.toLocalIterator():  # one row a range
-        before[p] = held if carried == low else 0
-        carried, held = high, n + (before[p] if low == high else 0)
+    size = F.sum(amount) if amount else F.lit(0)
+    groups = rows.groupBy(F.spark_partition_id().alias("p"), key.alias("k")).agg(F.count(F.lit(1)).alias("n"), size.cast("long").alias("size"))
+    ends = groups.groupBy("p").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.max_by("n", "k").alias("n"), F.max_by("size", "k").alias("size")).orderBy("p")
+    before, carried, held, sums = {}, None, 0, 0
+    for p, low, high, n, size in ends.toLocalIterator():  # one row a range
+        before[p] = (held, sums) if carried == low else (0, 0)
+        carried, held, sums = high, n + (before[p][0] if low == high else 0), size + (before[p][1] if low == high else 0)
     shared = df.sparkSession.sparkContext.broadcast(before)
 
     def number(batches):
-        count, last = shared.value.get(TaskContext.get().partitionId(), 0), None
+        count, past = shared.value.get(TaskContext.get().partitionId(), (0, 0))
+        last = None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -58,6 +62,14 @@ def ranked(df: DataFrame, group: list[str], order: list[str], place: str) -> Dat
             if len(starts):
                 base[starts[0] :] = np.repeat(starts, np.diff(np.append(starts, n)))
             count = int(index[-1] - base[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index - base)], [*batch.schema.names, place])
+            more = []
+            if amount:
+                own = batch[amount].to_numpy(zero_copy_only=False)
+                upto = np.concatenate(([0], np.cumsum(own)))
+                begins = np.where(base < 0, -past, upto[np.maximum(base, 0)])  # below 0: the group began before this batch
+                more = [pa.array(upto[:-1] - begins)]
+                past = int(upto[-1] - begins[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index - base), *more], [*batch.schema.names, place, *["before"] * len(more)])
 
-    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField(place, T.LongType())]))
+    added = [T.StructField(place, T.LongType()), *[T.StructField("before", T.LongType())] * bool(amount)]
+    return rows.mapInArrow(number, T.StructType([*rows.schema.fields, *added]))

@@ -30,7 +30,7 @@ def warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.expr("substring(html, 1, length(html) div 2)")
     html = F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 211 == 7, cut).otherwise(F.col("html"))
     replica = pages.where(F.col("page_id") % 503 != 3).withColumn("html", html)
-    return warc.audit(warc.records(pages), warc.records(replica)).drop("leaf")
+    return warc.audit(warc.records(pages), warc.records(replica))
 
 
 def ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """WARC records and a Merkle fixity audit of replicas.
 
-Records have a place (archive, ordinal) in the manifest of the first replica. A
-leaf is a record's digest with its place and length; a node hashes up to sixteen
-children in offset order, with the range of offsets they cover, up to one root for
-the whole collection. Each level of either tree is hashed once and kept. Two
-replicas are compared at the root, and on the next level only the children of nodes
-that differ are read, down to the damaged records.
+A replica's records are in order of archive and record id. Each replica hashes its own
+manifest into a tree: a leaf is a record id of an archive with the lengths and digests
+of its records, a node the range of up to sixteen neighbouring ids, or nodes, with the
+number of records and bytes it covers. Ranges are cut by the ids, not by counting, so a
+lost record changes the nodes above it and no other, and both replicas cut alike
+without knowing of each other. Where a record lies (its ordinal and byte offset in the
+archive) is the sum of what lies before it on each level.
+
+Two replicas are compared at the root, and on the next level only the children of nodes
+that differ are read, down to the ids that differ. Only records of these are looked at
+one by one.
 """
 
 from __future__ import annotations
@@ -14,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint, small
+from clipgrain.llm.common import checkpoint, scratch, small, written
+from clipgrain.llm.numbering import ranked
 
 FAN_OUT = 16
-#: Records of one archive at most.
+#: Four times as many ids as ``records`` puts into one archive.
 ARCHIVE_RECORDS = 16**3
 
 
@@ -40,86 +46,82 @@ def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pay
     return pages.select(archive.alias("archive"), key.alias("record_id"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
 
 
-def numbered(df: DataFrame, order: list[str], levels: dict[str, int] | None = None, place: str = "leaf") -> DataFrame:
-    """Adds ``place``, the row's number from 0 in ``order``; each level numbers, from 0, the rows that agree in so many first columns of it.
+#: Bits of an id that a level's nodes take together.
+_BITS = FAN_OUT.bit_length() - 1
 
-    Rows are sorted by ranges and numbered range by range, behind the counts of the
-    ranges before. Rows equal in all of ``order`` are spread, so no key is bound to one task.
-    """
-    levels = levels or {}
-    sort = [*order, "_any"]
-    rows = checkpoint(df.withColumn("_any", F.rand(7)).repartitionByRange(*sort).withColumn("_range", F.spark_partition_id()))
-    keys = {c: F.struct(*order[:n]) for c, n in levels.items()}
-    ends = [x for c, k in keys.items() for x in (F.min(k).alias(f"{c}_low"), F.max(k).alias(f"{c}_high"))]
-    found = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), *ends)
-    # How many rows of a range belong to its last group, and how many rows of its first group lie in ranges before.
-    for c, k in keys.items():
-        last = rows.join(F.broadcast(found.select("_range", f"{c}_high")), "_range").where(k.eqNullSafe(F.col(f"{c}_high"))).groupBy("_range").agg(F.count(F.lit(1)).alias(f"{c}_n"))
-        found = found.join(last, "_range")
-    before, sums, carried, total = [], dict.fromkeys(keys, 0), dict.fromkeys(keys), 0
-    for r in sorted(found.collect(), key=lambda r: r["_range"]):
-        row = [r["_range"], total]
-        for c in keys:
-            row.append(sums[c] if carried[c] == r[f"{c}_low"] else 0)
-            whole = r[f"{c}_low"] == r[f"{c}_high"]
-            sums[c], carried[c] = r[f"{c}_n"] + (row[-1] if whole else 0), r[f"{c}_high"]
-        total += r["n"]
-        before.append(row)
-    ranges = df.sparkSession.createDataFrame(before, ", ".join(["_range int", "_before long", *[f"_{c} long" for c in keys]]))
-    low = found.select("_range", *[f"{c}_low" for c in keys])
-    within = Window.partitionBy("_range")
-    rows = rows.withColumn(place, F.row_number().over(within.orderBy(*sort)) - 1)
-    for c, n in levels.items():
-        rows = rows.withColumn(c, F.row_number().over(Window.partitionBy("_range", *order[:n]).orderBy(*sort[n:])) - 1)
-    rows = rows.join(F.broadcast(ranges), "_range")
-    if keys:
-        rows = rows.join(F.broadcast(low), "_range")
-    first = {c: F.col(c) + F.when(k.eqNullSafe(F.col(f"{c}_low")), F.col(f"_{c}")).otherwise(0) for c, k in keys.items()}
-    return rows.withColumns({place: F.col(place) + F.col("_before"), **first}).select(*df.columns, place, *keys)
-
-
-def _split(placed: DataFrame) -> DataFrame:
-    """Cuts archives of more than ARCHIVE_RECORDS records; what is cut off gets numbers behind the last archive."""
-    placed = checkpoint(placed.withColumn("_part", F.floor(F.col("ordinal") / ARCHIVE_RECORDS)))
-    last = placed.agg(F.max("bucket")).first()[0] or 0
-    parts = numbered(placed.where("_part > 0").select("bucket", "_part").distinct(), ["bucket", "_part"], place="_nth")
-    numbers = checkpoint(parts.select("bucket", "_part", (F.col("_nth") + last + 1).alias("archive")))
-    rows = placed.drop("archive").join(small(numbers), ["bucket", "_part"], "left")
-    rows = rows.withColumns({"archive": F.coalesce("archive", "bucket"), "ordinal": (F.col("ordinal") % ARCHIVE_RECORDS).cast("int")})
-    before = Window.partitionBy("archive").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("offset", F.sum("length").over(before) - F.col("length")).drop("_part")
-
-
-def manifest(first: DataFrame) -> DataFrame:
-    """Adds ``ordinal`` and ``offset`` in record_id order within each archive, and the leaf number ``leaf``.
-
-    Leaves are numbered through all archives without gaps. ``bucket`` is the archive
-    as given: one of more than ARCHIVE_RECORDS records is split into several. ``copy``
-    numbers equal records.
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    """``side, archive, at, n, bytes, h``: the ids of each replica.
+
+    The hash of an id covers its number of records and the sums of their digests' parts, each
+    record's digest made with its length: equal for equal records in any order, and summed
+    within tasks first, so an id of very many records is no large group.
     """
-    placed = numbered(first.withColumn("bucket", F.col("archive")), ["bucket", "record_id", "digest"], {"ordinal": 1, "copy": 3})
-    return _split(placed)
+    own = F.sha2(F.concat_ws(":", F.col("length").cast("string"), F.hex("digest")), 256)
+    parts = [F.sum(F.conv(F.substring(own, 8 * i + 1, 8), 16, 10).cast("long")).alias(f"s{i}") for i in range(8)]
+    sums = rows.groupBy("side", "archive", F.col("record_id").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"), *parts)
+    return sums.select("side", "archive", "at", "n", "bytes", F.unhex(F.sha2(F.concat_ws(":", "at", "n", "bytes", *[f"s{i}" for i in range(8)]), 256)).alias("h"))
 
 
-def _parents(level: DataFrame) -> DataFrame:
-    """Nodes over up to FAN_OUT children each: the digest of all they hold, in order, and the range of offsets they cover."""
-    children = F.array_sort(F.collect_list(F.struct("leaf", "low", "high", "digest")))
-    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["leaf"].cast("string"), F.coalesce(c["low"].cast("string"), F.lit("-")), F.coalesce(c["high"].cast("string"), F.lit("-")), F.hex(c["digest"]))), ",")
-    return level.groupBy(F.floor(F.col("leaf") / FAN_OUT).alias("leaf")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(F.sha2(text, 256)).alias("digest"))
+def _parents(level: DataFrame, keys: list[str], up: Column | None) -> DataFrame:
+    """Nodes over the nodes of a level that agree in ``side``, ``keys`` and ``up``: what they cover, and the digest of all, in order."""
+    children = F.array_sort(F.collect_list(F.struct("at", "n", "bytes", "h")))
+    text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["at"].cast("string"), c["n"].cast("string"), c["bytes"].cast("string"), F.hex(c["h"]))), ",")
+    of = [] if up is None else [up.alias("up")]
+    nodes = level.groupBy("side", *keys, *of).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.unhex(F.sha2(text, 256)).alias("h"))
+    return nodes.withColumn("at", F.lit(0).cast("long") if up is None else F.col("up")).select("side", *keys, "at", "n", "bytes", "h")
 
 
-def tree(records: DataFrame, height: int) -> list[DataFrame]:
-    """Kept levels of (leaf, low, high, digest) from the leaves up; the last has one root."""
-    end = F.col("offset") + F.col("length")
-    levels = [records.select("leaf", F.col("offset").alias("low"), end.alias("high"), F.unhex("digest").alias("digest"))]
-    for _ in range(height):
-        levels.append(checkpoint(_parents(levels[-1])))
-    return levels
+def _up(at: str = "at") -> Column:
+    return F.shiftright(at, _BITS)
 
 
-def _children(level: DataFrame, differ: DataFrame) -> DataFrame:
-    """The nodes of a level below nodes that differ."""
-    return level.withColumn("up", F.floor(F.col("leaf") / FAN_OUT)).join(small(differ), "up", "left_semi").drop("up")
+def tree(rows: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Kept levels of both replicas' trees over ``side, archive, record_id, length, digest``, from the nodes above single ids on.
+
+    First those within archives (``side, archive, at``), up to one node an archive, then
+    those over archives (``side, at``), up to one root a replica. Levels end when no
+    parent would have more than FAN_OUT children.
+    """
+    inner = [checkpoint(_parents(_leaves(rows), ["archive"], _up()))]
+    while (inner[-1].groupBy("side", "archive").count().agg(F.max("count")).first()[0] or 0) > FAN_OUT:
+        inner.append(checkpoint(_parents(inner[-1], ["archive"], _up())))
+    inner.append(checkpoint(_parents(inner[-1], ["archive"], None)))
+    outer = [inner[-1].select("side", F.col("archive").alias("at"), "n", "bytes", "h")]
+    while (outer[-1].groupBy("side").count().agg(F.max("count")).first()[0] or 0) > FAN_OUT:
+        outer.append(checkpoint(_parents(outer[-1], [], _up())))
+    return inner, [*outer[1:], checkpoint(_parents(outer[-1], [], None))]
+
+
+def _children(level: DataFrame, differ: DataFrame, keys: list[str], up: Column) -> DataFrame:
+    """The nodes of a level below nodes that differ (``keys, up``, and ``records, offset``: what lies before these in the first replica's archive)."""
+    return level.withColumn("up", up).join(small(differ), [*keys, "up"])
+
+
+def _differing(children: DataFrame, keys: list[str]) -> DataFrame:
+    """The children whose hashes differ, or that one replica lacks, as ``keys, up, records, offset`` for the next level. Kept."""
+    before = Window.partitionBy("side", *keys, "up").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # up to FAN_OUT rows
+    placed = children.withColumns({c: F.col(c) + F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in (("records", "n"), ("offset", "bytes"))})
+    own = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    met = placed.groupBy(*keys, "at").agg(own(0, "h").alias("h0"), own(1, "h").alias("h1"), own(0, "records").alias("records"), own(0, "offset").alias("offset"))
+    return checkpoint(met.where(~F.col("h0").eqNullSafe(F.col("h1"))).select(*keys, F.col("at").alias("up"), F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("offset", F.lit(0)).alias("offset")))
+
+
+def descend(rows: DataFrame) -> DataFrame:
+    """``archive, record_id, records, offset`` of the ids whose records differ, with what lies before them in the first replica's archive. Kept."""
+    inner, outer = tree(rows)
+    none = {"records": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}
+    roots = outer[-1].select("side", F.lit(0).cast("long").alias("up"), "at", "n", "bytes", "h").withColumns(none)
+    differ = _differing(roots, [])
+    for level in [*reversed(outer[:-1]), inner[-1].select("side", F.col("archive").alias("at"), "n", "bytes", "h")]:
+        top = level is outer[-2] if len(outer) > 1 else True
+        differ = _differing(_children(level, differ, [], F.lit(0).cast("long") if top else _up()), []).withColumns(none)
+    differ = differ.withColumns({"archive": F.col("up"), "up": F.lit(0).cast("long")})
+    for k, level in enumerate(reversed(inner[:-1])):
+        differ = _differing(_children(level, differ, ["archive"], F.lit(0).cast("long") if not k else _up()), ["archive"])
+    below = rows.withColumn("up", _up("record_id")).join(small(differ.select("archive", "up")), ["archive", "up"], "left_semi").drop("up")
+    found = _differing(_children(_leaves(below), differ, ["archive"], _up()), ["archive"])
+    return checkpoint(found.withColumnRenamed("up", "record_id"))
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -127,43 +129,32 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
     Returns one row per damaged record: ``archive, ordinal, offset, length`` (where it
     should be), ``record_id, kind`` (``payload``: other bytes of the same length,
-    ``length``: other length, ``missing``, ``extra``), ``digest_first, digest_second,
-    leaf``. Defined cases: ids may be negative, or null (record -1 of archive 0);
-    repeated records of one id (or of none) first meet their equals, and what is left
-    is paired in order of digest; extra records have no place and come after the
-    manifest's last leaf; a payload of any length is hashed whole, a null one as empty;
-    equal replicas, and empty ones, give no rows; other columns are ignored.
+    ``length``: other length, ``missing``, ``extra``), ``digest_first, digest_second``.
+    Defined cases: ids may be negative, or null (record -1 of archive 0); records of an
+    archive lie in order of id and digest; repeated records of one id (or of none) first
+    meet their equals, and what is left is paired in order of digest; extra records have
+    no place; a payload of any length is hashed whole, a null one as empty; archives may
+    be of any size; equal replicas, and empty ones, give no rows; other columns are ignored.
     """
-    key = ["bucket", "record_id"]
-    first, second = (x.select("archive", "record_id", "length", "digest") for x in (first, second))
-    one = checkpoint(manifest(first))
-    two = numbered(second.withColumnRenamed("archive", "bucket"), [*key, "digest"], {"copy": 3}, "at").drop("at")
-    two = checkpoint(two.join(one.select(*key, "digest", "copy", "leaf", "offset"), [*key, "digest", "copy"], "left"))
-    alone = one.join(two.where("leaf is not null").select("leaf"), "leaf", "left_anti").select(*key, "digest", "leaf", "offset")
-    alone = numbered(alone, [*key, "digest"], {"twin": 2}, "at").select(*key, "twin", "leaf", "offset")
-    other = numbered(two.where("leaf is null").drop("leaf", "offset"), [*key, "digest"], {"twin": 2}, "at").drop("at")
-    other = checkpoint(other.join(alone, [*key, "twin"], "left").drop("twin"))
-    # Records beyond the manifest are numbered behind its last leaf.
-    extra = numbered(other.where("leaf is null").drop("leaf"), [*key, "digest"]).withColumn("leaf", F.col("leaf") + one.count())
-    two = checkpoint(two.where("leaf is not null").unionByName(other.where("leaf is not null")).unionByName(extra))
-    last = one.select("leaf").union(two.select("leaf")).agg(F.max("leaf")).first()[0] or 0
-    height = 1
-    while FAN_OUT**height <= last:
-        height += 1
-    trees, differ = (tree(one, height), tree(two, height)), None
-    for a, b in zip(*map(reversed, trees), strict=True):
-        if differ is not None:  # only branches below a difference
-            a, b = _children(a, differ), _children(b, differ)
-        both = a.select("leaf", F.col("digest").alias("digest_first")).join(b.select("leaf", F.col("digest").alias("digest_second")), "leaf", "full_outer")
-        found = checkpoint(both.where(~F.col("digest_first").eqNullSafe(F.col("digest_second"))))
-        differ = found.select(F.col("leaf").alias("up"))
-    found = small(found)
-    located = one.select("archive", "ordinal", "offset", "length", "record_id", "leaf").join(found, "leaf", "right")
-    lengths = two.select("leaf", F.col("length").alias("length_second"), F.col("record_id").alias("id_second"), F.col("bucket").alias("bucket_second")).join(found.select("leaf"), "leaf", "left_semi")
-    located = located.join(lengths, "leaf", "left")
-    kind = F.when(F.col("digest_second").isNull(), "missing").when(F.col("digest_first").isNull(), "extra").when(F.col("length") == F.col("length_second"), "payload").otherwise("length")
-    digests = [F.lower(F.hex(c)).alias(c) for c in ("digest_first", "digest_second")]
-    return located.select(F.coalesce("archive", "bucket_second").alias("archive"), "ordinal", "offset", "length", F.coalesce("record_id", "id_second").alias("record_id"), kind.alias("kind"), *digests, "leaf")
+    side = lambda df, k: df.select(F.lit(k).alias("side"), "archive", "record_id", "length", F.unhex("digest").alias("digest"))
+    with written(side(first, 0).unionByName(side(second, 1))) as rows:
+        key = ["archive", "record_id"]
+        with scratch() as keep:
+            differ = keep(descend(rows))
+        mine = checkpoint(rows.join(small(differ).select(*key), key, "left_semi"))
+    same = [*key, "length", "digest"]
+    placed = ranked(mine.where("side = 0").drop("side"), key, ["digest", "length"], "nth", "length")
+    # Of equal records those with the highest places are left without a partner.
+    counts = mine.groupBy(*same).agg(F.count_if(F.col("side") == 0).alias("one"), F.count_if(F.col("side") == 1).alias("two"))
+    odd = checkpoint(counts.where("one <> two"))
+    starts = checkpoint(placed.join(small(odd.where("one > two")), same).groupBy(*same).agg(F.min("nth").alias("begins"), F.first("two").alias("two")))
+    left = placed.join(small(starts), same).where(F.col("nth") - F.col("begins") >= F.col("two")).join(small(differ), key)
+    left = checkpoint(left.select(*key, (F.col("records") + F.col("nth")).alias("ordinal"), (F.col("offset") + F.col("before")).alias("offset"), "length", F.col("digest").alias("d1")))
+    other = checkpoint(odd.where("two > one").select(*key, F.col("length").alias("length2"), F.col("digest").alias("d2"), F.explode(F.expr("sequence(1, two - one)")).alias("copy")).drop("copy"))
+    left, other = ranked(left, key, ["ordinal"], "twin"), ranked(other, key, ["d2"], "twin")
+    met = left.join(other, [*key, "twin"], "full_outer")
+    kind = F.when(F.col("d2").isNull(), "missing").when(F.col("d1").isNull(), "extra").when(F.col("length") == F.col("length2"), "payload").otherwise("length")
+    return met.select("archive", F.col("ordinal").cast("int").alias("ordinal"), "offset", "length", "record_id", kind.alias("kind"), *[F.lower(F.hex(c)).alias(n) for c, n in (("d1", "digest_first"), ("d2", "digest_second"))])
 
 
 def parse_warc(content: bytes) -> list[tuple[str, str, int, bytes]]:
