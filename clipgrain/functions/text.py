@@ -33,8 +33,22 @@ def number_or_null(column: Column) -> Column:
     return column.try_cast("double")
 
 
+def for_two_places(x: Column) -> Column:
+    """``x`` so that ``%.2f`` rounds its exact binary value, and true ties to even; Java rounds the shortest decimal up.
+
+    What may be a tie lies within a few ulp of an odd multiple of 1/200; the product's
+    error, by splitting ``x`` into halves, tells on which side ``x`` lies.
+    """
+    size = F.abs(x)
+    product, high = size * 200.0, size * 134217729.0 - (size * 134217729.0 - size)
+    nearest = F.rint(product)
+    beyond = (product - nearest) + ((high * 200.0 - product) + (size - high) * 200.0)
+    down = (nearest % 2.0 == 1.0) & (F.abs(product - nearest) <= product * 1e-15) & ((beyond < 0) | ((beyond == 0) & (F.floor(nearest / 2.0) % 2 == 0)))
+    return F.when(down & (size < 1e12), x - F.signum(x) * 1e-3).otherwise(x)
+
+
 def two_places(column: Column) -> Column:
-    return F.when(finite(column).isNotNull(), F.format_string("%.2f", column)).otherwise("n/a")
+    return F.when(finite(column).isNotNull(), F.format_string("%.2f", for_two_places(column))).otherwise("n/a")
 
 
 def symbols(values: Iterable[str]) -> Column:

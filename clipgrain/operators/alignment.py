@@ -59,8 +59,13 @@ def span_means(frames: DataFrame, spans: DataFrame) -> DataFrame:
     """
     at = spans.withColumn("frame_idx", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)))
     rows = at.join(frames.select("clip_id", "frame_idx", "log_probs"), ["clip_id", "frame_idx"])
-    gathered = rows.groupBy(*spans.columns).agg(_in_order().alias("rows"))
-    return gathered.select(*spans.columns, _mean_of(F.col("rows")).alias("mean"))
+    return gathered_spans(rows, spans.columns)
+
+
+def gathered_spans(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """``keys``, ``more`` aggregates and the ``mean`` of frames (``keys, frame_idx, log_probs``) that are at hand with their spans."""
+    gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("log_probs").isNotNull(), F.struct("frame_idx", "log_probs")))).alias("rows"), *more).where(F.size("rows") > 0)
+    return gathered.withColumn("mean", _mean_of(F.col("rows"))).drop("rows")
 
 
 def _in_order() -> Column:
@@ -87,9 +92,12 @@ def phoneme_summary(positions: DataFrame, by: str = "target") -> DataFrame:
     """Expected, produced, near-missed and absent counts of each target, and the strength of its evidence."""
     count = lambda kind: F.count_if(F.col("match") == kind)
     rows = positions.groupBy("clip_id", by).agg(F.count(F.lit(1)).alias("expected"), count("produced").alias("produced"), count("near_miss").alias("near_miss"), count("absent").alias("absent"))
-    floor = lambda ratio: F.ceil(F.col("expected") * ratio)
-    strength = F.when(F.col("produced") >= floor(R.STRONG_RATIO), "strong").when(F.col("produced") + F.col("near_miss") >= floor(R.MODERATE_RATIO), "moderate").otherwise("weak")
-    return rows.withColumn("evidence_strength", strength)
+    return rows.withColumn("evidence_strength", strength(F.col("expected"), F.col("produced"), F.col("near_miss")))
+
+
+def strength(expected: Column, produced: Column, near: Column) -> Column:
+    floor = lambda ratio: F.ceil(expected * ratio)
+    return F.when(produced >= floor(R.STRONG_RATIO), "strong").when(produced + near >= floor(R.MODERATE_RATIO), "moderate").otherwise("weak")
 
 
 def quality_of(mean: Column) -> Column:
@@ -101,6 +109,22 @@ def alignment_quality(positions: DataFrame) -> DataFrame:
     return positions.groupBy("clip_id").agg(F.avg("avg_log_prob").alias("mean_log_prob")).withColumn("alignment_quality", quality_of(F.col("mean_log_prob")))
 
 
+def aligned_block(positions: DataFrame) -> DataFrame:
+    """``clip_id, alignment_quality, mean_log_prob, positions, summary`` from classified spans: one row a clip.
+
+    ``summary`` counts each target as ``phoneme_summary`` does, over the clip's own positions.
+    """
+    order = F.array_sort(F.collect_list(F.struct("span", "target", "avg_log_prob", "top1", "top3", "match")))
+    rows = positions.groupBy("clip_id").agg(F.avg("avg_log_prob").alias("mean_log_prob"), order.alias("positions"))
+
+    def summed(t: Column) -> Column:
+        count = lambda kind: F.size(F.filter("positions", lambda p: (p["target"] == t) & ((p["match"] == kind) if kind else F.lit(True))))
+        return F.struct(t.alias("target"), count(None).alias("expected"), count("produced").alias("produced"), count("near_miss").alias("near_miss"), count("absent").alias("absent"), strength(count(None), count("produced"), count("near_miss")).alias("evidence_strength"))
+
+    summary = F.transform(F.array_distinct(F.transform("positions", lambda p: p["target"])), summed)
+    return rows.select("clip_id", quality_of(F.col("mean_log_prob")).alias("alignment_quality"), "mean_log_prob", "positions", summary.alias("summary"))
+
+
 def aligned_paths(frames: DataFrame, tokens: DataFrame, blank: int = 0) -> DataFrame:
     """``clip_id, frame_idx, token, log_probs, duration_s`` of the best path; clips whose targets don't fit give no rows.
 

@@ -20,6 +20,11 @@ def bucket_of(emotion: Column, intensity: Column) -> Column:
     return lookup({f"{e}-{i}": name for e, i, name in R.BUCKETS}, F.concat_ws("-", emotion, intensity))
 
 
+def spoken_as(emotion: Column, intensity: Column) -> Column:
+    """What a clip's codes stand for, as ``strong happy``; null where either is unknown."""
+    return F.concat(lookup(R.INTENSITIES, intensity), F.lit(" "), lookup(R.EMOTIONS, emotion))
+
+
 def gender_of(actor: Column) -> Column:
     return F.when(actor.cast("long") % 2 != 0, "male").otherwise("female")
 

@@ -100,16 +100,32 @@ def all_profiles(inventory: DataFrame) -> DataFrame:
     return language_match(inventory.withColumn("claimed_language", F.explode(names)))
 
 
-def stretch_scores(inventory: DataFrame, expected: str = "expected_language") -> DataFrame:
-    """One row per clip and probe of its expected language; none where there is no probe set."""
+def _probe_sets() -> Column:
+    """language -> its probes, as one literal map."""
     asked: dict[str, list] = {}
     for i, p in R.by_language(R.PROBES):
         probe = F.struct(F.lit(i).alias("ord"), F.lit(p.label).alias("label"), F.lit(p.ipa).alias("ipa"), F.lit(p.expected).alias("expected_count"), symbols(list(p.accepted)).alias("accept"), symbols(list(p.approximate)).alias("approximate"))
         asked.setdefault(p.language, []).append(probe)
-    sets = F.create_map(*[x for language, probes in asked.items() for x in (F.lit(language), F.array(*probes))])
-    key = F.when(F.col(expected) != "", lookup(R.PROBE_ALIASES, F.lower(strip(F.col(expected)))))
-    rows = inventory.withColumn("probe_set", key).withColumn("p", F.explode(F.try_element_at(sets, F.col("probe_set"))))
-    n, near = count_of(F.col("counts"), F.col("p.accept")), count_of(F.col("counts"), F.col("p.approximate"))
-    rows = rows.withColumn("count", n).withColumn("approximate_count", near)
-    state = F.when(F.col("count") >= F.col("p.expected_count"), "hit").when((F.col("count") >= 1) | (F.col("approximate_count") >= 1), "approximate").otherwise("missed")
-    return rows.select("clip_id", "probe_set", "p.ord", "p.label", "p.ipa", "p.expected_count", "count", "approximate_count", state.alias("status"))
+    return F.create_map(*[x for language, probes in asked.items() for x in (F.lit(language), F.array(*probes))])
+
+
+def probe_set(expected: Column) -> Column:
+    """The probe set that a language hint names, or null."""
+    return F.when(expected != "", lookup(R.PROBE_ALIASES, F.lower(strip(expected))))
+
+
+def stretch_probes(counts: Column, key: Column) -> Column:
+    """``array<ord, label, ipa, expected_count, count, approximate_count, status>`` of a probe set over a clip's counts; null without a set."""
+
+    def judged(p: Column) -> Column:
+        n, near = count_of(counts, p["accept"]), count_of(counts, p["approximate"])
+        state = F.when(n >= p["expected_count"], "hit").when((n >= 1) | (near >= 1), "approximate").otherwise("missed")
+        return F.struct(*[p[c].alias(c) for c in ("ord", "label", "ipa", "expected_count")], n.alias("count"), near.alias("approximate_count"), state.alias("status"))
+
+    return F.transform(F.try_element_at(_probe_sets(), key), judged)
+
+
+def stretch_scores(inventory: DataFrame, expected: str = "expected_language") -> DataFrame:
+    """One row per clip and probe of its expected language; none where there is no probe set."""
+    rows = inventory.withColumn("probe_set", probe_set(F.col(expected)))
+    return rows.select("clip_id", "probe_set", F.inline(stretch_probes(F.col("counts"), F.col("probe_set"))))

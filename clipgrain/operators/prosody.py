@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.functions.text import finite
+from clipgrain.functions.text import finite, held
+
+
+def f0_aggregates(f0: Column, prefix: str = "") -> list[Column]:
+    """What ``f0_fields`` needs of a group's frames (0, null and what is not finite are unvoiced)."""
+    voiced = F.when(finite(f0) > 0, f0)
+    st = F.lit(12.0) * F.log2(voiced / 100.0)
+    found = {"voiced": F.count(voiced), "mean_hz": F.avg(voiced), "min_hz": F.min(voiced), "max_hz": F.max(voiced), "std_hz": F.stddev_pop(voiced), "std_semitones": F.stddev_pop(st), "p": F.percentile(st, [0.1, 0.9])}
+    return [c.alias(prefix + name) for name, c in found.items()]
+
+
+def f0_fields(prefix: str = "") -> list[Column]:
+    """Level and spread in Hz and semitones; null with fewer than five voiced frames."""
+    enough = lambda c: F.when(F.col(f"{prefix}voiced") >= 5, c)
+    spread = F.col(f"{prefix}p")
+    return [*[enough(F.col(prefix + c)).alias(c) for c in ("mean_hz", "min_hz", "max_hz", "std_hz", "std_semitones")], enough(spread[1] - spread[0]).alias("range_semitones_p10_p90")]
 
 
 def f0_stats(pitch: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
@@ -13,20 +28,8 @@ def f0_stats(pitch: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFram
 
     With fewer than five voiced frames all but that share are null.
     """
-    voiced = F.when(finite(F.col("f0_hz")) > 0, F.col("f0_hz"))
-    rows = pitch.select(*keys, voiced.alias("v"), (F.lit(12.0) * F.log2(voiced / 100.0)).alias("st"))
-    agg = rows.groupBy(*keys).agg(
-        F.count("v").alias("voiced"),
-        F.avg("v").alias("mean_hz"),
-        F.min("v").alias("min_hz"),
-        F.max("v").alias("max_hz"),
-        F.stddev_pop("v").alias("std_hz"),
-        F.stddev_pop("st").alias("std_semitones"),
-        F.percentile("st", [0.1, 0.9]).alias("p"),
-        F.avg(F.col("v").isNotNull().cast("double")).alias("voiced_fraction"),
-    )
-    enough = lambda c: F.when(F.col("voiced") >= 5, c)
-    return agg.select(*keys, *[enough(F.col(c)).alias(c) for c in ("mean_hz", "min_hz", "max_hz", "std_hz", "std_semitones")], enough(F.col("p")[1] - F.col("p")[0]).alias("range_semitones_p10_p90"), F.coalesce("voiced_fraction", F.lit(0.0)).alias("voiced_fraction"))
+    agg = pitch.groupBy(*keys).agg(*f0_aggregates(F.col("f0_hz")), F.count(F.lit(1)).alias("frames"))
+    return agg.select(*keys, *f0_fields(), (F.col("voiced") / F.col("frames")).alias("voiced_fraction"))
 
 
 def f0_range(pitch: DataFrame, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
@@ -72,28 +75,40 @@ def syllable_peaks(intensity: DataFrame) -> DataFrame:
     return rows.where("db > before and db > after and db > mean_db - 5").select("clip_id", "idx", "db")
 
 
-def syllable_rate(intensity: DataFrame, durations: DataFrame | None = None, min_dip: float = 2.0, step: float = 0.01) -> DataFrame:
-    """``clip_id, peaks, accepted, rate_hz``: a peak counts if the level fell by ``min_dip`` since the last counted one.
+def syllables(levels: Column, seconds: Column, min_dip: float = 2.0) -> Column:
+    """``struct<peaks, accepted, rate_hz>`` of a clip's levels in order: a peak counts if the level fell by ``min_dip`` since the last counted one.
 
-    What is compared is the last counted peak, so this is a fold over the clip's
-    frames in order. Fewer than ten frames give a null rate, no peaks give 0.
+    What is compared is the last counted peak, so this is a fold over the frames in order.
+    Fewer than ten frames give a null rate, no peaks give 0.
     """
-    frames = F.array_sort(F.collect_list(F.struct("idx", "db")))
-    rows = intensity.groupBy("clip_id").agg(frames.alias("f"), F.avg("db").alias("mean_db"), F.count(F.lit(1)).alias("n"))
-    level = lambda i: F.element_at("f", i)["db"]
-    inner = F.when(F.col("n") > 2, F.sequence(F.lit(2), (F.col("n") - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    peak = lambda i: (level(i) > F.col("mean_db") - 5) & (level(i) > level(i - 1)) & (level(i) > level(i + 1))
-    rows = rows.withColumn("peaks", F.filter(inner, peak))
-    start = F.struct(F.lit(0).alias("accepted"), F.lit(0.0).cast("double").alias("last"), F.lit(float("inf")).alias("low"))
-
-    def step_over(acc, i):
-        here, is_peak = level(i), F.coalesce(peak(i), F.lit(False))
-        counts = is_peak & ((acc["accepted"] == 0) | (acc["last"] - acc["low"] >= min_dip))
-        return F.struct((acc["accepted"] + counts.cast("int")).alias("accepted"), F.when(counts, here).otherwise(acc["last"]).alias("last"), F.when(counts, here).otherwise(F.least(acc["low"], here)).alias("low"))
-
-    rows = rows.withColumn("fold", F.aggregate(inner, start, step_over))
+
+    def over(v: Column, mean: Column) -> Column:
+        n, level = F.size(v), lambda i: F.element_at(v, i)
+        inner = F.when(n > 2, F.sequence(F.lit(2), n - 1)).otherwise(F.array().cast("array<int>"))
+        peak = lambda i: F.coalesce((level(i) > mean - 5) & (level(i) > level(i - 1)) & (level(i) > level(i + 1)), F.lit(False))
+        start = F.struct(F.lit(0).alias("peaks"), F.lit(0).alias("accepted"), F.lit(0.0).cast("double").alias("last"), F.lit(float("inf")).alias("low"))
+
+        def step(acc, i):
+            counts = peak(i) & ((acc["accepted"] == 0) | (acc["last"] - acc["low"] >= min_dip))
+            low = F.when(counts, level(i)).otherwise(F.least(acc["low"], level(i)))
+            return F.struct((acc["peaks"] + peak(i).cast("int")).alias("peaks"), (acc["accepted"] + counts.cast("int")).alias("accepted"), F.when(counts, level(i)).otherwise(acc["last"]).alias("last"), low.alias("low"))
+
+        rate = lambda f: F.when((n >= 10) & (seconds > 0), F.when(f["peaks"] == 0, F.lit(0.0)).otherwise(f["accepted"] / seconds))
+        return held(F.aggregate(inner, start, step), lambda f: F.struct(f["peaks"].alias("peaks"), f["accepted"].alias("accepted"), rate(f).alias("rate_hz")))
+
+    mean = lambda v: F.try_divide(F.aggregate(v, F.lit(0.0).cast("double"), lambda acc, x: acc + x), F.size(v))
+    return held(levels, lambda v: held(mean(v), lambda m: over(v, m)))
+
+
+def levels_in_order(idx: str = "idx", db: str = "db") -> Column:
+    """A group's levels as an array, by frame."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(idx, db))), lambda f: f[db])
+
+
+def syllable_rate(intensity: DataFrame, durations: DataFrame | None = None, min_dip: float = 2.0, step: float = 0.01) -> DataFrame:
+    """``clip_id, peaks, accepted, rate_hz`` of ``clip_id, idx, db`` frames, see ``syllables``; a clip lasts ``step`` seconds a frame unless ``durations`` says otherwise."""
+    rows = intensity.groupBy("clip_id").agg(levels_in_order().alias("levels"))
     if durations is not None:
         rows = rows.join(durations, "clip_id")
-    seconds = F.col("duration_s") if durations is not None else F.col("n") * step
-    rate = F.when((F.col("n") >= 10) & (seconds > 0), F.when(F.size("peaks") == 0, F.lit(0.0)).otherwise(F.col("fold.accepted") / seconds))
-    return rows.select("clip_id", F.size("peaks").alias("peaks"), F.col("fold.accepted").alias("accepted"), rate.alias("rate_hz"))
+    seconds = F.col("duration_s") if durations is not None else F.size("levels") * step
+    return rows.select("clip_id", syllables(F.col("levels"), seconds, min_dip).alias("s")).select("clip_id", "s.*")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipgrain.functions.text import for_two_places
 from clipgrain.operators.decode import runs
-from clipgrain.operators.prosody import f0_stats, syllable_rate
+from clipgrain.operators.prosody import f0_aggregates, f0_fields, syllable_rate
 from clipgrain.sources import reference_data as R
 
 
@@ -75,6 +76,16 @@ def audio_levels(samples: DataFrame, frame: int = 2048, hop: int = 512) -> DataF
     return sample_levels(covered(samples, voiced_intervals(samples, frame, hop)))
 
 
+BASELINE_NOTE = "First 5s of clip used as baseline; values for normalisation only."
+
+
+def baseline_block(source: Column, f0: list[Column], syllable_rate: Column) -> list[Column]:
+    """The fields of a baseline: whose clip, which window, and what it says."""
+    of = {c: f for f, c in zip(f0, ("mean_hz", "min_hz", "max_hz", "std_hz", "std_semitones", "range"), strict=True)}
+    window = [F.lit(0).alias("window_start_ms"), F.lit(int(R.BASELINE_S * 1000)).alias("window_end_ms")]
+    return [source.alias("source_clip"), *window, of["mean_hz"].alias("f0_mean_hz"), of["std_semitones"].alias("f0_std_semitones"), syllable_rate.alias("syllable_rate_hz"), F.lit(BASELINE_NOTE).alias("notes")]
+
+
 def baseline(clips: DataFrame, pitch: DataFrame, intensity: DataFrame, step: float = 0.01) -> DataFrame:
     """What a clip's first five seconds say, for normalisation: one row per clip that lasts so long.
 
@@ -83,11 +94,10 @@ def baseline(clips: DataFrame, pitch: DataFrame, intensity: DataFrame, step: flo
     the clip's own. A measure that the window does not give is null.
     """
     long = clips.where(F.col("duration_s") >= R.BASELINE_S)
-    f0 = f0_stats(pitch.where(F.col("time_us") < int(R.BASELINE_S * 1e6))).select("clip_id", F.col("mean_hz").alias("f0_mean_hz"), F.col("std_semitones").alias("f0_std_semitones"))
-    rate = syllable_rate(intensity.where(F.col("idx") < int(round(R.BASELINE_S / step))), step=step).select("clip_id", F.col("rate_hz").alias("syllable_rate_hz"))
+    f0 = pitch.where(F.col("time_us") < int(R.BASELINE_S * 1e6)).groupBy("clip_id").agg(*f0_aggregates(F.col("f0_hz")))
+    rate = syllable_rate(intensity.where(F.col("idx") < int(round(R.BASELINE_S / step))), step=step).select("clip_id", "rate_hz")
     rows = long.join(f0, "clip_id", "left").join(rate, "clip_id", "left")
-    note = F.lit("First 5s of clip used as baseline; values for normalisation only.")
-    return rows.select("clip_id", "source_clip", F.lit(0).alias("window_start_ms"), F.lit(int(R.BASELINE_S * 1000)).alias("window_end_ms"), "f0_mean_hz", "f0_std_semitones", "syllable_rate_hz", note.alias("notes"))
+    return rows.select("clip_id", *baseline_block(F.col("source_clip"), f0_fields(), F.col("rate_hz")))
 
 
 def notes(duration_s: Column, voiced_fraction: Column, clipping_pct: Column) -> Column:
@@ -96,7 +106,7 @@ def notes(duration_s: Column, voiced_fraction: Column, clipping_pct: Column) ->
         F.array(
             F.when(duration_s < 0.3, "clip is very short (<0.3s); results may be unreliable"),
             F.when(voiced_fraction < 0.05, "very little voiced audio detected; pitch may be unreliable"),
-            F.when(clipping_pct >= R.CLIPPING_NOTE_PCT, F.format_string("Audio significantly affected by clipping (%.2f%%).", clipping_pct)),
+            F.when(clipping_pct >= R.CLIPPING_NOTE_PCT, F.format_string("Audio significantly affected by clipping (%.2f%%).", for_two_places(clipping_pct))),
             F.when(duration_s < R.BASELINE_S, "Clip too short (<5s) for baseline calibration."),
         )
     )

@@ -26,14 +26,15 @@ def measurements(stops: DataFrame, pitch: DataFrame, forward_us: int = R.FORWARD
     near enough; all others, and voiced ones without, the first voiced frame from
     their release on, within bounds. Stops without either have a null vot_ms.
     """
-    events = stops.where(stop_class(F.col("phoneme")).isNotNull())
-    voiced = pitch.where("f0_hz > 0").select("clip_id", F.col("time_us").alias("t"), F.col("time_us").alias("v"), F.lit(None).cast("long").alias("stop_id"), F.lit(0).alias("side"))
-    mark = lambda t, side: events.select("clip_id", F.col(t).alias("t"), F.lit(None).cast("long").alias("v"), "stop_id", F.lit(side).alias("side"))
+    own = F.struct("stop_id", "phoneme", "release_us", stop_class(F.col("phoneme")).alias("aspiration_class"))
+    marks = F.array(F.struct(F.col("release_us").alias("t"), F.lit(1).alias("side")), F.struct(F.col("start_us").alias("t"), F.lit(2).alias("side")))
+    marks = stops.where(stop_class(F.col("phoneme")).isNotNull()).select("clip_id", own.alias("stop"), F.inline(marks))
+    voiced = pitch.where("f0_hz > 0").select("clip_id", F.col("time_us").alias("t"), F.col("time_us").alias("v"))
     w = Window.partitionBy("clip_id").orderBy("t")
-    merged = voiced.unionByName(mark("release_us", 1)).unionByName(mark("start_us", 2))
+    merged = marks.unionByName(voiced, allowMissingColumns=True)
     seen = merged.withColumns({"ahead": F.min("v").over(w.rangeBetween(0, forward_us)), "behind": F.max("v").over(w.rangeBetween(-backward_us, 0))})
-    found = seen.where("side > 0").groupBy("clip_id", "stop_id").agg(F.max(F.when(F.col("side") == 1, F.col("ahead"))).alias("forward_us"), F.max(F.when(F.col("side") == 2, F.col("behind"))).alias("backward_us"))
-    rows = events.join(found, ["clip_id", "stop_id"]).withColumn("aspiration_class", stop_class(F.col("phoneme")))
+    at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    rows = seen.where("side is not null").groupBy("clip_id", "stop").agg(at(1, "ahead").alias("forward_us"), at(2, "behind").alias("backward_us")).select("clip_id", "stop.*", "forward_us", "backward_us")
     after = (F.col("forward_us") - F.col("release_us")) / 1000.0
     vot = F.when((F.col("aspiration_class") == "voiced") & F.col("backward_us").isNotNull(), (F.col("backward_us") - F.col("release_us")) / 1000.0).when(after.between(R.VOT_MIN_MS, max_ms), after)
     return rows.select("clip_id", "stop_id", "phoneme", "release_us", "aspiration_class", "forward_us", "backward_us", vot.alias("vot_ms"))

@@ -6,10 +6,10 @@ nothing about speech.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clipgrain.operators import inventory
+from clipgrain.operators import alignment, inventory
 from clipgrain.operators.decode import log_softmax
 from clipgrain.operators.prosody import f0_stats
 from clipgrain.sources import reference_data as R
@@ -117,7 +117,7 @@ def clip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``clip_id, frame_idx, log_probs, duration_s``: each component of an embedding as the score of a symbol."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
-    logits = F.transform(F.slice("embedding", 1, LOGITS), lambda x: x.cast("double") * SCALE)
+    logits = F.transform("embedding", lambda x: x.cast("double") * SCALE)
     rows = rows.select(F.floor(F.col("vec_id") / FRAMES_PER_CLIP).alias("clip_id"), (F.col("vec_id") % FRAMES_PER_CLIP).cast("int").alias("frame_idx"), log_softmax(logits).alias("log_probs"))
     return rows.withColumn("duration_s", F.lit(FRAMES_PER_CLIP * FRAME_S))
 
@@ -214,3 +214,25 @@ def odd_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def odd_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as decoded tokens, some without a symbol."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.when(F.col("event_id") % 557 != 2, F.col("event_type")).alias("symbol"))
+
+
+def response_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, idx, f0_hz, db, f1, f2, f3, source_clip``: events in turn as frames that carry every track."""
+    of = lambda *kinds: F.when(F.col("event_type").isin(*kinds), F.col("value"))
+    source = F.when(F.col("user_id") % 2 == 0, "diagnostic").otherwise("unspecified")
+    f0 = F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.col("value"))
+    return _events(spark, sf_dir).select(F.col("user_id").alias("clip_id"), "idx", f0.alias("f0_hz"), F.col("value").alias("db"), of("click").alias("f1"), of("view", "click").alias("f2"), of("purchase").alias("f3"), source.alias("source_clip"))
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clip_id, span, target, mean``: spans of five frames with their targets, from one read of the vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    logits = F.transform("embedding", lambda x: x.cast("double") * SCALE)
+    frame = F.col("vec_id") % FRAMES_PER_CLIP
+    rows = rows.select(F.floor(F.col("vec_id") / FRAMES_PER_CLIP).alias("clip_id"), F.floor(frame / 5).cast("int").alias("span"), frame.cast("int").alias("frame_idx"), F.when(F.col("vec_id") % 5 == 0, F.col("label") % (LOGITS - 1) + 1).cast("int").alias("target"), log_softmax(logits).alias("log_probs"))
+    return alignment.gathered_spans(rows, ["clip_id", "span"], F.max("target").alias("target")).where("target is not null")
+
+
+def expected_language(clip: str = "clip_id") -> Column:
+    """The language that a clip was asked to be in: one of a few spellings, of which one is unknown."""
+    return F.element_at(F.array(*map(F.lit, ["arabic", " ZH ", "msa", "klingon"])), (F.col(clip) % 4 + 1).cast("int"))

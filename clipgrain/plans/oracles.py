@@ -12,6 +12,11 @@ def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def pick(table: dict[str, str]) -> str:
+    """A small fixed map, to be indexed."""
+    return "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in table.items()) + "}"
+
+
 def values(rows: list[tuple], names: str) -> str:
     show = lambda v: "NULL" if v is None else text(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
     return f"(VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) {names}"
@@ -209,7 +214,6 @@ def _tokens() -> str:
 
 
 def _descriptions() -> str:
-    pick = lambda table: "MAP {" + ", ".join(f"{text(k)}: {text(v)}" for k, v in table.items()) + "}"
     ipa = "symbol"
     for n in sorted(R.NOTATION, key=lambda n: -len(n.symbol)):
         ipa = f"replace({ipa}, {text(n.symbol)}, {text(n.ipa)})"
@@ -254,8 +258,21 @@ def _forced() -> str:
         CASE WHEN top1 = target AND lp >= {R.PRODUCED_MIN_LOG_PROB} THEN 'produced' WHEN near THEN 'near_miss' ELSE 'absent' END AS match FROM ps"""
 
 
+def _printed(sql: dict[str, str]) -> str:
+    probe = f"printf('      %s  /%s/  %s: count=%d, expected=%d, approximate_seen=%d', {pick(R.STATUS_MARKS)}[status], ipa, label, count, s.expected_count, approximate_count)"
+    ipas = values([(p.language, p.label, p.ipa) for p in R.PROBES], "p(probe_set, label, ipa)")
+    return f"""WITH s AS (SELECT s.*, p.ipa FROM ({sql["stretch_scores"]}) s JOIN (SELECT * FROM {ipas}) p USING (probe_set, label)),
+    g AS (SELECT clip_id, printf('  stretch_phonemes (%s):', max(probe_set)) || chr(10) || string_agg({probe}, chr(10) ORDER BY ord) AS lines FROM s GROUP BY clip_id),
+    t AS (SELECT clip_id, CAST(sum(n) AS BIGINT) AS n FROM ({sql["symbol_counts"]}) GROUP BY ALL)
+    SELECT m.clip_id, concat_ws(chr(10), printf('  phoneme_tokens=%d', t.n), printf('  language_match  %s  verdict=%s  score=%s', {pick(R.VERDICT_MARKS)}[verdict], verdict, coalesce(printf('%.2f', score), 'n/a')),
+        printf('                  positives: %d/%d markers found', positive_hits, positive_total), printf('                  negatives: %d/%d clean', negative_clean, negative_total),
+        CASE WHEN notes <> '' THEN '                  - ' || replace(notes, ' | ', chr(10) || '                  - ') END, g.lines, CASE WHEN m.clip_id % 4 = 3 THEN '  note: no stretch probe set for language=''klingon''' END) AS text
+    FROM ({sql["language_match_claimed"]}) m JOIN ({sql["language_match_notes"]}) n USING (clip_id) JOIN t USING (clip_id) LEFT JOIN g ON g.clip_id = m.clip_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _single()
+    sql["match_summary"] = _printed(sql)
     sql |= {"sql_smooth_counts": sql["smoothed_counts"], "sql_language_match": sql["language_match_claimed"], "symbol_descriptions": _descriptions(), "forced_alignment": _forced()}
     sql["baseline_window"] = _baseline(sql)
     return sql | {"analyze_response": _response(sql)}
@@ -272,19 +289,32 @@ def _baseline(sql: dict[str, str]) -> str:
 
 
 def _response(sql: dict[str, str]) -> str:
-    """The blocks of a response side by side."""
+    """The blocks of a response side by side, each from the query that gives it alone."""
     blocks = {
-        "language_match": ("language_match_claimed", "profile verdict score positive_hits positive_total negative_clean negative_total"),
-        "f0": ("f0_stats", "mean_hz min_hz max_hz std_hz std_semitones range_semitones_p10_p90 voiced_fraction"),
-        "formants": ("formant_means", "f1_mean_hz f2_mean_hz f3_mean_hz"),
-        "syllables": ("syllable_rate", "peaks accepted rate_hz"),
-        "vot": ("vot_class_means", "n_measured aspirated_voiceless_mean_ms plain_voiceless_mean_ms voiced_mean_ms"),
-        "levels": ("snr_rms", "signal_rms noise_rms snr_db snr_note"),
-        "baseline": ("baseline_window", "source_clip window_start_ms window_end_ms f0_mean_hz f0_std_semitones syllable_rate_hz notes"),
+        "language_match": (sql["language_match_claimed"], "profile verdict score positive_hits positive_total negative_clean negative_total"),
+        "f0": (sql["f0_stats"], "mean_hz min_hz max_hz std_hz std_semitones range_semitones_p10_p90 voiced_fraction"),
+        "formants": (sql["formant_means"], "f1_mean_hz f2_mean_hz f3_mean_hz"),
+        "syllables": (sql["syllable_rate"].replace("* 0.01", f"* {A.CLIP_STEP_S}"), "peaks accepted rate_hz"),
+        "vot": (sql["vot_class_means"], "n_measured aspirated_voiceless_mean_ms plain_voiceless_mean_ms voiced_mean_ms"),
+        "quality": (f"SELECT * FROM ({sql['snr_rms']}) JOIN ({sql['clipping_pct']}) USING (clip_id)", "signal_rms noise_rms snr_db snr_note peak clipping_pct"),
+        "baseline": (sql["baseline_window"], "source_clip window_start_ms window_end_ms f0_mean_hz f0_std_semitones syllable_rate_hz notes"),
+        "aligned_phonemes": (sql["alignment_quality"], "alignment_quality mean_log_prob"),
+    }
+    state = ", ".join(f"CAST(count(*) FILTER (status = '{s}') AS INTEGER) AS stretch_{s}" for s in ("hit", "approximate", "missed"))
+    sums = {
+        "ln": f"SELECT clip_id, notes AS language_match_notes FROM ({sql['language_match_notes']})",
+        "st": f"SELECT clip_id, max(probe_set) AS stretch_probe_set, {state} FROM ({sql['stretch_scores']}) GROUP BY ALL",
+        "sy": f"SELECT clip_id, CAST(sum(n) AS BIGINT) AS phonemes_total_tokens, CAST(count(*) AS INTEGER) AS phonemes_symbols FROM ({sql['symbol_counts']}) GROUP BY ALL",
+        "sm": f"SELECT clip_id, round(sum(smoothed), 6) AS phonemes_smoothed FROM ({sql['smoothed_counts']}) GROUP BY ALL",
+        "ev": f"SELECT clip_id, CAST(count(*) AS INTEGER) AS phonemes_targets FROM ({sql['confusion_interpretation']}) GROUP BY ALL",
+        "po": f"SELECT clip_id, CAST(count(*) AS INTEGER) AS aligned_positions, CAST(count(*) FILTER (match = 'produced') AS INTEGER) AS aligned_produced FROM ({sql['span_classification']}) GROUP BY ALL",
+        "ps": f"SELECT clip_id, CAST(count(*) FILTER (evidence_strength = 'strong') AS INTEGER) AS aligned_strong FROM ({sql['phoneme_summary']}) GROUP BY ALL",
     }
     fields = ", ".join(f"{b}.{f} AS {b}_{f}" for b, (_, names) in blocks.items() for f in names.split())
-    joins = " ".join(f"LEFT JOIN ({sql[query]}) {b} ON {b}.clip_id = d.doc_id" for b, (query, _) in blocks.items())
-    return f"SELECT d.doc_id AS clip_id, round(n_chars / 15.0, 6) AS duration_s, {fields} FROM documents d {joins}"
+    own = "ln.language_match_notes, st.stretch_probe_set, st.stretch_hit, st.stretch_approximate, st.stretch_missed, sy.phonemes_total_tokens, sy.phonemes_symbols, sm.phonemes_smoothed, coalesce(ev.phonemes_targets, CASE WHEN sy.clip_id IS NOT NULL THEN 0 END) AS phonemes_targets, po.aligned_positions, po.aligned_produced, ps.aligned_strong"
+    joins = " ".join(f"LEFT JOIN ({query}) {b} ON {b}.clip_id = d.doc_id" for b, query in ({b: q for b, (q, _) in blocks.items()} | sums).items())
+    notes = "concat_ws(' | ', CASE WHEN n_chars / 15.0 < 0.3 THEN 'clip is very short (<0.3s); results may be unreliable' END, CASE WHEN f0.voiced_fraction < 0.05 THEN 'very little voiced audio detected; pitch may be unreliable' END, CASE WHEN d.doc_id % 4 = 3 AND sy.clip_id IS NOT NULL THEN 'no stretch probe set for language=''klingon''' END)"
+    return f"SELECT d.doc_id AS clip_id, round(n_chars / 15.0, 6) AS duration_s, {fields}, {own}, {notes} AS notes FROM documents d {joins}"
 
 
 def _single() -> dict[str, str]:
@@ -365,7 +395,7 @@ def _single() -> dict[str, str]:
         "calibration_verdict": f"""{_features()}, v AS (SELECT {pct("flat-leaning", "flat")} AS a, {pct("expressive-leaning", "expressive")} AS b, {pct("flat-leaning", "expressive")} AS c, {pct("expressive-leaning", "flat")} AS d FROM cls)
             SELECT round(a, 6) AS flat_pct, round(b, 6) AS expressive_pct, round(c, 6) AS flat_cross_pct, round(d, 6) AS expressive_cross_pct, CASE WHEN a >= 40 AND b >= 40 AND c < 25 AND d < 25 THEN 'defensible' ELSE 'weak' END AS verdict FROM v""",
         "clip_file_fields": f"""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN {two(8)} END AS emotion, CASE WHEN o_orderkey % 10 <> 0 THEN {two(24)} END AS actor, {two(2)} AS ch FROM orders)
-            SELECT o_orderkey, emotion, actor, bucket, CASE WHEN actor IS NOT NULL THEN CASE WHEN CAST(actor AS INTEGER) % 2 <> 0 THEN 'male' ELSE 'female' END END AS gender FROM o LEFT JOIN (SELECT * FROM {file_buckets}) b ON ch = '01' AND b.k = emotion || '-' || ch""",
+            SELECT o_orderkey, emotion, actor, bucket, CASE WHEN emotion IS NOT NULL THEN {pick(R.INTENSITIES)}[ch] || ' ' || {pick(R.EMOTIONS)}[emotion] END AS spoken_as, CASE WHEN actor IS NOT NULL THEN CASE WHEN CAST(actor AS INTEGER) % 2 <> 0 THEN 'male' ELSE 'female' END END AS gender FROM o LEFT JOIN (SELECT * FROM {file_buckets}) b ON ch = '01' AND b.k = emotion || '-' || ch""",
         "tolerant_numbers": "WITH v AS (SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS x FROM events) SELECT event_id, round(x, 6) AS x, coalesce(printf('%.2f', round(x, 1)), 'n/a') AS shown FROM v",
         "drift_summary": f"{_drift()} SELECT category, count(*) AS n FROM d GROUP BY ALL",
         "drift_detail": f"{_drift()} SELECT language, token, category, matches FROM d",

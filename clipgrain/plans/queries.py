@@ -37,8 +37,7 @@ def _claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stretch(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.inventories(spark, d).withColumn("expected_language", F.element_at(F.array(*map(F.lit, ["arabic", " ZH ", "msa", "klingon"])), (F.col("clip_id") % 4 + 1).cast("int")))
-    return inventory.stretch_scores(rows).drop("ipa")
+    return inventory.stretch_scores(A.inventories(spark, d).withColumn("expected_language", A.expected_language())).drop("ipa")
 
 
 def _ipa(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +102,7 @@ def _file_fields(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat_ws("-", F.lit("03"), two(k % 2), two(k % 8), two(k % 2), F.lit("01"), F.lit("02"), two(k % 24))
     rows = o.withColumn("f", calibration.file_fields(F.when(k % 10 == 0, "readme").otherwise(name)))
     bucket = F.when(F.col("f.channel") == "01", calibration.bucket_of(F.col("f.emotion"), F.col("f.intensity")))
-    return rows.select("o_orderkey", F.col("f.emotion").alias("emotion"), F.col("f.actor").alias("actor"), bucket.alias("bucket"), F.when(F.col("f").isNotNull(), calibration.gender_of(F.col("f.actor"))).alias("gender"))
+    return rows.select("o_orderkey", F.col("f.emotion").alias("emotion"), F.col("f.actor").alias("actor"), bucket.alias("bucket"), calibration.spoken_as(F.col("f.emotion"), F.col("f.intensity")).alias("spoken_as"), F.when(F.col("f").isNotNull(), calibration.gender_of(F.col("f.actor"))).alias("gender"))
 
 
 def _numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -125,24 +124,28 @@ def _quality_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _response(spark: SparkSession, d: str) -> DataFrame:
+    """The full response of each document as a clip, with tracks from events, samples from line items and scores from vectors."""
     clips = A.table(spark, d, "documents").select(F.col("doc_id").alias("clip_id"), (F.col("n_chars") / 15.0).alias("duration_s"))
-    match = _match(spark, d)
-    blocks = {
-        "language_match": match.select("clip_id", *_SCORE),
-        "f0": prosody.f0_stats(A.pitch_frames(spark, d)),
-        "formants": prosody.formant_means(A.formant_frames(spark, d)),
-        "syllables": prosody.syllable_rate(A.intensity_frames(spark, d)),
-        "vot": vot.class_means(_vot(spark, d)),
-        "levels": _snr(spark, d),
-        "baseline": _baseline(spark, d),
-    }
-    return analyze.response(clips, **blocks)
-
-
-def _response_json(spark: SparkSession, d: str) -> DataFrame:
-    """The nested response, with the inventory and the notes of the language match."""
-    match = _match(spark, d)
-    return analyze.as_json(analyze.response(_response(spark, d), phonemes=match.select("clip_id", "counts", "total_tokens", "notes")))
+    inventories = A.inventories(spark, d).withColumn("expected_language", A.expected_language())
+    levels = quality.sample_levels(A.samples(spark, d)).select("clip_id", "signal_rms", "noise_rms", "snr_db", "snr_note", "peak", "clipping_pct")
+    return analyze.whole(clips, inventories, A.response_frames(spark, d), A.CLIP_STEP_S, vot.class_means(_vot(spark, d)), levels, alignment.classify_spans(A.span_rows(spark, d)))
+
+
+def _response_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of all blocks side by side; of maps and arrays their sizes, sums and joined texts."""
+    of = lambda block, *names: [F.col(f"{block}.{n}").alias(f"{block}_{n}") for n in names]
+    state = lambda s: F.size(F.filter("stretch.probes", lambda p: p["status"] == s)).alias(f"stretch_{s}")
+    sized = lambda c, name: F.when(F.col(c).isNotNull(), F.size(c)).alias(name)
+    return _response(spark, d).select(
+        "clip_id", "duration_s", *of("language_match", *_SCORE), F.array_join("language_match.notes", " | ").alias("language_match_notes"),
+        *of("stretch", "probe_set"), *[F.when(F.col("stretch").isNotNull(), state(s)).alias(f"stretch_{s}") for s in ("hit", "approximate", "missed")],
+        *of("phonemes", "total_tokens"), sized("phonemes.counts", "phonemes_symbols"), F.aggregate(F.map_values("phonemes.smoothed_counts"), F.lit(0.0), lambda acc, x: acc + x).alias("phonemes_smoothed"), sized("phonemes.confusion_evidence", "phonemes_targets"),
+        *of("f0", "mean_hz", "min_hz", "max_hz", "std_hz", "std_semitones", "range_semitones_p10_p90", "voiced_fraction"), *of("formants", "f1_mean_hz", "f2_mean_hz", "f3_mean_hz"), *of("syllables", "peaks", "accepted", "rate_hz"),
+        *of("vot", "n_measured", "aspirated_voiceless_mean_ms", "plain_voiceless_mean_ms", "voiced_mean_ms"), *of("quality", "signal_rms", "noise_rms", "snr_db", "snr_note", "peak", "clipping_pct"),
+        *of("baseline", "source_clip", "window_start_ms", "window_end_ms", "f0_mean_hz", "f0_std_semitones", "syllable_rate_hz", "notes"),
+        *of("aligned_phonemes", "alignment_quality", "mean_log_prob"), sized("aligned_phonemes.positions", "aligned_positions"), F.when(F.col("aligned_phonemes").isNotNull(), F.size(F.filter("aligned_phonemes.positions", lambda p: p["match"] == "produced"))).alias("aligned_produced"),
+        F.when(F.col("aligned_phonemes").isNotNull(), F.size(F.filter("aligned_phonemes.summary", lambda t: t["evidence_strength"] == "strong"))).alias("aligned_strong"), F.array_join("notes", " | ").alias("notes"),
+    )
 
 
 def _baseline(spark: SparkSession, d: str) -> DataFrame:
@@ -262,8 +265,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drift_detail": lambda s, d: _drift(s, d).select("language", "token", "category", F.array_join("matches", ", ").alias("matches")),
         "drift_gaps": lambda s, d: notation.languages_of(_drift(s, d), "phonological"),
         "quality_notes": _quality_notes,
-        "analyze_response": lambda s, d: analyze.flat(_response(s, d)),
-        "analyze_response_json": _response_json,
+        "match_summary": lambda s, d: analyze.printed(analyze.inventory_blocks(A.inventories(s, d).withColumn("expected_language", A.expected_language()))),
+        "analyze_response": _response_flat,
+        "analyze_response_json": lambda s, d: analyze.as_json(_response(s, d)),
         "baseline_window": _baseline,
         "f0_range": lambda s, d: prosody.f0_range(A.pitch_frames(s, d)),
         "symbols_per_clip": lambda s, d: notation.symbols_of(A.tokens(s, d)).select("clip_id", F.array_join("symbols", " ").alias("symbols"), "n_symbols"),

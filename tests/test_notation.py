@@ -67,3 +67,16 @@ def test_ids_outside_the_vocabulary(spark):
     frames = spark.createDataFrame([(1, 0, [0.0, -9.0, -9.0], 0.04), (1, 1, [-9.0, -9.0, 0.0], 0.04)], "clip_id long, frame_idx int, log_probs array<double>, duration_s double")
     assert [r["phoneme"] for r in decode.occurrences(frames, ["<pad>", "θ"]).collect()] == ["<vocab:2>"]
     assert prosody.f0_range(spark.createDataFrame([(1, float(f)) for f in (100, 120, 150, 110, 130, 0)], "clip_id long, f0_hz double")).first()["range_hz_max_min"] == 50.0
+
+
+def test_two_places_as_printf(spark):
+    import random
+
+    from clipgrain.functions.text import two_places
+
+    r = random.Random(1)
+    values = [0.825, 0.125, 0.375, 2.675, 1.005, -0.825, 0.005, 0.015, 100.125, 0.0, 12345.675] + [r.randint(-99999, 99999) / 1000 for _ in range(3000)] + [r.uniform(-50, 50) for _ in range(300)] + [i / 8 for i in range(-40, 40)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    for row in df.select("x", two_places(F.col("x")).alias("s")).collect():
+        want = "n/a" if row["x"] is None or row["x"] != row["x"] else f"{row['x']:.2f}"
+        assert row["s"] in (want, want.replace("-0.00", "0.00")), row
