@@ -143,8 +143,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     has a row, or in a text that has one as a whole; its line is the one it begins
     in, which can have rows of several runs. Defined cases: null or empty
     texts and units of fewer than two words match nothing; a text of one line is
-    judged as line 1 and as a whole; repeated rows give one result; a null doc_id is
-    kept; an empty table gives no rows; other columns are ignored.
+    judged as line 1 and as a whole; a text of any length is judged whole; repeated rows
+    give one result; a null doc_id is kept; an empty table gives no rows; other columns
+    are ignored. More than MAX_TEMPLATES templates, or one of more than
+    MAX_TEMPLATE_WORDS distinct bigrams, are an error, as all are broadcast.
     """
     rows, anchors = _prepared(docs.sparkSession, TEMPLATES if templates is None else templates, threshold)
     if not anchors:

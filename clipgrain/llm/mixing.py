@@ -67,10 +67,11 @@ def temperature(shares: DataFrame, target_entropy: float | None = None, max_repe
 
 
 def _placed(docs: DataFrame, tokens: Column | None) -> list[Column]:
-    """``key`` of a row's source, its ``tokens``, and the ``name`` that orders it: its doc_id, or a hash of its text."""
+    """``key`` of a row's source, its ``tokens``, the ``name`` that orders it (its doc_id, or a hash of its text and its position) and its position ``at``."""
+    at = F.monotonically_increasing_id()
     cost = words(F.col("text")) if tokens is None else F.greatest(tokens.cast("long"), F.lit(1))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")))))
-    return [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), cost.alias("tokens"), name.alias("name")]
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit(""))), F.lit(":"), at.cast("string")))
+    return [F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), cost.alias("tokens"), name.alias("name"), at.alias("at")]
 
 
 def _order(seed: int, epoch: Column) -> Column:
@@ -94,19 +95,19 @@ def _plan(rows: DataFrame, target_entropy: float | None, max_repetition: float |
         digits += 1
     planned = rows.join(small(plan.where("rest > 0")), "key").withColumn("order", _order(seed, F.col("passes"))).withColumn("bucket", F.substring("order", 1, digits))
     # Prefix sums of the last pass in two levels: over the buckets of a source, then within the bucket where the budget ends.
-    sizes = planned.groupBy("key", "bucket").agg(F.sum("tokens").alias("size"), F.max(F.struct("order", "name", "tokens")).alias("last"), F.first("rest").alias("rest"))
+    sizes = planned.groupBy("key", "bucket").agg(F.sum("tokens").alias("size"), F.max(F.struct("order", "name", "tokens", "at")).alias("last"), F.first("rest").alias("rest"))
     upto = F.sum("size").over(Window.partitionBy("key").orderBy("bucket"))
     buckets = checkpoint(sizes.withColumn("upto", upto))
     edge = buckets.where("rest < upto and rest > upto - size").select("key", "bucket", (F.col("upto") - F.col("size")).alias("before"))
-    within = F.col("before") + F.sum("tokens").over(Window.partitionBy("key", "bucket").orderBy("order", "name", "tokens"))
-    inside = planned.join(small(checkpoint(edge)), ["key", "bucket"]).withColumn("upto", within).where("upto <= rest").select("key", F.struct("order", "name", "tokens").alias("last"))
+    within = F.col("before") + F.sum("tokens").over(Window.partitionBy("key", "bucket").orderBy("order", "name", "tokens", "at"))
+    inside = planned.join(small(checkpoint(edge)), ["key", "bucket"]).withColumn("upto", within).where("upto <= rest").select("key", F.struct("order", "name", "tokens", "at").alias("last"))
     ends = buckets.where("upto <= rest").select("key", "last").union(inside).groupBy("key").agg(F.max("last").alias("cut"))
     return checkpoint(plan.join(ends, "key", "left").select("key", "passes", "times", "cut"))
 
 
 def _drawn(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """``rows`` once per draw, with its ``epoch`` and the ``times`` of its source."""
-    last = F.coalesce(F.struct(_order(seed, F.col("passes")).alias("order"), "name", "tokens") <= F.col("cut"), F.lit(False)).cast("long")
+    last = F.coalesce(F.struct(_order(seed, F.col("passes")).alias("order"), "name", "tokens", "at") <= F.col("cut"), F.lit(False)).cast("long")
     copies = rows.join(small(plan), "key").withColumn("copies", F.col("passes") + last).where("copies > 0")
     return copies.withColumn("epoch", F.explode(F.expr("sequence(0L, copies - 1)")))
 
@@ -120,9 +121,10 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
     Returns one row per draw: ``doc_id, source, tokens, epoch`` (which pass over its
     source) and ``block`` (where in the mix). Defined cases: a null source is a source
     of its own; a null or empty text costs one token; a text of any length is counted
-    whole; a null doc_id is drawn like any other, in an order set by its text; rows that
-    repeat are drawn each, and those that agree in id (or text) and tokens are in the
-    last pass all or none; an empty table gives no rows; other columns are ignored.
+    whole; a null doc_id is drawn like any other, in an order set by its text and position;
+    rows that repeat are drawn each, and the end of the last pass parts them by position;
+    those that repeat a doc_id share a block; an empty table gives no rows; other columns
+    are ignored.
     """
     rows = checkpoint(docs.select("doc_id", "source", *_placed(docs, tokens)))
     draws = _drawn(rows, _plan(rows, target_entropy, max_repetition, budget, seed), seed)
@@ -131,6 +133,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repetition: fl
 
 
 def mixed_documents(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` once per draw, all columns; options and defined cases as for ``mix``."""
+    """The rows of ``docs`` once per draw, all columns; options and defined cases as for ``mix``.
+
+    ``docs`` is read twice and must give its rows in one order, as a stored table does.
+    """
     plan = _plan(checkpoint(docs.select(*_placed(docs, None))), target_entropy, max_repetition, budget, seed)
     return _drawn(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_placed(docs, None)), plan, seed).select("row.*")

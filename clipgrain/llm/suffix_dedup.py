@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipgrain.llm.numbering import ranked
 from clipgrain.llm.common import checkpoint, small
 from clipgrain.llm.textops import _BYTE_VALUE, _RATIO, _RATIO_INV, U64, block_hashes, bytes_of, mix64, powers, slices
 
@@ -516,15 +517,26 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     ``kept_sha256`` and, with ``with_text``, the remaining bytes as ``kept``. Defined
     cases: a null text counts as empty; a text of any length is read whole, and one under
     ``length`` bytes stays so; a
-    row with a null doc_id takes no part and stays whole; of rows that repeat a
-    doc_id one is taken (equal rows count once); an empty table gives no rows; other
-    columns are ignored.
+    row with a null doc_id takes no part and stays whole; rows that repeat a doc_id are
+    each judged, in order of their texts' MD5, as if they were documents one behind the
+    other; an empty table gives no rows; other columns are ignored. ``length`` is from 8
+    to 16,384 bytes, anything else is an error.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.where("doc_id is not null")
+    texts = rows.where("doc_id is not null").select("doc_id", "text", F.col("doc_id").alias("own"))
     if not texts.groupBy("doc_id").count().where("count > 1").isEmpty():
-        texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-    spans = repeated_spans(texts, length, shard_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
+        texts = _told_apart(texts)
+    spans = repeated_spans(texts.select("doc_id", "text"), length, shard_bytes).groupBy("doc_id").agg(F.collect_list(F.struct("first", "past")).alias("spans"))
     schema = _RESULT + (", kept binary" if with_text else "")
     nobody = rows.where("doc_id is null").select("doc_id", "text", F.array().cast("array<struct<first:bigint,past:bigint>>").alias("spans"))
-    return texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), schema).unionByName(nobody.mapInArrow(_cut(with_text), schema))
+    found = texts.join(spans, "doc_id", "left").select(F.col("own").alias("doc_id"), "text", "spans")
+    return found.mapInArrow(_cut(with_text), schema).unionByName(nobody.mapInArrow(_cut(with_text), schema))
+
+
+def _told_apart(texts: DataFrame) -> DataFrame:
+    """``texts`` with numbers of their own as doc_id, in order of doc_id and the text's MD5; equal rows get one each."""
+    sets = checkpoint(texts.groupBy("own", F.md5("text").alias("mark")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    places = ranked(checkpoint(sets.select("own", "mark", "copies")), [], ["own", "mark"], "nth", "copies")
+    rows = sets.join(places.select("own", "mark", "before"), ["own", "mark"])
+    rows = rows.select(F.explode(F.expr("sequence(before, before + copies - 1)")).alias("doc_id"), "text", "own")
+    return checkpoint(rows.repartition("doc_id"))

@@ -49,8 +49,8 @@ class SortedLists:
             self._shown[depth] = np.where(shown, np.hstack([self.vectors, self.vectors]), 0), (~shown).astype(self.vectors.dtype)
         return self._shown[depth]
 
-    def survivors(self, queries: np.ndarray, k: int) -> np.ndarray:
-        """A mask (query, row) of the rows that may be among a query's ``k`` best."""
+    def survivors(self, queries: np.ndarray, k: int, slack: float = 0.0) -> np.ndarray:
+        """A mask (query, row) of the rows that may be among a query's ``k`` best; ``slack`` is how far any sum may be off."""
         n = len(self.vectors)
         left = np.ones((len(queries), n), bool)
         split = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])  # read from above, from below
@@ -63,8 +63,10 @@ class SortedLists:
             last = split[going] * np.hstack([self.values[n - depth], self.values[depth - 1]])
             gained = split[going] @ read.T
             low, high = gained + worst[going] @ hidden.T, gained + last @ hidden.T
+            if slack:  # scores are held within 64 bits, so what lies beyond is a tie
+                low, high = np.clip(low, -(2.0**63), 2.0**63), np.clip(high, -(2.0**63), 2.0**63)
             bound = np.partition(low, len(rows) - k, axis=1)[:, len(rows) - k]
-            mine = left[np.ix_(going, rows)] & (high >= bound[:, None])
+            mine = left[np.ix_(going, rows)] & (high + slack >= bound[:, None] - slack)
             left[np.ix_(going, rows)] = mine
             more = mine.sum(axis=1) > FEW * k
             going, rows = going[more], rows[mine[more].any(axis=0)]
@@ -91,16 +93,20 @@ def best_in_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
     """(query_id, vec_ids, scores) of each query's k best rows of the block, its own left out; ``lists`` keeps the block's lists for the next call."""
     lists = {} if lists is None else lists
     most = lists.setdefault("most", np.abs(vectors).max(initial=0.0) * max(1, vectors.shape[1]))
-    kind = _held(most * np.abs(queries).max(initial=0.0))
-    if kind and kind not in lists:
-        lists[kind] = SortedLists(vectors.astype(kind))
+    largest = most * np.abs(queries).max(initial=0.0)
+    kind = _held(largest)
+    # Beyond exact doubles the bounds are taken with room for all that rounding can do, and what they leave is scored exactly.
+    bounded = kind or (np.float64 if largest < 1e300 else None)
+    slack = 0.0 if kind else largest * max(1, vectors.shape[1]) * 2.0**-48
+    if bounded and bounded not in lists:
+        lists[bounded] = SortedLists(vectors.astype(bounded))
     for a in range(0, len(queries), TOGETHER):
         names = query_ids[a : a + TOGETHER]
         own = ids[None, :] == names[:, None]
         left = ~own
-        if kind:
-            part = queries[a : a + TOGETHER].astype(kind)
-            left &= lists[kind].survivors(part, k + int(own.sum(axis=1).max(initial=0)))
+        if bounded:
+            part = queries[a : a + TOGETHER].astype(bounded)
+            left &= lists[bounded].survivors(part, k + int(own.sum(axis=1).max(initial=0)), slack)
         for i, name in enumerate(names.tolist()):
             rows = np.flatnonzero(left[i])
             got = _scores(part[i], lists[kind].vectors, rows).astype(np.int64) if kind else _long_scores(vectors[rows], queries[a + i])
@@ -161,8 +167,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
 
     Defined cases: vectors (or ids) that are null, empty, or hold null or non-finite
     components take no part; shorter vectors count as padded with zeros; of rows that
-    repeat an id each is a candidate and one, of the least hash, asks; scores beyond 64
-    bits are held at the ends of their range, where ties go to the smaller id; fewer
+    repeat an id each is a candidate and one, of the least hash, asks; where sums may pass
+    2**52 the rows that the bounds leave are scored in whole numbers of any size, and scores
+    beyond 64 bits are held at the ends of their range, where ties go to the smaller id; fewer
     than k candidates give all of them; empty tables give no rows; other columns are
     ignored.
     """
