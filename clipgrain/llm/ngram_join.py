@@ -56,6 +56,8 @@ SEEN, ENTRIES_AT_ONCE = 1 << 17, 1 << 17
 PARTNERS = 1000
 #: Levels of clusters within clusters at least, and the share of members that must find a partner for a further one; then those by themselves are joined with each other.
 LEVELS, WORTH = 2, 0.25
+#: Words of a folded sketch: 512 bits tell sets apart that differ by up to some 250 shingles, as many as texts of a thousand words may.
+FOLDED = 8
 _SALT = U64(0x5851F42D4C957F2D)
 _K = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -246,7 +248,7 @@ def _listed(words: int, seed: int, plan: Plan, heavy):
     """List entries of each class that the task meets."""
 
     def parts(batches):
-        often, seen = heavy.value, set()
+        (often, _), seen = heavy.value, set()
         for batch in batches:
             known = batch["doc_id"].is_valid().to_pylist()
             for row, s in _sets(batch, words):
@@ -298,15 +300,16 @@ def _most(n: int, num: int, den: int) -> int:
     return (den - num) * (n + den * n // num) // (den + num)
 
 
-def _difference(pivot: np.ndarray, member: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """The shingles by which a member differs from its pivot: what the pivot lacks, what it has, then those that many sets share."""
+def _difference(pivot: np.ndarray, member: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles by which a member differs from its pivot: what the pivot lacks, what it has, then those that many sets share, the most shared last."""
     at = np.minimum(np.searchsorted(pivot, member), len(pivot) - 1)
     added = member[pivot[at] != member]
     at = np.minimum(np.searchsorted(member, pivot), len(member) - 1)
     tokens = np.concatenate([added, pivot[member[at] != pivot]])
     if len(heavy):
-        often = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
-        tokens = np.concatenate([tokens[~often], tokens[often]])
+        place = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
+        often = heavy[place] == tokens
+        tokens = np.concatenate([tokens[~often], tokens[often][np.lexsort((tokens[often], counts[place[often]]))]])
     return tokens
 
 
@@ -347,7 +350,8 @@ def _compared(num: int, den: int, shared):
     names = [c.split()[0] for c in _COMPARED.split(", ")]
 
     def run(batches):
-        name, pivot, last, heavy = None, None, None, shared.value
+        name, pivot, last = None, None, None
+        heavy, counts = shared.value
         for batch in batches:
             out = []
             for a, salt, b, crowd, raw in zip(*(batch[c].to_pylist() for c in ("a", "salt", "b", "crowd", "shingles")), strict=True):
@@ -356,7 +360,7 @@ def _compared(num: int, den: int, shared):
                     name, pivot, last = (a, salt), s, None
                 elif name == (a, salt) and b != last:  # rows that repeat both doc_id and text bring a set twice
                     last = b
-                    tokens = _difference(pivot, s, heavy)
+                    tokens = _difference(pivot, s, heavy, counts)
                     h, total = len(tokens), len(s) + len(pivot)
                     linked = h * (den + num) <= total * (den - num)
                     out.append((a, b, linked, h, len(s), len(pivot), crowd, tokens[: _most(len(s), num, den) + 1].tobytes() if crowd else b"", _sketch(tokens) if crowd else []))
@@ -403,7 +407,7 @@ class _Join:
     def meeting(self, fewer: DataFrame, more: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of members of one cluster whose prefixes meet, the first with no larger difference than the second."""
         rows = lambda x: x.select("a", "b", "h", "n", "tokens", "sketch").mapInArrow(_roles(self.num, self.den), _ROLE)
-        names = [f"s{i}" for i in range(4)]
+        names = [f"s{i}" for i in range(FOLDED)]
         one = rows(fewer).where("role = 2").select("p", "token", *[F.col(x).alias(f"{x}1") for x in ("b", "h", "n", *names)])
         two = rows(more).where("role = 1").select("p", "token", *[F.col(x).alias(f"{x}2") for x in ("b", "h", "n", *names)])
         least = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names])
@@ -467,7 +471,7 @@ class _Join:
         return connected_components(reduce(DataFrame.union, links))
 
 
-_ROLE = "p long, token long, role int, b long, h int, n int, s0 long, s1 long, s2 long, s3 long"
+_ROLE = "p long, token long, role int, b long, h int, n int, " + ", ".join(f"s{i} long" for i in range(FOLDED))
 
 
 def _roles(num: int, den: int):
@@ -486,8 +490,8 @@ def _roles(num: int, den: int):
                 tokens, most = np.frombuffer(raw, np.int64), _most(n, num, den)
                 large, few = tokens[: most + 1], tokens[: most // 2 + 1]
                 m = len(large) + len(few)
-                out.append((np.full(m, p), np.concatenate([large, few]), np.repeat([1, 2], [len(large), len(few)]), np.full(m, b), np.full(m, h), np.full(m, n), *(np.full(m, x) for x in np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(4, 4)))))
-            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * 4)
+                out.append((np.full(m, p), np.concatenate([large, few]), np.repeat([1, 2], [len(large), len(few)]), np.full(m, b), np.full(m, h), np.full(m, n), *(np.full(m, x) for x in np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, FOLDED)))))
+            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * FOLDED)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
 
     return run
@@ -503,8 +507,10 @@ def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
         if reps.groupBy("node").count().where("count > 1").isEmpty():
             break  # else two classes share a node, and another seed tells them apart
     reps = reps.select("node", "rep")
-    heavy = met.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "h1").limit(MOST_HEAVY).select("h1").toPandas()["h1"]
-    often = docs.sparkSession.sparkContext.broadcast(np.sort(heavy.to_numpy(np.int64).view(np.uint64)))
+    heavy = met.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_AT).orderBy(F.desc("n"), "h1").limit(MOST_HEAVY).toPandas()
+    values, counts = heavy["h1"].to_numpy(np.int64).view(np.uint64), heavy["n"].to_numpy(np.int64)
+    order = np.argsort(values)
+    often = docs.sparkSession.sparkContext.broadcast((values[order], counts[order]))
     sizes = {r["n"]: r["count"] for r in classes.where(F.col("n").between(1, LARGEST_SMALL)).groupBy("n").count().collect()}
     plan = Plan(num, den, choose_boundary(sizes, num, den))
     join = _Join(texts, reps, words, seed, num, den, often)
