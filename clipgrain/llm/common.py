@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -79,6 +81,18 @@ def drop(kept: DataFrame) -> None:
         delete(kept.sparkSession, file.get())
 
 
+#: Seconds between two collections of the driver's garbage.
+FREE_EVERY = 5.0
+
+
+def _free(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that are gone: it does so when the driver's garbage is collected, which a driver with little to do leaves for half an hour."""
+    if time.monotonic() - getattr(_open, "freed", 0.0) > FREE_EVERY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _open.freed = time.monotonic()
+
+
 @contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """A step whose checkpointed tables are deleted at its end, but for those that it hands out by the function that ``with`` gives."""
@@ -94,6 +108,8 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         for df in made:
             if id(df) not in stay:
                 drop(df)
+        if made:
+            _free(made[0].sparkSession)
         if blocks:  # what is handed out belongs to the step around this one
             blocks[-1].extend(df for df in made if id(df) in stay)
 
