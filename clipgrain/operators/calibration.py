@@ -33,6 +33,18 @@ def leaning(bucket: Column) -> Column:
     return lookup(R.LEANING, bucket)
 
 
+def scan_clips(spark: SparkSession, path: str) -> DataFrame:
+    """``path, actor, emotion, intensity, bucket, gender, spoken_as`` of the speech clips below ``path`` that belong to a bucket.
+
+    What a clip is says its file name, in seven fields; other names, songs and clips
+    outside all buckets are left out. Only the list of files is read, not their contents.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(path)
+    rows = files.select("path", file_fields(F.regexp_extract("path", r"([^/]*)\.wav$", 1)).alias("f")).where("f.channel = '01'")
+    rows = rows.select("path", "f.actor", "f.emotion", "f.intensity", bucket_of(F.col("f.emotion"), F.col("f.intensity")).alias("bucket"), gender_of(F.col("f.actor")).alias("gender"), spoken_as(F.col("f.emotion"), F.col("f.intensity")).alias("spoken_as"))
+    return rows.where("bucket is not null")
+
+
 def stratified_sample(clips: DataFrame, per_bucket: int, seed: int, name: str = "clip_id") -> DataFrame:
     """Up to ``per_bucket`` clips of each bucket, in an order that the seed fixes."""
     order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), F.col(name)), name))

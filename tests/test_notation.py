@@ -80,3 +80,12 @@ def test_two_places_as_printf(spark):
     for row in df.select("x", two_places(F.col("x")).alias("s")).collect():
         want = "n/a" if row["x"] is None or row["x"] != row["x"] else f"{row['x']:.2f}"
         assert row["s"] in (want, want.replace("-0.00", "0.00")), row
+
+
+def test_scan_of_clip_files(spark, tmp_path):
+    names = ["03-01-01-01-01-01-01.wav", "a/03-01-05-02-01-01-02.wav", "a/b/03-02-01-01-01-01-03.wav", "a/03-01-04-01-01-01-04.wav", "readme.wav", "03-01-01-01-01-01-05.mp3", "a/03-01-03-02-02-02-24.wav"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = {r["path"].rsplit("/", 1)[1]: (r["bucket"], r["gender"], r["spoken_as"]) for r in calibration.scan_clips(spark, str(tmp_path)).collect()}
+    assert got == {"03-01-01-01-01-01-01.wav": ("neutral", "male", "normal neutral"), "03-01-05-02-01-01-02.wav": ("angry-strong", "female", "strong angry"), "03-01-03-02-02-02-24.wav": ("happy-strong", "female", "strong happy")}
