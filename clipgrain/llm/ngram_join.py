@@ -52,6 +52,8 @@ COUNT_AT_ONCE, REPORT_FROM = 500_000, 2
 LARGEST_SMALL, LIST_COST = 40, 4
 #: Class hashes a task remembers, to list a class once for all its copies there, and list entries it joins at once.
 SEEN, ENTRIES_AT_ONCE = 1 << 17, 1 << 17
+#: Prefix rows that a task hands on at once.
+ROLES_AT_ONCE = 1 << 14
 #: Partners that one copy of a pivot is compared with.
 PARTNERS = 1000
 #: Levels of clusters within clusters at least, and the share of members that must find a partner for a further one; then those by themselves are joined with each other.
@@ -483,16 +485,25 @@ def _roles(num: int, den: int):
     """
     names = [c.split()[0] for c in _ROLE.split(", ")]
 
+    kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * FOLDED)
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
+
     def run(batches):
+        out, size = [], 0
         for batch in batches:
-            out = []
             for p, b, h, n, raw, sketch in zip(*(batch[x].to_pylist() for x in ("a", "b", "h", "n", "tokens", "sketch")), strict=True):
                 tokens, most = np.frombuffer(raw, np.int64), _most(n, num, den)
                 large, few = tokens[: most + 1], tokens[: most // 2 + 1]
                 m = len(large) + len(few)
                 out.append((np.full(m, p), np.concatenate([large, few]), np.repeat([1, 2], [len(large), len(few)]), np.full(m, b), np.full(m, h), np.full(m, n), *(np.full(m, x) for x in np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, FOLDED)))))
-            kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * FOLDED)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
+                size += m
+                if size >= ROLES_AT_ONCE:  # a batch of long texts has very many
+                    yield rows(out)
+                    out, size = [], 0
+        if size:
+            yield rows(out)
 
     return run
 
