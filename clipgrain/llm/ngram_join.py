@@ -24,8 +24,13 @@ still by themselves go through lists, clusters and pivots of their own, with the
 differences as sets: by prefix filter, with shingles that the pivot lacks coming
 first, as hardly any two members share them. Each level strips what its pivot has, and
 so a passage that many texts share. Members by themselves that may still be linked to
-one of the pivot's component meet it in a join of those prefixes; members of one
-component never meet. Links are decided on the shingles of both texts.
+one of the pivot's component meet it in a join of those prefixes.
+
+Members of one component need not meet. So after the first level, members that agree in
+some least shingles of a few parts of the hash space are compared with one of them. That
+finds most components at a cost in proportion to the members, and decides nothing else:
+the joins of prefixes then look for every link between different components, and only by
+shingles that two components share. Links are decided on the shingles of both texts.
 """
 
 from __future__ import annotations
@@ -60,6 +65,8 @@ PARTNERS = 1000
 LEVELS, WORTH = 2, 0.25
 #: Words of a folded sketch: 512 bits tell sets apart that differ by up to some 250 shingles, as many as texts of a thousand words may.
 FOLDED = 8
+#: Bands that members are first met by, and the least shingles that make a band.
+BANDS, BAND = 12, 3
 _SALT = U64(0x5851F42D4C957F2D)
 _K = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9))
 
@@ -339,7 +346,19 @@ def _sketch(s: np.ndarray) -> list[int]:
     return np.packbits((falls & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
-_COMPARED = "a long, b long, linked boolean, h int, n int, pivot_n int, crowd boolean, tokens binary, sketch array<bigint>"
+_BAND_EDGES = np.array([-(-(j << 32) // (BANDS * BAND)) << 32 for j in range(1, BANDS * BAND)], np.uint64)
+
+
+def _bands(s: np.ndarray) -> list[int]:
+    """Keys of which similar sets are likely to share one: the least shingles of a few parts of the hash space each."""
+    bounds = np.concatenate(([0], np.searchsorted(s, _BAND_EDGES), [len(s)]))
+    filled = bounds[1:] > bounds[:-1]
+    least = np.where(filled, s[np.minimum(bounds[:-1], len(s) - 1)], U64(0))
+    keys = mix64(mix64(least + np.arange(len(least), dtype=np.uint64) * _K[0]).reshape(BANDS, BAND).sum(axis=1, dtype=np.uint64))
+    return keys[filled.reshape(BANDS, BAND).any(axis=1)].view(np.int64).tolist()
+
+
+_COMPARED = "a long, b long, linked boolean, h int, n int, pivot_n int, crowd boolean, tokens binary, sketch array<bigint>, bands array<bigint>"
 
 
 def _compared(num: int, den: int, shared):
@@ -348,7 +367,7 @@ def _compared(num: int, den: int, shared):
     Tells of each partner whether it is linked, by how many shingles it differs and,
     where the pivot has others (``crowd``), the first of these that matter.
     """
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
     names = [c.split()[0] for c in _COMPARED.split(", ")]
 
     def run(batches):
@@ -365,8 +384,8 @@ def _compared(num: int, den: int, shared):
                     tokens = _difference(pivot, s, heavy, counts)
                     h, total = len(tokens), len(s) + len(pivot)
                     linked = h * (den + num) <= total * (den - num)
-                    out.append((a, b, linked, h, len(s), len(pivot), crowd, tokens[: _most(len(s), num, den) + 1].tobytes() if crowd else b"", _sketch(tokens) if crowd else []))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 9, kinds, strict=True)], names)
+                    out.append((a, b, linked, h, len(s), len(pivot), crowd, tokens[: _most(len(s), num, den) + 1].tobytes() if crowd else b"", _sketch(tokens) if crowd else [], _bands(s) if crowd else []))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 10, kinds, strict=True)], names)
 
     return run
 
@@ -383,9 +402,9 @@ class _Join:
     den: int
     heavy: object
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """Compares the pairs (a, b), see ``_compared``. A pivot with many partners is compared in several copies."""
-        fan = checkpoint(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.col("partners") > 1).alias("crowd")))
+    def compared(self, pairs: DataFrame, tell: bool = True) -> DataFrame:
+        """Compares the pairs (a, b), see ``_compared``; ``tell``: with differences. A pivot with many partners is compared in several copies."""
+        fan = checkpoint(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.lit(tell) & (F.col("partners") > 1)).alias("crowd")))
         members = pairs.join(small(fan), "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", F.lit(None).cast("int").alias("copies"), "crowd", F.col("b").alias("node"))
         pivots = fan.select("a", F.lit(0).alias("salt"), F.lit(None).cast("long").alias("b"), "copies", "crowd", F.col("a").alias("node"))
         places = checkpoint(members.unionByName(pivots).join(self.reps, "node").drop("node"))
@@ -406,25 +425,62 @@ class _Join:
         sure = F.coalesce(u + F.col("least") <= 0, F.col("linked"))
         return checkpoint(joined.withColumns({"c": F.when(sure, F.col("a")).otherwise(F.col("b")), "apart": F.coalesce(F.col("most") + F.col("least") > 0, F.lit(False))}).drop("least", "most", "linked", "pivot_n"))
 
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are linked."""
+        return checkpoint(self.compared(checkpoint(pairs), tell=False).where("linked").select("a", "b"))
+
+    def near(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of members of a cluster that are of different components and, by their sizes and sketches, may be linked."""
+        known = checkpoint(members.select("b", "c", "n", "sketch").dropDuplicates(["b"]))
+        side = lambda name, i: small(known).select(F.col("b").alias(name), *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "sketch")])
+        apart = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+        close = apart * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
+        return pairs.join(side("a", 1), "a").join(side("b", 2), "b").where((F.col("c1") != F.col("c2")) & self._sizes() & close).select("a", "b")
+
+    def _sizes(self):
+        return (F.col("n1") * self.den >= F.col("n2") * self.num) & (F.col("n2") * self.den >= F.col("n1") * self.num)
+
+    def banded(self, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``placed`` with components by what members that share a band are linked with, and those links.
+
+        The members of each band are compared with the smallest of them.
+        """
+        members = placed.where("apart")
+        rows = members.select("a", "b", F.explode("bands").alias("band"))
+        hubs = rows.groupBy("a", "band").agg(F.min("b").alias("hub"), F.max("b").alias("last")).where("hub < last").drop("last")
+        pairs = checkpoint(rows.join(hubs, ["a", "band"]).where("b <> hub").select(F.col("hub").alias("a"), "b").distinct())
+        links = self.linked(self.near(pairs, members))
+        # A cluster is named by its smallest node, and so is the component of its pivot.
+        met = checkpoint(connected_components(links.union(members.where("c <> b").select(F.col("c").alias("a"), "b"))).withColumnRenamed("node", "b"))
+        return checkpoint(placed.join(small(met), "b", "left").withColumn("c", F.coalesce("component", "c")).drop("component")), links
+
+    def labelled(self, placed: DataFrame, labels: DataFrame) -> DataFrame:
+        """``placed`` with the components ``labels`` (b, c) of an earlier level."""
+        labels = checkpoint(labels)
+        known = small(labels).select("b", F.col("c").alias("label"))
+        own = checkpoint(placed.join(known, "b", "left").withColumn("label", F.coalesce("label", "b")))
+        pivots = own.select("a").distinct().join(known.withColumnRenamed("b", "a"), "a")
+        main = checkpoint(own.where("c = a").select("a", "label").union(pivots).distinct().withColumn("main", F.lit(True)))
+        return checkpoint(own.join(small(main), ["a", "label"], "left").withColumn("c", F.when(F.col("main") | (F.col("c") == F.col("a")), F.col("a")).otherwise(F.col("label"))).drop("label", "main"))
+
     def meeting(self, fewer: DataFrame, more: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` of members of one cluster whose prefixes meet, the first with no larger difference than the second."""
-        rows = lambda x: x.select("a", "b", "h", "n", "tokens", "sketch").mapInArrow(_roles(self.num, self.den), _ROLE)
+        """Pairs ``a, b`` of members of one cluster and different components whose prefixes meet, the first with no larger difference than the second."""
+        sides = [x.select("a", "b", "c", "h", "n", "tokens", "sketch") for x in ([fewer] if fewer is more else [fewer, more])]
+        light = [x.mapInArrow(_roles(self.num, self.den, 0), _role(0)).select("token", "c", "few") for x in sides]
+        shared = checkpoint(reduce(DataFrame.union, light).groupBy("token").agg(F.min("c").alias("one"), F.max("c").alias("two"), F.max("few").alias("few")).where("one < two and few").select("token"))
+        shared = small(shared)
+        rows = lambda x: x.mapInArrow(_roles(self.num, self.den, FOLDED), _role(FOLDED)).join(shared, "token", "left_semi")
         names = [f"s{i}" for i in range(FOLDED)]
-        one = rows(fewer).where("role = 2").select("p", "token", *[F.col(x).alias(f"{x}1") for x in ("b", "h", "n", *names)])
-        two = rows(more).where("role = 1").select("p", "token", *[F.col(x).alias(f"{x}2") for x in ("b", "h", "n", *names)])
+        one = rows(sides[0]).where("few").select("token", *[F.col(x).alias(f"{x}1") for x in ("b", "c", "h", "n", *names)])
+        two = rows(sides[-1]).select("token", *[F.col(x).alias(f"{x}2") for x in ("b", "c", "h", "n", *names)])
         least = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names])
         close = least * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
         near = (F.col("h2") - F.col("h1")) * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
-        sizes = (F.col("n1") * self.den >= F.col("n2") * self.num) & (F.col("n2") * self.den >= F.col("n1") * self.num)
         ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") != F.col("b2")))
-        joined = one.join(two, ["p", "token"]).where(ordered & near & sizes & close)
+        joined = one.join(two, "token").where((F.col("c1") != F.col("c2")) & ordered & near & self._sizes() & close)
         pairs = checkpoint(joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct())
         # Whole sketches rule out most of what their folded ones let through.
-        known = checkpoint(fewer.select("b", "n", "sketch").union(more.select("b", "n", "sketch")).dropDuplicates(["b"]))
-        side = lambda name, i: small(known).select(F.col("b").alias(name), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"sketch{i}"))
-        apart = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-        near = apart * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
-        return pairs.join(side("a", 1), "a").join(side("b", 2), "b").where(near).select("a", "b")
+        return self.near(pairs, reduce(DataFrame.union, sides))
 
     def bordering(self, placed: DataFrame) -> list[DataFrame]:
         """Links ``a, b`` between members by themselves and those of the pivot's component.
@@ -435,57 +491,66 @@ class _Join:
         """
         low = F.col("h") * (self.den + self.num) - F.col("n") * (self.den - self.num)
         high = F.col("h") * (self.den + self.num) + F.col("n") * (self.den - self.num)
-        main = placed.where("apart and c <> b")
+        main = placed.where("apart and c = a")
         reach = checkpoint(main.groupBy("a").agg(F.max(high).alias("reach"), F.min(F.struct("h", "b"))["b"].alias("closest")))
-        alone = checkpoint(placed.where("apart and c = b").join(small(reach), "a").where(low <= F.col("reach")))
+        alone = checkpoint(placed.where("apart and c <> a").join(small(reach), "a").where(low <= F.col("reach")))
         if alone.isEmpty():
             return []
-        links = [self.compared(checkpoint(alone.select(F.col("closest").alias("a"), "b"))).where("linked").select("a", "b")]
-        alone = checkpoint(alone.join(small(links[0]).select("b"), "b", "left_anti"))
+        links = [self.linked(alone.select(F.col("closest").alias("a"), "b"))]
+        found = checkpoint(alone.join(small(links[0]).select("b"), "b").select("c").distinct())
+        alone = checkpoint(alone.join(small(found), "c", "left_anti"))
         if alone.isEmpty():
             return links
         least = checkpoint(alone.groupBy("a").agg(F.min(low).alias("least")))
         main = checkpoint(main.join(small(least), "a").where(high >= F.col("least")))
-        pairs = checkpoint(self.meeting(alone, main).union(self.meeting(main, alone)).distinct())
-        return [*links, self.compared(pairs).where("linked").select("a", "b")]
+        pairs = self.meeting(alone, main).union(self.meeting(main, alone)).distinct()
+        return [*links, self.linked(pairs)]
 
     def components(self, entries: DataFrame) -> DataFrame:
         """``node, component`` of the classes that have a link."""
         links: list[DataFrame] = []
-        placed = None
+        placed = alone = None
         for level in itertools.count(1):
             with scratch() as keep:
-                now = keep(self.starred(self.compared(_clusters(entries))))
-                links.append(keep(checkpoint(now.where("c <> b").select(F.col("c").alias("a"), "b"))))
-                links += [keep(checkpoint(found)) for found in self.bordering(now)]
+                now = self.starred(self.compared(_clusters(entries)))
+                if placed is None:
+                    now, found = self.banded(now)
+                    links.append(keep(found))
+                else:
+                    now = self.labelled(now, alone.select("b", "c"))
+                links.append(keep(checkpoint(keep(now).where("c <> b").select(F.col("c").alias("a"), "b"))))
+                links += [keep(found) for found in self.bordering(now)]
             if placed is not None:
                 drop(placed)  # its differences have been listed
             placed = now
-            alone = placed.where("apart and c = b").select("a", "b", "h", "n", "tokens", "sketch")
-            members, found, left = placed.agg(F.count(F.lit(1)), F.count_if(F.expr("c <> b")), F.count_if(F.expr("apart and c = b"))).first()
-            if not left:
+            alone = placed.where("apart and c <> a").select("a", "b", "c", "h", "n", "tokens", "sketch")
+            members, found = placed.agg(F.count(F.lit(1)), F.count_if(F.expr("c = a"))).first()
+            with scratch() as keep:
+                several = keep(checkpoint(alone.groupBy("a").agg((F.min("c") < F.max("c")).alias("several")).where("several").select("a")))
+            alone = alone.join(small(several), "a", "left_semi")
+            if several.isEmpty():
                 break
             if level >= LEVELS and found < WORTH * members:
                 with scratch() as keep:
-                    links.append(keep(checkpoint(self.compared(checkpoint(self.meeting(alone, alone))).where("linked").select("a", "b"))))
+                    links.append(keep(self.linked(self.meeting(alone, alone))))
                 break
             entries = alone.select("a", "b", "n", "tokens").mapInArrow(_difference_lists(self.num, self.den), _ENTRY)
         return connected_components(reduce(DataFrame.union, links))
 
 
-_ROLE = "p long, token long, role int, b long, h int, n int, " + ", ".join(f"s{i} long" for i in range(FOLDED))
+def _role(folded: int) -> str:
+    return "token long, few boolean, b long, c long, h int, n int" + "".join(f", s{i} long" for i in range(folded))
 
 
-def _roles(num: int, den: int):
-    """Prefixes of differences as (token, role) rows.
+def _roles(num: int, den: int, folded: int):
+    """Prefixes of differences as rows of tokens, each told apart by cluster, with the sketch in so many words.
 
     For members A and B with h(A) <= h(B) that differ in at most k shingles, and
-    h(A) + h(B) > k, the first k // 2 + 1 of A's difference (role 2) and the first
-    k + 1 of B's (role 1) share one.
+    h(A) + h(B) > k, the first k // 2 + 1 of A's difference (``few``) and the first
+    k + 1 of B's share one.
     """
-    names = [c.split()[0] for c in _ROLE.split(", ")]
-
-    kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32, *[np.int64] * FOLDED)
+    names = [c.split()[0] for c in _role(folded).split(", ")]
+    kinds = (np.int64, np.bool_, np.int64, np.int64, np.int32, np.int32, *[np.int64] * folded)
 
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
@@ -493,11 +558,13 @@ def _roles(num: int, den: int):
     def run(batches):
         out, size = [], 0
         for batch in batches:
-            for p, b, h, n, raw, sketch in zip(*(batch[x].to_pylist() for x in ("a", "b", "h", "n", "tokens", "sketch")), strict=True):
-                tokens, most = np.frombuffer(raw, np.int64), _most(n, num, den)
-                large, few = tokens[: most + 1], tokens[: most // 2 + 1]
-                m = len(large) + len(few)
-                out.append((np.full(m, p), np.concatenate([large, few]), np.repeat([1, 2], [len(large), len(few)]), np.full(m, b), np.full(m, h), np.full(m, n), *(np.full(m, x) for x in np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, FOLDED)))))
+            for p, b, c, h, n, raw, sketch in zip(*(batch[x].to_pylist() for x in ("a", "b", "c", "h", "n", "tokens", "sketch")), strict=True):
+                most = _most(n, num, den)
+                tokens = np.frombuffer(raw, np.uint64)[: most + 1]
+                m = len(tokens)
+                words = np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, folded)) if folded else ()
+                key = mix64(tokens + mix64(np.array([p], np.int64).view(np.uint64))).view(np.int64)
+                out.append((key, np.arange(m) <= most // 2, *(np.full(m, x) for x in (b, c, h, n, *words))))
                 size += m
                 if size >= ROLES_AT_ONCE:  # a batch of long texts has very many
                     yield rows(out)

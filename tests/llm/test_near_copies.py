@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import SCHEMA, documents, shingles, similar_components, thue_morse
 
@@ -54,6 +55,15 @@ def test_thousands_of_copies_and_an_outlier(spark):
     assert {c for i, (_, c) in got.items() if i < 9000} == {0} and sum(seen) < 4 * len(rows)
 
 
+def test_members_of_one_component_do_not_meet(spark):
+    """Of twelve members of a cluster that are all alike, only those of different components are paired."""
+    tokens, sketch = np.arange(1, 9, dtype=np.uint64).tobytes(), [0] * 16
+    rows = [(1, 10 + i, 10 + i // 11, 8, 40, tokens, sketch) for i in range(12)]
+    members = spark.createDataFrame(rows, "a long, b long, c long, h int, n int, tokens binary, sketch array<bigint>")
+    got = {(r["a"], r["b"]) for r in ngram_join._Join(None, None, 1, 0, 80, 100, None).meeting(members, members).collect()}
+    assert got == {(10 + i, 21) for i in range(11)}
+
+
 def kept(rows, words, num, den):
     """One row of each component stays, links being judged on rows."""
     sets = [shingles(t, words) for _, t, *_ in rows]
