@@ -11,6 +11,7 @@ but the last are full.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
@@ -33,6 +34,12 @@ ID_TYPES = {True: np.dtype("<u2"), False: np.dtype("<u4")}
 #: A digit is a piece of its own, so it can part words that don't hold it.
 MARK = "7"
 
+#: A rule by which a run of letters and a run of punctuation are pieces of their own, and the bytes that may then be parted from a word's end.
+PARTING_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP[list(b".,;:!?")] = True
+
 _encoders: dict[str, WordEncoder] = {}
 _hashes = span_hashes
 
@@ -42,7 +49,8 @@ class WordEncoder:
 
     For tokenizers whose pieces never hold white space the ids of a text are those
     of its words in turn, so each distinct word is encoded once. Words are found by
-    their hashes and then compared by their bytes.
+    their hashes and then compared by their bytes. Where the tokenizer's rules
+    allow it, words that differ by A-Z or by punctuation at their ends are one.
     """
 
     def __init__(self, path: str):
@@ -52,6 +60,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
+        rules = [json.loads(x.__getstate__()) if x else {} for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        self.lowers = "Lowercase" in [x["type"] for x in rules[0].get("normalizers", [rules[0]]) if x]
+        self.parts = [x["pattern"] for x in rules[1].get("pretokenizers", [rules[1]])[:1] if x.get("type") == "Split"] == [{"Regex": PARTING_RULE}]
         self._forget()
 
     def _forget(self) -> None:
@@ -90,9 +101,29 @@ class WordEncoder:
         ends = np.flatnonzero(mark)
         return ids[~mark], np.diff(ends, prepend=-1) - 1
 
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of a slice with those made equal that the tokenizer does not tell apart, and starts, ends and first word of each text in them."""
+        starts, ends, first = word_bounds(data, offsets)
+        if self.parts and len(starts):
+            core = ends.copy()
+            live = np.flatnonzero(_STOP[data[core - 1]])
+            while len(live):
+                core[live] -= 1
+                live = live[core[live] > starts[live]]
+                live = live[_STOP[data[core[live] - 1]]]
+            cuts = core[(core > starts) & (core < ends) & _LETTER[data[np.maximum(core, 1) - 1]]]
+            starts, ends = (np.sort(np.concatenate([x, cuts]), kind="stable") for x in (starts, ends))
+            first = np.searchsorted(starts, offsets)
+        if self.lowers and len(data):
+            # A mark after a letter may make one character with it, but not with the letter of the other case.
+            upper = (data >= 65) & (data <= 90)
+            upper[:-1] &= data[1:] < 128
+            data = data + upper.astype(np.uint8) * np.uint8(32)
+        return data, starts, ends, first
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and where each text's ids begin (one more at the end)."""
-        starts, ends, first = word_bounds(data, offsets)
+        data, starts, ends, first = self._words(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         distinct, at, inverse = np.unique(_hashes(data, starts, ends), return_index=True, return_inverse=True)

@@ -51,3 +51,19 @@ def test_last_sequence_is_padded_but_at_powers_of_two(spark, sequence):
     filled = sum(r["length"] for r in rows if r["sequence_id"] == last)
     assert {r["padded_length"] for r in rows if r["sequence_id"] == last} == {packing.padded(filled, sequence)}
     assert {r["padded_length"] for r in rows if r["sequence_id"] < last} <= {sequence}
+
+
+def test_words_that_differ_by_case_or_punctuation_are_learnt_once(monkeypatch):
+    import pyarrow as pa
+
+    from clipgrain.llm.textops import bytes_of
+
+    learnt = []
+    learn = packing.WordEncoder._learn
+    monkeypatch.setattr(packing.WordEncoder, "_learn", lambda self, hashes, words: learnt.extend(words) or learn(self, hashes, words))
+    encoder = packing.WordEncoder(tokenizer_path())
+    encoder.ids(*bytes_of(pa.array(["Word word, WORD. word", None, "wOrd! word."])))
+    assert sorted(learnt) == [b"!", b",", b".", b"word"]
+    odd = ["H\u0331 h\u0331 A\u030a", "a\u03a3.b a\u03a3. \u03a3a. A\u03a3, \u03a3", "it's. IT'S! 's. '. x'S, we'll?!", "\u00c9., e\u0301. E\u0301.", "a.\u0301 a,b. .a .. , a.. 7. 7a. a7. \u0130I.", "", None, "END", "X" * 80 + ".", "a" * 64 + ",", "<|endoftext|>. a<|endoftext|>."]
+    ids, first = encoder.ids(*bytes_of(pa.array(odd)))
+    assert [(int(b - a + 1), zlib.crc32(np.append(ids[a:b], 1).astype("<u4"))) for a, b in zip(first[:-1], first[1:], strict=True)] == [whole(t) for t in odd]
