@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgrain.llm.common import checkpoint, drop, scratch, small, without
+from clipgrain.llm.common import checkpoint, drop, few, scratch, small, stored, without
 from clipgrain.llm.graph import connected_components
 from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
 
@@ -301,7 +301,7 @@ def _clusters(entries: DataFrame) -> DataFrame:
     """``a, b``: the members b of each cluster that the lists connect, but for its smallest, a."""
     dealt = entries.repartition(F.when(F.col("star"), F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
     met = connected_components(dealt.mapInArrow(_scan, "a long, b long"))
-    return checkpoint(met.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
+    return stored(met.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).distinct())
 
 
 def _most(n: int, num: int, den: int) -> int:
@@ -404,13 +404,14 @@ class _Join:
 
     def compared(self, pairs: DataFrame, tell: bool = True) -> DataFrame:
         """Compares the pairs (a, b), see ``_compared``; ``tell``: with differences. A pivot with many partners is compared in several copies."""
-        fan = checkpoint(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.lit(tell) & (F.col("partners") > 1)).alias("crowd")))
+        rows = pairs.count()
+        fan = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.lit(tell) & (F.col("partners") > 1)).alias("crowd")), rows)
         members = pairs.join(small(fan), "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", F.lit(None).cast("int").alias("copies"), "crowd", F.col("b").alias("node"))
         pivots = fan.select("a", F.lit(0).alias("salt"), F.lit(None).cast("long").alias("b"), "copies", "crowd", F.col("a").alias("node"))
-        places = checkpoint(members.unionByName(pivots).join(self.reps, "node").drop("node"))
+        places = stored(few(members.unionByName(pivots), 2 * rows).join(self.reps, "node").drop("node"), 2 * rows)
         sets = self.texts.join(small(places), self.texts["doc_id"] == places["rep"]).drop("rep", "doc_id", "mark").mapInArrow(_placed_sets(self.words, self.seed), "a long, salt int, b long, crowd boolean, shingles binary")
         dealt = sets.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return checkpoint(dealt.mapInArrow(_compared(self.num, self.den, self.heavy), _COMPARED))
+        return stored(dealt.mapInArrow(_compared(self.num, self.den, self.heavy), _COMPARED), 10 * rows)  # each takes ten times as long as a row of a few numbers
 
     def starred(self, compared: DataFrame) -> DataFrame:
         """Adds ``c``, the component so far, and ``apart``: whether the cluster has a member out of the pivot's component.
@@ -421,17 +422,17 @@ class _Join:
         """
         u = F.col("h") * (self.den + self.num) - F.col("n") * (self.den - self.num)
         least = compared.where("crowd").groupBy("a").agg(F.least(F.min(u), F.min(-F.col("pivot_n") * (self.den - self.num))).alias("least"), F.max(u).alias("most"))
-        joined = compared.join(small(checkpoint(least)), "a", "left")
+        joined = compared.join(small(stored(least, compared.count())), "a", "left")
         sure = F.coalesce(u + F.col("least") <= 0, F.col("linked"))
-        return checkpoint(joined.withColumns({"c": F.when(sure, F.col("a")).otherwise(F.col("b")), "apart": F.coalesce(F.col("most") + F.col("least") > 0, F.lit(False))}).drop("least", "most", "linked", "pivot_n"))
+        return stored(joined.withColumns({"c": F.when(sure, F.col("a")).otherwise(F.col("b")), "apart": F.coalesce(F.col("most") + F.col("least") > 0, F.lit(False))}).drop("least", "most", "linked", "pivot_n"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
-        return checkpoint(self.compared(checkpoint(pairs), tell=False).where("linked").select("a", "b"))
+        return stored(self.compared(stored(pairs), tell=False).where("linked").select("a", "b"))
 
     def near(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of members of a cluster that are of different components and, by their sizes and sketches, may be linked."""
-        known = checkpoint(members.select("b", "c", "n", "sketch").dropDuplicates(["b"]))
+        known = stored(members.select("b", "c", "n", "sketch").dropDuplicates(["b"]), members.count())
         side = lambda name, i: small(known).select(F.col("b").alias(name), *[F.col(x).alias(f"{x}{i}") for x in ("c", "n", "sketch")])
         apart = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
         close = apart * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
@@ -448,26 +449,26 @@ class _Join:
         members = placed.where("apart")
         rows = members.select("a", "b", F.explode("bands").alias("band"))
         hubs = rows.groupBy("a", "band").agg(F.min("b").alias("hub"), F.max("b").alias("last")).where("hub < last").drop("last")
-        pairs = checkpoint(rows.join(hubs, ["a", "band"]).where("b <> hub").select(F.col("hub").alias("a"), "b").distinct())
+        pairs = stored(rows.join(hubs, ["a", "band"]).where("b <> hub").select(F.col("hub").alias("a"), "b").distinct(), BANDS * members.count())
         links = self.linked(self.near(pairs, members))
         # A cluster is named by its smallest node, and so is the component of its pivot.
-        met = checkpoint(connected_components(links.union(members.where("c <> b").select(F.col("c").alias("a"), "b"))).withColumnRenamed("node", "b"))
-        return checkpoint(placed.join(small(met), "b", "left").withColumn("c", F.coalesce("component", "c")).drop("component")), links
+        met = stored(connected_components(links.union(members.where("c <> b").select(F.col("c").alias("a"), "b"))).withColumnRenamed("node", "b"))
+        return stored(placed.join(small(met), "b", "left").withColumn("c", F.coalesce("component", "c")).drop("component")), links
 
     def labelled(self, placed: DataFrame, labels: DataFrame) -> DataFrame:
         """``placed`` with the components ``labels`` (b, c) of an earlier level."""
-        labels = checkpoint(labels)
+        labels = stored(labels)
         known = small(labels).select("b", F.col("c").alias("label"))
-        own = checkpoint(placed.join(known, "b", "left").withColumn("label", F.coalesce("label", "b")))
+        own = stored(placed.join(known, "b", "left").withColumn("label", F.coalesce("label", "b")))
         pivots = own.select("a").distinct().join(known.withColumnRenamed("b", "a"), "a")
-        main = checkpoint(own.where("c = a").select("a", "label").union(pivots).distinct().withColumn("main", F.lit(True)))
-        return checkpoint(own.join(small(main), ["a", "label"], "left").withColumn("c", F.when(F.col("main") | (F.col("c") == F.col("a")), F.col("a")).otherwise(F.col("label"))).drop("label", "main"))
+        main = stored(own.where("c = a").select("a", "label").union(pivots).distinct().withColumn("main", F.lit(True)), 2 * placed.count())
+        return stored(own.join(small(main), ["a", "label"], "left").withColumn("c", F.when(F.col("main") | (F.col("c") == F.col("a")), F.col("a")).otherwise(F.col("label"))).drop("label", "main"))
 
     def meeting(self, fewer: DataFrame, more: DataFrame) -> DataFrame:
         """Pairs ``a, b`` of members of one cluster and different components whose prefixes meet, the first with no larger difference than the second."""
         sides = [x.select("a", "b", "c", "h", "n", "tokens", "sketch") for x in ([fewer] if fewer is more else [fewer, more])]
         light = [x.mapInArrow(_roles(self.num, self.den, 0), _role(0)).select("token", "c", "few") for x in sides]
-        shared = checkpoint(reduce(DataFrame.union, light).groupBy("token").agg(F.min("c").alias("one"), F.max("c").alias("two"), F.max("few").alias("few")).where("one < two and few").select("token"))
+        shared = stored(reduce(DataFrame.union, light).groupBy("token").agg(F.min("c").alias("one"), F.max("c").alias("two"), F.max("few").alias("few")).where("one < two and few").select("token"))
         shared = small(shared)
         rows = lambda x: x.mapInArrow(_roles(self.num, self.den, FOLDED), _role(FOLDED)).join(shared, "token", "left_semi")
         names = [f"s{i}" for i in range(FOLDED)]
@@ -478,7 +479,7 @@ class _Join:
         near = (F.col("h2") - F.col("h1")) * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
         ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") != F.col("b2")))
         joined = one.join(two, "token").where((F.col("c1") != F.col("c2")) & ordered & near & self._sizes() & close)
-        pairs = checkpoint(joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct())
+        pairs = stored(joined.select(F.least("b1", "b2").alias("a"), F.greatest("b1", "b2").alias("b")).distinct())
         # Whole sketches rule out most of what their folded ones let through.
         return self.near(pairs, reduce(DataFrame.union, sides))
 
@@ -492,17 +493,18 @@ class _Join:
         low = F.col("h") * (self.den + self.num) - F.col("n") * (self.den - self.num)
         high = F.col("h") * (self.den + self.num) + F.col("n") * (self.den - self.num)
         main = placed.where("apart and c = a")
-        reach = checkpoint(main.groupBy("a").agg(F.max(high).alias("reach"), F.min(F.struct("h", "b"))["b"].alias("closest")))
-        alone = checkpoint(placed.where("apart and c <> a").join(small(reach), "a").where(low <= F.col("reach")))
+        rows = placed.count()
+        reach = stored(main.groupBy("a").agg(F.max(high).alias("reach"), F.min(F.struct("h", "b"))["b"].alias("closest")), rows)
+        alone = stored(placed.where("apart and c <> a").join(small(reach), "a").where(low <= F.col("reach")))
         if alone.isEmpty():
             return []
         links = [self.linked(alone.select(F.col("closest").alias("a"), "b"))]
-        found = checkpoint(alone.join(small(links[0]).select("b"), "b").select("c").distinct())
-        alone = checkpoint(alone.join(small(found), "c", "left_anti"))
+        found = stored(alone.join(small(links[0]).select("b"), "b").select("c").distinct(), rows)
+        alone = stored(alone.join(small(found), "c", "left_anti"))
         if alone.isEmpty():
             return links
-        least = checkpoint(alone.groupBy("a").agg(F.min(low).alias("least")))
-        main = checkpoint(main.join(small(least), "a").where(high >= F.col("least")))
+        least = stored(alone.groupBy("a").agg(F.min(low).alias("least")), rows)
+        main = stored(main.join(small(least), "a").where(high >= F.col("least")))
         pairs = self.meeting(alone, main).union(self.meeting(main, alone)).distinct()
         return [*links, self.linked(pairs)]
 
@@ -518,7 +520,7 @@ class _Join:
                     links.append(keep(found))
                 else:
                     now = self.labelled(now, alone.select("b", "c"))
-                links.append(keep(checkpoint(keep(now).where("c <> b").select(F.col("c").alias("a"), "b"))))
+                links.append(keep(stored(keep(now).where("c <> b").select(F.col("c").alias("a"), "b"))))
                 links += [keep(found) for found in self.bordering(now)]
             if placed is not None:
                 drop(placed)  # its differences have been listed
@@ -526,7 +528,7 @@ class _Join:
             alone = placed.where("apart and c <> a").select("a", "b", "c", "h", "n", "tokens", "sketch")
             members, found = placed.agg(F.count(F.lit(1)), F.count_if(F.expr("c = a"))).first()
             with scratch() as keep:
-                several = keep(checkpoint(alone.groupBy("a").agg((F.min("c") < F.max("c")).alias("several")).where("several").select("a")))
+                several = keep(stored(alone.groupBy("a").agg((F.min("c") < F.max("c")).alias("several")).where("several").select("a"), members))
             alone = alone.join(small(several), "a", "left_semi")
             if several.isEmpty():
                 break
@@ -593,8 +595,8 @@ def _judged(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     plan = Plan(num, den, choose_boundary(sizes, num, den))
     join = _Join(texts, reps, words, seed, num, den, often)
     with scratch() as keep:
-        linked = checkpoint(join.components(texts.mapInArrow(_listed(words, seed, plan, often), _ENTRY)).join(reps, "node"))
-        least = checkpoint(linked.groupBy("component").agg(F.min("rep").alias("least")))
+        linked = stored(join.components(texts.mapInArrow(_listed(words, seed, plan, often), _ENTRY)).join(reps, "node"))
+        least = stored(linked.groupBy("component").agg(F.min("rep").alias("least")))
         linked = keep(checkpoint(linked.join(small(least), "component").select("node", "component", "least")))
     named = reps.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("c"), F.coalesce("least", "rep").alias("least"))
     has = F.col("doc_id").isNotNull() & (F.col("n") > 0)
