@@ -472,9 +472,9 @@ class _Join:
         shared = small(shared)
         rows = lambda x: x.mapInArrow(_roles(self.num, self.den, FOLDED), _role(FOLDED)).join(shared, "token", "left_semi")
         names = [f"s{i}" for i in range(FOLDED)]
-        one = rows(sides[0]).where("few").select("token", *[F.col(x).alias(f"{x}1") for x in ("b", "c", "h", "n", *names)])
-        two = rows(sides[-1]).select("token", *[F.col(x).alias(f"{x}2") for x in ("b", "c", "h", "n", *names)])
-        least = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names])
+        one = rows(sides[0]).where("few").select("token", *[F.col(x).alias(f"{x}1") for x in ("b", "c", "h", "n", "at", *names)])
+        two = rows(sides[-1]).select("token", *[F.col(x).alias(f"{x}2") for x in ("b", "c", "h", "n", "at", *names)])
+        least = reduce(lambda x, y: x + y, [F.col("at1") + F.col("at2"), *[F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names]])
         close = least * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
         near = (F.col("h2") - F.col("h1")) * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
         ordered = (F.col("h1") < F.col("h2")) | ((F.col("h1") == F.col("h2")) & (F.col("b1") != F.col("b2")))
@@ -541,18 +541,31 @@ class _Join:
 
 
 def _role(folded: int) -> str:
-    return "token long, few boolean, b long, c long, h int, n int" + "".join(f", s{i} long" for i in range(folded))
+    return "token long, few boolean, b long, c long, h int, n int, at int" + "".join(f", s{i} long" for i in range(folded))
+
+
+def _sketches_from(sketch: np.ndarray, tokens: np.ndarray, folded: int) -> np.ndarray:
+    """Per token the folded sketch of the set without the tokens before it."""
+    falls = (mix64(tokens ^ _SALT) >> U64(54)).astype(np.int64)
+    changes = np.zeros((len(tokens), 8 * folded), np.uint8)
+    changes[:1] = np.bitwise_xor.reduce(sketch.reshape(-1, folded)).view(np.uint8)
+    before = np.arange(1, len(tokens))
+    changes[before, falls[:-1] // 8 % (8 * folded)] = 0x80 >> falls[:-1] % 8
+    return np.bitwise_xor.accumulate(changes).view(np.int64)
 
 
 def _roles(num: int, den: int, folded: int):
-    """Prefixes of differences as rows of tokens, each told apart by cluster, with the sketch in so many words.
+    """Prefixes of differences as rows of tokens, each told apart by cluster, with its place and, in so many words, the sketch of the difference from there on.
 
     For members A and B with h(A) <= h(B) that differ in at most k shingles, and
     h(A) + h(B) > k, the first k // 2 + 1 of A's difference (``few``) and the first
-    k + 1 of B's share one.
+    k + 1 of B's share one. All differences of a cluster have their tokens in one order,
+    so of what lies before the first that A and B share, at places i and j, nothing is
+    in both: they differ by i + j and what the sketches of the rest tell. That holds for
+    a later one that they share only if they differ by much less than k.
     """
     names = [c.split()[0] for c in _role(folded).split(", ")]
-    kinds = (np.int64, np.bool_, np.int64, np.int64, np.int32, np.int32, *[np.int64] * folded)
+    kinds = (np.int64, np.bool_, np.int64, np.int64, np.int32, np.int32, np.int32, *[np.int64] * folded)
 
     def rows(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(k) if out else np.zeros(0, k)) for i, k in enumerate(kinds)], names)
@@ -564,9 +577,9 @@ def _roles(num: int, den: int, folded: int):
                 most = _most(n, num, den)
                 tokens = np.frombuffer(raw, np.uint64)[: most + 1]
                 m = len(tokens)
-                words = np.bitwise_xor.reduce(np.array(sketch, np.int64).reshape(-1, folded)) if folded else ()
+                words = _sketches_from(np.array(sketch, np.int64), tokens, folded).T if folded else ()
                 key = mix64(tokens + mix64(np.array([p], np.int64).view(np.uint64))).view(np.int64)
-                out.append((key, np.arange(m) <= most // 2, *(np.full(m, x) for x in (b, c, h, n, *words))))
+                out.append((key, np.arange(m) <= most // 2, *(np.full(m, x) for x in (b, c, h, n)), np.arange(m), *words))
                 size += m
                 if size >= ROLES_AT_ONCE:  # a batch of long texts has very many
                     yield rows(out)
