@@ -14,8 +14,10 @@ long lists: a segment of nothing but such shingles is left out, unless a set has
 more of those than the margin in m allows. Both sets of a linked pair then agree
 on which to list, so no link is lost.
 
-Scanning a list links all its sets to the smallest one, first within each task and
-then across tasks, so a long list is one entry a task. That gives clusters, within
+Scanning lists connects the sets of each, first within each task and then across
+tasks. What a task's lists connect is linked to the smallest set among it, so a long
+list is one entry a task, and a set has one link a task however many lists it shares
+with others, each of which may have another smallest set. That gives clusters, within
 which all linked pairs lie. Every member of a cluster is compared with one pivot.
 Two members differ exactly by the symmetric difference of their differences from
 the pivot. If those are small enough together, the two are linked for sure, and one
@@ -37,7 +39,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
@@ -220,23 +222,45 @@ def _classes(words: int, seed: int):
     return run
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links (a, b), sorted, and the smallest node that each is connected with."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y, least = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(least[x], least[y]), np.maximum(least[x], least[y])
+        apart = low != high
+        np.minimum.at(least, high[apart], low[apart])
+        while (least[least] != least).any():
+            least = least[least]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[least]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the links (a, b) do: of each node with the smallest it is connected with."""
+    nodes, least = _joined(a, b)
+    return least[nodes != least], nodes[nodes != least]
+
+
 _ENTRY = "key long, node long, star boolean"
 
 
 def _entries(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    """List entries, one a key: further nodes of a key become stars (key: the smallest node, node: another)."""
+    """List entries, one a key, with the smallest node that these lists connect its nodes with; other nodes become stars (key: that smallest node, node: the other)."""
     order = np.argsort(keys, kind="stable")
     k, v = keys[order], nodes[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    hub = np.minimum.reduceat(v, first) if len(k) else v
-    many = np.repeat(hub, np.diff(np.append(first, len(k))))
-    stars = np.unique(np.column_stack((many[v != many], v[v != many])), axis=0)
+    one = np.repeat(v[first], np.diff(np.append(first, len(k))))
+    named, least = _joined(one[one != v], v[one != v])
     at = np.sort(order[first])  # in the order of the sets, which compresses better
-    nodes = nodes.copy()
-    nodes[order[first]] = hub
-    star = np.zeros(len(at) + len(stars), bool)
+    hubs = nodes[at]
+    if len(named):
+        place = np.minimum(np.searchsorted(named, hubs), len(named) - 1)
+        hubs = np.where(named[place] == hubs, least[place], hubs)
+    others = named != least
+    star = np.zeros(len(at) + others.sum(), bool)
     star[len(at) :] = True
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], stars[:, 0]])), pa.array(np.concatenate([nodes[at], stars[:, 1]])), pa.array(star)], ["key", "node", "star"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[at], least[others]])), pa.array(np.concatenate([hubs, named[others]])), pa.array(star)], ["key", "node", "star"])
 
 
 def _gathered(parts):
@@ -283,8 +307,10 @@ def _difference_lists(num: int, den: int):
 
 
 def _scan(batches):
-    """Rows sorted by (key, node): links the nodes of each key to its first; stars pass through."""
+    """Rows sorted by (key, node): links that connect the nodes of each key, and those of each star; of so many at once, one a node."""
     key = hub = None
+    held, size = [], 0
+    links = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["a", "b"])
     for batch in batches:
         k, v, star = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "node", "star"))
         a, b, k, v = k[star], v[star], k[~star], v[~star]
@@ -293,8 +319,17 @@ def _scan(batches):
             hubs = np.concatenate(([0 if hub is None else hub], v[new]))[np.cumsum(new)]
             key, hub = k[-1], hubs[-1]
             a, b = np.concatenate([a, hubs[hubs != v]]), np.concatenate([b, v[hubs != v]])
-        found = np.unique(np.column_stack((a, b)), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        held.append((a, b))
+        size += len(a)
+        if size >= ENTRIES_AT_ONCE:
+            held = [_stars(*map(np.concatenate, zip(*held, strict=True)))]
+            size = len(held[0][0])
+            if size >= ENTRIES_AT_ONCE // 2:
+                yield links()
+                held, size = [], 0
+    if size:
+        held = [_stars(*map(np.concatenate, zip(*held, strict=True)))]
+        yield links()
 
 
 def _clusters(entries: DataFrame) -> DataFrame:
@@ -401,11 +436,12 @@ class _Join:
     num: int
     den: int
     heavy: object
+    tell: bool = True  # whether compared pairs come with their differences
 
-    def compared(self, pairs: DataFrame, tell: bool = True) -> DataFrame:
-        """Compares the pairs (a, b), see ``_compared``; ``tell``: with differences. A pivot with many partners is compared in several copies."""
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Compares the pairs (a, b), see ``_compared``. A pivot with many partners is compared in several copies."""
         rows = pairs.count()
-        fan = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.lit(tell) & (F.col("partners") > 1)).alias("crowd")), rows)
+        fan = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).select("a", F.ceil(F.col("partners") / PARTNERS).cast("int").alias("copies"), (F.lit(self.tell) & (F.col("partners") > 1)).alias("crowd")), rows)
         members = pairs.join(small(fan), "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("salt"), "b", F.lit(None).cast("int").alias("copies"), "crowd", F.col("b").alias("node"))
         pivots = fan.select("a", F.lit(0).alias("salt"), F.lit(None).cast("long").alias("b"), "copies", "crowd", F.col("a").alias("node"))
         places = stored(few(members.unionByName(pivots), 2 * rows).join(self.reps, "node").drop("node"), 2 * rows)
@@ -428,7 +464,7 @@ class _Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked."""
-        return stored(self.compared(stored(pairs), tell=False).where("linked").select("a", "b"))
+        return stored(replace(self, tell=False).compared(stored(pairs)).where("linked").select("a", "b"))
 
     def near(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of members of a cluster that are of different components and, by their sizes and sketches, may be linked."""

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SCHEMA, documents, shingles, similar_components, thue_morse
 
@@ -55,6 +56,50 @@ def test_thousands_of_copies_and_an_outlier(spark):
     assert {c for i, (_, c) in got.items() if i < 9000} == {0} and sum(seen) < 4 * len(rows)
 
 
+def test_one_link_for_each_member_and_task(spark, monkeypatch):
+    """Members share many lists, of which each has another smallest member; few links connect them."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(changed(r, base, r.choice([5, 30, 60])))) for i in range(300)]
+    links, met = [], ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda edges: links.append(edges.distinct().count()) or met(edges))
+    got = by_id(ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 1, (80, 100)))
+    assert got == similar_components(rows, 1, 80, 100) and links[0] < 2 * len(rows)
+
+
+def test_links_are_those_of_a_connected_graph():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 8, 50):
+        for m in (0, 1, n, 2 * n):
+            a, b = r.integers(-n, n, m), r.integers(-n, n, m)
+            least = {x: x for x in [*a.tolist(), *b.tolist()]}
+            for _ in range(2 * n):
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    least[x] = least[y] = min(least[x], least[y])
+            nodes, named = ngram_join._joined(a, b)
+            assert dict(zip(nodes.tolist(), named.tolist(), strict=True)) == least
+            assert {(x, y) for x, y in zip(*(z.tolist() for z in ngram_join._stars(a, b)), strict=True)} == {(x, y) for y, x in least.items() if x != y}
+
+
+def test_lists_longer_than_what_is_joined_at_once(monkeypatch):
+    """Links that were given out, and those that are still held, connect the nodes of a list that goes over several batches."""
+    monkeypatch.setattr(ngram_join, "ENTRIES_AT_ONCE", 8)
+    batch = lambda key, nodes, star=False: pa.RecordBatch.from_arrays([pa.array([key] * len(nodes)), pa.array(nodes), pa.array([star] * len(nodes))], ["key", "node", "star"])
+    batches = [batch(-5, list(range(10, 30))), batch(-5, list(range(30, 40))), batch(7, [12, 50]), batch(50, [51, 52], True), batch(9, [60]), batch(9, [60])]
+    got = [x for out in ngram_join._scan(batches) for x in zip(*out.to_pydict().values(), strict=True)]
+    parent = {x: x for x in [*range(10, 40), 50, 51, 52, 60]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in got:
+        parent[find(y)] = find(x)
+    assert len({find(x) for x in parent if x != 60}) == 1 and find(60) == 60 and len(got) < 2 * len(parent)
+    assert list(ngram_join._scan([])) == [] and list(ngram_join._scan([batch(9, [60])])) == []
+
+
 def test_members_of_one_component_do_not_meet(spark):
     """Of twelve members of a cluster that are all alike, only those of different components are paired."""
     tokens, sketch = np.arange(1, 9, dtype=np.uint64).tobytes(), [0] * 16
