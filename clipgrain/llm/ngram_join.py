@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from clipgrain.llm.common import checkpoint, drop, few, scratch, small, stored, without
 from clipgrain.llm.graph import connected_components
-from clipgrain.llm.textops import U64, bytes_of, mix64, shingle_sets, slices
+from clipgrain.llm.textops import U64, bytes_of, let_go, mix64, shingle_sets, slices
 
 #: Shingles in so many sets (as far as tasks counted them) are heavy; of more than so many, the heaviest are.
 HEAVY_AT, MOST_HEAVY = 3, 1 << 19
@@ -174,6 +174,7 @@ def choose_boundary(sizes: dict[int, int], num: int, den: int) -> int:
 
 def _sets(batch: pa.RecordBatch, words: int):
     """(row, set) of each text of a batch."""
+    let_go()
     data, off = bytes_of(batch["text"])
     for a, b in slices(off):
         yield from enumerate(shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], words), a)

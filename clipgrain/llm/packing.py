@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipgrain.llm.common import checkpoint
-from clipgrain.llm.textops import bytes_of, equal_spans, slices, span_hashes, word_bounds
+from clipgrain.llm.textops import KEPT, bytes_of, equal_spans, slices, span_hashes, word_bounds
 
 SEQUENCE = 2048
 END_ID = 1
@@ -41,6 +41,7 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _STOP[list(b".,;:!?")] = True
 
 _encoders: dict[str, WordEncoder] = {}
+KEPT.append(_encoders)
 _hashes = span_hashes
 
 
