@@ -61,6 +61,8 @@ LARGEST_SMALL, LIST_COST = 40, 4
 SEEN, ENTRIES_AT_ONCE = 1 << 17, 1 << 17
 #: Prefix rows that a task hands on at once.
 ROLES_AT_ONCE = 1 << 14
+#: Bits of a sieve for each token on it, the least and most it has (as powers of two), words of its blocks, and tokens for which one is worth its jobs.
+SIEVE_BITS, LEAST_SIEVE, MOST_SIEVE, SIEVE_BLOCK, SIEVE_FROM = 16, 16, 25, 512, 100_000
 #: Partners that one copy of a pivot is compared with.
 PARTNERS = 1000
 #: Levels of clusters within clusters at least, and the share of members that must find a partner for a further one; then those by themselves are joined with each other.
@@ -501,16 +503,41 @@ class _Join:
         main = stored(own.where("c = a").select("a", "label").union(pivots).distinct().withColumn("main", F.lit(True)), 2 * placed.count())
         return stored(own.join(small(main), ["a", "label"], "left").withColumn("c", F.when(F.col("main") | (F.col("c") == F.col("a")), F.col("a")).otherwise(F.col("label"))).drop("label", "main"))
 
-    def meeting(self, fewer: DataFrame, more: DataFrame) -> DataFrame:
-        """Pairs ``a, b`` of members of one cluster and different components whose prefixes meet, the first with no larger difference than the second."""
+    def sieve(self, members: DataFrame, passing: DataFrame) -> object:
+        """Bits, shared with all tasks, on which tokens of the members' prefixes fall, for those of ``passing``; null if these are few.
+
+        What misses them is in none of those prefixes. If both are the same members, bits
+        on which two tokens fall: what misses them is in one of the prefixes only.
+        """
+        count = lambda x: x.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
+        tokens = count(passing)
+        if tokens < SIEVE_FROM:
+            return None
+        tokens = tokens if passing is members else count(members)
+        size = min(max(math.ceil(math.log2(SIEVE_BITS * tokens + 1)), LEAST_SIEVE), MOST_SIEVE)
+        kind = "block int, once binary, twice binary"
+        blocks = members.select("a", "n", "tokens").mapInArrow(_sieved(self.num, self.den, size), kind).groupBy("block").applyInArrow(_overlaid, kind)
+        bits = np.zeros(1 << size - 6, np.uint64)
+        for block, raw in blocks.select("block", "twice" if passing is members else "once").collect():  # bounded by MOST_SIEVE
+            bits[block * SIEVE_BLOCK : (block + 1) * SIEVE_BLOCK] = np.frombuffer(raw, np.uint64)
+        return members.sparkSession.sparkContext.broadcast(bits)
+
+    def meeting(self, fewer: DataFrame, more: DataFrame, sieves: tuple = (None, None)) -> DataFrame:
+        """Pairs ``a, b`` of members of one cluster and different components whose prefixes meet, the first with no larger difference than the second.
+
+        ``sieves``: for the tokens of ``fewer`` and of ``more`` the sieve of the other, where there is one.
+        """
+        if fewer is more:
+            sieves = (self.sieve(fewer, fewer),)
         sides = [x.select("a", "b", "c", "h", "n", "tokens", "sketch") for x in ([fewer] if fewer is more else [fewer, more])]
-        light = [x.mapInArrow(_roles(self.num, self.den, 0), _role(0)).select("token", "c", "few") for x in sides]
+        roles = lambda i, folded: sides[i].mapInArrow(_roles(self.num, self.den, folded, len(sides) == 2 and i == 0, sieves[i]), _role(folded))
+        light = [roles(i, 0).select("token", "c", "few") for i in range(len(sides))]
         shared = stored(reduce(DataFrame.union, light).groupBy("token").agg(F.min("c").alias("one"), F.max("c").alias("two"), F.max("few").alias("few")).where("one < two and few").select("token"))
         shared = small(shared)
-        rows = lambda x: x.mapInArrow(_roles(self.num, self.den, FOLDED), _role(FOLDED)).join(shared, "token", "left_semi")
+        rows = lambda i: roles(i, FOLDED).join(shared, "token", "left_semi")
         names = [f"s{i}" for i in range(FOLDED)]
-        one = rows(sides[0]).where("few").select("token", *[F.col(x).alias(f"{x}1") for x in ("b", "c", "h", "n", "at", *names)])
-        two = rows(sides[-1]).select("token", *[F.col(x).alias(f"{x}2") for x in ("b", "c", "h", "n", "at", *names)])
+        one = rows(0).where("few").select("token", *[F.col(x).alias(f"{x}1") for x in ("b", "c", "h", "n", "at", *names)])
+        two = rows(len(sides) - 1).select("token", *[F.col(x).alias(f"{x}2") for x in ("b", "c", "h", "n", "at", *names)])
         least = reduce(lambda x, y: x + y, [F.col("at1") + F.col("at2"), *[F.bit_count(F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2"))) for x in names]])
         close = least * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
         near = (F.col("h2") - F.col("h1")) * (self.den + self.num) <= (F.col("n1") + F.col("n2")) * (self.den - self.num)
@@ -542,7 +569,8 @@ class _Join:
             return links
         least = stored(alone.groupBy("a").agg(F.min(low).alias("least")), rows)
         main = stored(main.join(small(least), "a").where(high >= F.col("least")))
-        pairs = self.meeting(alone, main).union(self.meeting(main, alone)).distinct()
+        sieve = self.sieve(alone, main)
+        pairs = self.meeting(alone, main, (None, sieve)).union(self.meeting(main, alone, (sieve, None))).distinct()
         return [*links, self.linked(pairs)]
 
     def components(self, entries: DataFrame) -> DataFrame:
@@ -591,9 +619,70 @@ def _sketches_from(sketch: np.ndarray, tokens: np.ndarray, folded: int) -> np.nd
     return np.bitwise_xor.accumulate(changes).view(np.int64)
 
 
-def _roles(num: int, den: int, folded: int):
+def _token_keys(cluster: int, tokens: np.ndarray) -> np.ndarray:
+    """Tokens of a cluster, told apart from those of others."""
+    return mix64(tokens + mix64(np.array([cluster], np.int64).view(np.uint64)))
+
+
+def _falls(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    """The two of 2**size bits that each key falls on."""
+    return [(k >> U64(64 - size)).astype(np.int64) for k in (keys, keys * _K[0])]
+
+
+def _sieved(num: int, den: int, size: int):
+    """Blocks of a sieve of 2**size bits: those that a token of the task's prefixes falls on, and those that two do."""
+
+    def run(batches):
+        once, twice = np.zeros((2, 1 << size - 6), np.uint64)
+        for batch in batches:
+            rows = zip(*(batch[x].to_pylist() for x in ("a", "n", "tokens")), strict=True)
+            for keys in _some(_token_keys(p, np.frombuffer(raw, np.uint64)[: _most(n, num, den) + 1]) for p, n, raw in rows):
+                at, tokens = np.unique(np.concatenate(_falls(keys, size)), return_counts=True)
+                word, bit = at >> 6, U64(1) << (at & 63).astype(np.uint64)
+                again = (tokens > 1) | (once[word] & bit > 0)
+                np.bitwise_or.at(once, word, bit)
+                np.bitwise_or.at(twice, word[again], bit[again])
+        blocks = np.flatnonzero(once.reshape(-1, SIEVE_BLOCK).any(axis=1))
+        cut = lambda bits: pa.array([x.tobytes() for x in bits.reshape(-1, SIEVE_BLOCK)[blocks]], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), cut(once), cut(twice)], ["block", "once", "twice"])
+
+    return run
+
+
+def _some(arrays):
+    """The arrays joined, ROLES_AT_ONCE values or so at once."""
+    held, size = [], 0
+    for x in arrays:
+        held.append(x)
+        size += len(x)
+        if size >= ROLES_AT_ONCE:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
+def _overlaid(blocks: pa.Table) -> pa.Table:
+    """One block of those that tasks have made of the same place."""
+    once, twice = (np.frombuffer(b"".join(blocks[x].to_pylist()), np.uint64).reshape(-1, SIEVE_BLOCK) for x in ("once", "twice"))
+    seen, again = np.zeros(SIEVE_BLOCK, np.uint64), np.bitwise_or.reduce(twice)
+    for bits in once:
+        again |= seen & bits
+        seen |= bits
+    return pa.table({"block": blocks["block"][:1], "once": pa.array([seen.tobytes()], pa.binary()), "twice": pa.array([again.tobytes()], pa.binary())})
+
+
+def _through(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of a sieve; those that are always may."""
+    falls = _falls(keys, len(bits).bit_length() + 5)
+    return np.logical_and.reduce([bits[at >> 6] >> (at & 63).astype(np.uint64) & U64(1) > 0 for at in falls])
+
+
+def _roles(num: int, den: int, folded: int, only_few: bool = False, sieve=None):
     """Prefixes of differences as rows of tokens, each told apart by cluster, with its place and, in so many words, the sketch of the difference from there on.
 
+    ``only_few``: no more than the tokens marked ``few``; ``sieve``: only tokens that it lets through, see ``_Join.sieve``.
+
     For members A and B with h(A) <= h(B) that differ in at most k shingles, and
     h(A) + h(B) > k, the first k // 2 + 1 of A's difference (``few``) and the first
     k + 1 of B's share one. All differences of a cluster have their tokens in one order,
@@ -612,11 +701,14 @@ def _roles(num: int, den: int, folded: int):
         for batch in batches:
             for p, b, c, h, n, raw, sketch in zip(*(batch[x].to_pylist() for x in ("a", "b", "c", "h", "n", "tokens", "sketch")), strict=True):
                 most = _most(n, num, den)
-                tokens = np.frombuffer(raw, np.uint64)[: most + 1]
-                m = len(tokens)
-                words = _sketches_from(np.array(sketch, np.int64), tokens, folded).T if folded else ()
-                key = mix64(tokens + mix64(np.array([p], np.int64).view(np.uint64))).view(np.int64)
-                out.append((key, np.arange(m) <= most // 2, *(np.full(m, x) for x in (b, c, h, n)), np.arange(m), *words))
+                tokens = np.frombuffer(raw, np.uint64)[: (most // 2 if only_few else most) + 1]
+                key = _token_keys(p, tokens)
+                at = np.arange(len(key)) if sieve is None else np.flatnonzero(_through(key, sieve.value))
+                if not len(at):
+                    continue
+                words = _sketches_from(np.array(sketch, np.int64), tokens, folded)[at].T if folded else ()
+                m = len(at)
+                out.append((key[at].view(np.int64), at <= most // 2, *(np.full(m, x) for x in (b, c, h, n)), at, *words))
                 size += m
                 if size >= ROLES_AT_ONCE:  # a batch of long texts has very many
                     yield rows(out)
