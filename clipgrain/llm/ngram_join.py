@@ -507,7 +507,8 @@ class _Join:
         """Bits, shared with all tasks, on which tokens of the members' prefixes fall, for those of ``passing``; null if these are few.
 
         What misses them is in none of those prefixes. If both are the same members, bits
-        on which two tokens fall: what misses them is in one of the prefixes only.
+        on which tokens of two components fall (or two of one, where it is dealt out): what
+        misses them is in prefixes of one component only.
         """
         count = lambda x: x.agg(F.sum(F.octet_length("tokens") / 8)).first()[0] or 0
         tokens = count(passing)
@@ -516,7 +517,8 @@ class _Join:
         tokens = tokens if passing is members else count(members)
         size = min(max(math.ceil(math.log2(SIEVE_BITS * tokens + 1)), LEAST_SIEVE), MOST_SIEVE)
         kind = "block int, once binary, twice binary"
-        blocks = members.select("a", "n", "tokens").mapInArrow(_sieved(self.num, self.den, size), kind).groupBy("block").applyInArrow(_overlaid, kind)
+        by_component = members.select("a", "c", "n", "tokens").repartition("c").sortWithinPartitions("c")
+        blocks = by_component.mapInArrow(_sieved(self.num, self.den, size), kind).groupBy("block").applyInArrow(_overlaid, kind)
         bits = np.zeros(1 << size - 6, np.uint64)
         for block, raw in blocks.select("block", "twice" if passing is members else "once").collect():  # bounded by MOST_SIEVE
             bits[block * SIEVE_BLOCK : (block + 1) * SIEVE_BLOCK] = np.frombuffer(raw, np.uint64)
@@ -634,14 +636,12 @@ def _sieved(num: int, den: int, size: int):
 
     def run(batches):
         once, twice = np.zeros((2, 1 << size - 6), np.uint64)
-        for batch in batches:
-            rows = zip(*(batch[x].to_pylist() for x in ("a", "n", "tokens")), strict=True)
-            for keys in _some(_token_keys(p, np.frombuffer(raw, np.uint64)[: _most(n, num, den) + 1]) for p, n, raw in rows):
-                at, tokens = np.unique(np.concatenate(_falls(keys, size)), return_counts=True)
-                word, bit = at >> 6, U64(1) << (at & 63).astype(np.uint64)
-                again = (tokens > 1) | (once[word] & bit > 0)
-                np.bitwise_or.at(once, word, bit)
-                np.bitwise_or.at(twice, word[again], bit[again])
+        for keys in _by_component(batches, num, den):
+            at, tokens = np.unique(np.concatenate(_falls(keys, size)), return_counts=True)
+            word, bit = at >> 6, U64(1) << (at & 63).astype(np.uint64)
+            again = (tokens > 1) | (once[word] & bit > 0)
+            np.bitwise_or.at(once, word, bit)
+            np.bitwise_or.at(twice, word[again], bit[again])
         blocks = np.flatnonzero(once.reshape(-1, SIEVE_BLOCK).any(axis=1))
         cut = lambda bits: pa.array([x.tobytes() for x in bits.reshape(-1, SIEVE_BLOCK)[blocks]], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), cut(once), cut(twice)], ["block", "once", "twice"])
@@ -649,17 +649,21 @@ def _sieved(num: int, den: int, size: int):
     return run
 
 
-def _some(arrays):
-    """The arrays joined, ROLES_AT_ONCE values or so at once."""
-    held, size = [], 0
-    for x in arrays:
-        held.append(x)
-        size += len(x)
-        if size >= ROLES_AT_ONCE:
-            yield np.concatenate(held)
-            held, size = [], 0
+def _by_component(batches, num: int, den: int):
+    """Keys of the tokens of rows sorted by component, each once a component, ROLES_AT_ONCE or so at once."""
+    whole, own, last, size = [], [], None, 0
+    distinct = lambda: [np.unique(np.concatenate(own))] if own else []
+    for batch in batches:
+        for p, c, n, raw in zip(*(batch[x].to_pylist() for x in ("a", "c", "n", "tokens")), strict=True):
+            if c != last or size >= ROLES_AT_ONCE:  # a component may be larger than what is held
+                whole, own, last = whole + distinct(), [], c
+                if size >= ROLES_AT_ONCE:
+                    yield np.concatenate(whole)
+                    whole, size = [], 0
+            own.append(_token_keys(p, np.frombuffer(raw, np.uint64)[: _most(n, num, den) + 1]))
+            size += len(own[-1])
     if size:
-        yield np.concatenate(held)
+        yield np.concatenate(whole + distinct())
 
 
 def _overlaid(blocks: pa.Table) -> pa.Table:

@@ -35,7 +35,7 @@ def made(rows, *args):
 def sieve_of(tasks, what="once", size=16):
     """What the sieve of the members of some tasks is."""
     bits = np.zeros(1 << size - 6, np.uint64)
-    blocks = pa.concat_tables([pa.Table.from_batches(ngram_join._sieved(80, 100, size)(iter([batch(rows, ["a", "n", "tokens"])]))) for rows in tasks])
+    blocks = pa.concat_tables([pa.Table.from_batches(ngram_join._sieved(80, 100, size)(iter([batch(rows, ["a", "c", "n", "tokens"])]))) for rows in tasks])
     for block in set(blocks["block"].to_pylist()):
         one = ngram_join._overlaid(blocks.filter(pc.equal(blocks["block"], block)))
         bits.reshape(-1, ngram_join.SIEVE_BLOCK)[block] = np.frombuffer(one[what][0].as_py(), np.uint64)
@@ -64,6 +64,18 @@ def test_tokens_of_one_member_stay_behind():
     assert {x for x in every if of[x[0]] > 1} <= set(left) <= set(every) and len(left) < len(every) / 20
 
 
+def test_tokens_of_one_component_stay_behind(monkeypatch):
+    """Members of one component share tokens, which do not go on unless another component has them, however few are held at once."""
+    r = np.random.default_rng(7)
+    near = [(a, b, 50, *rest) for a, b, _, *rest in members(r, 7, 50, 20, range(1, 31))]
+    rows = near + members(r, 7, 100, 2, [5])
+    of = {x[0]: {y[3] for y in made(rows) if y[0] == x[0]} for x in made(rows)}
+    left = made(rows, False, sieve_of([rows], "twice"))
+    assert {k for k, c in of.items() if len(c) > 1} <= {x[0] for x in left} and len(left) < 60
+    monkeypatch.setattr(ngram_join, "ROLES_AT_ONCE", 100)
+    assert {x for x in made(rows) if len(of[x[0]]) > 1} <= set(made(rows, False, sieve_of([rows], "twice")))
+
+
 def test_only_the_first_tokens():
     rows = members(np.random.default_rng(4), 7, 1, 20, [])
     every = made(rows)
